@@ -282,3 +282,295 @@ def union_sheets(spark, sf_dir):
         F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("amount"), F.col("l_returnflag").alias("flag")
     )
     return union_by_name([o, li], source_col="sheet", sources=["orders", "lineitem"])
+
+
+# ------------------------------------------------------------ report
+
+REPORT_TIME = "2026-01-01T00:00:00"
+
+
+def _flagship_report(spark, sf_dir):
+    from tablewash.plans.report import build_report
+
+    before = _lineitem_defects(spark, sf_dir)
+    after, recipe = clean_table(
+        _lineitem_flags(spark, sf_dir),
+        zeros=["l_discount", "l_tax"],
+        missing=("fill", "mean"),
+        remove_duplicates=True,
+        case="lowercase",
+    )
+    return build_report(before, after, recipe, REPORT_TIME)
+
+
+@register
+def report_before_after(spark, sf_dir):
+    from tablewash.plans.report import summary_row
+
+    return summary_row(_flagship_report(spark, sf_dir))
+
+
+@register
+def report_text(spark, sf_dir):
+    from tablewash.plans.report import report_text_lines
+
+    return report_text_lines(_flagship_report(spark, sf_dir))
+
+
+@register
+def report_json(spark, sf_dir):
+    from tablewash.plans.report import report_json as to_json
+
+    return to_json(_flagship_report(spark, sf_dir))
+
+
+@register
+def report_html(spark, sf_dir):
+    from tablewash.plans.report import report_html as to_html
+
+    return to_html(_flagship_report(spark, sf_dir))
+
+
+# ------------------------------------------------------------ sources
+
+def _scratch(spark, name):
+    from tablewash.session import scratch_path
+
+    return scratch_path(spark, name)
+
+
+@register
+def scan_csv_roundtrip(spark, sf_dir):
+    """customer written as CSV, read back with NA tokens + type inference."""
+    from tablewash.sinks.writers import write_csv
+    from tablewash.sources.readers import read_csv
+
+    path = write_csv(table(spark, sf_dir, "customer"), _scratch(spark, "customer-csv"))
+    return read_csv(spark, path)
+
+
+@register
+def scan_csv_latin1(spark, sf_dir):
+    """documents written as ISO-8859-1 CSV (multi-line quoted text); the
+    census finds the encoding from the bytes and the reader uses it."""
+    from tablewash.sources.readers import read_csv
+
+    path = _scratch(spark, "documents-latin1")
+    (
+        table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+        .write.option("header", True).option("encoding", "ISO-8859-1").option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
+    return read_csv(spark, path)
+
+
+@register
+def file_encoding(spark, sf_dir):
+    """Encoding guessed per file: the same documents as UTF-8 and as Latin-1."""
+    from tablewash.sources.census import file_census
+
+    base = _scratch(spark, "encodings")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for enc, sub in (("UTF-8", "utf8"), ("ISO-8859-1", "latin1")):
+        docs.write.option("header", True).option("encoding", enc).csv(f"{base}/{sub}")
+    census = file_census(spark, base).where(F.col("extension") == ".csv")
+    return census.select(
+        F.regexp_extract("path", r"/(utf8|latin1)/", 1).alias("folder"), "ext_type", "content_type", "encoding", "status"
+    )
+
+
+def _rename_suffix(spark, folder, old, new):
+    """Rename part files in a folder (file-system metadata only, no data moved
+    through the driver)."""
+    jvm = spark.sparkContext._jvm  # noqa: SLF001
+    conf = spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(conf)
+    for st in fs.listStatus(root):
+        p = st.getPath()
+        if p.getName().endswith(old):
+            fs.rename(p, jvm.org.apache.hadoop.fs.Path(p.getParent(), p.getName()[: -len(old)] + new))
+
+
+@register
+def file_census(spark, sf_dir):
+    """Tables written as CSV, JSON and Parquet plus JSON text under a .csv
+    name: type by extension, by content, and their agreement per file."""
+    from tablewash.sources.census import file_census as census
+
+    base = _scratch(spark, "census")
+    table(spark, sf_dir, "nation").write.option("header", True).csv(f"{base}/csv")
+    table(spark, sf_dir, "region").write.json(f"{base}/json")
+    table(spark, sf_dir, "supplier").write.parquet(f"{base}/parquet")
+    table(spark, sf_dir, "region").select(F.to_json(F.struct("*"))).write.text(f"{base}/fake")
+    _rename_suffix(spark, f"{base}/fake", ".txt", ".csv")
+    out = census(spark, base)
+    data_files = ~F.col("file_name").startswith("_") & ~F.col("file_name").startswith(".")
+    return out.where(data_files).select(
+        F.regexp_extract("path", r"/(csv|json|parquet|fake)/", 1).alias("folder"),
+        "extension", "ext_type", "content_type", "encoding", "status", "size",
+    )
+
+
+@register
+def infer_types(spark, sf_dir):
+    """lineitem as text with missing tokens: columns typed by their values."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("l_orderkey"),
+        F.when(F.col("l_linenumber") == 1, F.lit("NA")).otherwise(F.col("l_quantity").cast("string")).alias("qty"),
+        F.when(F.col("l_returnflag") == "R", F.lit("True")).otherwise(F.lit("false")).alias("returned"),
+        F.when(F.col("l_linestatus") == "O", F.lit("n/a")).otherwise(F.col("l_returnflag")).alias("flag"),
+    )
+    return casts.infer_types(casts.na_to_null(li))
+
+
+@register
+def key_detect(spark, sf_dir):
+    """Is the first column of each driver table a key?"""
+    from tablewash.sources.readers import key_candidate
+
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+             "labels", "conversations", "pages", "benchmark", "embeddings"]
+    frames = [key_candidate(table(spark, sf_dir, n)).select(F.lit(n).alias("table_name"), "*") for n in names]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@register
+def key_promote(spark, sf_dir):
+    """c_custkey held as key: left out of zero replacement and filling."""
+    df, _ = clean_table(table(spark, sf_dir, "customer"), zeros="all", missing=("fill", "median"), key_columns=["c_custkey"])
+    return round6(df, ["c_nationkey", "c_acctbal"])
+
+
+def _nested_events(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        "event_id",
+        F.struct(F.col("user_id").alias("id"), F.struct(F.col("event_type").alias("kind"), "value").alias("detail")).alias("user"),
+        F.from_json("props", "k bigint").alias("props"),
+    )
+
+
+@register
+def json_flatten(spark, sf_dir):
+    from tablewash.sources.readers import flatten
+
+    return flatten(_nested_events(spark, sf_dir))
+
+
+@register
+def scan_json(spark, sf_dir):
+    """Nested events written as JSON Lines, read back and flattened."""
+    from tablewash.sources.readers import read_json
+
+    path = _scratch(spark, "events-json")
+    _nested_events(spark, sf_dir).write.json(path)
+    return read_json(spark, path, multiline=False)
+
+
+@register
+def json_rejects(spark, sf_dir):
+    """JSON Lines where every 'error' event lost its closing brace: the good
+    rows come back, the broken ones go to the rejects frame."""
+    from tablewash.sources.readers import read_json_with_rejects
+
+    path = _scratch(spark, "events-broken")
+    js = F.to_json(F.struct("event_id", "event_type", "value"))
+    table(spark, sf_dir, "events").select(
+        F.when(F.col("event_type") == "error", F.expr("substring(to_json(struct(event_id, event_type, value)), 1, length(to_json(struct(event_id, event_type, value))) - 1)")).otherwise(js).alias("v")
+    ).write.text(path)
+    good, bad = read_json_with_rejects(spark, path)
+    return good
+
+
+@register
+def scan_xlsx(spark, sf_dir):
+    """part written as one workbook per partition (sheet 'part'), then the
+    workbook job reads them all back: same header -> one merged table."""
+    from tablewash.sources.workbook import read_workbook, workbook_bytes
+
+    base = _scratch(spark, "workbooks")
+    cols = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+
+    def write_parts(batches):
+        import os
+        import uuid
+
+        import pandas as pd
+
+        rows = [cols]
+        for b in batches:
+            rows += b[cols].values.tolist()
+        if len(rows) > 1:
+            os.makedirs(base, exist_ok=True)
+            with open(f"{base}/part-{uuid.uuid4().hex}.xlsx", "wb") as f:
+                f.write(workbook_bytes({"part": rows}))
+        yield pd.DataFrame({"n": [len(rows) - 1]})
+
+    table(spark, sf_dir, "part").select(*cols).mapInPandas(write_parts, "n long").collect()
+    return read_workbook(spark, base)
+
+
+@register
+def vocabulary_clean(spark, sf_dir):
+    """Vocabulary rows lacking name / code / category are dropped."""
+    from tablewash.sources.vocabulary import clean_vocabulary
+
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_name").alias("name"),
+        F.nullif(F.col("p_brand"), F.lit("Brand#1")).alias("code"),
+        F.nullif(F.col("p_type"), F.lit("ECONOMY")).alias("code_base"),
+    )
+    return clean_vocabulary(p, ["name", "code", "code_base"])
+
+
+# ------------------------------------------------------------ sinks
+
+def _lineitem_sink_input(spark, sf_dir):
+    return clean.replace_zeros(_lineitem_keyed(spark, sf_dir), ["l_discount"])
+
+
+@register
+def export_csv_roundtrip(spark, sf_dir):
+    from tablewash.sinks.writers import write_csv
+    from tablewash.sources.readers import read_csv
+
+    path = write_csv(_lineitem_sink_input(spark, sf_dir), _scratch(spark, "export-csv"), sort_col="l_discount", ascending=False)
+    return read_csv(spark, path)
+
+
+@register
+def export_parquet_roundtrip(spark, sf_dir):
+    from tablewash.sinks.writers import write_parquet
+
+    path = write_parquet(_lineitem_sink_input(spark, sf_dir), _scratch(spark, "export-parquet"))
+    return spark.read.parquet(path)
+
+
+@register
+def export_table_replace(spark, sf_dir):
+    """Written twice: the table is replaced, not appended to."""
+    import uuid
+
+    from tablewash.sinks.writers import write_table
+
+    name = f"tw_export_{uuid.uuid4().hex[:10]}"
+    path = _scratch(spark, "export-table")
+    df = _lineitem_sink_input(spark, sf_dir)
+    df.write.mode("overwrite").option("path", path).saveAsTable(name)
+    write_table(df, name, mode="overwrite")
+    return spark.table(name)
+
+
+@register
+def export_documents(spark, sf_dir):
+    """One JSON document per row (appended), read back."""
+    from tablewash.sinks.writers import write_documents
+
+    path = _scratch(spark, "export-docs")
+    write_documents(table(spark, sf_dir, "labels"), path=path)
+    return spark.read.schema("doc_id bigint, quality int, toxic int").json(path)

@@ -141,4 +141,97 @@ SELECT o_orderkey AS k, CAST(o_totalprice AS DOUBLE) AS amount, o_orderstatus AS
        CAST(NULL AS VARCHAR) AS flag, 'orders' AS sheet FROM orders
 UNION ALL
 SELECT l_orderkey, CAST(l_linenumber AS DOUBLE), CAST(NULL AS VARCHAR), l_returnflag, 'lineitem' FROM lineitem"""
+
+    cleaned = f"""
+WITH z AS ({flags_z}),
+f AS (SELECT l_returnflag, l_linestatus,
+             coalesce(l_quantity, (SELECT avg(l_quantity) FROM z)) AS l_quantity,
+             coalesce(l_discount, (SELECT avg(l_discount) FROM z)) AS l_discount,
+             coalesce(l_tax, (SELECT avg(l_tax) FROM z)) AS l_tax FROM z),
+d AS (SELECT DISTINCT * FROM f),
+c AS (SELECT lower(trim(l_returnflag, {WS})) AS l_returnflag, lower(trim(l_linestatus, {WS})) AS l_linestatus,
+             l_quantity, l_discount, l_tax FROM d),
+b AS (SELECT count(*) AS r,
+             count(*) FILTER (WHERE l_discount IS NULL) + count(*) FILTER (WHERE l_tax IS NULL) AS m,
+             count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM z)) AS dup FROM z),
+a AS (SELECT count(*) AS r,
+             count(*) FILTER (WHERE l_returnflag IS NULL) + count(*) FILTER (WHERE l_linestatus IS NULL)
+             + count(*) FILTER (WHERE l_quantity IS NULL) + count(*) FILTER (WHERE l_discount IS NULL)
+             + count(*) FILTER (WHERE l_tax IS NULL) AS m,
+             count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM c)) AS dup FROM c)"""
+    out["report_before_after"] = cleaned + """
+SELECT b.r AS rows_before, a.r AS rows_after, 5 AS columns_before, 5 AS columns_after,
+       b.dup AS duplicates_before, a.dup AS duplicates_after, b.r - a.r AS rows_removed, 0 AS columns_removed,
+       b.m AS missing_values_before, a.m AS missing_values_after, b.dup - a.dup AS duplicates_removed
+FROM a, b"""
+    steps = [
+        '  1. replace_zeros — {"columns": ["l_discount", "l_tax"]}',
+        '  2. handle_missing — {"fill_value": "mean", "method": "fill"}',
+        '  3. remove_duplicates — {"remove": "yes"}',
+        "  4. trim_whitespace — {}",
+        '  5. standardize_case — {"case": "lowercase"}',
+    ]
+    fixed_head = ["=== CLEANING REPORT ===", "Generated at: 2026-01-01T00:00:00", "", "--- SUMMARY ---"]
+    literal = [(i, t) for i, t in enumerate(fixed_head)]
+    literal += [(8, ""), (9, "--- PIPELINE STEPS ---")]
+    literal += [(10 + i, t) for i, t in enumerate(steps)]
+    literal += [(15, ""), (16, "--- COLUMN TYPES AFTER CLEANING ---")]
+    values = ", ".join(f"({i}, {_sql_str(t)})" for i, t in literal)
+    out["report_text"] = cleaned + f""",
+fixed(line_no, line) AS (VALUES {values}),
+types AS (SELECT CAST(16 + ordinal_position - 8 AS BIGINT) AS line_no, column_name, {DUCK_TO_SPARK_TYPE} AS t
+          FROM information_schema.columns
+          WHERE table_name = 'lineitem' AND column_name IN ('l_quantity', 'l_discount', 'l_tax',
+                                                             'l_returnflag', 'l_linestatus'))
+SELECT CAST(line_no AS INTEGER) AS line_no, line FROM fixed
+UNION ALL SELECT 4, printf('Rows:             %d → %d (-%d)', b.r, a.r, b.r - a.r) FROM a, b
+UNION ALL SELECT 5, 'Columns:          5 → 5 (-0)'
+UNION ALL SELECT 6, printf('Missing values:   %d → %d', b.m, a.m) FROM a, b
+UNION ALL SELECT 7, printf('Duplicates removed: %d', b.dup - a.dup) FROM a, b
+UNION ALL SELECT CAST(CASE column_name WHEN 'l_returnflag' THEN 17 WHEN 'l_linestatus' THEN 18
+                  WHEN 'l_quantity' THEN 19 WHEN 'l_discount' THEN 20 ELSE 21 END AS INTEGER),
+                 '  ' || column_name || ': ' || t FROM types"""
+
+    out["scan_csv_roundtrip"] = """
+SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"""
+    out["scan_csv_latin1"] = "SELECT doc_id, lang, text FROM documents"
+    out["infer_types"] = """
+SELECT l_orderkey, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity END AS qty,
+       (l_returnflag = 'R') AS returned, CASE WHEN l_linestatus = 'O' THEN NULL ELSE l_returnflag END AS flag
+FROM lineitem"""
+    firsts = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"),
+              ("supplier", "s_suppkey"), ("part", "p_partkey"), ("orders", "o_orderkey"),
+              ("lineitem", "l_orderkey"), ("events", "event_id"), ("documents", "doc_id"), ("labels", "doc_id"),
+              ("conversations", "conv_id"), ("pages", "page_id"), ("benchmark", "item_id"), ("embeddings", "vec_id")]
+    out["key_detect"] = "\nUNION ALL ".join(
+        f"""SELECT '{t}' AS table_name, '{k}' AS column_name, count(*) AS n_rows,
+       count(DISTINCT {k}) + CASE WHEN count(*) > count({k}) THEN 1 ELSE 0 END AS n_distinct,
+       count(*) = count(DISTINCT {k}) + CASE WHEN count(*) > count({k}) THEN 1 ELSE 0 END AS is_key FROM {t}"""
+        for t, k in firsts
+    )
+    out["key_promote"] = f"""
+WITH z AS (SELECT c_custkey, c_name, nullif(c_nationkey, 0) AS c_nationkey, nullif(c_acctbal, 0) AS c_acctbal,
+                  c_mktsegment FROM customer)
+SELECT c_custkey, trim(c_name, {WS}) AS c_name,
+       round(coalesce(CAST(c_nationkey AS DOUBLE), (SELECT median(c_nationkey) FROM z)), 6) AS c_nationkey,
+       round(coalesce(c_acctbal, (SELECT median(c_acctbal) FROM z)), 6) AS c_acctbal,
+       trim(c_mktsegment, {WS}) AS c_mktsegment
+FROM z"""
+    out["json_flatten"] = """
+SELECT event_id, user_id AS "user.id", event_type AS "user.detail.kind", value AS "user.detail.value",
+       CAST(json_extract(props, '$.k') AS BIGINT) AS "props.k" FROM events"""
+    out["scan_json"] = out["json_flatten"]
+    out["json_rejects"] = "SELECT event_id, event_type, value FROM events WHERE event_type <> 'error'"
+    out["scan_xlsx"] = """
+SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice, 'part' AS sheet FROM part"""
+    out["vocabulary_clean"] = """
+SELECT * FROM (SELECT p_name AS name, nullif(p_brand, 'Brand#1') AS code, nullif(p_type, 'ECONOMY') AS code_base
+               FROM part)
+WHERE name IS NOT NULL AND code IS NOT NULL AND code_base IS NOT NULL"""
+    out["export_csv_roundtrip"] = """
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, nullif(l_discount, 0) AS l_discount, l_tax
+FROM lineitem"""
+    out["export_parquet_roundtrip"] = out["replace_zeros_named"]
+    out["export_table_replace"] = out["replace_zeros_named"]
+    out["export_documents"] = "SELECT doc_id, quality, toxic FROM labels"
     return out
