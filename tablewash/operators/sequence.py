@@ -8,6 +8,12 @@ stitched with per-partition offsets. Only a group that is the first group of a
 partition can continue from earlier partitions, so the offset table has at most
 two rows per partition: it is bounded by the partition count, never by the data,
 and is the only thing broadcast.
+
+The range partitioner samples its bounds with a seed tied to the RDD id, so
+two executions of the same ``repartitionByRange`` may cut different ranges.
+The partition each row lands in is therefore materialized once with a reliable
+``checkpoint()`` (written to ``spark.checkpoint.dir``, so it also survives lost
+executors) and every later branch reads that copy.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tablewash.functions.names import c
+from tablewash.session import ensure_checkpoint_dir
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -48,6 +55,8 @@ def running_total(
         .repartitionByRange(n, F.col("_tw_g"), *order)
         .withColumn("_tw_pid", F.spark_partition_id())
     )
+    ensure_checkpoint_dir(df.sparkSession)
+    d = d.checkpoint(eager=True)
 
     # numbering inside one partition slice of a group: bounded by partition size
     slice_w = (
@@ -69,11 +78,13 @@ def running_total(
     )
     before = Window.partitionBy("_tw_g").orderBy("_tw_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = edge.select(
-        "_tw_pid", F.col("_tw_g").alias("_tw_g2"), F.coalesce(F.sum("_tw_tot").over(before), F.lit(0)).alias("_tw_off")
+        F.col("_tw_pid").alias("_tw_pid2"),
+        F.col("_tw_g").alias("_tw_g2"),
+        F.coalesce(F.sum("_tw_tot").over(before), F.lit(0)).alias("_tw_off"),
     )
     joined = local.join(
         F.broadcast(offsets),
-        (local["_tw_pid"] == offsets["_tw_pid"]) & local["_tw_g"].eqNullSafe(offsets["_tw_g2"]),
+        (F.col("_tw_pid") == F.col("_tw_pid2")) & F.col("_tw_g").eqNullSafe(F.col("_tw_g2")),
         "left",
     )
     result = joined.withColumn(out, F.col("_tw_local") + F.coalesce(F.col("_tw_off"), F.lit(0)))

@@ -574,3 +574,163 @@ def export_documents(spark, sf_dir):
     path = _scratch(spark, "export-docs")
     write_documents(table(spark, sf_dir, "labels"), path=path)
     return spark.read.schema("doc_id bigint, quality int, toxic int").json(path)
+
+
+# ------------------------------------------------------------ extraction
+
+def _notes_input(spark, sf_dir):
+    """conversations as a notes table: sheet = role, session 'Seance',
+    patient 'Patient_ID' (missing on the first two turns), text 'Notes'."""
+    conv = table(spark, sf_dir, "conversations")
+    return conv.select(
+        F.col("role").alias("sheet"),
+        "conv_id",
+        "turn",
+        F.when(F.col("turn") < 2, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("P"), F.col("conv_id").cast("string"))).alias("Patient_ID"),
+        F.col("conv_id").cast("string").alias("Seance"),
+        F.col("text").alias("Notes"),
+    )
+
+
+def _vocabularies(spark, sf_dir):
+    from tablewash.sources.vocabulary import CATEGORIES
+
+    region = table(spark, sf_dir, "region")
+    cats = F.array(*[F.lit(x) for x in CATEGORIES])
+    reference = region.select(
+        F.col("r_name").alias("name"),
+        F.upper(F.substring("r_name", 1, 3)).alias("code"),
+        F.element_at(cats, (F.col("r_regionkey") % len(CATEGORIES) + 1).cast("int")).alias("code_base"),
+    )
+    muscles = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name_latin"))
+    return reference, muscles
+
+
+@register
+def extract_flagship(spark, sf_dir):
+    from tablewash.plans.extract import extract_table, rule_scorer
+
+    reference, muscles = _vocabularies(spark, sf_dir)
+    return extract_table(
+        _notes_input(spark, sf_dir), rule_scorer, order_cols=["conv_id", "turn"],
+        reference=reference, muscles=muscles, sheet_col="sheet",
+    )
+
+
+@register
+def extract_prompt(spark, sf_dir):
+    from tablewash.plans.extract import prepare_notes, vocabulary_lines, with_prompt
+
+    reference, muscles = _vocabularies(spark, sf_dir)
+    notes = prepare_notes(_notes_input(spark, sf_dir), ["conv_id", "turn"], sheet_col="sheet")
+    ref_text, vocab_text, _ = vocabulary_lines(reference, muscles)
+    return with_prompt(notes, ref_text, vocab_text).select("sheet", "session", "row_ordinal", "prompt")
+
+
+@register
+def extract_score_retry(spark, sf_dir):
+    """How many scoring rounds each note needed (3 = fallback record)."""
+    from tablewash.plans.extract import prepare_notes, rule_scorer, score_and_parse, vocabulary_lines, with_prompt
+
+    reference, muscles = _vocabularies(spark, sf_dir)
+    notes = prepare_notes(_notes_input(spark, sf_dir), ["conv_id", "turn"], sheet_col="sheet")
+    ref_text, vocab_text, vocab = vocabulary_lines(reference, muscles)
+    prompts = with_prompt(notes, ref_text, vocab_text)
+    scored = score_and_parse(prompts, rule_scorer, ["sheet", "session", "row_ordinal"], vocab)
+    return scored.groupBy("attempt").agg(F.count(F.lit(1)).alias("notes"))
+
+
+@register
+def extract_session_fallback(spark, sf_dir):
+    """No session column: session_<n>, n = row number within the sheet."""
+    from tablewash.plans.extract import prepare_notes
+
+    notes = prepare_notes(_notes_input(spark, sf_dir).drop("Seance"), ["conv_id", "turn"], sheet_col="sheet")
+    return notes.select("sheet", "session", "row_ordinal")
+
+
+@register
+def extract_patient(spark, sf_dir):
+    """Patient per sheet: first non-missing value in row order."""
+    from tablewash.plans.extract import prepare_notes
+
+    notes = prepare_notes(_notes_input(spark, sf_dir), ["conv_id", "turn"], sheet_col="sheet")
+    return notes.select("sheet", "patient_id").distinct()
+
+
+@register
+def extract_skip_empty(spark, sf_dir):
+    """Notes that are '', 'None' or 'nan' are skipped; blank-only text is kept."""
+    from tablewash.plans.extract import prepare_notes
+
+    df = _notes_input(spark, sf_dir).withColumn(
+        "Notes",
+        F.when(F.col("turn") == 1, F.lit(""))
+        .when(F.col("turn") == 3, F.lit("None"))
+        .when(F.col("turn") == 5, F.lit("NaN"))
+        .when(F.col("turn") == 2, F.lit("  "))
+        .otherwise(F.col("Notes")),
+    )
+    notes = prepare_notes(df, ["conv_id", "turn"], sheet_col="sheet")
+    return notes.select("sheet", "session", "row_ordinal", "text")
+
+
+def _part_replies(spark, sf_dir):
+    """Raw replies built from part rows: plain, fenced, fenced without tag
+    (two records), text before, trailing text, non-object elements, empty
+    array, and a non-array value (chosen by p_partkey % 8)."""
+    from tablewash.plans.extract import RULE_CATEGORIES
+
+    p = table(spark, sf_dir, "part")
+    nation = [r[0] for r in table(spark, sf_dir, "nation").select("n_name").orderBy("n_nationkey").collect()]
+    names = F.array(*[F.lit(x) for x in nation])
+    cats = F.array(*[F.lit(x) for x in RULE_CATEGORIES])
+    size = F.col("p_size")
+    m1 = F.element_at(names, (size % len(nation) + 1).cast("int"))
+    assistance = F.when(size % 3 == 0, F.lit("null")).when(size % 3 == 1, F.lit('""')).otherwise(F.lit('"bars"'))
+    reps = (size % 4).cast("string")
+    time = F.when(size % 2 == 0, F.lit("0.0")).otherwise(F.lit("12.5"))
+
+    def obj(name, code):
+        return F.concat(
+            F.lit('{"exercise_name": "'), name, F.lit('", "code": "'), code,
+            F.lit('", "code_base": "'), F.element_at(cats, (size % len(RULE_CATEGORIES) + 1).cast("int")),
+            F.lit('", "muscles": ["'), m1, F.lit('", "Nope"], "assistance": '), assistance,
+            F.lit(', "repetitions": '), reps, F.lit(', "time": '), time, F.lit("}"),
+        )
+
+    o1 = obj(F.col("p_name"), F.col("p_brand"))
+    o2 = obj(F.col("p_type"), F.lit("T2"))
+    v = F.col("p_partkey") % 8
+    reply = (
+        F.when(v == 0, F.concat(F.lit("["), o1, F.lit("]")))
+        .when(v == 1, F.concat(F.lit("```json\n["), o1, F.lit("]\n```")))
+        .when(v == 2, F.concat(F.lit("```\n["), o1, F.lit(", "), o2, F.lit("]\n```")))
+        .when(v == 3, F.concat(F.lit("Result: ["), o1, F.lit("]")))
+        .when(v == 4, F.concat(F.lit("["), o1, F.lit("] trailing")))
+        .when(v == 5, F.concat(F.lit("["), o1, F.lit(', 5, "x"]')))
+        .when(v == 6, F.lit("[]"))
+        .otherwise(F.lit('{"a": 1}'))
+    )
+    return p.select("p_partkey", reply.alias("reply")), nation
+
+
+@register
+def extract_parse(spark, sf_dir):
+    """Reply parsing chain on its own: unfence, cut, strict parse, objects,
+    validation, vocabulary filter, fallback for failures, explode."""
+    from tablewash.functions.replies import fallback_records, parse_reply
+    from tablewash.sources.vocabulary import CATEGORIES
+
+    replies, nation = _part_replies(spark, sf_dir)
+    ok, recs = parse_reply(F.col("reply"), CATEGORIES, F.array(*[F.lit(x) for x in nation]))
+    parsed = replies.select("p_partkey", F.when(ok, recs).otherwise(fallback_records()).alias("records"))
+    rows = parsed.select("p_partkey", F.posexplode("records").alias("pos", "rec"))
+    return rows.select(
+        "p_partkey", "pos",
+        F.col("rec.exercise_name").alias("exercise_name"), F.col("rec.code").alias("code"),
+        F.col("rec.code_base").alias("code_base"), F.array_join("rec.muscles", ", ").alias("muscles"),
+        F.col("rec.assistance").alias("assistance"), F.col("rec.repetitions").alias("repetitions"),
+        F.col("rec.time").alias("time"),
+    )

@@ -234,4 +234,101 @@ FROM lineitem"""
     out["export_parquet_roundtrip"] = out["replace_zeros_named"]
     out["export_table_replace"] = out["replace_zeros_named"]
     out["export_documents"] = "SELECT doc_id, quality, toxic FROM labels"
+
+    out.update(_extraction_sql(WS))
+    return out
+
+
+def _extraction_sql(WS: str) -> dict[str, str]:
+    from tablewash.plans.extract import DEFAULT_TEMPLATE, RULE_CATEGORIES
+    from tablewash.sources.vocabulary import CATEGORIES
+
+    out: dict[str, str] = {}
+
+    def cat_case(expr: str, cats) -> str:
+        whens = []
+        for i, raw in enumerate(cats):
+            low = raw.strip().lower()
+            val = low.capitalize() if low in CATEGORIES else "unknown"
+            whens.append(f"WHEN {i} THEN '{val}'")
+        return f"CASE {expr} % {len(cats)} " + " ".join(whens) + " END"
+
+    notes = """
+n AS (SELECT role AS sheet, conv_id, turn, text,
+             CASE WHEN turn < 2 THEN NULL ELSE 'P' || CAST(conv_id AS VARCHAR) END AS pid,
+             CAST(conv_id AS VARCHAR) AS session FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY conv_id, turn) AS row_ordinal FROM n),
+pat AS (SELECT sheet, coalesce(min_by(pid, conv_id * 1000000 + turn) FILTER (WHERE pid IS NOT NULL), 'unknown')
+               AS patient_id FROM n GROUP BY sheet),
+notes AS (SELECT o.*, pat.patient_id, length(text) % 6 AS v FROM o JOIN pat USING (sheet)
+          WHERE lower(text) NOT IN ('', 'nan', 'none'))"""
+
+    out["extract_session_fallback"] = f"""
+WITH {notes}
+SELECT sheet, 'session_' || CAST(row_ordinal AS VARCHAR) AS session, row_ordinal FROM notes"""
+    out["extract_patient"] = f"WITH {notes}\nSELECT DISTINCT sheet, patient_id FROM notes"
+    out["extract_skip_empty"] = """
+WITH n AS (SELECT role AS sheet, conv_id, turn, CAST(conv_id AS VARCHAR) AS session,
+                  CASE WHEN turn = 1 THEN '' WHEN turn = 3 THEN 'None' WHEN turn = 5 THEN 'NaN'
+                       WHEN turn = 2 THEN '  ' ELSE text END AS text FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY conv_id, turn) AS row_ordinal FROM n)
+SELECT sheet, session, row_ordinal, text FROM o WHERE lower(text) NOT IN ('', 'nan', 'none')"""
+    out["extract_score_retry"] = f"""
+WITH {notes}
+SELECT CASE v WHEN 4 THEN 2 WHEN 5 THEN 3 ELSE 1 END AS attempt, count(*) AS notes FROM notes GROUP BY 1"""
+
+    cats_list = "[" + ", ".join(f"'{x}'" for x in CATEGORIES) + "]"
+    pre, rest = DEFAULT_TEMPLATE.split("{text}", 1)
+    a, rest = rest.split("{reference}", 1)
+    b, rest = rest.split("{vocabulary}", 1)
+    c = rest.format(categories=", ".join(x.capitalize() for x in CATEGORIES))
+    out["extract_prompt"] = f"""
+WITH {notes},
+ref AS (SELECT string_agg(l, chr(10) ORDER BY l) AS t
+        FROM (SELECT '- ' || r_name || ' | code: ' || upper(substr(r_name, 1, 3)) || ' | code_base: '
+                     || {cats_list}[r_regionkey % {len(CATEGORIES)} + 1] AS l FROM region)),
+voc AS (SELECT string_agg('- ' || n_name, chr(10) ORDER BY n_name) AS t FROM (SELECT DISTINCT n_name FROM nation))
+SELECT sheet, session, row_ordinal,
+       {_sql_str(pre)} || text || {_sql_str(a)} || ref.t || {_sql_str(b)} || voc.t || {_sql_str(c)} AS prompt
+FROM notes, ref, voc"""
+
+    out["extract_flagship"] = f"""
+WITH {notes},
+voc AS (SELECT list(n_name ORDER BY n_name) AS a, count(*) AS k FROM (SELECT DISTINCT n_name FROM nation)),
+lines AS (SELECT notes.*, unnest(string_split(text, chr(10))) AS line,
+                 unnest(range(len(string_split(text, chr(10))))) AS j
+          FROM notes WHERE v <> 5),
+recs AS (SELECT *, row_number() OVER (PARTITION BY sheet, conv_id, turn ORDER BY j) - 1 AS pos
+         FROM lines WHERE trim(line, {WS}) <> ''),
+r AS (
+  SELECT patient_id, session, sheet, row_ordinal, pos, trim(line, {WS}) AS exercise_name,
+         substr(trim(line, {WS}), 1, 3) AS code,
+         {cat_case("length(line)", RULE_CATEGORIES)} AS code_base,
+         voc.a[length(line) % voc.k + 1] || ', ' || voc.a[(length(line) * 7 + 3) % voc.k + 1] AS muscles,
+         CASE WHEN j % 3 = 2 THEN 'parallel bars' END AS assistance,
+         CASE WHEN length(line) % 5 = 0 THEN NULL ELSE CAST(length(line) % 5 AS VARCHAR) END AS repetitions,
+         CASE WHEN j = 0 THEN NULL ELSE CAST(j * 15 AS VARCHAR) END AS time
+  FROM recs, voc
+  UNION ALL
+  SELECT patient_id, session, sheet, row_ordinal, 0, 'unknown', 'UNK', 'unknown', '', NULL, NULL, NULL
+  FROM notes WHERE v = 5)
+SELECT patient_id, session,
+       CAST(row_number() OVER (PARTITION BY sheet, session ORDER BY row_ordinal, pos) AS INTEGER) AS exercise_num,
+       exercise_name, code, code_base, muscles, assistance, repetitions, time
+FROM r"""
+
+    out["extract_parse"] = f"""
+WITH nat AS (SELECT list(n_name ORDER BY n_nationkey) AS names, count(*) AS k FROM nation),
+base AS (
+  SELECT p_partkey, p_name, p_brand, p_type, p_partkey % 8 AS v,
+         {cat_case("p_size", RULE_CATEGORIES)} AS cb,
+         nat.names[p_size % nat.k + 1] AS m1,
+         CASE WHEN p_size % 3 = 2 THEN 'bars' END AS asst,
+         CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(p_size % 4 AS VARCHAR) END AS reps,
+         CASE WHEN p_size % 2 = 0 THEN NULL ELSE '12.5' END AS tm
+  FROM part, nat)
+SELECT p_partkey, 0 AS pos, p_name AS exercise_name, p_brand AS code, cb AS code_base, m1 AS muscles,
+       asst AS assistance, reps AS repetitions, tm AS time FROM base WHERE v IN (0, 1, 2, 3, 5)
+UNION ALL SELECT p_partkey, 1, p_type, 'T2', cb, m1, asst, reps, tm FROM base WHERE v = 2
+UNION ALL SELECT p_partkey, 0, 'unknown', 'UNK', 'unknown', '', NULL, NULL, NULL FROM base WHERE v IN (4, 7)"""
     return out
