@@ -1,0 +1,3 @@
+from tablewash.plans.recipe import Recipe, Step, clean_table
+
+__all__ = ["Recipe", "Step", "clean_table"]

@@ -95,21 +95,23 @@ def read_json(
 def read_json_with_rejects(
     spark: SparkSession, path: str | Sequence[str], multiline: bool = False, corrupt_col: str = "_corrupt_record"
 ) -> tuple[DataFrame, DataFrame]:
-    """(good rows flattened, rejected raw records). PERMISSIVE parse; the
-    schema is inferred once and the corrupt-record column added to it so a
-    rejected line never stops the job."""
+    """(good rows flattened, rejected raw records ``record``).
+
+    The schema is inferred once from the parseable records; then the raw text
+    (one record per line, or one per file with ``multiline=True``) is parsed
+    with ``from_json`` in PERMISSIVE mode, so a broken record never stops the
+    job and both outputs come from one lazy scan."""
     paths = [path] if isinstance(path, str) else list(path)
     inferred = spark.read.option("multiLine", multiline).option("mode", "DROPMALFORMED").json(paths).schema
     schema = StructType(inferred.fields + [StructType().add(corrupt_col, "string").fields[0]])
-    raw = (
-        spark.read.option("multiLine", multiline)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", corrupt_col)
-        .schema(schema)
-        .json(paths)
+    text = spark.read.option("wholetext", multiline).text(paths).where(F.trim(F.col("value")) != "")
+    parsed = text.select(
+        F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt_col}).alias("r"),
+        F.col("value"),
     )
-    good = flatten(raw.where(F.col(corrupt_col).isNull()).drop(corrupt_col))
-    bad = raw.where(F.col(corrupt_col).isNotNull()).select(F.col(corrupt_col).alias("record"))
+    bad_flag = F.col(f"r.{corrupt_col}").isNotNull() | F.col("r").isNull()
+    good = flatten(normalize_nan(parsed.where(~bad_flag).select("r.*").drop(corrupt_col)))
+    bad = parsed.where(bad_flag).select(F.col("value").alias("record"))
     return good, bad
 
 
