@@ -4,13 +4,14 @@
       └─ skip empty text
       └─ prompt  (note + vocabulary lists, built with column functions)
       └─ scorer  (caller's batch function via mapInPandas: one Python call per
-                  Arrow batch; replies checkpointed so a model call is never
-                  repeated when a stage is recomputed)
-      └─ strict parse / validate / vocabulary filter (JVM column functions)
+                  Arrow batch)
+      └─ strict parse / validate / vocabulary filter (JVM column functions);
+         each round is checkpointed, so a model call is never repeated when a
+         stage is recomputed or an executor is lost
       └─ retry only the unparseable replies, at most ``max_attempts`` rounds,
          then the fallback record
-      └─ posexplode records, number them per (sheet, session) in row order
-         with the skew-safe distributed numbering
+      └─ number per (sheet, session) in row order: a skew-safe running sum
+         of record counts over notes, then posexplode (no shuffle)
       └─ fixed ten-column output
 
 The scorer is ``scorer(prompts: list[str], attempt: int) -> list[str]``.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewash.functions.names import c
 from tablewash.functions.replies import RECORD_TYPE, fallback_records, parse_reply
-from tablewash.operators.sequence import number_rows
+from tablewash.operators.sequence import number_rows, running_total
 from tablewash.sources.vocabulary import CATEGORIES
 
 log = logging.getLogger(__name__)
@@ -201,10 +202,12 @@ def score_and_parse(
     done: list[DataFrame] = []
     for attempt in range(1, max_attempts + 1):
         replies = pending.mapInPandas(_score_batches(scorer, attempt, key_cols), schema)
-        if checkpoint:
-            replies = replies.checkpoint()  # model calls are never recomputed
         ok, recs = parse_reply(F.col("reply"), categories, vocab)
         parsed = replies.select(*key_cols, "attempt", ok.alias("_ok"), recs.alias("records"))
+        if checkpoint:
+            # the scorer and the parse run once per round; both branches below
+            # and every later stage read this copy
+            parsed = parsed.checkpoint()
         done.append(parsed.where("_ok").drop("_ok"))
         failed = parsed.where(~F.col("_ok")).select(*key_cols)
         if attempt < max_attempts:
@@ -218,9 +221,15 @@ def score_and_parse(
 
 def explode_and_number(scored: DataFrame) -> DataFrame:
     """One row per record (no records -> no row), numbered 1.. per
-    (sheet, session) in row order then record order."""
-    rows = scored.select("*", F.posexplode("records").alias("pos", "rec")).drop("records")
-    return number_rows(rows, ["sheet", "session"], ["row_ordinal", "pos"], out="exercise_num")
+    (sheet, session) in row order then record order.
+
+    The numbering runs on notes, not records: a skew-safe running sum of the
+    record counts per session gives each note its first number, and the
+    explode that follows needs no shuffle."""
+    per_note = scored.withColumn("_n", F.size("records").cast("bigint"))
+    run = running_total(per_note, ["sheet", "session"], ["row_ordinal"], weight="_n", out="_cum")
+    rows = run.select("*", F.posexplode("records").alias("pos", "rec")).drop("records")
+    return rows.withColumn("exercise_num", F.col("_cum") - F.col("_n") + F.col("pos") + 1).drop("_cum", "_n")
 
 
 def output_table(numbered: DataFrame) -> DataFrame:
