@@ -145,3 +145,35 @@ def clean_table(
     if case and case.lower() != "none":
         r = r.record("standardize_case", {"case": case.lower()})
     return r.apply(df, key_columns=key_columns), r
+
+
+def run_recipe(
+    spark,
+    recipe: Recipe,
+    source: str | None = None,
+    sink: dict | None = None,
+    report_path: str | None = None,
+    report_format: str = "text",
+    key_columns=(),
+    generated_at: str | None = None,
+):
+    """Replay end to end: read the source (``source`` or the recipe's recorded
+    ``read_file`` path), apply the recipe, write to ``sink`` ({"kind": ...,
+    **options}) and optionally save the before/after report. The recipe is
+    never changed. Returns (cleaned DataFrame, report DataFrame)."""
+    from tablewash.plans.report import build_report, save_report
+    from tablewash.sinks.writers import write_to
+    from tablewash.sources.readers import read_any
+
+    path = source or (recipe.get("read_file") or {}).get("file_path")
+    if not path:
+        raise ValueError("no source given and the recipe records no read_file step")
+    before = read_any(spark, path)
+    after = recipe.apply(before, key_columns=key_columns)
+    if sink:
+        opts = dict(sink)
+        write_to(after, opts.pop("kind"), **opts)
+    report = build_report(before, after, recipe, generated_at or datetime.now().isoformat())
+    if report_path:
+        save_report(report, report_path, report_format)
+    return after, report

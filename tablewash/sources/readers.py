@@ -27,6 +27,7 @@ def read_csv(
     na_tokens: Sequence[str] = NA_TOKENS,
     multiline: bool = True,
     sep: str = ",",
+    ordinal_col: str | None = None,
 ) -> DataFrame:
     """Read CSV as text, NULL for missing tokens, then infer types.
 
@@ -51,6 +52,10 @@ def read_csv(
         .option("emptyValue", "")
         .csv(paths)
     )
+    if ordinal_col:
+        from tablewash.operators.sequence import with_file_ordinal
+
+        df = with_file_ordinal(df, out=ordinal_col)
     df = na_to_null(df, tokens=na_tokens)
     return infer_types(df) if infer else df
 

@@ -124,6 +124,7 @@ def read_workbook(
     merge: bool = True,
     infer: bool = True,
     sheet_col: str | None = "sheet",
+    row_col: str | None = None,
 ) -> DataFrame | dict[str, DataFrame]:
     """Sheets as tables; the first row of each sheet is its header.
 
@@ -151,9 +152,11 @@ def read_workbook(
         cols = [F.try_element_at(F.col("cells"), F.lit(i + 1)).alias(n) for i, n in enumerate(names)]
         if merge and sheet_col:
             cols.append(F.col("sheet").alias(sheet_col))
+        if row_col:
+            cols += [F.col("path").alias(f"{row_col}_path"), F.col("row_num").alias(row_col)]
         df = na_to_null(body.select(*cols))
         if infer:
-            df = infer_types(df, [n for n in names])
+            df = infer_types(df, list(names))
         frames[members[0][1] if not merge else "|".join(names)] = df
     if not merge:
         return frames

@@ -127,3 +127,25 @@ def test_prompt_contents(spark):
     assert '"Knee locking"' in p and "- Knee locking | code: KnL | code_base: Push" in p
     assert "- Biceps brachii" in p and "Push, Pull, Transfer, Balance, Stretch, Cardio, Functional, unknown" in p
     assert extract.vocabulary_lines(None, None)[0] == extract.NO_REFERENCE
+
+
+def test_analyze_csv_and_workbook(spark, tmp_path):
+    from tablewash.sources.workbook import workbook_bytes
+
+    recs = {"squat": [dict(REC, exercise_name="Squat")], "push-up": [dict(REC, exercise_name="Push-up")],
+            "lunge": [dict(REC, exercise_name="Lunge"), dict(REC, exercise_name="Lunge 2")]}
+    csv = tmp_path / "notes.csv"
+    csv.write_text("patient_id,session,exercise\nP1,S1,squat\nP1,S1,push-up\nP2,S2,lunge\n", encoding="utf-8")
+    out = extract.analyze_file(spark, str(csv), _scorer(recs))
+    rows = sorted((r["patient_id"], r["session"], r["exercise_num"], r["exercise_name"]) for r in out.collect())
+    assert rows == [("P1", "S1", 1, "Squat"), ("P1", "S1", 2, "Push-up"), ("P1", "S2", 1, "Lunge"), ("P1", "S2", 2, "Lunge 2")]
+    book = tmp_path / "p.xlsx"
+    book.write_bytes(workbook_bytes({"Anna": [["Seance", "Exercice"], ["S1", "lunge"], ["S1", "squat"]],
+                                     "Ben": [["Seance", "Exercice"], ["S1", "push-up"]]}))
+    out = extract.analyze_file(spark, str(book), _scorer(recs))
+    rows = sorted((r["patient_id"], r["session"], r["exercise_num"], r["exercise_name"]) for r in out.collect())
+    assert rows == [("Anna", "S1", 1, "Lunge"), ("Anna", "S1", 2, "Lunge 2"), ("Anna", "S1", 3, "Squat"), ("Ben", "S1", 1, "Push-up")]
+    with pytest.raises(ValueError):
+        bad = tmp_path / "x.json"
+        bad.write_text("[]")
+        extract.analyze_file(spark, str(bad), _scorer(recs))

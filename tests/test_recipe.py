@@ -53,3 +53,18 @@ def test_replay_recomputes_statistics(spark):
 def test_unknown_step_raises(sample_df):
     with pytest.raises(ValueError):
         Recipe().record("explode", {}).apply(sample_df, fixed_order=False)
+
+
+def test_run_recipe_end_to_end(spark, tmp_path):
+    from tablewash.plans.recipe import run_recipe
+
+    src = tmp_path / "in.csv"
+    src.write_text("name,age,city\n  Alice ,30,Paris\nBob,0,Lyon\nBob,0,Lyon\n", encoding="utf-8")
+    r = (Recipe().record("read_file", {"file_path": str(src)}).record("replace_zeros", {"columns": ["age"]})
+         .record("remove_duplicates", {"remove": "yes"}).record("trim_whitespace", {}))
+    out, report = run_recipe(spark, r, sink={"kind": "parquet", "path": str(tmp_path / "out")},
+                             report_path=str(tmp_path / "rep"), report_format="json", generated_at="t")
+    assert sorted((x["name"], x["age"]) for x in spark.read.parquet(str(tmp_path / "out")).collect()) == [("Alice", 30), ("Bob", None)]
+    assert json.loads((tmp_path / "rep.json").read_text())["summary"]["rows_removed"] == 1
+    with pytest.raises(ValueError):
+        run_recipe(spark, Recipe())
