@@ -175,6 +175,7 @@ def _score_batches(scorer: Scorer, attempt: int, key_cols: Sequence[str]):
             if len(replies) != len(prompts):
                 raise ValueError("scorer must return one reply per prompt")
             out = b[list(key_cols)].copy()
+            out["prompt"] = prompts
             out["reply"] = ["" if r is None else str(r) for r in replies]
             out["attempt"] = attempt
             yield out
@@ -197,21 +198,25 @@ def score_and_parse(
     vocab = F.array(*[F.lit(v) for v in vocabulary]) if vocabulary else F.array().cast("array<string>")
     key_cols = list(key_cols)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.select(*key_cols).schema.fields)
-    schema += ", reply string, attempt int"
+    schema += ", prompt string, reply string, attempt int"
     pending = prompts.select(*key_cols, "prompt")
     done: list[DataFrame] = []
+    failed = pending
     for attempt in range(1, max_attempts + 1):
         replies = pending.mapInPandas(_score_batches(scorer, attempt, key_cols), schema)
         ok, recs = parse_reply(F.col("reply"), categories, vocab)
-        parsed = replies.select(*key_cols, "attempt", ok.alias("_ok"), recs.alias("records"))
+        parsed = replies.select(
+            *key_cols, "attempt", ok.alias("_ok"), recs.alias("records"),
+            # the prompt is kept only where it will be sent again
+            F.when(~ok, F.col("prompt")).alias("prompt"),
+        )
         if checkpoint:
             # the scorer and the parse run once per round; both branches below
             # and every later stage read this copy
             parsed = parsed.checkpoint()
-        done.append(parsed.where("_ok").drop("_ok"))
-        failed = parsed.where(~F.col("_ok")).select(*key_cols)
-        if attempt < max_attempts:
-            pending = failed.join(prompts.select(*key_cols, "prompt"), key_cols)
+        done.append(parsed.where("_ok").drop("_ok", "prompt"))
+        failed = parsed.where(~F.col("_ok")).select(*key_cols, "prompt")
+        pending = failed
     done.append(failed.select(*key_cols, F.lit(max_attempts).alias("attempt"), fallback_records().alias("records")))
     out = done[0]
     for d in done[1:]:
