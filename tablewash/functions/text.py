@@ -14,7 +14,6 @@ WHITESPACE: str = "".join(chr(cp) for cp in range(sys.maxunicode + 1) if chr(cp)
 # "Cased" characters as Python's title() sees them: Uppercase, Lowercase and
 # Titlecase properties (Java regex names).
 _CASED = r"\p{IsUppercase}\p{IsLowercase}\p{IsTitlecase}"
-_RUNS = f"([{_CASED}]+|[^{_CASED}]+)"
 
 
 def unicode_trim(col: Column) -> Column:
@@ -23,7 +22,11 @@ def unicode_trim(col: Column) -> Column:
 
 def title_case(col: Column) -> Column:
     """Python ``str.title()``: the first letter of every run of cased letters is
-    upper-cased, the rest lower-cased. Split into runs of cased / other
-    characters, ``initcap`` each run (a run has no spaces), join back."""
-    runs = F.regexp_extract_all(col, F.lit(_RUNS), 1)
-    return F.when(col.isNull(), col).otherwise(F.array_join(F.transform(runs, lambda x: F.initcap(x)), ""))
+    upper-cased, the rest lower-cased.
+
+    ``initcap`` starts a word only after a space, so every run of non-cased
+    characters is wrapped in two marker spaces, ``initcap`` runs once over the
+    whole text, and the markers are removed again. Each run is maximal, so the
+    removal pattern matches exactly the inserted pair."""
+    wrapped = F.regexp_replace(col, F.lit(f"([^{_CASED}]+)"), F.lit(" $1 "))
+    return F.regexp_replace(F.initcap(wrapped), F.lit(f" ([^{_CASED}]+) "), F.lit("$1"))

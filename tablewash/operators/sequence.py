@@ -18,6 +18,7 @@ executors) and every later branch reads that copy.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -26,11 +27,27 @@ from tablewash.functions.names import c
 from tablewash.session import ensure_checkpoint_dir
 
 
+MAX_PARTITIONS = 1_000_000
+
+
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """Range partitions sized from the optimizer's size estimate and the
+    advisory partition size (AQE's target), so the count grows with the data;
+    the shuffle-partition setting is the fallback when no estimate exists."""
     if num_partitions:
         return int(num_partitions)
     spark = df.sparkSession
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    fallback = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        jvm = spark.sparkContext._jvm  # noqa: SLF001
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())  # noqa: SLF001
+        target = int(jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+            spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")))
+    except Exception:  # noqa: BLE001 - no estimate available
+        return fallback
+    if size <= 0 or size >= 2**62 or target <= 0:
+        return fallback
+    return max(1, min(math.ceil(size / target), MAX_PARTITIONS))
 
 
 def running_total(

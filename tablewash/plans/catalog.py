@@ -491,6 +491,7 @@ def json_rejects(spark, sf_dir):
 def scan_xlsx(spark, sf_dir):
     """part written as one workbook per partition (sheet 'part'), then the
     workbook job reads them all back: same header -> one merged table."""
+    from tablewash.session import ship_package
     from tablewash.sources.workbook import read_workbook, workbook_bytes
 
     base = _scratch(spark, "workbooks")
@@ -511,6 +512,7 @@ def scan_xlsx(spark, sf_dir):
                 f.write(workbook_bytes({"part": rows}))
         yield pd.DataFrame({"n": [len(rows) - 1]})
 
+    ship_package(spark)
     table(spark, sf_dir, "part").select(*cols).mapInPandas(write_parts, "n long").collect()
     return read_workbook(spark, base)
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablewash.functions.names import c
 from tablewash.functions.replies import RECORD_TYPE, fallback_records, parse_reply
 from tablewash.operators.sequence import number_rows, running_total
+from tablewash.session import ship_package
 from tablewash.sources.vocabulary import CATEGORIES
 
 log = logging.getLogger(__name__)
@@ -191,19 +192,26 @@ def score_and_parse(
     categories: Sequence[str] = CATEGORIES,
     max_attempts: int = 3,
     checkpoint: bool = True,
+    num_tasks: int | None = None,
 ) -> DataFrame:
     """(key_cols..., attempt, records). Replies that do not parse are sent
-    again, up to ``max_attempts`` rounds; the rest get the fallback record."""
+    again, up to ``max_attempts`` rounds; the rest get the fallback record.
+
+    Each round spreads its prompts round-robin over ``num_tasks`` tasks
+    (default: the cluster's default parallelism): the number of concurrent
+    scorer calls, independent of how the notes happened to be partitioned."""
     spark = prompts.sparkSession
     vocab = F.array(*[F.lit(v) for v in vocabulary]) if vocabulary else F.array().cast("array<string>")
     key_cols = list(key_cols)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.select(*key_cols).schema.fields)
     schema += ", prompt string, reply string, attempt int"
+    ship_package(spark)
+    tasks = int(num_tasks or spark.sparkContext.defaultParallelism)
     pending = prompts.select(*key_cols, "prompt")
     done: list[DataFrame] = []
     failed = pending
     for attempt in range(1, max_attempts + 1):
-        replies = pending.mapInPandas(_score_batches(scorer, attempt, key_cols), schema)
+        replies = pending.repartition(tasks).mapInPandas(_score_batches(scorer, attempt, key_cols), schema)
         ok, recs = parse_reply(F.col("reply"), categories, vocab)
         parsed = replies.select(
             *key_cols, "attempt", ok.alias("_ok"), recs.alias("records"),
@@ -262,13 +270,14 @@ def extract_table(
     roles: Roles | None = None,
     template: str = DEFAULT_TEMPLATE,
     max_attempts: int = 3,
+    num_tasks: int | None = None,
 ) -> DataFrame:
     """The whole extraction: notes -> ten-column table."""
     notes = prepare_notes(df, order_cols, roles, sheet_col)
     ref_text, vocab_text, vocab = vocabulary_lines(reference, muscles)
     prompts = with_prompt(notes, ref_text, vocab_text, template)
     keys = ["sheet", "patient_id", "session", "row_ordinal"]
-    scored = score_and_parse(prompts, scorer, keys, vocab, max_attempts=max_attempts)
+    scored = score_and_parse(prompts, scorer, keys, vocab, max_attempts=max_attempts, num_tasks=num_tasks)
     return output_table(explode_and_number(scored))
 
 

@@ -62,3 +62,28 @@ def local_os_path(path: str) -> str:
 def make_local_dirs(path: str) -> None:
     if is_local_path(path):
         os.makedirs(local_os_path(path), exist_ok=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tablewash`` importable in Python workers (for mapInPandas).
+
+    Zips the package once per application and registers it with
+    ``SparkContext.addPyFile``; Spark copies it to every executor and puts it on
+    the workers' path. A no-op when already shipped in this application."""
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="tablewash-pkg-")) / "tablewash.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in pkg.rglob("*.py"):
+            z.write(f, str(Path("tablewash") / f.relative_to(pkg)))
+    sc.addPyFile(str(out))
+    _SHIPPED.add(app)

@@ -140,6 +140,10 @@ def write_documents(
     if writer is None:
         raise ValueError("give a path or a writer")
 
+    from tablewash.session import ship_package
+
+    ship_package(df.sparkSession)
+
     def run(batches):
         import pandas as pd
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablewash.functions.names import c
 from tablewash.operators.casts import infer_types, na_to_null
 from tablewash.operators.union import union_by_name
+from tablewash.session import ship_package
 
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 REL_NS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -94,6 +95,7 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def workbook_rows(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Raw rows of every sheet of every workbook under ``path``."""
+    ship_package(spark)
     paths = [path] if isinstance(path, str) else list(path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
     return files.mapInPandas(_parse_batches, ROW_SCHEMA)

@@ -55,3 +55,19 @@ def test_skewed_numbering(spark):
     a = number_rows(df, ["g"], ["id"], out="n", num_partitions=12)
     b = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("id")))
     assert a.exceptAll(b).count() == 0
+
+
+def test_sort_splits_hot_value(spark):
+    from tablewash.operators.sort import sort_by
+
+    df = _skewed(spark, 60000)
+    out = sort_by(df, "x", ascending=False)
+    # small data: keep AQE from merging the range partitions so the split shows
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 60000 and max(sizes) < 60000 / 3 * 0.8
+    xs = [r["x"] for r in out.select("x").collect()]
+    assert xs == sorted(xs, reverse=True)
