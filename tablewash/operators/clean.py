@@ -113,9 +113,17 @@ def fill_mean(df: DataFrame, key_columns: Iterable[str] = ()) -> DataFrame:
     return _fill_from_row(_nan_to_null(df, cols), stats.means(df, cols), cols, cast="double")
 
 
-def fill_median(df: DataFrame, key_columns: Iterable[str] = ()) -> DataFrame:
-    """Numeric columns: missing -> exact median (mean of the middle two), as double."""
+def fill_median(df: DataFrame, key_columns: Iterable[str] = (), approx: bool = False, accuracy: int = 10000) -> DataFrame:
+    """Numeric columns: missing -> exact median (mean of the middle two), as
+    double. ``approx=True`` uses ``percentile_approx`` instead: one pass and a
+    bounded sketch per column, a value of the column within 1/accuracy rank."""
     cols = numeric_columns(df, key_columns)
+    if approx:
+        if not cols:
+            return df
+        clean_df = _nan_to_null(df, cols)
+        row = clean_df.agg(*[F.percentile_approx(c(n).cast("double"), 0.5, accuracy).alias(n) for n in cols])
+        return _fill_from_row(clean_df, row, cols, cast="double")
     return _fill_from_row(_nan_to_null(df, cols), stats.medians(df, cols), cols, cast="double")
 
 

@@ -161,3 +161,9 @@ def test_infer_types(spark):
     out = casts.infer_types(casts.na_to_null(df))
     assert dict(out.dtypes) == {"a": "bigint", "b": "double", "c": "boolean", "d": "string", "e": "string"}
     assert col(out, "c") == [True, False]
+
+
+def test_fill_median_approx(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(1, 100)] + [(None,)], "x double")
+    out = clean.fill_median(df, approx=True)
+    assert [r[0] for r in out.collect()][-1] == 50.0
