@@ -18,6 +18,19 @@ from tablewash.plans.recipe import Recipe
 
 SUMMARY_FIELDS = ("rows_removed", "columns_removed", "missing_values_before", "missing_values_after", "duplicates_removed")
 
+# Text report layout (fixed values): headings and line formats, in report order.
+TEXT_TITLE = "=== CLEANING REPORT ==="
+TEXT_GENERATED = "Generated at: "
+TEXT_SUMMARY = "--- SUMMARY ---"
+TEXT_ROWS = "Rows:             %d → %d (-%d)"
+TEXT_COLUMNS = "Columns:          %d → %d (-%d)"
+TEXT_MISSING = "Missing values:   %d → %d"
+TEXT_DUPLICATES = "Duplicates removed: %d"
+TEXT_STEPS = "--- PIPELINE STEPS ---"
+TEXT_STEP = "  %d. %s — %s"
+TEXT_TYPES = "--- COLUMN TYPES AFTER CLEANING ---"
+TEXT_TYPE = "  %s: %s"
+
 
 def _snapshot_struct(df: DataFrame, prefix: str) -> DataFrame:
     fields = df.schema.fields
@@ -94,26 +107,20 @@ def report_text_lines(report: DataFrame) -> DataFrame:
     s = "summary"
     lines = F.concat(
         F.array(
-            F.lit("=== CLEANING REPORT ==="),
-            F.concat(F.lit("Generated at: "), F.col("generated_at")),
+            F.lit(TEXT_TITLE),
+            F.concat(F.lit(TEXT_GENERATED), F.col("generated_at")),
             F.lit(""),
-            F.lit("--- SUMMARY ---"),
-            F.format_string("Rows:             %d → %d (-%d)", F.col("before.rows"), F.col("after.rows"), F.col(f"{s}.rows_removed")),
-            F.format_string("Columns:          %d → %d (-%d)", F.col("before.columns"), F.col("after.columns"), F.col(f"{s}.columns_removed")),
-            F.format_string("Missing values:   %d → %d", F.col(f"{s}.missing_values_before"), F.col(f"{s}.missing_values_after")),
-            F.format_string("Duplicates removed: %d", F.col(f"{s}.duplicates_removed")),
+            F.lit(TEXT_SUMMARY),
+            F.format_string(TEXT_ROWS, F.col("before.rows"), F.col("after.rows"), F.col(f"{s}.rows_removed")),
+            F.format_string(TEXT_COLUMNS, F.col("before.columns"), F.col("after.columns"), F.col(f"{s}.columns_removed")),
+            F.format_string(TEXT_MISSING, F.col(f"{s}.missing_values_before"), F.col(f"{s}.missing_values_after")),
+            F.format_string(TEXT_DUPLICATES, F.col(f"{s}.duplicates_removed")),
             F.lit(""),
-            F.lit("--- PIPELINE STEPS ---"),
-        ),
-        F.transform(
-            F.col("pipeline_steps"),
-            lambda st, i: F.format_string("  %d. %s — %s", i + 1, st["step"], st["params"]),
-        ),
-        F.array(F.lit(""), F.lit("--- COLUMN TYPES AFTER CLEANING ---")),
-        F.transform(
-            F.map_entries(F.col("after.column_types")),
-            lambda e: F.format_string("  %s: %s", e["key"], e["value"]),
+            F.lit(TEXT_STEPS),
         ),
+        F.transform(F.col("pipeline_steps"), lambda st, i: F.format_string(TEXT_STEP, i + 1, st["step"], st["params"])),
+        F.array(F.lit(""), F.lit(TEXT_TYPES)),
+        F.transform(F.map_entries(F.col("after.column_types")), lambda e: F.format_string(TEXT_TYPE, e["key"], e["value"])),
     )
     return report.select(F.posexplode(lines).alias("line_no", "line"))
 
