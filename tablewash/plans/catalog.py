@@ -499,17 +499,22 @@ def scan_xlsx(spark, sf_dir):
 
     def write_parts(batches):
         import os
-        import uuid
 
         import pandas as pd
+        from pyspark import TaskContext
 
         rows = [cols]
         for b in batches:
             rows += b[cols].values.tolist()
         if len(rows) > 1:
+            # one file per partition, named by partition id and renamed into
+            # place: a retried task replaces its file instead of adding one
             os.makedirs(base, exist_ok=True)
-            with open(f"{base}/part-{uuid.uuid4().hex}.xlsx", "wb") as f:
+            final = f"{base}/part-{TaskContext.get().partitionId():05d}.xlsx"
+            tmp = f"{final}.{TaskContext.get().attemptNumber()}.tmp"
+            with open(tmp, "wb") as f:
                 f.write(workbook_bytes({"part": rows}))
+            os.replace(tmp, final)
         yield pd.DataFrame({"n": [len(rows) - 1]})
 
     ship_package(spark)

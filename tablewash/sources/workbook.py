@@ -93,11 +93,20 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["path", "sheet", "sheet_pos", "row_num", "cells"])
 
 
+# file suffixes read as workbooks (fixed values)
+WORKBOOK_SUFFIXES = (".xlsx", ".xlsm")
+
+
 def workbook_rows(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Raw rows of every sheet of every workbook under ``path``."""
+    """Raw rows of every sheet of every workbook (.xlsx / .xlsm) under ``path``."""
     ship_package(spark)
     paths = [path] if isinstance(path, str) else list(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    is_book = None
+    for suffix in WORKBOOK_SUFFIXES:
+        cond = F.lower(F.col("path")).endswith(suffix)
+        is_book = cond if is_book is None else (is_book | cond)
+    files = listing.where(is_book).select("path", "content")
     return files.mapInPandas(_parse_batches, ROW_SCHEMA)
 
 
