@@ -1,9 +1,11 @@
 """File census: type by extension, type by leading bytes, agreement, encoding.
 
-One ``binaryFile`` scan lists every file under a path (recursively). The type
-by extension needs only the path, so Spark prunes the content column for it;
-the content checks read each file once inside the scan. Files that do not
-exist are reported as rows with status ``missing`` rather than raised.
+A ``binaryFile`` scan lists every file under a path (recursively). The type by
+extension needs only the path. The content checks read files up to 64 MB whole
+inside the JVM scan (the length filter is applied before content is read);
+larger files are opened by a Python task that reads only their first 64 KB, so
+no file is ever loaded whole into one row. Files that do not exist are
+reported as rows with status ``missing`` rather than raised.
 """
 
 from __future__ import annotations
@@ -45,22 +47,75 @@ def type_by_content(content: Column) -> Column:
     )
 
 
-def encoding_of(content: Column) -> Column:
+def encoding_of(content: Column, sampled: Column | None = None) -> Column:
     """Byte-order mark if present, else UTF-8 when the bytes are valid UTF-8,
-    else ISO-8859-1 (every byte sequence is valid Latin-1)."""
+    else ISO-8859-1 (every byte sequence is valid Latin-1). A sampled head
+    may end inside a multi-byte character: up to 3 trailing bytes are ignored."""
     head = F.hex(F.substring(content, 1, 4))
-    expr = F.when(F.is_valid_utf8(content.cast("string")), F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1"))
+    valid = F.is_valid_utf8(content.cast("string"))
+    if sampled is not None:
+        n = F.length(content)
+        cut = [F.is_valid_utf8(F.substr(content, F.lit(1), n - k).cast("string")) for k in (1, 2, 3)]
+        valid = valid | (sampled & (cut[0] | cut[1] | cut[2]))
+    expr = F.when(valid, F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1"))
     for bom, name in reversed(BOMS):
         expr = F.when(head.startswith(bom), F.lit(name)).otherwise(expr)
     return expr
 
 
-def file_census(spark: SparkSession, path: str | Sequence[str], with_content: bool = True) -> DataFrame:
-    """(path, file_name, extension, ext_type, content_type, encoding, size, status).
+HEAD_BYTES = 64 * 1024
+MAX_CONTENT_BYTES = 64 * 1024 * 1024
 
-    status: ok | unsupported | mismatch | missing."""
+
+def _arrow_uri(path: str) -> str:
+    if path.startswith("file:/") and not path.startswith("file:///"):
+        return "file://" + path[len("file:"):]
+    for scheme in ("s3a://", "s3n://"):
+        if path.startswith(scheme):
+            return "s3://" + path[len(scheme):]
+    return path
+
+
+def _read_heads(batches):
+    """First HEAD_BYTES of each file (large files only): one open per file."""
+    import pandas as pd
+    from pyarrow import fs
+
+    for b in batches:
+        heads = []
+        for path in b["path"]:
+            filesystem, inner = fs.FileSystem.from_uri(_arrow_uri(path))
+            with filesystem.open_input_stream(inner) as f:
+                heads.append(f.read(HEAD_BYTES))
+        yield pd.DataFrame({"path": b["path"], "content": heads})
+
+
+def file_heads(spark: SparkSession, paths: Sequence[str], max_content_bytes: int = MAX_CONTENT_BYTES) -> DataFrame:
+    """(path, length, content): whole content for files up to
+    ``max_content_bytes`` (JVM ``binaryFile``; the length filter is applied
+    before any content is read), the first 64 KB for larger ones."""
+    from tablewash.session import ship_package
+
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    small = reader.load(list(paths)).where(F.col("length") <= max_content_bytes).select("path", "length", "content")
+    big = reader.load(list(paths)).where(F.col("length") > max_content_bytes).select("path", "length")
+    ship_package(spark)
+    big_heads = big.select("path").mapInPandas(_read_heads, "path string, content binary").join(big, "path")
+    return small.unionByName(big_heads.select("path", "length", "content"))
+
+
+def file_census(
+    spark: SparkSession, path: str | Sequence[str], with_content: bool = True, max_content_bytes: int = MAX_CONTENT_BYTES
+) -> DataFrame:
+    """(path, file_name, extension, ext_type, size, content_type, encoding, status).
+
+    status: ok | unsupported | mismatch | missing. The encoding of a file
+    larger than ``max_content_bytes`` is judged on its first 64 KB."""
     paths = [path] if isinstance(path, str) else list(path)
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    if with_content:
+        listing = file_heads(spark, paths, max_content_bytes)
+    else:
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length")
     cols = [
         F.col("path"),
         F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"),
@@ -69,7 +124,9 @@ def file_census(spark: SparkSession, path: str | Sequence[str], with_content: bo
         F.col("length").alias("size"),
     ]
     if with_content:
-        cols += [type_by_content(F.col("content")).alias("content_type"), encoding_of(F.col("content")).alias("encoding")]
+        sampled = F.col("length") > max_content_bytes
+        cols += [type_by_content(F.col("content")).alias("content_type"),
+                 encoding_of(F.col("content"), sampled).alias("encoding")]
     else:
         cols += [F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("string").alias("encoding")]
     df = listing.select(*cols)
@@ -81,7 +138,7 @@ def file_census(spark: SparkSession, path: str | Sequence[str], with_content: bo
     return df.withColumn("status", status)
 
 
-def census_of_files(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+def census_of_files(spark: SparkSession, files: Sequence[str], max_content_bytes: int = MAX_CONTENT_BYTES) -> DataFrame:
     """Census for an explicit list of files; absent files appear with status
     'missing' (one row each) instead of failing the job."""
     from pyspark.sql.types import StringType, StructField, StructType, LongType
@@ -102,7 +159,7 @@ def census_of_files(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     miss = spark.createDataFrame([(f, f.rsplit("/", 1)[-1], None, None, None, None, None, "missing") for f in absent], schema)
     if not present:
         return miss
-    found = file_census(spark, present)
+    found = file_census(spark, present, max_content_bytes=max_content_bytes)
     return found.unionByName(miss.withColumns({
         "extension": extension_of(F.col("path")), "ext_type": type_by_extension(F.col("path")),
     }))

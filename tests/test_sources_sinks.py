@@ -40,6 +40,15 @@ def test_census(spark, files):
     assert rows["latin.csv"]["encoding"] == "ISO-8859-1" and rows["data.csv"]["encoding"] == "UTF-8"
 
 
+def test_census_large_files_read_by_head(spark, files):
+    """Above the size limit only the first 64 KB are read; the result is the same."""
+    full = {r["file_name"]: tuple(r[k] for k in ("content_type", "encoding", "status"))
+            for r in census.file_census(spark, str(files)).collect()}
+    heads = {r["file_name"]: tuple(r[k] for k in ("content_type", "encoding", "status"))
+             for r in census.file_census(spark, str(files), max_content_bytes=10).collect()}
+    assert heads == full
+
+
 def test_census_missing_and_strict(spark, files):
     out = {r["file_name"]: r for r in census.census_of_files(spark, [str(files / "data.csv"), str(files / "nope.csv")]).collect()}
     assert out["nope.csv"]["status"] == "missing"
