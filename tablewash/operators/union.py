@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import (
-    BooleanType, ByteType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType,
+    ByteType, DataType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType,
     NullType, ShortType, StringType, TimestampNTZType, TimestampType,
 )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Categories an extracted record may carry (fixed values).
 CATEGORIES = ("push", "pull", "transfer", "balance", "stretch", "cardio", "functional")
