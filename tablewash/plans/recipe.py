@@ -95,6 +95,8 @@ class Recipe:
 
 def apply_step(df: DataFrame, step: str, params: dict, key_columns=()) -> DataFrame:
     p = params or {}
+    if step == "read_file":  # the source, used by run_recipe; not a transformation
+        return df
     if step == "replace_zeros":
         return clean.replace_zeros(df, p.get("columns", "all"), key_columns=key_columns)
     if step == "handle_missing":

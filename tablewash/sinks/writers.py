@@ -128,18 +128,22 @@ def write_documents(
     path: str | None = None,
     writer: Callable[[Iterable], int] | None = None,
     drop_columns: Iterable[str] = (),
-) -> DataFrame | None:
-    """Always appends. With ``path``: JSON Lines files. With ``writer``: a
+) -> int:
+    """Always appends; returns the number of documents written.
+
+    With ``path``: JSON Lines files; the count is observed during the write
+    job itself (``Observation``), so no second pass. With ``writer``: a
     function called once per partition with an iterator of JSON strings (e.g.
-    a document-store bulk insert), returning the number of documents written.
-    Returns nothing for files; for a writer, a one-row count of documents."""
+    a document-store bulk insert) returning how many it wrote."""
+    from pyspark.sql import Observation
+
     docs = to_documents(df, drop_columns)
     if path is not None:
-        docs.write.mode("append").text(path)
-        return None
+        obs = Observation("documents")
+        docs.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").text(path)
+        return int(obs.get["n"])
     if writer is None:
         raise ValueError("give a path or a writer")
-
     from tablewash.session import ship_package
 
     ship_package(df.sparkSession)
@@ -152,7 +156,8 @@ def write_documents(
             n += int(writer(iter(b["document"].tolist())) or 0)
         yield pd.DataFrame({"written": [n]})
 
-    return docs.mapInPandas(run, "written long").agg(F.sum("written").alias("written"))
+    total = docs.mapInPandas(run, "written long").agg(F.sum("written").alias("written")).first()["written"]
+    return int(total or 0)
 
 
 def write_to(df: DataFrame, kind: str, **opts):
