@@ -166,11 +166,14 @@ def with_prompt(notes: DataFrame, reference_text: str, vocabulary_text: str, tem
 
 # ------------------------------------------------------------------ scoring
 
-def _score_batches(scorer: Scorer, attempt: int, key_cols: Sequence[str]):
+def _score_batches(scorer: Scorer, attempt: int, key_cols: Sequence[str], batch_size: int | None = None):
     def run(batches):
         for b in batches:
             prompts = b["prompt"].tolist()
-            replies = list(scorer(prompts, attempt)) if prompts else []
+            step = batch_size or max(len(prompts), 1)
+            replies = []
+            for i in range(0, len(prompts), step):  # requests of at most batch_size prompts
+                replies.extend(scorer(prompts[i:i + step], attempt))
             if len(replies) != len(prompts):
                 raise ValueError("scorer must return one reply per prompt")
             out = b[list(key_cols)].copy()
@@ -191,13 +194,16 @@ def score_and_parse(
     max_attempts: int = 3,
     checkpoint: bool = True,
     num_tasks: int | None = None,
+    batch_size: int | None = None,
 ) -> DataFrame:
     """(key_cols..., attempt, records). Replies that do not parse are sent
     again, up to ``max_attempts`` rounds; the rest get the fallback record.
 
     Each round spreads its prompts round-robin over ``num_tasks`` tasks
     (default: the cluster's default parallelism): the number of concurrent
-    scorer calls, independent of how the notes happened to be partitioned."""
+    scorer calls, independent of how the notes happened to be partitioned.
+    ``batch_size`` caps the prompts per scorer call (default: one Arrow batch,
+    ``spark.sql.execution.arrow.maxRecordsPerBatch``)."""
     spark = prompts.sparkSession
     vocab = F.array(*[F.lit(v) for v in vocabulary]) if vocabulary else F.array().cast("array<string>")
     key_cols = list(key_cols)
@@ -209,7 +215,7 @@ def score_and_parse(
     done: list[DataFrame] = []
     failed = pending
     for attempt in range(1, max_attempts + 1):
-        replies = pending.repartition(tasks).mapInPandas(_score_batches(scorer, attempt, key_cols), schema)
+        replies = pending.repartition(tasks).mapInPandas(_score_batches(scorer, attempt, key_cols, batch_size), schema)
         ok, recs = parse_reply(F.col("reply"), categories, vocab)
         parsed = replies.select(
             *key_cols, "attempt", ok.alias("_ok"), recs.alias("records"),
@@ -269,13 +275,15 @@ def extract_table(
     template: str = DEFAULT_TEMPLATE,
     max_attempts: int = 3,
     num_tasks: int | None = None,
+    batch_size: int | None = None,
 ) -> DataFrame:
     """The whole extraction: notes -> ten-column table."""
     notes = prepare_notes(df, order_cols, roles, sheet_col)
     ref_text, vocab_text, vocab = vocabulary_lines(reference, muscles)
     prompts = with_prompt(notes, ref_text, vocab_text, template)
     keys = ["sheet", "patient_id", "session", "row_ordinal"]
-    scored = score_and_parse(prompts, scorer, keys, vocab, max_attempts=max_attempts, num_tasks=num_tasks)
+    scored = score_and_parse(prompts, scorer, keys, vocab, max_attempts=max_attempts, num_tasks=num_tasks,
+                             batch_size=batch_size)
     return output_table(explode_and_number(scored))
 
 

@@ -149,3 +149,14 @@ def test_analyze_csv_and_workbook(spark, tmp_path):
         bad = tmp_path / "x.json"
         bad.write_text("[]")
         extract.analyze_file(spark, str(bad), _scorer(recs))
+
+
+def test_scorer_batch_size(spark):
+    df = spark.createDataFrame([(i, "S", f"note {i}") for i in range(7)], "i int, session string, exercise string")
+
+    def small_batches(prompts, attempt):
+        assert len(prompts) <= 2
+        return [json.dumps([dict(REC, exercise_name=extract.note_of(p))]) for p in prompts]
+
+    out = extract.extract_table(df, small_batches, ["i"], batch_size=2, num_tasks=1)
+    assert sorted(r["exercise_num"] for r in out.collect()) == list(range(1, 8))

@@ -26,3 +26,17 @@ def test_whole_table_steps_refused(spark, tmp_path):
         apply_recipe_stream(stream, Recipe().record("handle_missing", {"method": "fill", "fill_value": "mean"}))
     with pytest.raises(NotStreamable):
         apply_recipe_stream(stream, Recipe().record("remove_duplicates", {"remove": "yes"}))
+
+
+def test_stream_dedup_within_watermark(spark, tmp_path):
+    src = tmp_path / "src3"
+    spark.createDataFrame(
+        [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:00:05")],
+        "s string, ts string",
+    ).selectExpr("s", "CAST(ts AS TIMESTAMP) AS ts").write.parquet(str(src))
+    stream = spark.readStream.schema("s string, ts timestamp").parquet(str(src))
+    out = apply_recipe_stream(stream, Recipe().record("remove_duplicates", {"remove": "yes"}), event_time="ts",
+                              watermark="1 minute")
+    q = start_parquet_sink(out, str(tmp_path / "sink3"), checkpoint_location=str(tmp_path / "ckpt3"))
+    q.awaitTermination(120)
+    assert sorted(r["s"] for r in spark.read.parquet(str(tmp_path / "sink3")).collect()) == ["a", "b"]
