@@ -153,12 +153,77 @@ c AS (SELECT lower(trim(l_returnflag, {WS})) AS l_returnflag, lower(trim(l_lines
              l_quantity, l_discount, l_tax FROM d),
 b AS (SELECT count(*) AS r,
              count(*) FILTER (WHERE l_discount IS NULL) + count(*) FILTER (WHERE l_tax IS NULL) AS m,
+             count(*) FILTER (WHERE l_returnflag IS NULL) AS m_rf, count(*) FILTER (WHERE l_linestatus IS NULL) AS m_ls,
+             count(*) FILTER (WHERE l_quantity IS NULL) AS m_q, count(*) FILTER (WHERE l_discount IS NULL) AS m_d,
+             count(*) FILTER (WHERE l_tax IS NULL) AS m_t,
              count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM z)) AS dup FROM z),
 a AS (SELECT count(*) AS r,
              count(*) FILTER (WHERE l_returnflag IS NULL) + count(*) FILTER (WHERE l_linestatus IS NULL)
              + count(*) FILTER (WHERE l_quantity IS NULL) + count(*) FILTER (WHERE l_discount IS NULL)
              + count(*) FILTER (WHERE l_tax IS NULL) AS m,
-             count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM c)) AS dup FROM c)"""
+             count(*) FILTER (WHERE l_returnflag IS NULL) AS m_rf, count(*) FILTER (WHERE l_linestatus IS NULL) AS m_ls,
+             count(*) FILTER (WHERE l_quantity IS NULL) AS m_q, count(*) FILTER (WHERE l_discount IS NULL) AS m_d,
+             count(*) FILTER (WHERE l_tax IS NULL) AS m_t,
+             count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM c)) AS dup FROM c),
+ty AS (SELECT column_name, {DUCK_TO_SPARK_TYPE} AS t,
+              CASE column_name WHEN 'l_returnflag' THEN 1 WHEN 'l_linestatus' THEN 2 WHEN 'l_quantity' THEN 3
+                               WHEN 'l_discount' THEN 4 ELSE 5 END AS pos
+       FROM information_schema.columns
+       WHERE table_name = 'lineitem'
+         AND column_name IN ('l_returnflag', 'l_linestatus', 'l_quantity', 'l_discount', 'l_tax'))"""
+    import html as _html
+    import json as _json
+
+    recipe_steps = [
+        ("replace_zeros", {"columns": ["l_discount", "l_tax"]}),
+        ("handle_missing", {"method": "fill", "fill_value": "mean"}),
+        ("remove_duplicates", {"remove": "yes"}),
+        ("trim_whitespace", {}),
+        ("standardize_case", {"case": "lowercase"}),
+    ]
+    steps_json = _json.dumps(
+        [{"step": n, "params": _json.dumps(p, ensure_ascii=False, sort_keys=True)} for n, p in recipe_steps],
+        ensure_ascii=False, separators=(",", ":"),
+    )
+    steps_html = "".join(
+        f"<li>{_html.escape(n)} — {_html.escape(_json.dumps(p, ensure_ascii=False, sort_keys=True))}</li>"
+        for n, p in recipe_steps
+    )
+
+    def snap(x: str) -> str:
+        return (
+            f"""'{{"rows":' || {x}.r || ',"columns":5,"missing_values":{{"l_returnflag":' || {x}.m_rf
+            || ',"l_linestatus":' || {x}.m_ls || ',"l_quantity":' || {x}.m_q || ',"l_discount":' || {x}.m_d
+            || ',"l_tax":' || {x}.m_t || '}},"duplicates":' || {x}.dup || ',"column_types":{{' || types_json.j || '}}}}'"""
+        )
+
+    out["report_json"] = cleaned + f""",
+types_json AS (SELECT string_agg('"' || column_name || '":"' || t || '"', ',' ORDER BY pos) AS j FROM ty)
+SELECT '{{"generated_at":"2026-01-01T00:00:00","pipeline_steps":' || {_sql_str(steps_json)} || ',"before":'
+       || {snap("b")} || ',"after":' || {snap("a")}
+       || ',"summary":{{"rows_removed":' || (b.r - a.r) || ',"columns_removed":0,"missing_values_before":' || b.m
+       || ',"missing_values_after":' || a.m || ',"duplicates_removed":' || (b.dup - a.dup) || '}}}}' AS json
+FROM a, b, types_json"""
+
+    def row(*cells: str) -> str:
+        return "'<tr>' || " + " || ".join(f"'<td>' || {x} || '</td>'" for x in cells) + " || '</tr>'"
+
+    out["report_html"] = cleaned + f""",
+types_html AS (SELECT string_agg('<tr><td>' || column_name || '</td><td>' || t || '</td></tr>', '' ORDER BY pos) AS h FROM ty)
+SELECT '<!DOCTYPE html>' || chr(10) || '<html lang="en">' || chr(10)
+       || '<head><meta charset="UTF-8"><title>Cleaning report</title></head>' || chr(10) || '<body>' || chr(10)
+       || '<h1>Cleaning report</h1>' || chr(10) || '<p>Generated at: 2026-01-01T00:00:00</p>' || chr(10)
+       || '<h2>Summary</h2>' || chr(10) || '<table>' || chr(10)
+       || '<tr><th>Metric</th><th>Before</th><th>After</th><th>Change</th></tr>'
+       || {row("'Rows'", "b.r", "a.r", "'-' || (b.r - a.r)")}
+       || {row("'Columns'", "5", "5", "'-0'")}
+       || {row("'Missing values'", "b.m", "a.m", "'-' || (b.m - a.m)")}
+       || {row("'Duplicates removed'", "''", "''", "(b.dup - a.dup)")}
+       || chr(10) || '</table>' || chr(10) || '<h2>Pipeline steps</h2>' || chr(10) || '<ol>' || {_sql_str(steps_html)}
+       || '</ol>' || chr(10) || '<h2>Column types after cleaning</h2>' || chr(10) || '<table>' || chr(10)
+       || '<tr><th>Column</th><th>Type</th></tr>' || types_html.h || chr(10) || '</table>' || chr(10) || '</body>'
+       || chr(10) || '</html>' AS html
+FROM a, b, types_html"""
     out["report_before_after"] = cleaned + """
 SELECT b.r AS rows_before, a.r AS rows_after, 5 AS columns_before, 5 AS columns_after,
        b.dup AS duplicates_before, a.dup AS duplicates_after, b.r - a.r AS rows_removed, 0 AS columns_removed,
