@@ -375,9 +375,10 @@ def file_encoding(spark, sf_dir):
     for enc, sub in (("UTF-8", "utf8"), ("ISO-8859-1", "latin1")):
         docs.write.option("header", True).option("encoding", enc).csv(f"{base}/{sub}")
     census = file_census(spark, base).where(F.col("extension") == ".csv")
+    # one row per distinct outcome: independent of how many part files Spark wrote
     return census.select(
         F.regexp_extract("path", r"/(utf8|latin1)/", 1).alias("folder"), "ext_type", "content_type", "encoding", "status"
-    )
+    ).distinct()
 
 
 def _rename_suffix(spark, folder, old, new):
@@ -407,10 +408,11 @@ def file_census(spark, sf_dir):
     _rename_suffix(spark, f"{base}/fake", ".txt", ".csv")
     out = census(spark, base)
     data_files = ~F.col("file_name").startswith("_") & ~F.col("file_name").startswith(".")
+    # one row per distinct outcome: independent of how many part files Spark wrote
     return out.where(data_files).select(
         F.regexp_extract("path", r"/(csv|json|parquet|fake)/", 1).alias("folder"),
-        "extension", "ext_type", "content_type", "encoding", "status", "size",
-    )
+        "extension", "ext_type", "content_type", "encoding", "status",
+    ).distinct()
 
 
 @register

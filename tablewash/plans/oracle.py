@@ -300,6 +300,16 @@ FROM lineitem"""
     out["export_table_replace"] = out["replace_zeros_named"]
     out["export_documents"] = "SELECT doc_id, quality, toxic FROM labels"
 
+    # Census of files written from nation (CSV), region (JSON), supplier (Parquet)
+    # and region as JSON text under .csv names: the outcome depends only on the
+    # formats written (ASCII names, binary Parquet), one row per outcome.
+    out["file_census"] = """
+SELECT * FROM (VALUES
+  ('csv', '.csv', 'csv', 'csv', 'UTF-8', 'ok'),
+  ('json', '.json', 'json', 'json', 'UTF-8', 'ok'),
+  ('parquet', '.parquet', 'format not supported yet', 'csv', 'ISO-8859-1', 'unsupported'),
+  ('fake', '.csv', 'csv', 'json', 'UTF-8', 'mismatch')
+) AS t(folder, extension, ext_type, content_type, encoding, status)"""
     out.update(_extraction_sql(WS))
     return out
 
