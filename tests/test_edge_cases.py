@@ -71,3 +71,16 @@ def test_sort_splits_hot_value(spark):
     assert sum(sizes) == 60000 and max(sizes) < 60000 / 3 * 0.8
     xs = [r["x"] for r in out.select("x").collect()]
     assert xs == sorted(xs, reverse=True)
+
+
+def test_keep_known_small_and_large_paths(spark):
+    from tablewash.operators.membership import keep_known
+
+    df = spark.createDataFrame(
+        [(1, ["a", "x", "b", "a"]), (2, []), (3, None), (4, ["y"])], "k int, l array<string>"
+    )
+    vocab = spark.createDataFrame([("a",), ("b",), ("c",)], "w string")
+    want = {1: ["a", "b", "a"], 2: [], 3: [], 4: []}
+    small = {r["k"]: r["l"] for r in keep_known(df, "l", vocab, ["k"]).collect()}
+    large = {r["k"]: r["l"] for r in keep_known(df, "l", vocab, ["k"], literal_limit=1).collect()}
+    assert small == want and large == want
