@@ -134,24 +134,25 @@ def prepare_notes(
 
 def vocabulary_lines(reference: DataFrame | None, muscles: DataFrame | None, max_entries: int = 10000) -> tuple[str, str, list[str]]:
     """Prompt blocks for the two vocabularies plus the body-part list. Both
-    tables are small reference lists; their size is checked before they are
-    gathered (a prompt cannot hold more anyway)."""
+    are small reference lists: each is gathered by one job that stops after
+    ``max_entries + 1`` rows, and a longer list raises (a prompt cannot hold
+    it anyway)."""
     ref_text = NO_REFERENCE
     names: list[str] = []
     if reference is not None:
-        n = reference.count()
-        if n > max_entries:
-            raise ValueError(f"reference list too large for a prompt: {n} > {max_entries}")
         rows = reference.select(
             F.format_string("- %s | code: %s | code_base: %s", "name", "code", "code_base").alias("l")
-        ).orderBy("l").collect()
+        ).orderBy("l").limit(max_entries + 1).collect()
+        if len(rows) > max_entries:
+            raise ValueError(f"reference list too large for a prompt: more than {max_entries}")
         if rows:
             ref_text = "\n".join(r["l"] for r in rows)
     if muscles is not None:
-        n = muscles.count()
-        if n > max_entries:
-            raise ValueError(f"vocabulary too large for a prompt: {n} > {max_entries}")
-        names = [r[0] for r in muscles.select(F.col(muscles.columns[0]).cast("string")).distinct().orderBy(1).collect()]
+        first = muscles.columns[0]
+        rows = muscles.select(F.col(first).cast("string").alias("m")).distinct().orderBy("m").limit(max_entries + 1).collect()
+        if len(rows) > max_entries:
+            raise ValueError(f"vocabulary too large for a prompt: more than {max_entries}")
+        names = [r["m"] for r in rows]
     return ref_text, "\n".join(f"- {m}" for m in names), names
 
 
@@ -229,6 +230,9 @@ def score_and_parse(
         done.append(parsed.where("_ok").drop("_ok", "prompt"))
         failed = parsed.where(~F.col("_ok")).select(*key_cols, "prompt")
         pending = failed
+        if checkpoint and failed.isEmpty():  # reads the checkpoint; stops at the first failure
+            break
+    # whatever still fails after the last round gets the fallback record
     done.append(failed.select(*key_cols, F.lit(max_attempts).alias("attempt"), fallback_records().alias("records")))
     out = done[0]
     for d in done[1:]:
