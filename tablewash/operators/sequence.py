@@ -5,9 +5,10 @@ one task, so a group holding a third of the table becomes one straggler task.
 Here the rows are range-partitioned on (g, o) instead: a hot group is spread
 over many partitions, each partition numbers its own slice, and the slices are
 stitched with per-partition offsets. Only a group that is the first group of a
-partition can continue from earlier partitions, so the offset table has at most
-two rows per partition: it is bounded by the partition count, never by the data,
-and is the only thing broadcast.
+partition can continue from earlier partitions, so the offsets are one row per
+partition; the partition table (first / last group per partition) is the other
+broadcast. Both are bounded by the partition count (at most MAX_PARTITIONS),
+never by the data.
 
 The range partitioner samples its bounds with a seed tied to the RDD id, so
 two executions of the same ``repartitionByRange`` may cut different ranges.
@@ -27,7 +28,8 @@ from tablewash.functions.names import c
 from tablewash.session import ensure_checkpoint_dir
 
 
-MAX_PARTITIONS = 1_000_000
+# caps the per-partition tables below (N rows, broadcast) at 100,000 rows
+MAX_PARTITIONS = 100_000
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -94,10 +96,13 @@ def running_total(
         .select("_tw_pid", "_tw_g", "_tw_tot")
     )
     before = Window.partitionBy("_tw_g").orderBy("_tw_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = edge.select(
-        F.col("_tw_pid").alias("_tw_pid2"),
-        F.col("_tw_g").alias("_tw_g2"),
-        F.coalesce(F.sum("_tw_tot").over(before), F.lit(0)).alias("_tw_off"),
+    # only the first group of a partition can continue from earlier partitions:
+    # one offset row per partition, joined on the partition id
+    offsets = (
+        edge.select("_tw_pid", "_tw_g", F.coalesce(F.sum("_tw_tot").over(before), F.lit(0)).alias("_tw_off"))
+        .join(F.broadcast(bounds), "_tw_pid")
+        .where(F.col("_tw_g").eqNullSafe(F.col("_tw_first")))
+        .select(F.col("_tw_pid").alias("_tw_pid2"), F.col("_tw_g").alias("_tw_g2"), "_tw_off")
     )
     joined = local.join(
         F.broadcast(offsets),
