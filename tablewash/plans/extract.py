@@ -24,7 +24,7 @@ import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewash.functions.names import c
 from tablewash.functions.replies import fallback_records, parse_reply
@@ -156,18 +156,25 @@ def vocabulary_lines(reference: DataFrame | None, muscles: DataFrame | None, max
     return ref_text, "\n".join(f"- {m}" for m in names), names
 
 
-def with_prompt(notes: DataFrame, reference_text: str, vocabulary_text: str, template: str = DEFAULT_TEMPLATE,
-                categories: Sequence[str] = CATEGORIES) -> DataFrame:
-    """Add ``prompt``: the template with the note and the vocabulary blocks."""
+def prompt_column(reference_text: str, vocabulary_text: str, template: str = DEFAULT_TEMPLATE,
+                  categories: Sequence[str] = CATEGORIES) -> Column:
+    """The prompt as an expression over the ``text`` column."""
     cats = ", ".join(x.capitalize() for x in categories)
     pre, post = template.split("{text}", 1)
     post = post.format(reference=reference_text, vocabulary=vocabulary_text, categories=cats)
-    return notes.withColumn("prompt", F.concat(F.lit(pre), F.col("text"), F.lit(post)))
+    return F.concat(F.lit(pre), F.col("text"), F.lit(post))
+
+
+def with_prompt(notes: DataFrame, reference_text: str, vocabulary_text: str, template: str = DEFAULT_TEMPLATE,
+                categories: Sequence[str] = CATEGORIES) -> DataFrame:
+    """Add ``prompt``: the template with the note and the vocabulary blocks."""
+    return notes.withColumn("prompt", prompt_column(reference_text, vocabulary_text, template, categories))
 
 
 # ------------------------------------------------------------------ scoring
 
-def _score_batches(scorer: Scorer, attempt: int, key_cols: Sequence[str], batch_size: int | None = None):
+def _score_batches(scorer: Scorer, attempt: int, key_cols: Sequence[str], batch_size: int | None = None,
+                   carry: str = "prompt"):
     def run(batches):
         for b in batches:
             prompts = b["prompt"].tolist()
@@ -178,7 +185,7 @@ def _score_batches(scorer: Scorer, attempt: int, key_cols: Sequence[str], batch_
             if len(replies) != len(prompts):
                 raise ValueError("scorer must return one reply per prompt")
             out = b[list(key_cols)].copy()
-            out["prompt"] = prompts
+            out[carry] = b[carry]
             out["reply"] = ["" if r is None else str(r) for r in replies]
             out["attempt"] = attempt
             yield out
@@ -196,6 +203,7 @@ def score_and_parse(
     checkpoint: bool = True,
     num_tasks: int | None = None,
     batch_size: int | None = None,
+    prompt: Column | None = None,
 ) -> DataFrame:
     """(key_cols..., attempt, records). Replies that do not parse are sent
     again, up to ``max_attempts`` rounds; the rest get the fallback record.
@@ -204,31 +212,40 @@ def score_and_parse(
     (default: the cluster's default parallelism): the number of concurrent
     scorer calls, independent of how the notes happened to be partitioned.
     ``batch_size`` caps the prompts per scorer call (default: one Arrow batch,
-    ``spark.sql.execution.arrow.maxRecordsPerBatch``)."""
+    ``spark.sql.execution.arrow.maxRecordsPerBatch``).
+
+    ``prompts`` either holds a ``prompt`` column, or a ``text`` column and
+    ``prompt`` is an expression over it: then the prompt (note plus the shared
+    vocabulary block) is built after the repartition, so only the notes are
+    shuffled, not one copy of the vocabulary per note."""
     spark = prompts.sparkSession
     vocab = F.array(*[F.lit(v) for v in vocabulary]) if vocabulary else F.array().cast("array<string>")
     key_cols = list(key_cols)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.select(*key_cols).schema.fields)
-    schema += ", prompt string, reply string, attempt int"
+    carry = "prompt" if prompt is None else "text"
+    schema += f", {carry} string, reply string, attempt int"
     ship_package(spark)
     tasks = int(num_tasks or spark.sparkContext.defaultParallelism)
-    pending = prompts.select(*key_cols, "prompt")
+    pending = prompts.select(*key_cols, carry)
     done: list[DataFrame] = []
     failed = pending
     for attempt in range(1, max_attempts + 1):
-        replies = pending.repartition(tasks).mapInPandas(_score_batches(scorer, attempt, key_cols, batch_size), schema)
+        batch_in = pending.repartition(tasks)
+        if prompt is not None:
+            batch_in = batch_in.withColumn("prompt", prompt)
+        replies = batch_in.mapInPandas(_score_batches(scorer, attempt, key_cols, batch_size, carry), schema)
         ok, recs = parse_reply(F.col("reply"), categories, vocab)
         parsed = replies.select(
             *key_cols, "attempt", ok.alias("_ok"), recs.alias("records"),
-            # the prompt is kept only where it will be sent again
-            F.when(~ok, F.col("prompt")).alias("prompt"),
+            # the prompt (or its text) is kept only where it will be sent again
+            F.when(~ok, F.col(carry)).alias(carry),
         )
         if checkpoint:
             # the scorer and the parse run once per round; both branches below
             # and every later stage read this copy
             parsed = parsed.checkpoint()
-        done.append(parsed.where("_ok").drop("_ok", "prompt"))
-        failed = parsed.where(~F.col("_ok")).select(*key_cols, "prompt")
+        done.append(parsed.where("_ok").drop("_ok", carry))
+        failed = parsed.where(~F.col("_ok")).select(*key_cols, carry)
         pending = failed
         if checkpoint and failed.isEmpty():  # reads the checkpoint; stops at the first failure
             break
@@ -284,10 +301,9 @@ def extract_table(
     """The whole extraction: notes -> ten-column table."""
     notes = prepare_notes(df, order_cols, roles, sheet_col)
     ref_text, vocab_text, vocab = vocabulary_lines(reference, muscles)
-    prompts = with_prompt(notes, ref_text, vocab_text, template)
     keys = ["sheet", "patient_id", "session", "row_ordinal"]
-    scored = score_and_parse(prompts, scorer, keys, vocab, max_attempts=max_attempts, num_tasks=num_tasks,
-                             batch_size=batch_size)
+    scored = score_and_parse(notes, scorer, keys, vocab, max_attempts=max_attempts, num_tasks=num_tasks,
+                             batch_size=batch_size, prompt=prompt_column(ref_text, vocab_text, template))
     return output_table(explode_and_number(scored))
 
 
