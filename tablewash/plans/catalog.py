@@ -743,3 +743,98 @@ def extract_parse(spark, sf_dir):
         F.col("rec.assistance").alias("assistance"), F.col("rec.repetitions").alias("repetitions"),
         F.col("rec.time").alias("time"),
     )
+
+
+def _parsed_part_replies(spark, sf_dir):
+    """(p_partkey, ok, records): the parse chain over the replies built from part."""
+    from tablewash.functions.replies import parse_reply
+    from tablewash.sources.vocabulary import CATEGORIES
+
+    replies, nation = _part_replies(spark, sf_dir)
+    ok, recs = parse_reply(F.col("reply"), CATEGORIES, F.array(*[F.lit(x) for x in nation]))
+    return replies.select("p_partkey", ok.alias("ok"), recs.alias("records"))
+
+
+@register
+def extract_parse_strict(spark, sf_dir):
+    """F-10: strict parse outcome per reply (trailing text and non-arrays fail)."""
+    return _parsed_part_replies(spark, sf_dir).select("p_partkey", F.col("ok").alias("parsed_ok"))
+
+
+def _parsed_records(spark, sf_dir):
+    parsed = _parsed_part_replies(spark, sf_dir).where("ok")
+    return parsed.select("p_partkey", F.posexplode("records").alias("pos", "rec"))
+
+
+@register
+def extract_validate(spark, sf_dir):
+    """F-12, F-13: category validated; empty-like values -> missing."""
+    return _parsed_records(spark, sf_dir).select(
+        "p_partkey", "pos", F.col("rec.code_base").alias("code_base"), F.col("rec.assistance").alias("assistance"),
+        F.col("rec.repetitions").alias("repetitions"), F.col("rec.time").alias("time"),
+    )
+
+
+@register
+def extract_vocab_filter(spark, sf_dir):
+    """F-14: body-part lists reduced to the vocabulary (order and repeats kept)."""
+    return _parsed_records(spark, sf_dir).select(
+        "p_partkey", "pos", F.array_join("rec.muscles", ", ").alias("muscles"), F.size("rec.muscles").alias("n_muscles")
+    )
+
+
+@register
+def extract_fallback(spark, sf_dir):
+    """F-15: the fixed record for replies that never parse."""
+    from tablewash.functions.replies import fallback_records
+
+    failed = _parsed_part_replies(spark, sf_dir).where(~F.col("ok"))
+    rec = F.element_at(fallback_records(), 1)
+    return failed.select(
+        "p_partkey", rec["exercise_name"].alias("exercise_name"), rec["code"].alias("code"),
+        rec["code_base"].alias("code_base"), F.array_join(rec["muscles"], ", ").alias("muscles"),
+        rec["assistance"].alias("assistance"), rec["repetitions"].alias("repetitions"), rec["time"].alias("time"),
+    )
+
+
+@register
+def extract_explode(spark, sf_dir):
+    """F-16: one row per record; an empty array gives no row."""
+    from tablewash.functions.replies import fallback_records
+
+    parsed = _parsed_part_replies(spark, sf_dir)
+    recs = F.when(F.col("ok"), F.col("records")).otherwise(fallback_records())
+    rows = parsed.select("p_partkey", F.posexplode(recs).alias("pos", "rec"))
+    return rows.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n_records"), F.max("pos").alias("last_pos"))
+
+
+@register
+def extract_number(spark, sf_dir):
+    """F-17: records numbered 1.. per (sheet, session) in note order then record order."""
+    from tablewash.plans.extract import explode_and_number, prepare_notes, rule_scorer, score_and_parse
+    from tablewash.plans.extract import prompt_column, vocabulary_lines
+
+    reference, muscles = _vocabularies(spark, sf_dir)
+    notes = prepare_notes(_notes_input(spark, sf_dir), ["conv_id", "turn"], sheet_col="sheet")
+    ref_text, vocab_text, vocab = vocabulary_lines(reference, muscles)
+    scored = score_and_parse(notes, rule_scorer, ["sheet", "patient_id", "session", "row_ordinal"], vocab,
+                             prompt=prompt_column(ref_text, vocab_text))
+    numbered = explode_and_number(scored)
+    return numbered.select("sheet", "session", "row_ordinal", "pos", F.col("exercise_num").cast("bigint").alias("exercise_num"))
+
+
+@register
+def extract_roles(spark, sf_dir):
+    """F-1..F-3: the session, patient and text columns found by name, with how
+    many notes carry a value in each."""
+    from tablewash.plans.extract import detect_roles
+
+    df = _notes_input(spark, sf_dir)
+    roles = detect_roles(df.columns)
+    pairs = [("session", roles.session), ("patient", roles.patient), ("text", roles.text)]
+    return df.agg(
+        *[F.count(F.col(f"`{col}`")).alias(f"n_{role}") for role, col in pairs if col]
+    ).select(F.inline(F.array(*[
+        F.struct(F.lit(role).alias("role"), F.lit(col).alias("column_name"), F.col(f"n_{role}").alias("non_missing"))
+        for role, col in pairs if col
+    ])))

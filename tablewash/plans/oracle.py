@@ -406,4 +406,47 @@ SELECT p_partkey, 0 AS pos, p_name AS exercise_name, p_brand AS code, cb AS code
        asst AS assistance, reps AS repetitions, tm AS time FROM base WHERE v IN (0, 1, 2, 3, 5)
 UNION ALL SELECT p_partkey, 1, p_type, 'T2', cb, m1, asst, reps, tm FROM base WHERE v = 2
 UNION ALL SELECT p_partkey, 0, 'unknown', 'UNK', 'unknown', '', NULL, NULL, NULL FROM base WHERE v IN (4, 7)"""
+
+    part_base = f"""
+WITH nat AS (SELECT list(n_name ORDER BY n_nationkey) AS names, count(*) AS k FROM nation),
+base AS (
+  SELECT p_partkey, p_name, p_brand, p_type, p_partkey % 8 AS v,
+         {cat_case("p_size", RULE_CATEGORIES)} AS cb,
+         nat.names[p_size % nat.k + 1] AS m1,
+         CASE WHEN p_size % 3 = 2 THEN 'bars' END AS asst,
+         CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(p_size % 4 AS VARCHAR) END AS reps,
+         CASE WHEN p_size % 2 = 0 THEN NULL ELSE '12.5' END AS tm
+  FROM part, nat),
+recs AS (
+  SELECT p_partkey, 0 AS pos, cb, m1, asst, reps, tm FROM base WHERE v IN (0, 1, 2, 3, 5)
+  UNION ALL SELECT p_partkey, 1, cb, m1, asst, reps, tm FROM base WHERE v = 2)"""
+    out["extract_parse_strict"] = "SELECT p_partkey, (p_partkey % 8) IN (0, 1, 2, 3, 5, 6) AS parsed_ok FROM part"
+    out["extract_validate"] = part_base + """
+SELECT p_partkey, pos, cb AS code_base, asst AS assistance, reps AS repetitions, tm AS time FROM recs"""
+    out["extract_vocab_filter"] = part_base + """
+SELECT p_partkey, pos, m1 AS muscles, 1 AS n_muscles FROM recs"""
+    out["extract_fallback"] = """
+SELECT p_partkey, 'unknown' AS exercise_name, 'UNK' AS code, 'unknown' AS code_base, '' AS muscles,
+       CAST(NULL AS VARCHAR) AS assistance, CAST(NULL AS VARCHAR) AS repetitions, CAST(NULL AS VARCHAR) AS time
+FROM part WHERE p_partkey % 8 IN (4, 7)"""
+    out["extract_explode"] = """
+SELECT p_partkey, CASE WHEN p_partkey % 8 = 2 THEN 2 ELSE 1 END AS n_records,
+       CASE WHEN p_partkey % 8 = 2 THEN 1 ELSE 0 END AS last_pos
+FROM part WHERE p_partkey % 8 <> 6"""
+    out["extract_number"] = f"""
+WITH {notes},
+lines AS (SELECT notes.*, unnest(string_split(text, chr(10))) AS line,
+                 unnest(range(len(string_split(text, chr(10))))) AS j
+          FROM notes WHERE v <> 5),
+recs AS (SELECT sheet, session, row_ordinal, row_number() OVER (PARTITION BY sheet, conv_id, turn ORDER BY j) - 1 AS pos
+         FROM lines WHERE trim(line, {WS}) <> ''),
+r AS (SELECT sheet, session, row_ordinal, pos FROM recs
+      UNION ALL SELECT sheet, session, row_ordinal, 0 FROM notes WHERE v = 5)
+SELECT sheet, session, row_ordinal, pos,
+       row_number() OVER (PARTITION BY sheet, session ORDER BY row_ordinal, pos) AS exercise_num
+FROM r"""
+    out["extract_roles"] = """
+SELECT 'session' AS role, 'Seance' AS column_name, count(conv_id) AS non_missing FROM conversations
+UNION ALL SELECT 'patient', 'Patient_ID', count(*) FILTER (WHERE turn >= 2) FROM conversations
+UNION ALL SELECT 'text', 'Notes', count(text) FROM conversations"""
     return out
