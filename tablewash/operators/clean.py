@@ -1,11 +1,14 @@
-"""Cleaning steps. Each is ``(df, **params) -> DataFrame`` and stays a lazy plan
-unless its result shape depends on the data (``drop_cols_any``).
+"""Cleaning steps. Each is ``(df, **params) -> DataFrame``.
+
+Most steps only add expressions to the plan. Three run a job when called:
+``drop_cols_any`` (the schema depends on the data), ``fill_literal`` when a
+column might have to widen to text (one aggregate), and the exact
+``fill_median`` (its distributed running sum materializes a range cut).
 
 ``key_columns`` are left out of every step (the reference's promoted index)."""
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -17,7 +20,6 @@ from tablewash.functions.text import title_case, unicode_trim
 from tablewash.operators import stats
 from tablewash.operators.profile import group_expr, groupable, missing_profile
 
-log = logging.getLogger(__name__)
 
 
 def numeric_columns(df: DataFrame, key_columns: Iterable[str] = ()) -> list[str]:

@@ -20,7 +20,6 @@ The scorer is ``scorer(prompts: list[str], attempt: int) -> list[str]``.
 from __future__ import annotations
 
 import json
-import logging
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -32,7 +31,6 @@ from tablewash.operators.sequence import number_rows, running_total
 from tablewash.session import ship_package
 from tablewash.sources.vocabulary import CATEGORIES
 
-log = logging.getLogger(__name__)
 
 Scorer = Callable[[list, int], list]
 

@@ -7,14 +7,12 @@ human-sized export and should not be used on big tables.
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
 from tablewash.operators.sort import sort_by
 
-log = logging.getLogger(__name__)
 
 KINDS = ("csv", "parquet", "table", "jdbc", "documents")
 
