@@ -147,7 +147,7 @@ def vocabulary_lines(reference: DataFrame | None, muscles: DataFrame | None, max
             ref_text = "\n".join(r["l"] for r in rows)
     if muscles is not None:
         first = muscles.columns[0]
-        rows = muscles.select(F.col(first).cast("string").alias("m")).distinct().orderBy("m").limit(max_entries + 1).collect()
+        rows = muscles.select(c(first).cast("string").alias("m")).distinct().orderBy("m").limit(max_entries + 1).collect()
         if len(rows) > max_entries:
             raise ValueError(f"vocabulary too large for a prompt: more than {max_entries}")
         names = [r["m"] for r in rows]

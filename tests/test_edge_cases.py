@@ -84,3 +84,18 @@ def test_keep_known_small_and_large_paths(spark):
     small = {r["k"]: r["l"] for r in keep_known(df, "l", vocab, ["k"]).collect()}
     large = {r["k"]: r["l"] for r in keep_known(df, "l", vocab, ["k"], literal_limit=1).collect()}
     assert small == want and large == want
+
+
+def test_dotted_and_spaced_column_names(spark):
+    from tablewash.plans.report import build_report, summary_row
+
+    df = spark.createDataFrame(
+        [(" a ", 0.0, 1), ("b", 2.0, 0), ("b", 2.0, 0), (None, None, 3)], "`adresse.ville` string, `a b` double, `x.y.z` bigint"
+    )
+    out, recipe = clean_table(df, zeros="all", missing=("fill", "mode"), remove_duplicates=True, case="uppercase")
+    assert out.columns == ["adresse.ville", "a b", "x.y.z"]
+    assert sorted(tuple(r) for r in out.collect()) == [("A", 2.0, 1), ("B", 2.0, 1), ("B", 2.0, 3)]
+    snap = profile.snapshot(df).first()
+    assert snap["missing_values"]["adresse.ville"] == 1 and snap["duplicates"] == 1
+    assert summary_row(build_report(df, out, recipe, "t")).first()["rows_removed"] == 1
+    assert stats.medians(df, ["a b"]).first()["a b"] == 2.0
