@@ -43,7 +43,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="tablewash-ckpt-")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS / object store) for this cluster")
+        path = tempfile.mkdtemp(prefix="tablewash-ckpt-")  # local mode only: one machine
         spark.conf.set("spark.checkpoint.dir", path)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
@@ -76,8 +78,9 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``tablewash`` importable in Python workers (for mapInPandas).
 
     Zips the package once per application and registers it with
-    ``SparkContext.addPyFile``; Spark copies it to every executor and puts it on
-    the workers' path. A no-op when already shipped in this application."""
+    ``SparkContext.addPyFile`` (what ``spark-submit --py-files`` does): the zip
+    is read only by the driver, and Spark copies it to every executor and puts
+    it on the workers' path. A no-op when already shipped in this application."""
     import zipfile
     from pathlib import Path
 
