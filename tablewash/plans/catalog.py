@@ -500,23 +500,26 @@ def scan_xlsx(spark, sf_dir):
     cols = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 
     def write_parts(batches):
-        import os
-
         import pandas as pd
+        from pyarrow import fs
         from pyspark import TaskContext
 
+        from tablewash.sources.census import arrow_uri
+
         rows = [cols]
         for b in batches:
             rows += b[cols].values.tolist()
         if len(rows) > 1:
-            # one file per partition, named by partition id and renamed into
+            # one file per partition, named by partition id and moved into
             # place: a retried task replaces its file instead of adding one
-            os.makedirs(base, exist_ok=True)
-            final = f"{base}/part-{TaskContext.get().partitionId():05d}.xlsx"
-            tmp = f"{final}.{TaskContext.get().attemptNumber()}.tmp"
-            with open(tmp, "wb") as f:
+            ctx = TaskContext.get()
+            filesystem, root = fs.FileSystem.from_uri(arrow_uri(base))
+            filesystem.create_dir(root, recursive=True)
+            final = f"{root}/part-{ctx.partitionId():05d}.xlsx"
+            tmp = f"{final}.{ctx.attemptNumber()}.tmp"
+            with filesystem.open_output_stream(tmp) as f:
                 f.write(workbook_bytes({"part": rows}))
-            os.replace(tmp, final)
+            filesystem.move(tmp, final)
         yield pd.DataFrame({"n": [len(rows) - 1]})
 
     ship_package(spark)

@@ -67,7 +67,7 @@ HEAD_BYTES = 64 * 1024
 MAX_CONTENT_BYTES = 64 * 1024 * 1024
 
 
-def _arrow_uri(path: str) -> str:
+def arrow_uri(path: str) -> str:
     if path.startswith("file:/") and not path.startswith("file:///"):
         return "file://" + path[len("file:"):]
     for scheme in ("s3a://", "s3n://"):
@@ -84,7 +84,7 @@ def _read_heads(batches):
     for b in batches:
         heads = []
         for path in b["path"]:
-            filesystem, inner = fs.FileSystem.from_uri(_arrow_uri(path))
+            filesystem, inner = fs.FileSystem.from_uri(arrow_uri(path))
             with filesystem.open_input_stream(inner) as f:
                 heads.append(f.read(HEAD_BYTES))
         yield pd.DataFrame({"path": b["path"], "content": heads})
