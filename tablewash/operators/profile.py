@@ -27,12 +27,30 @@ def groupable(df: DataFrame) -> DataFrame:
     return df.withColumns(fixes) if fixes else df
 
 
-def profile_table(df: DataFrame) -> DataFrame:
-    """One row: n_rows, n_distinct, duplicates, m_0 .. m_{k-1} (missing per column)."""
+def profile_table(df: DataFrame, approx_duplicates: bool = False, rsd: float = 0.01) -> DataFrame:
+    """One row: n_rows, n_distinct, duplicates, m_0 .. m_{k-1} (missing per column).
+
+    ``approx_duplicates=True`` skips the shuffle of distinct rows: one pass
+    with a HyperLogLog sketch of a 64-bit row hash (relative standard error
+    ``rsd`` on the distinct count, plus hash collisions, negligible below
+    billions of distinct rows). For tables where even one shuffle of the
+    distinct rows is too much; the exact count is the default."""
     fields = df.schema.fields
     g = groupable(df)
     if not fields:
         return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("n_rows"))
+    if approx_duplicates:
+        # one pass: row count, missing counts and the sketch in a single aggregate
+        out = g.agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.approx_count_distinct(F.xxhash64(*[c(f.name) for f in fields]), rsd).alias("_sketch"),
+            *[F.count_if(is_missing(f.name, f.dataType)).cast("bigint").alias(f"m_{i}") for i, f in enumerate(fields)],
+        )
+        out = out.select(
+            "n_rows", F.least(F.col("_sketch").cast("bigint"), F.col("n_rows")).alias("n_distinct"),
+            *[f"m_{i}" for i in range(len(fields))],
+        )
+        return out.withColumn("duplicates", F.col("n_rows") - F.col("n_distinct"))
     grouped = g.groupBy(*[c(f.name) for f in fields]).agg(F.count(F.lit(1)).alias("_cnt"))
     aggs = [
         F.coalesce(F.sum("_cnt"), F.lit(0)).cast("bigint").alias("n_rows"),

@@ -99,3 +99,12 @@ def test_dotted_and_spaced_column_names(spark):
     assert snap["missing_values"]["adresse.ville"] == 1 and snap["duplicates"] == 1
     assert summary_row(build_report(df, out, recipe, "t")).first()["rows_removed"] == 1
     assert stats.medians(df, ["a b"]).first()["a b"] == 2.0
+
+
+def test_profile_approximate_duplicates(spark):
+    df = _skewed(spark, 30000).select("x", "g")
+    exact = profile.profile_table(df).first()
+    approx = profile.profile_table(df, approx_duplicates=True).first()
+    assert approx["n_rows"] == exact["n_rows"]
+    assert abs(approx["n_distinct"] - exact["n_distinct"]) <= 0.05 * exact["n_distinct"]
+    assert [approx[f"m_{i}"] for i in range(2)] == [exact[f"m_{i}"] for i in range(2)]
