@@ -75,11 +75,11 @@ def missing_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def snapshot(df: DataFrame) -> DataFrame:
+def snapshot(df: DataFrame, approx_duplicates: bool = False) -> DataFrame:
     """Quality snapshot as one row: rows, columns, duplicates,
     missing_values MAP<column, count>, column_types MAP<column, type>."""
     names = [f.name for f in df.schema.fields]
-    p = profile_table(df)
+    p = profile_table(df, approx_duplicates)
     keys = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
     miss = F.array(*[F.col(f"m_{i}") for i in range(len(names))]) if names else F.array().cast("array<bigint>")
     types = F.array(*[F.lit(f.dataType.simpleString()) for f in df.schema.fields]) if names else F.array().cast("array<string>")
@@ -92,11 +92,11 @@ def snapshot(df: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_long(df: DataFrame) -> DataFrame:
+def snapshot_long(df: DataFrame, approx_duplicates: bool = False) -> DataFrame:
     """Snapshot in long form (metric, column_name, value): rows / columns /
     duplicates with column_name '*', and one 'missing' row per column."""
     names = [f.name for f in df.schema.fields]
-    p = profile_table(df)
+    p = profile_table(df, approx_duplicates)
     def entry(metric, column, value):
         return F.struct(
             F.lit(metric).alias("metric"), F.lit(column).alias("column_name"), value.cast("bigint").alias("value")
@@ -118,9 +118,9 @@ def missing_by_column(df: DataFrame) -> DataFrame:
     return p.select(F.inline(F.array(*entries)))
 
 
-def duplicate_summary(df: DataFrame) -> DataFrame:
+def duplicate_summary(df: DataFrame, approx_duplicates: bool = False) -> DataFrame:
     """(n_rows, n_distinct, duplicates): full-row duplicates, missing = missing."""
-    return profile_table(df).select("n_rows", "n_distinct", "duplicates")
+    return profile_table(df, approx_duplicates).select("n_rows", "n_distinct", "duplicates")
 
 
 def column_types(df: DataFrame) -> DataFrame:

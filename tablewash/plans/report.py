@@ -32,9 +32,9 @@ TEXT_TYPES = "--- COLUMN TYPES AFTER CLEANING ---"
 TEXT_TYPE = "  %s: %s"
 
 
-def _snapshot_struct(df: DataFrame, prefix: str) -> DataFrame:
+def _snapshot_struct(df: DataFrame, prefix: str, approx_duplicates: bool = False) -> DataFrame:
     fields = df.schema.fields
-    p = profile_table(df)
+    p = profile_table(df, approx_duplicates)
     names = F.array(*[F.lit(f.name) for f in fields]) if fields else F.array().cast("array<string>")
     miss = F.array(*[F.col(f"m_{i}") for i in range(len(fields))]) if fields else F.array().cast("array<bigint>")
     types = F.array(*[F.lit(f.dataType.simpleString()) for f in fields]) if fields else F.array().cast("array<string>")
@@ -63,10 +63,12 @@ def _steps_column(recipe: Recipe | None) -> Column:
     )
 
 
-def build_report(before: DataFrame, after: DataFrame, recipe: Recipe | None, generated_at: str) -> DataFrame:
-    """One row: generated_at, pipeline_steps, before, after, summary."""
-    b = _snapshot_struct(before, "before")
-    a = _snapshot_struct(after, "after")
+def build_report(before: DataFrame, after: DataFrame, recipe: Recipe | None, generated_at: str,
+                 approx_duplicates: bool = False) -> DataFrame:
+    """One row: generated_at, pipeline_steps, before, after, summary.
+    ``approx_duplicates``: see ``profile_table`` (one pass, no row shuffle)."""
+    b = _snapshot_struct(before, "before", approx_duplicates)
+    a = _snapshot_struct(after, "after", approx_duplicates)
     both = b.crossJoin(F.broadcast(a))  # 1 row x 1 row
     summary = F.struct(
         (F.col("before.rows") - F.col("after.rows")).alias("rows_removed"),
