@@ -10,10 +10,11 @@ LINEITEM_COLS = [
     ("l_returnflag", False), ("l_linestatus", False), ("l_shipdate", False),
 ]
 
-DUCK_TO_SPARK_TYPE = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
-  WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'float' WHEN 'VARCHAR' THEN 'string'
-  WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DATE' THEN 'date' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
-  WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE lower(data_type) END"""
+DUCK_TO_SPARK_TYPE = """CASE WHEN data_type = 'BIGINT' THEN 'bigint' WHEN data_type = 'INTEGER' THEN 'int'
+  WHEN data_type = 'DOUBLE' THEN 'double' WHEN data_type = 'FLOAT' THEN 'float' WHEN data_type = 'VARCHAR' THEN 'string'
+  WHEN data_type = 'BOOLEAN' THEN 'boolean' WHEN data_type = 'DATE' THEN 'date'
+  WHEN data_type LIKE 'TIMESTAMP WITH%' THEN 'timestamp' WHEN data_type LIKE 'TIMESTAMP%' THEN 'timestamp_ntz'
+  ELSE lower(data_type) END"""
 
 
 def _sql_str(s: str) -> str:
