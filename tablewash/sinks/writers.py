@@ -34,8 +34,13 @@ def write_csv(
 ) -> str:
     """Header, UTF-8, missing -> empty field. The CSV writer trims text by
     default; both whitespace options are turned off so values survive as is.
-    A sorted DataFrame writes ordered part files."""
+    A sorted DataFrame writes ordered part files.
+
+    ``single_file=True`` writes exactly one file named ``path`` (as the
+    reference does): the rows go through one task, so this is for
+    human-sized exports only; the default writes a folder of part files."""
     out = _prepare(df, sort_col, ascending, drop_columns)
+    target = f"{path}.parts" if single_file else path
     if single_file:
         out = out.coalesce(1)
     (
@@ -47,11 +52,32 @@ def write_csv(
         .option("nullValue", "")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
+        .csv(target)
     )
+    if single_file:
+        _promote_single_part(df.sparkSession, target, path, ".csv")
     return path
 
 
+def _promote_single_part(spark, folder: str, path: str, suffix: str) -> None:
+    """Move the one part file of ``folder`` to ``path`` and remove the folder
+    (file-system metadata operations on the driver; no data moves)."""
+    jvm = spark.sparkContext._jvm  # noqa: SLF001
+    conf = spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+    src_dir = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = src_dir.getFileSystem(conf)
+    parts = [st.getPath() for st in fs.listStatus(src_dir) if st.getPath().getName().startswith("part-")]
+    if len(parts) != 1:
+        raise RuntimeError(f"expected one part file in {folder}, found {len(parts)}")
+    dst = jvm.org.apache.hadoop.fs.Path(path)
+    fs.mkdirs(dst.getParent())
+    if fs.exists(dst):
+        fs.delete(dst, True)
+    if not fs.rename(parts[0], dst):
+        raise RuntimeError(f"could not move {parts[0]} to {path}")
+    fs.delete(src_dir, True)
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", drop_columns: Iterable[str] = (), partition_by: Iterable[str] = ()) -> str:
     out = _prepare(df, None, True, drop_columns)
     w = out.write.mode(mode)

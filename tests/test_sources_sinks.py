@@ -110,7 +110,8 @@ def test_union_widening(spark):
 
 def test_csv_sink_keeps_whitespace_and_sorts(spark, tmp_path):
     df = spark.createDataFrame([(" p ", 2.0), ('a,"b"\nc', None), ("", 1.0)], "s string, v double")
-    path = writers.write_csv(df, str(tmp_path / "out"), sort_col="v", ascending=True, single_file=True)
+    path = writers.write_csv(df, str(tmp_path / "new" / "dir" / "out.csv"), sort_col="v", ascending=True, single_file=True)
+    assert os.path.isfile(path) and not os.path.exists(path + ".parts")
     back = readers.read_csv(spark, path, encoding="UTF-8").collect()
     assert [r["s"] for r in back] == [None, " p ", 'a,"b"\nc']  # '' is a missing token; NULL sorted last
     assert [r["v"] for r in back] == [1.0, 2.0, None]
