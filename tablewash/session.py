@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -72,6 +73,7 @@ def make_local_dirs(path: str) -> None:
 
 
 _SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -86,12 +88,13 @@ def ship_package(spark: SparkSession) -> None:
 
     sc = spark.sparkContext
     app = sc.applicationId
-    if app in _SHIPPED:
-        return
-    pkg = Path(__file__).resolve().parent
-    out = Path(tempfile.mkdtemp(prefix="tablewash-pkg-")) / "tablewash.zip"
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in pkg.rglob("*.py"):
-            z.write(f, str(Path("tablewash") / f.relative_to(pkg)))
-    sc.addPyFile(str(out))
-    _SHIPPED.add(app)
+    with _SHIP_LOCK:  # jobs started from several threads ship the package once
+        if app in _SHIPPED:
+            return
+        pkg = Path(__file__).resolve().parent
+        out = Path(tempfile.mkdtemp(prefix="tablewash-pkg-")) / "tablewash.zip"
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in pkg.rglob("*.py"):
+                z.write(f, str(Path("tablewash") / f.relative_to(pkg)))
+        sc.addPyFile(str(out))
+        _SHIPPED.add(app)
