@@ -4,7 +4,7 @@ from tablewash.operators.clean import (
 )
 from tablewash.operators.casts import fix_types, infer_types, na_to_null
 from tablewash.operators.profile import (
-    column_types, duplicate_summary, missing_by_column, profile_table, snapshot, snapshot_long,
+    column_types, duplicate_summary, missing_by_column, preview, profile_table, snapshot, snapshot_long,
 )
 from tablewash.operators.membership import keep_known
 from tablewash.operators.sequence import number_rows, running_total, with_file_ordinal, with_row_ordinal

@@ -127,3 +127,9 @@ def column_types(df: DataFrame) -> DataFrame:
     """(column_name, position, data_type) from the schema; no scan."""
     rows = [(f.name, i, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
     return df.sparkSession.createDataFrame(rows, "column_name string, position int, data_type string")
+
+
+def preview(df: DataFrame, n: int = 3) -> DataFrame:
+    """The first ``n`` rows (shown next to a key-column candidate). A limit is
+    the feature here: Spark stops reading once ``n`` rows are found."""
+    return df.limit(n)

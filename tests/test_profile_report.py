@@ -62,3 +62,8 @@ def test_save_report(spark, tmp_path):
         p = save_report(rep, str(tmp_path / "r"), fmt)
         assert p.endswith(ext)
     assert json.loads(open(tmp_path / "r.json").read())["summary"]["rows_removed"] == 1
+
+
+def test_preview(spark):
+    assert profile.preview(_before(spark)).count() == 3
+    assert profile.preview(_before(spark), 10).count() == 4
