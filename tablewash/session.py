@@ -41,8 +41,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the setting names a shared folder (HDFS / object store) and is
     used as is. Only when it is unset (tests) a private temporary folder is made.
     """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the context
+        if not path:
+            raise ValueError("set spark.checkpoint.dir to a shared folder on the Spark Connect server") from None
+        return path
+    path = path or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS / object store) for this cluster")
@@ -86,8 +92,11 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
     from pathlib import Path
 
-    sc = spark.sparkContext
-    app = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect session
+        sc, app = None, f"connect:{spark.session_id}"
     with _SHIP_LOCK:  # jobs started from several threads ship the package once
         if app in _SHIPPED:
             return
@@ -96,5 +105,8 @@ def ship_package(spark: SparkSession) -> None:
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             for f in pkg.rglob("*.py"):
                 z.write(f, str(Path("tablewash") / f.relative_to(pkg)))
-        sc.addPyFile(str(out))
+        if sc is not None:
+            sc.addPyFile(str(out))
+        else:
+            spark.addArtifacts(str(out), pyfile=True)
         _SHIPPED.add(app)
