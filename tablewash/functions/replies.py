@@ -108,13 +108,18 @@ def record(x: Column, categories: Sequence[str], vocabulary: Column) -> Column:
     )
 
 
+# The record used when no valid reply came back (fixed values):
+# name "unknown", code "UNK", category "unknown", no body parts, three missing.
+FALLBACK_NAME, FALLBACK_CODE, FALLBACK_CATEGORY = "unknown", "UNK", "unknown"
+
+
 def fallback_records() -> Column:
     """The single record used when no valid reply came back."""
     return F.array(
         F.struct(
-            F.lit("unknown").alias("exercise_name"),
-            F.lit("UNK").alias("code"),
-            F.lit("unknown").alias("code_base"),
+            F.lit(FALLBACK_NAME).alias("exercise_name"),
+            F.lit(FALLBACK_CODE).alias("code"),
+            F.lit(FALLBACK_CATEGORY).alias("code_base"),
             F.array().cast("array<string>").alias("muscles"),
             F.lit(None).cast("string").alias("assistance"),
             F.lit(None).cast("string").alias("repetitions"),

@@ -39,7 +39,7 @@ Scorer = Callable[[list, int], list]
 SESSION_NAMES = ("session", "séance", "seance", "date", "jour", "day")
 PATIENT_NAMES = ("patient_id", "id", "patient", "pseudonyme", "code_patient")
 TEXT_NAMES = ("exercise", "exercice", "activite", "activité", "description", "texte", "notes")
-# Text values that count as "no note" (lower-cased)
+# Text values that count as "no note", lower-cased (fixed values)
 EMPTY_TEXT = ("", "nan", "none")
 
 OUTPUT_COLUMNS = (
@@ -47,6 +47,7 @@ OUTPUT_COLUMNS = (
     "muscles", "assistance", "repetitions", "time",
 )
 
+# Reference block of a prompt when no reference list is given (fixed value)
 NO_REFERENCE = "No reference available yet."
 
 DEFAULT_TEMPLATE = (
