@@ -20,7 +20,8 @@ from pyspark.sql import Column, functions as F
 
 from tablewash.functions.text import unicode_trim
 
-# Java regex; (?U) makes \s Unicode-aware like Python's re
+# Markdown code fence around a reply, optional json tag (fixed value). Java
+# regex: (?U) makes \s Unicode-aware like Python's re.
 FENCE = r"(?U)```(?:json)?\s*([\s\S]*?)```"
 
 RECORD_TYPE = (
