@@ -145,3 +145,13 @@ def test_jdbc_url_and_modes():
     assert writers.IF_EXISTS == {"replace": "overwrite", "append": "append", "fail": "errorifexists"}
     with pytest.raises(ValueError):
         writers.jdbc_url("oracle", "db")
+
+
+def test_json_single_object_and_lists(spark, tmp_path):
+    p = tmp_path / "one.json"
+    p.write_text(json.dumps({"id": 1, "tags": ["a", "b"], "meta": {"k": {"deep": 2}}, "rows": [{"x": 1}]}), encoding="utf-8")
+    df = readers.read_json(spark, str(p))
+    assert df.count() == 1
+    assert sorted(df.columns) == ["id", "meta.k.deep", "rows", "tags"]
+    r = df.first()
+    assert r["tags"] == ["a", "b"] and r["meta.k.deep"] == 2 and r["rows"][0]["x"] == 1
