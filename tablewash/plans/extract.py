@@ -6,8 +6,8 @@
       └─ scorer  (caller's batch function via mapInPandas: one Python call per
                   Arrow batch)
       └─ strict parse / validate / vocabulary filter (JVM column functions);
-         each round is checkpointed, so a model call is never repeated when a
-         stage is recomputed or an executor is lost
+         each round is checkpointed, so no later stage re-runs a finished
+         round; a task lost mid-round re-sends only its own batch
       └─ retry only the unparseable replies, at most ``max_attempts`` rounds,
          then the fallback record
       └─ number per (sheet, session) in row order: a skew-safe running sum
