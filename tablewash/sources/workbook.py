@@ -29,6 +29,7 @@ REL_NS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PKG_REL_NS = "http://schemas.openxmlformats.org/package/2006/relationships"
 
 ROW_SCHEMA = "path string, sheet string, sheet_pos int, row_num int, cells array<string>"
+MAX_BROADCAST_SHEETS = 100_000
 
 
 def _col_index(ref: str) -> int:
@@ -158,7 +159,9 @@ def read_workbook(
     for key, members in groups.items():
         names = members[0][3]
         keys = spark.createDataFrame([(p, sh, rn) for p, sh, rn, _ in members], "path string, sheet string, header_row int")
-        body = rows.join(F.broadcast(keys), ["path", "sheet"]).where(F.col("row_num") > F.col("header_row"))
+        # one row per sheet: broadcast only while that count is small
+        keys = F.broadcast(keys) if len(members) <= MAX_BROADCAST_SHEETS else keys
+        body = rows.join(keys, ["path", "sheet"]).where(F.col("row_num") > F.col("header_row"))
         # try_element_at: a short row gives NULL, not an error, under ANSI mode
         cols = [F.try_element_at(F.col("cells"), F.lit(i + 1)).alias(n) for i, n in enumerate(names)]
         if merge and sheet_col:
