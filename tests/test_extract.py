@@ -160,3 +160,13 @@ def test_scorer_batch_size(spark):
 
     out = extract.extract_table(df, small_batches, ["i"], batch_size=2, num_tasks=1)
     assert sorted(r["exercise_num"] for r in out.collect()) == list(range(1, 8))
+
+
+def test_patient_fallbacks(spark):
+    with_id = spark.createDataFrame([(0, None, "a"), (1, "P002", "b")], "i int, id string, notes string")
+    assert {r["patient_id"] for r in extract.prepare_notes(with_id, ["i"]).collect()} == {"P002"}
+    plain = spark.createDataFrame([(0, "a")], "i int, notes string")
+    assert extract.prepare_notes(plain, ["i"], default_patient="P999").first()["patient_id"] == "P999"
+    assert extract.prepare_notes(plain, ["i"]).first()["patient_id"] == "unknown"
+    upper = spark.createDataFrame([(0, "S1", "a")], "i int, SESSION string, EXERCISE string")
+    assert extract.detect_roles(upper.columns) == extract.Roles("SESSION", None, "EXERCISE")
