@@ -155,3 +155,11 @@ def test_json_single_object_and_lists(spark, tmp_path):
     assert sorted(df.columns) == ["id", "meta.k.deep", "rows", "tags"]
     r = df.first()
     assert r["tags"] == ["a", "b"] and r["meta.k.deep"] == 2 and r["rows"][0]["x"] == 1
+
+
+def test_census_uppercase_extension(spark, tmp_path):
+    (tmp_path / "DATA.CSV").write_text("a\n1\n", encoding="utf-8")
+    (tmp_path / "Book.XLSX").write_bytes(workbook.workbook_bytes({"s": [["a"], [1]]}))
+    rows = {r["file_name"]: (r["ext_type"], r["content_type"], r["status"]) for r in census.file_census(spark, str(tmp_path)).collect()}
+    assert rows == {"DATA.CSV": ("csv", "csv", "ok"), "Book.XLSX": ("excel", "excel", "ok")}
+    assert readers.read_any(spark, str(tmp_path / "Book.XLSX")).first()["a"] == 1
