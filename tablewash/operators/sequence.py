@@ -87,13 +87,14 @@ def running_total(
 
     # first and last group of every partition: N rows
     bounds = d.groupBy("_tw_pid").agg(F.min("_tw_g").alias("_tw_first"), F.max("_tw_g").alias("_tw_last"))
-    # totals of the boundary groups only: at most 2N rows
+    # totals of the boundary groups only: rows are filtered to the first and
+    # last group of their partition before aggregating, so the map-side partial
+    # aggregate emits at most two rows per partition (2N rows in the shuffle)
     edge = (
-        d.groupBy("_tw_pid", "_tw_g")
-        .agg(F.sum("_tw_w").alias("_tw_tot"))
-        .join(F.broadcast(bounds), "_tw_pid")
+        d.join(F.broadcast(bounds), "_tw_pid")
         .where(F.col("_tw_g").eqNullSafe(F.col("_tw_first")) | F.col("_tw_g").eqNullSafe(F.col("_tw_last")))
-        .select("_tw_pid", "_tw_g", "_tw_tot")
+        .groupBy("_tw_pid", "_tw_g")
+        .agg(F.sum("_tw_w").alias("_tw_tot"))
     )
     before = Window.partitionBy("_tw_g").orderBy("_tw_pid").rowsBetween(Window.unboundedPreceding, -1)
     # only the first group of a partition can continue from earlier partitions:
