@@ -226,8 +226,9 @@ SELECT '<!DOCTYPE html>' || chr(10) || '<html lang="en">' || chr(10)
        || chr(10) || '</html>' AS html
 FROM a, b, types_html"""
     out["report_before_after"] = cleaned + """
-SELECT b.r AS rows_before, a.r AS rows_after, 5 AS columns_before, 5 AS columns_after,
-       b.dup AS duplicates_before, a.dup AS duplicates_after, b.r - a.r AS rows_removed, 0 AS columns_removed,
+SELECT b.r AS rows_before, a.r AS rows_after, CAST(5 AS BIGINT) AS columns_before, CAST(5 AS BIGINT) AS columns_after,
+       b.dup AS duplicates_before, a.dup AS duplicates_after, b.r - a.r AS rows_removed,
+       CAST(0 AS BIGINT) AS columns_removed,
        b.m AS missing_values_before, a.m AS missing_values_after, b.dup - a.dup AS duplicates_removed
 FROM a, b"""
     steps = [
@@ -431,7 +432,7 @@ SELECT p_partkey, 'unknown' AS exercise_name, 'UNK' AS code, 'unknown' AS code_b
        CAST(NULL AS VARCHAR) AS assistance, CAST(NULL AS VARCHAR) AS repetitions, CAST(NULL AS VARCHAR) AS time
 FROM part WHERE p_partkey % 8 IN (4, 7)"""
     out["extract_explode"] = """
-SELECT p_partkey, CASE WHEN p_partkey % 8 = 2 THEN 2 ELSE 1 END AS n_records,
+SELECT p_partkey, CAST(CASE WHEN p_partkey % 8 = 2 THEN 2 ELSE 1 END AS BIGINT) AS n_records,
        CASE WHEN p_partkey % 8 = 2 THEN 1 ELSE 0 END AS last_pos
 FROM part WHERE p_partkey % 8 <> 6"""
     out["extract_number"] = f"""
@@ -439,7 +440,8 @@ WITH {notes},
 lines AS (SELECT notes.*, unnest(string_split(text, chr(10))) AS line,
                  unnest(range(len(string_split(text, chr(10))))) AS j
           FROM notes WHERE v <> 5),
-recs AS (SELECT sheet, session, row_ordinal, row_number() OVER (PARTITION BY sheet, conv_id, turn ORDER BY j) - 1 AS pos
+recs AS (SELECT sheet, session, row_ordinal,
+                CAST(row_number() OVER (PARTITION BY sheet, conv_id, turn ORDER BY j) - 1 AS INTEGER) AS pos
          FROM lines WHERE trim(line, {WS}) <> ''),
 r AS (SELECT sheet, session, row_ordinal, pos FROM recs
       UNION ALL SELECT sheet, session, row_ordinal, 0 FROM notes WHERE v = 5)
