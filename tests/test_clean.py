@@ -167,3 +167,14 @@ def test_fill_median_approx(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 100)] + [(None,)], "x double")
     out = clean.fill_median(df, approx=True)
     assert [r[0] for r in out.collect()][-1] == 50.0
+
+
+@pytest.mark.parametrize("text", ["12.0", " 12 ", "1e3", "+5", "12.5", "0x10", "-7", "1_000"])
+def test_text_to_int_follows_python_int(spark, text):
+    try:
+        want = int(text) if "_" not in text else None  # S-6: underscores refused on purpose
+    except ValueError:
+        want = None
+    df = spark.createDataFrame([(text,)], "a string")
+    got = casts.fix_types(df, {"a": "int"}, mode="coerce").first()["a"]
+    assert got == want
