@@ -178,3 +178,15 @@ def test_text_to_int_follows_python_int(spark, text):
     df = spark.createDataFrame([(text,)], "a string")
     got = casts.fix_types(df, {"a": "int"}, mode="coerce").first()["a"]
     assert got == want
+
+
+@pytest.mark.parametrize("text", ["1.5", " 2.25 ", "1e3", "-0.5", "inf", "abc", "0x10", "nan"])
+def test_text_to_float_follows_python_float(spark, text):
+    try:
+        want = float(text)
+        want = None if math.isnan(want) else want  # NaN becomes missing
+    except ValueError:
+        want = None
+    df = spark.createDataFrame([(text,)], "a string")
+    got = casts.fix_types(df, {"a": "float"}, mode="coerce").first()["a"]
+    assert got == want
