@@ -367,17 +367,24 @@ def scan_csv_latin1(spark, sf_dir):
 
 @register
 def file_encoding(spark, sf_dir):
-    """Encoding guessed per file: the same documents as UTF-8 and as Latin-1."""
+    """Encoding guessed per file: documents written as UTF-8 and as Latin-1,
+    each split into files by whether a document holds non-ASCII text (a
+    Latin-1 file of ASCII-only text is valid UTF-8, so the split makes every
+    file's expected answer follow from the table)."""
     from tablewash.sources.census import file_census
 
     base = _scratch(spark, "encodings")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.col("text").rlike("[^\\x00-\\x7F]").alias("non_ascii")
+    )
     for enc, sub in (("UTF-8", "utf8"), ("ISO-8859-1", "latin1")):
-        docs.write.option("header", True).option("encoding", enc).csv(f"{base}/{sub}")
+        docs.write.partitionBy("non_ascii").option("header", True).option("encoding", enc).csv(f"{base}/{sub}")
     census = file_census(spark, base).where(F.col("extension") == ".csv")
     # one row per distinct outcome: independent of how many part files Spark wrote
     return census.select(
-        F.regexp_extract("path", r"/(utf8|latin1)/", 1).alias("folder"), "ext_type", "content_type", "encoding", "status"
+        F.regexp_extract("path", r"/(utf8|latin1)/", 1).alias("folder"),
+        F.regexp_extract("path", r"non_ascii=(true|false)", 1).alias("non_ascii"),
+        "ext_type", "content_type", "encoding", "status",
     ).distinct()
 
 

@@ -312,6 +312,14 @@ SELECT * FROM (VALUES
   ('parquet', '.parquet', 'format not supported yet', 'csv', 'ISO-8859-1', 'unsupported'),
   ('fake', '.csv', 'csv', 'json', 'UTF-8', 'mismatch')
 ) AS t(folder, extension, ext_type, content_type, encoding, status)"""
+    out["file_encoding"] = r"""
+WITH d AS (SELECT DISTINCT CASE WHEN regexp_matches(text, '[^\x00-\x7F]') THEN 'true' ELSE 'false' END AS non_ascii
+           FROM documents),
+f(folder) AS (VALUES ('utf8'), ('latin1'))
+SELECT folder, non_ascii, 'csv' AS ext_type, 'csv' AS content_type,
+       CASE WHEN folder = 'latin1' AND non_ascii = 'true' THEN 'ISO-8859-1' ELSE 'UTF-8' END AS encoding,
+       'ok' AS status
+FROM f, d"""
     out.update(_extraction_sql(WS))
     return out
 
