@@ -163,3 +163,13 @@ def test_census_uppercase_extension(spark, tmp_path):
     rows = {r["file_name"]: (r["ext_type"], r["content_type"], r["status"]) for r in census.file_census(spark, str(tmp_path)).collect()}
     assert rows == {"DATA.CSV": ("csv", "csv", "ok"), "Book.XLSX": ("excel", "excel", "ok")}
     assert readers.read_any(spark, str(tmp_path / "Book.XLSX")).first()["a"] == 1
+
+
+def test_bom_encodings(spark, tmp_path):
+    (tmp_path / "u16.csv").write_bytes("nom,ville\nJosé,Besançon\nZoë,Ærø\n".encode("utf-16"))
+    (tmp_path / "u8bom.csv").write_bytes("nom,ville\nJosé,Besançon\n".encode("utf-8-sig"))
+    enc = {r["file_name"]: r["encoding"] for r in census.file_census(spark, str(tmp_path)).collect()}
+    assert enc == {"u16.csv": "UTF-16LE", "u8bom.csv": "UTF-8"}
+    u16 = readers.read_any(spark, str(tmp_path / "u16.csv"))
+    assert u16.columns == ["nom", "ville"] and sorted(tuple(r) for r in u16.collect()) == [("José", "Besançon"), ("Zoë", "Ærø")]
+    assert readers.read_any(spark, str(tmp_path / "u8bom.csv")).columns == ["nom", "ville"]
