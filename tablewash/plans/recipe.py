@@ -179,3 +179,35 @@ def run_recipe(
     if report_path:
         save_report(report, report_path, report_format)
     return after, report
+
+
+def run_clean(
+    spark,
+    source: str,
+    sink: dict | None = None,
+    recipe_path: str | None = None,
+    report_path: str | None = None,
+    report_format: str = "text",
+    generated_at: str | None = None,
+    **clean_params,
+):
+    """Full run: read the source, clean it with ``clean_table`` parameters,
+    write to ``sink``, save the recipe (with its ``read_file`` step, so it can
+    be replayed as is) and the before/after report.
+    Returns (cleaned DataFrame, recipe, report DataFrame)."""
+    from tablewash.plans.report import build_report, save_report
+    from tablewash.sinks.writers import write_to
+    from tablewash.sources.readers import read_any
+
+    before = read_any(spark, source)
+    after, recipe = clean_table(before, **clean_params)
+    recipe = Recipe((Step("read_file", {"file_path": source}),) + recipe.steps, recipe.created_at)
+    if sink:
+        opts = dict(sink)
+        write_to(after, opts.pop("kind"), **opts)
+    if recipe_path:
+        recipe.save(recipe_path)
+    report = build_report(before, after, recipe, generated_at or datetime.now().isoformat())
+    if report_path:
+        save_report(report, report_path, report_format)
+    return after, recipe, report

@@ -68,3 +68,20 @@ def test_run_recipe_end_to_end(spark, tmp_path):
     assert json.loads((tmp_path / "rep.json").read_text())["summary"]["rows_removed"] == 1
     with pytest.raises(ValueError):
         run_recipe(spark, Recipe())
+
+
+def test_run_clean_then_replay(spark, tmp_path):
+    from tablewash.plans.recipe import run_clean, run_recipe
+
+    src = tmp_path / "in.csv"
+    src.write_text("name,age\n  Ann ,0\nBob,40\nBob,40\n", encoding="utf-8")
+    out, recipe, report = run_clean(
+        spark, str(src), sink={"kind": "csv", "path": str(tmp_path / "out.csv"), "single_file": True},
+        recipe_path=str(tmp_path / "r.json"), report_path=str(tmp_path / "rep"), generated_at="t",
+        zeros=["age"], missing=("fill", "mean"), remove_duplicates=True, case="uppercase",
+    )
+    assert sorted(tuple(r) for r in out.collect()) == [("ANN", 40.0), ("BOB", 40.0)]
+    assert recipe.get("read_file") == {"file_path": str(src)}
+    replayed, _ = run_recipe(spark, Recipe.load(str(tmp_path / "r.json")), generated_at="t")
+    assert sorted(tuple(r) for r in replayed.collect()) == [("ANN", 40.0), ("BOB", 40.0)]
+    assert (tmp_path / "rep.txt").read_text(encoding="utf-8").startswith("=== CLEANING REPORT ===")
