@@ -89,18 +89,18 @@ def drop_cols_any(df: DataFrame, key_columns: Iterable[str] = ()) -> DataFrame:
 
 
 def _fill_from_row(df: DataFrame, row: DataFrame, cols: Sequence[str], cast: str | None = None) -> DataFrame:
-    """coalesce(col, stat) with the statistics in a one-row DataFrame, joined by
-    a broadcast cross join (exactly one row: safe to broadcast at any scale)."""
+    """coalesce(col, stat) with the statistics in a one-row DataFrame.
+
+    Each statistic is a scalar subquery over that row; Spark merges them into
+    one subquery that runs once before the main stage and inlines the values,
+    so the main pipeline has no join and stays in one whole-stage-codegen span."""
     if not cols:
         return df
-    stat_names = {n: f"_tw_stat_{i}" for i, n in enumerate(cols)}
-    one = row.select(*[c(n).alias(stat_names[n]) for n in cols])
-    joined = df.crossJoin(F.broadcast(one))
     fills = {}
     for n in cols:
-        base = c(n).cast(cast) if cast else c(n)
-        fills[n] = F.coalesce(base, F.col(stat_names[n]).cast(cast) if cast else F.col(stat_names[n]))
-    return joined.withColumns(fills).select(*[c(x) for x in df.columns])
+        stat = row.select(c(n)).scalar()
+        fills[n] = F.coalesce(c(n).cast(cast), stat.cast(cast)) if cast else F.coalesce(c(n), stat)
+    return df.withColumns(fills)
 
 
 def _nan_to_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
