@@ -173,3 +173,14 @@ def test_bom_encodings(spark, tmp_path):
     u16 = readers.read_any(spark, str(tmp_path / "u16.csv"))
     assert u16.columns == ["nom", "ville"] and sorted(tuple(r) for r in u16.collect()) == [("José", "Besançon"), ("Zoë", "Ærø")]
     assert readers.read_any(spark, str(tmp_path / "u8bom.csv")).columns == ["nom", "ville"]
+
+
+def test_read_any_folder(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(20)], "k bigint, s string").repartition(3)
+    writers.write_csv(df, str(tmp_path / "parts"))
+    back = readers.read_any(spark, str(tmp_path / "parts"))
+    assert sorted(tuple(r) for r in back.collect()) == [(i, f"n{i}") for i in range(20)]
+    df.write.json(str(tmp_path / "mixed"))
+    (tmp_path / "mixed" / "extra.csv").write_text("a\n1\n", encoding="utf-8")
+    with pytest.raises(ValueError):
+        readers.read_any(spark, str(tmp_path / "mixed"))
