@@ -315,16 +315,15 @@ def analyze_file(
     sheets: str | Sequence[str] = "all",
     max_attempts: int = 3,
 ) -> DataFrame:
-    """Whole-file analysis: a CSV file or every chosen sheet of a workbook,
-    in file / sheet row order, as one plan (sheets are a column, not a loop).
-    Other formats raise."""
-    from tablewash.sources.census import census_of_files, require_type
-    from tablewash.sources.readers import read_csv
+    """Whole-file analysis: a CSV file (or folder of CSV part files) or every
+    chosen sheet of a workbook, in file / sheet row order, as one plan (sheets
+    are a column, not a loop). Other formats raise."""
+    from tablewash.sources.readers import detect_kind, read_csv
     from tablewash.sources.workbook import read_workbook
 
-    kind = require_type(census_of_files(spark, [path]).first())
+    kind, encoding = detect_kind(spark, path)
     if kind == "csv":
-        df = read_csv(spark, path, ordinal_col="_file_row")
+        df = read_csv(spark, path, encoding=encoding, ordinal_col="_file_row")
         return extract_table(df, scorer, ["_file_row"], reference, muscles, None, None, max_attempts=max_attempts)
     if kind == "excel":
         df = read_workbook(spark, path, sheets=sheets, merge=True, sheet_col="_sheet", row_col="_sheet_row")

@@ -139,38 +139,40 @@ def detect_key(df: DataFrame) -> str | None:
     return df.columns[0] if key_candidate(df).first()["is_key"] else None
 
 
-def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Census the file (or every data file of a folder, as Spark writes them),
-    then dispatch to the CSV / workbook / JSON reader. Unsupported, mismatched
-    or missing files raise; a folder must hold one type in one encoding."""
+def detect_kind(spark: SparkSession, path: str) -> tuple[str, str | None]:
+    """(type, encoding) of a file, or of every data file of a folder as Spark
+    writes them. Unsupported, mismatched or missing files raise; a folder must
+    hold one type in one encoding."""
     from tablewash.sources.census import census_of_files, file_census, require_type
 
     jvm = spark.sparkContext._jvm  # noqa: SLF001
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
-    if fs.exists(hpath) and fs.getFileStatus(hpath).isDirectory():
-        data = ~F.col("file_name").startswith("_") & ~F.col("file_name").startswith(".")
-        # distinct outcomes only: a handful of rows whatever the number of files
-        outcomes = file_census(spark, path).where(data).select("ext_type", "status", "encoding").distinct().collect()
-        if not outcomes:
-            raise FileNotFoundError(f"no data files in {path}")
-        for o in outcomes:
-            require_type({"path": path, "status": o["status"], "ext_type": o["ext_type"]})
-        kinds = {o["ext_type"] for o in outcomes}
-        encodings = {o["encoding"] for o in outcomes}
-        if len(kinds) > 1:
-            raise ValueError(f"mixed file types in {path}: {sorted(kinds)}")
-        kind = kinds.pop()
-        if kind == "csv" and "encoding" not in options:
-            if len(encodings) != 1:
-                raise ValueError(f"files of {path} differ in encoding {sorted(encodings)}; pass encoding=")
-            options["encoding"] = encodings.pop()
-        row = {"encoding": options.get("encoding")}
-    else:
+    if not (fs.exists(hpath) and fs.getFileStatus(hpath).isDirectory()):
         row = census_of_files(spark, [path]).first()
-        kind = require_type(row)
+        return require_type(row), row["encoding"]
+    data = ~F.col("file_name").startswith("_") & ~F.col("file_name").startswith(".")
+    # distinct outcomes only: a handful of rows whatever the number of files
+    outcomes = file_census(spark, path).where(data).select("ext_type", "status", "encoding").distinct().collect()
+    if not outcomes:
+        raise FileNotFoundError(f"no data files in {path}")
+    for o in outcomes:
+        require_type({"path": path, "status": o["status"], "ext_type": o["ext_type"]})
+    kinds = {o["ext_type"] for o in outcomes}
+    if len(kinds) > 1:
+        raise ValueError(f"mixed file types in {path}: {sorted(kinds)}")
+    encodings = {o["encoding"] for o in outcomes}
+    kind = kinds.pop()
+    if kind == "csv" and len(encodings) != 1:
+        raise ValueError(f"files of {path} differ in encoding {sorted(encodings)}; pass encoding=")
+    return kind, encodings.pop() if len(encodings) == 1 else None
+
+
+def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Census the file (or folder), then dispatch to the CSV / workbook / JSON reader."""
+    kind, encoding = detect_kind(spark, path)
     if kind == "csv":
-        return read_csv(spark, path, encoding=options.pop("encoding", row["encoding"]), **options)
+        return read_csv(spark, path, encoding=options.pop("encoding", encoding), **options)
     if kind == "json":
         return read_json(spark, path, **options)
     from tablewash.sources.workbook import read_workbook
