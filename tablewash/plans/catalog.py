@@ -853,3 +853,32 @@ def extract_roles(spark, sf_dir):
         F.struct(F.lit(role).alias("role"), F.lit(col).alias("column_name"), F.col(f"n_{role}").alias("non_missing"))
         for role, col in pairs if col
     ])))
+
+
+# ------------------------------------------------------------ end to end
+
+@register
+def recipe_run_csv(spark, sf_dir):
+    """D-4: lineitem written as CSV files; a saved recipe that names that
+    folder is replayed end to end (census, read, clean, write Parquet) and the
+    written table is read back."""
+    from tablewash.plans.recipe import run_recipe
+    from tablewash.sinks.writers import write_csv
+
+    src = write_csv(_lineitem_flags(spark, sf_dir), _scratch(spark, "recipe-src"))
+    recipe = Recipe.loads(FLAGSHIP_RECIPE).record("read_file", {"file_path": src})
+    out_path = _scratch(spark, "recipe-out")
+    run_recipe(spark, Recipe.loads(recipe.dumps()), sink={"kind": "parquet", "path": out_path}, generated_at=REPORT_TIME)
+    return round6(spark.read.parquet(out_path), ["l_quantity", "l_discount", "l_tax"])
+
+
+@register
+def analyze_csv(spark, sf_dir):
+    """F-19: the notes written as CSV files in row order, analyzed as one file
+    (no sheets: one patient for the whole file, numbering per session)."""
+    from tablewash.plans.extract import analyze_file, rule_scorer
+    from tablewash.sinks.writers import write_csv
+
+    src = write_csv(_notes_input(spark, sf_dir).orderBy("conv_id", "turn"), _scratch(spark, "notes-csv"))
+    reference, muscles = _vocabularies(spark, sf_dir)
+    return analyze_file(spark, src, rule_scorer, reference=reference, muscles=muscles)

@@ -39,6 +39,7 @@ SELECT lower(trim(l_returnflag, {WS})) AS l_returnflag, lower(trim(l_linestatus,
        round(l_quantity, 6) AS l_quantity, round(l_discount, 6) AS l_discount, round(l_tax, 6) AS l_tax
 FROM d"""
     out["recipe_replay"] = out["clean_flagship"]
+    out["recipe_run_csv"] = out["clean_flagship"]
 
     out["profile_snapshot"] = f"""
 WITH z AS ({flags_z}),
@@ -460,4 +461,16 @@ FROM r"""
 SELECT 'session' AS role, 'Seance' AS column_name, count(conv_id) AS non_missing FROM conversations
 UNION ALL SELECT 'patient', 'Patient_ID', count(*) FILTER (WHERE turn >= 2) FROM conversations
 UNION ALL SELECT 'text', 'Notes', count(text) FROM conversations"""
+
+    whole_file_notes = """
+n AS (SELECT '' AS sheet, conv_id, turn, text,
+             CASE WHEN turn < 2 THEN NULL ELSE 'P' || CAST(conv_id AS VARCHAR) END AS pid,
+             CAST(conv_id AS VARCHAR) AS session FROM conversations),
+o AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS row_ordinal FROM n),
+pat AS (SELECT coalesce(min_by(pid, conv_id * 1000000 + turn) FILTER (WHERE pid IS NOT NULL), 'unknown')
+               AS patient_id FROM n),
+notes AS (SELECT o.*, pat.patient_id, length(text) % 6 AS v FROM o, pat
+          WHERE lower(text) NOT IN ('', 'nan', 'none'))"""
+    out["analyze_csv"] = out["extract_flagship"].replace(notes, whole_file_notes, 1)
+    assert out["analyze_csv"] != out["extract_flagship"]
     return out
