@@ -497,41 +497,52 @@ def json_rejects(spark, sf_dir):
     return good
 
 
-@register
-def scan_xlsx(spark, sf_dir):
-    """part written as one workbook per partition (sheet 'part'), then the
-    workbook job reads them all back: same header -> one merged table."""
+def _write_workbooks(spark, df, base, cols, sheet_col=None, sheet_name="sheet1"):
+    """One workbook per partition of ``df`` (one sheet per value of
+    ``sheet_col``, rows in partition order), written through pyarrow.fs and
+    renamed into place under a partition-numbered name, so a retried task
+    replaces its file instead of adding one."""
     from tablewash.session import ship_package
-    from tablewash.sources.workbook import read_workbook, workbook_bytes
-
-    base = _scratch(spark, "workbooks")
-    cols = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+    from tablewash.sources.workbook import workbook_bytes
 
-    def write_parts(batches):
+    def write(batches):
         import pandas as pd
         from pyarrow import fs
         from pyspark import TaskContext
 
         from tablewash.sources.census import arrow_uri
 
-        rows = [cols]
+        sheets: dict[str, list] = {}
+        n = 0
         for b in batches:
-            rows += b[cols].values.tolist()
-        if len(rows) > 1:
-            # one file per partition, named by partition id and moved into
-            # place: a retried task replaces its file instead of adding one
+            for rec in b.to_dict("records"):
+                name = str(rec[sheet_col]) if sheet_col else sheet_name
+                sheets.setdefault(name, [list(cols)]).append([None if pd.isna(rec[x]) else rec[x] for x in cols])
+                n += 1
+        if n:
             ctx = TaskContext.get()
             filesystem, root = fs.FileSystem.from_uri(arrow_uri(base))
             filesystem.create_dir(root, recursive=True)
             final = f"{root}/part-{ctx.partitionId():05d}.xlsx"
             tmp = f"{final}.{ctx.attemptNumber()}.tmp"
             with filesystem.open_output_stream(tmp) as f:
-                f.write(workbook_bytes({"part": rows}))
+                f.write(workbook_bytes(sheets))
             filesystem.move(tmp, final)
-        yield pd.DataFrame({"n": [len(rows) - 1]})
+        yield pd.DataFrame({"n": [n]})
 
     ship_package(spark)
-    table(spark, sf_dir, "part").select(*cols).mapInPandas(write_parts, "n long").collect()
+    df.select(*([sheet_col] if sheet_col else []), *cols).mapInPandas(write, "n long").collect()
+    return base
+
+
+@register
+def scan_xlsx(spark, sf_dir):
+    """part written as one workbook per partition (sheet 'part'), then the
+    workbook job reads them all back: same header -> one merged table."""
+    from tablewash.sources.workbook import read_workbook
+
+    cols = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+    base = _write_workbooks(spark, table(spark, sf_dir, "part"), _scratch(spark, "workbooks"), cols, sheet_name="part")
     return read_workbook(spark, base)
 
 
@@ -882,3 +893,17 @@ def analyze_csv(spark, sf_dir):
     src = write_csv(_notes_input(spark, sf_dir).orderBy("conv_id", "turn"), _scratch(spark, "notes-csv"))
     reference, muscles = _vocabularies(spark, sf_dir)
     return analyze_file(spark, src, rule_scorer, reference=reference, muscles=muscles)
+
+
+@register
+def analyze_xlsx(spark, sf_dir):
+    """F-19 (workbooks): the notes written in row order as workbooks with one
+    sheet per role, then analyzed: patient and numbering per sheet, so the
+    result equals the flagship extraction."""
+    from tablewash.plans.extract import analyze_file, rule_scorer
+
+    notes = _notes_input(spark, sf_dir).orderBy("conv_id", "turn")
+    cols = ["conv_id", "turn", "Patient_ID", "Seance", "Notes"]
+    base = _write_workbooks(spark, notes, _scratch(spark, "notes-xlsx"), cols, sheet_col="sheet")
+    reference, muscles = _vocabularies(spark, sf_dir)
+    return analyze_file(spark, base, rule_scorer, reference=reference, muscles=muscles)

@@ -472,5 +472,6 @@ pat AS (SELECT coalesce(min_by(pid, conv_id * 1000000 + turn) FILTER (WHERE pid
 notes AS (SELECT o.*, pat.patient_id, length(text) % 6 AS v FROM o, pat
           WHERE lower(text) NOT IN ('', 'nan', 'none'))"""
     out["analyze_csv"] = out["extract_flagship"].replace(notes, whole_file_notes, 1)
+    out["analyze_xlsx"] = out["extract_flagship"]
     assert out["analyze_csv"] != out["extract_flagship"]
     return out
