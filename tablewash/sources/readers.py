@@ -48,7 +48,6 @@ def read_csv(
         .option("escape", '"')
         .option("inferSchema", False)
         .option("mode", "FAILFAST")
-        .option("nullValue", None)
         .option("emptyValue", "")
         .csv(paths)
     )
