@@ -184,3 +184,12 @@ def test_read_any_folder(spark, tmp_path):
     (tmp_path / "mixed" / "extra.csv").write_text("a\n1\n", encoding="utf-8")
     with pytest.raises(ValueError):
         readers.read_any(spark, str(tmp_path / "mixed"))
+
+
+def test_workbook_sheet_selection(spark, files):
+    one = workbook.read_workbook(spark, str(files / "book.xlsx"), sheets="s2")
+    assert [r["id"] for r in one.collect()] == [3]
+    both = workbook.read_workbook(spark, str(files / "book.xlsx"), sheets=" s1 , s2 ")
+    assert both.count() == 3
+    with pytest.raises(ValueError):
+        workbook.read_workbook(spark, str(files / "book.xlsx"), sheets="nope")
