@@ -30,12 +30,25 @@ def pandas_clean(rows, method, case):
     a, x, s = [list(c) for c in cols]
     a = [None if missing(v) or v == 0 else v for v in a]
     x = [None if missing(v) or v == 0 else v for v in x]
-    if method == "mean":
+    if method in ("mean", "median"):
+        import statistics
+
         def fill(col):
             vals = [float(v) for v in col if not missing(v)]
-            m = sum(vals) / len(vals) if vals else None
+            if not vals:
+                m = None
+            else:
+                m = sum(vals) / len(vals) if method == "mean" else statistics.median(vals)
             return [m if missing(v) else float(v) for v in col]
         a, x = fill(a), fill(x)
+    if method == "mode":
+        from collections import Counter
+
+        def fill_mode(col):
+            counts = Counter(v for v in col if not missing(v))
+            m = min(counts, key=lambda v: (-counts[v], v)) if counts else None
+            return [m if missing(v) else v for v in col]
+        a, x, s = fill_mode(a), fill_mode(x), fill_mode(s)
     out = list(zip(a, x, s))
     if method == "drop_rows":
         out = [r for r in out if not any(missing(v) for v in r)]
@@ -54,11 +67,12 @@ def norm(v):
     return round(float(v), 9) if isinstance(v, (int, float)) else v
 
 
-@settings(max_examples=20, deadline=None)
-@given(rows_strategy(), st.sampled_from(["mean", "drop_rows"]), st.sampled_from(["lowercase", "uppercase", "titlecase"]))
+@settings(max_examples=30, deadline=None)
+@given(rows_strategy(), st.sampled_from(["mean", "median", "mode", "drop_rows"]),
+       st.sampled_from(["lowercase", "uppercase", "titlecase"]))
 def test_clean_chain_matches_pandas(spark, rows, method, case):
     sdf = spark.createDataFrame(rows, "a bigint, x double, s string")
-    missing = ("fill", "mean") if method == "mean" else ("drop_rows", None)
+    missing = ("drop_rows", None) if method == "drop_rows" else ("fill", method)
     out, _ = clean_table(sdf, zeros="all", missing=missing, remove_duplicates=True, case=case)
     got = sorted((tuple(norm(v) for v in r) for r in out.collect()), key=repr)
     want = sorted((tuple(norm(v) for v in r) for r in pandas_clean(rows, method, case)), key=repr)
