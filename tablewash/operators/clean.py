@@ -14,7 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, MapType, NumericType, StringType
 
-from tablewash.functions.missing import is_missing
+from tablewash.functions.missing import is_missing, normalize_nan
 from tablewash.functions.names import c
 from tablewash.functions.text import title_case, unicode_trim
 from tablewash.operators import stats
@@ -191,6 +191,8 @@ def remove_duplicates(df: DataFrame, key_columns: Iterable[str] = (), order_col:
     shuffle. With key columns the kept row is the one with the lowest
     ``order_col`` (default: the first key column); ``min_by`` is also partial."""
     keys = [k for k in key_columns if k in df.columns]
+    # missing is NULL: NaN and NULL are one missing value, as in the profile
+    df = normalize_nan(df)
     has_map = any(isinstance(f.dataType, MapType) for f in df.schema.fields)
     if not keys and not has_map:
         return df.dropDuplicates()

@@ -9,21 +9,29 @@ so the table is scanned once.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import DoubleType, FloatType, MapType
 
 from tablewash.functions.missing import is_missing
 from tablewash.functions.names import c
 
 
 def group_expr(name: str, dtype):
-    """Map columns cannot be grouped: compare them as sorted entry arrays."""
+    """Grouping key of a column for duplicate detection: map columns compare
+    as sorted entry arrays; in float columns NaN is missing, so it groups with
+    NULL (pandas treats both as the same missing value)."""
     if isinstance(dtype, MapType):
         return F.array_sort(F.map_entries(c(name)))
+    if isinstance(dtype, (DoubleType, FloatType)):
+        return F.when(F.isnan(c(name)), F.lit(None).cast(dtype)).otherwise(c(name))
     return c(name)
 
 
 def groupable(df: DataFrame) -> DataFrame:
-    fixes = {f.name: group_expr(f.name, f.dataType) for f in df.schema.fields if isinstance(f.dataType, MapType)}
+    fixes = {
+        f.name: group_expr(f.name, f.dataType)
+        for f in df.schema.fields
+        if isinstance(f.dataType, (MapType, DoubleType, FloatType))
+    }
     return df.withColumns(fixes) if fixes else df
 
 

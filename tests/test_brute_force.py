@@ -156,3 +156,24 @@ def test_reply_parse_matches_python(spark, replies):
         got.append(None if not r["ok"] else [(x["exercise_name"], x["code_base"], list(x["muscles"]), x["assistance"],
                                               x["repetitions"]) for x in r["recs"]])
     assert got == [python_parse(r) for r in replies]
+
+
+# ---------------------------------------------------------------- profile
+
+from tablewash.operators import profile as _profile
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 2)),
+                          st.one_of(st.none(), st.sampled_from([0.5, float("nan"), 2.0])),
+                          st.one_of(st.none(), st.sampled_from(["a", "b", ""]))), min_size=0, max_size=15)
+       .map(lambda rs: rs + rs[: len(rs) // 2]))
+def test_snapshot_matches_pandas(spark, rows):
+    import pandas as pd
+
+    sdf = spark.createDataFrame(rows, "a bigint, x double, s string")
+    snap = _profile.snapshot(sdf).first()
+    pdf = pd.DataFrame(rows, columns=["a", "x", "s"])
+    assert snap["rows"] == len(pdf)
+    assert snap["missing_values"] == {k: int(v) for k, v in pdf.isnull().sum().items()}
+    assert snap["duplicates"] == int(pdf.duplicated().sum())
