@@ -64,8 +64,9 @@ def slices(texts: list, limit: int = 4 * SEGMENT_BYTES) -> Iterator[tuple[int, i
         yield a, len(texts)
 
 
-def segments(texts: list[bytes], limit: int = SEGMENT_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text numbers, start offsets, bytes) of pieces joined by single spaces; no word is cut."""
+def segments(texts: list[bytes], limit: int = SEGMENT_BYTES, at_lines: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text numbers, start offsets, bytes) of pieces joined by single spaces; no word is cut,
+    and with ``at_lines`` no line of under ``limit`` bytes either."""
     ids: list[int] = []
     parts: list[bytes] = []
     size = 0
@@ -79,8 +80,10 @@ def segments(texts: list[bytes], limit: int = SEGMENT_BYTES) -> Iterator[tuple[n
         while at < len(t):
             end = len(t)
             if end - at > limit:
-                m = WHITE.search(t, at + limit)
-                end = m.start() if m else len(t)
+                end = t.rfind(b"\n", at + 1, at + limit) if at_lines else -1
+                if end < 0:
+                    m = WHITE.search(t, at + limit)
+                    end = m.start() if m else len(t)
             if parts and size + end - at > limit:
                 yield flush()
                 ids, parts, size = [], [], 0

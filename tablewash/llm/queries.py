@@ -7,8 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewash.llm import encoding, packing
-from tablewash.llm.common import documents, table
+from tablewash.llm import encoding, near, packing, quality, toxicity
+from tablewash.llm.common import documents, remainder, table
+
+
+def _judged(docs: DataFrame, held_out) -> DataFrame:
+    return docs.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    field = quality.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    return _judged(toxicity.score(spark, docs, field), remainder("doc_id", 3) == 1)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +32,25 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return _judged(toxicity.score(spark, docs, model), remainder("doc_id", 5) == 0)
+
+
+def op9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_components(spark, documents(spark, sf_dir), k=4, percent=85)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op4_bpe": op4_bpe,
+    "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
+    "op9_near": op9_near,
 }
 SQL: dict[str, str] = {}
