@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewash.llm import encoding, near, packing, quality, toxicity
-from tablewash.llm.common import documents, remainder, table
+from tablewash.llm import encoding, fingerprints, lines, near, packing, quality, topk, toxicity, warc
+from tablewash.llm.rollups import Rollups
+from tablewash.llm.common import documents, remainder, stored, table
+from tablewash.session import scratch_path
 
 
 def _judged(docs: DataFrame, held_out) -> DataFrame:
@@ -21,6 +23,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(spark, docs, field), remainder("doc_id", 3) == 1)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(spark, documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     coded = encoding.encode(spark, documents(spark, sf_dir), path, decoded=True)
@@ -32,6 +43,41 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark, table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches over all documents: counts by words come in; counts by bytes come in; the
+    word counts of a part are revised to letters only; a part is deleted. Each batch arrives twice."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = documents(spark, sf_dir).select(
+        "doc_id", "source", "lang",
+        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
+        F.regexp_count(text, F.lit(r"[A-Za-z]+")).cast("long").alias("letters"),
+        F.expr("cast((octet_length(coalesce(text, '')) + 3) div 4 as bigint)").alias("quads"),
+        remainder("doc_id", 10).alias("part"),
+    )
+    docs = stored(spark, docs, "token-counts")
+    revised = F.col("part") == 3
+
+    def changes(rows: DataFrame, op: str, version: str, n, old=F.lit(0)) -> DataFrame:
+        key = F.concat_ws("/", F.lit(op), F.lit(version), "doc_id")
+        return rows.select(key.alias("change_id"), F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("version"), n.alias("n_tokens"), old.alias("old_tokens"))
+
+    gone = docs.where("part = 7")
+    batches = {
+        "0001-words": changes(docs, "insert", "words-1", F.col("words")),
+        "0002-quads": changes(docs, "insert", "quads-1", F.col("quads")),
+        "0003-revised": changes(docs.where(revised), "revise", "words-1", F.col("letters"), F.col("words")),
+        "0004-deleted": changes(gone, "delete", "words-1", F.col("words")).union(changes(gone, "delete", "quads-1", F.col("quads"))),
+    }
+    store = Rollups(spark, scratch_path(spark, "rollups"))
+    for name, batch in [*batches.items(), *batches.items()]:
+        store.apply(name, batch)
+    return store.totals()
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
@@ -42,15 +88,25 @@ def op9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_components(spark, documents(spark, sf_dir), k=4, percent=85)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(spark, documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_warc": op2_warc,
+    "op3_lines": op3_lines,
     "op4_bpe": op4_bpe,
+    "op5_topk": op5_topk,
+    "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_near": op9_near,
+    "op10_fingerprints": op10_fingerprints,
 }
+
 SQL: dict[str, str] = {}
