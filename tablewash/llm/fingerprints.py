@@ -29,6 +29,7 @@ PLACE = (1 << 26) - 1  # low bits: place in the text
 HASH = -(1 << 26)  # high bits
 BIN = 58  # bits below the bin number
 EMPTY = "----"
+NO_ID = -(1 << 63)
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -81,16 +82,18 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     edited text has its last half replaced by the beginning of the next document's."""
     prepare(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
+    # the id is kept in d alone, so that both joins below read one and the same exchange of the texts
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
     places = next_places(spark, own.groupBy("d", "h").agg(F.max(F.length("text")).alias("n")))
     places = stored(spark, places, "next-places")
     # the beginning of each place's next text, as long as half of the place's own
-    heads = own.dropDuplicates(["d", "h"]).select(F.col("d").alias("nd"), F.col("h").alias("nh"), "text")
-    heads = heads.join(places, ["nd", "nh"]).select("d", "h", "nd", "nh", F.expr("substring(text, 1, cast(n div 2 as int))").alias("head"))
-    whole = own.join(heads, ["d", "h"])
+    wanted = places.select("nd", "nh", F.col("d").alias("od"), F.col("h").alias("oh"), "n")
+    heads = own.join(wanted, (F.col("d") == F.col("nd")) & (F.col("h") == F.col("nh")))
+    heads = heads.select(F.col("od").alias("d"), F.col("oh").alias("h"), "nd", "nh", F.expr("substring(text, 1, cast(n div 2 as int))").alias("head"))
+    whole = own.join(heads.dropDuplicates(["d", "h"]), ["d", "h"])
     n = F.length("text")
     whole = whole.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(length(text) div 2 as int))"), "head"))
-    whole = whole.select("doc_id", "d", "h", "nd", "nh", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
+    whole = whole.select(F.when(F.col("d") != NO_ID, F.col("d")).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "d", "h", "nd", "nh", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "text", "edited")
     made = with_fingerprint(with_fingerprint(whole, "text", "f").drop("text"), "edited", "e").drop("edited")
     made = stored(spark, made, "fingerprints")
     after = made.select(F.col("d").alias("nd"), F.col("h").alias("nh"), F.col("f").alias("g")).dropDuplicates(["nd", "nh"])
