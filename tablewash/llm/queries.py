@@ -56,7 +56,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("words"),
         F.regexp_count(text, F.lit(r"[A-Za-z]+")).cast("long").alias("letters"),
         F.expr("cast((octet_length(coalesce(text, '')) + 3) div 4 as bigint)").alias("quads"),
-        remainder("doc_id", 10).alias("part"),
+        F.pmod("doc_id", F.lit(10)).alias("part"),
     )
     docs = stored(spark, docs, "token-counts")
     revised = F.col("part") == 3
@@ -109,4 +109,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT html, max(page_id) AS last FROM p GROUP BY html)
+SELECT page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(h, CAST(1 + (k // 4) * 5 AS INT), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p JOIN m ON p.html = m.html""",
+    "op3_lines": r"""
+WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS line, len(regexp_extract_all(ls[i], '\S+')) AS words FROM t, range(1, len(ls) + 1) r(i)),
+b AS (SELECT doc_id, i, line, words, row_number() OVER w AS p, sum(words) OVER w AS total
+      FROM l WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, list(line ORDER BY p) AS ls, list(i ORDER BY p) AS ii FROM b GROUP BY doc_id),
+e AS (SELECT x.doc_id, x.p, x.i AS start, min(y.p) AS e FROM b x JOIN b y
+      ON x.doc_id = y.doc_id AND y.p >= x.p AND y.total - x.total + x.words >= 30 GROUP BY x.doc_id, x.p, x.i),
+k AS (SELECT e.doc_id, start, ii[e.e] AS stop, list_slice(ls, e.p, e.e) AS key FROM e JOIN g USING (doc_id)),
+f AS (SELECT key, doc_id AS fd, stop AS fs FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, start) AS n FROM k) WHERE n = 1),
+x AS (SELECT DISTINCT l.doc_id, l.i FROM k JOIN f USING (key) JOIN l ON l.doc_id = k.doc_id AND l.i BETWEEN start AND stop
+      WHERE k.doc_id <> fd OR start > fs)
+SELECT l.doc_id, count(*) AS n_lines, count(x.i) AS n_deleted,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE x.i IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.i = x.i GROUP BY l.doc_id""",
+    "op5_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op6_token_counts": r"""
+WITH d AS (SELECT source, lang, doc_id % 10 AS part,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS letters,
+  (octet_length(encode(coalesce(text, ''))) + 3) // 4 AS quads FROM documents),
+c AS (SELECT source, lang, 'words-1' AS version, CASE WHEN part = 3 THEN letters ELSE words END AS n FROM d WHERE part <> 7
+  UNION ALL SELECT source, lang, 'quads-1', quads FROM d WHERE part <> 7)
+SELECT source, lang, version, CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM c GROUP BY source, lang, version""",
+    "op9_near": r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 3) AS x FROM t, range(1, greatest(len(w) - 3, 1) + 1) r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(t.doc_id, coalesce(min(reach.b), t.doc_id)) AS component_id
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN reach ON reach.a = t.doc_id GROUP BY t.doc_id, n.n""",
+}
