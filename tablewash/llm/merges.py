@@ -234,15 +234,22 @@ class Encoder:
     worker comes from a bounded memory; a new one is split, looked up in the lexicon (if any)
     and, where the lexicon lacks a piece, merged."""
 
-    def __init__(self, path: str, splitter, lexicon: Lexicon | None = None, remembered: int = 600_000):
+    def __init__(self, path: str, splitter, lexicon: Lexicon | None = None, remembered: int = 300_000):
         self.merger, self.splitter, self.lexicon, self.remembered = Merger(path), splitter, lexicon, remembered
         self.inner: dict[str, bytes] = {}  # chunks after a space
         self.pieces: dict[str, bytes] = {}
-        self.library = Tokenizer.from_file(path)  # only for letters outside the plain ranges
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path, self._library = path, None
         self.marks = re.compile("(" + "|".join(map(re.escape, self.merger.special)) + ")")
 
+    @property
+    def library(self) -> Tokenizer:
+        """Only for letters outside the plain ranges."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library
+
     def _encode_pieces(self, pieces: list[str]) -> None:
         words = [p.encode("utf-8", "surrogatepass") for p in pieces]
         got: list[bytes | None] = [None] * len(words)
