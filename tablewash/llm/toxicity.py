@@ -42,7 +42,7 @@ ROUNDS, PICK, RATE, SMOOTH = 60, 10, 0.03, 3.0
 #: Passages picked per document: of a toxic one those near its worst, of a clean one its worst.
 TOP_TOXIC, TOP_CLEAN = 3, 6
 #: Sampled labelled documents of each class, and the longest that is sampled (bytes).
-SAMPLE, SAMPLE_BYTES = 1200, 1 << 14
+SAMPLE, SAMPLE_BYTES = 1000, 1 << 14
 #: Decay of vectors, softmax and bias; gradients well below the floor move little.
 DECAY, FLOOR = (2e-3, 0.0, 0.0), 1e-4
 #: Words of fewer sampled documents teach nothing (their n-grams may, in other words).
