@@ -19,22 +19,28 @@ log = logging.getLogger(__name__)
 TARGETS = ("int", "float", "str", "datetime")
 
 # Formats tried, in order, when a text column is turned into timestamps without
-# an explicit format: the first one that parses every non-missing value wins.
+# an explicit format: the first one that parses the column's first value is taken (month
+# before day), and the column is refused if a later value breaks it.
 DATETIME_FORMATS = (
     None,  # ISO-8601 as the SQL cast reads it
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd",
     "yyyy/MM/dd",
-    "dd/MM/yyyy",
     "MM/dd/yyyy",
+    "dd/MM/yyyy",
     "dd.MM.yyyy",
     "dd-MM-yyyy",
-    "dd/MM/yyyy HH:mm",
     "MM/dd/yyyy HH:mm",
+    "dd/MM/yyyy HH:mm",
     "yyyyMMdd",
 )
 
+JVM_SUFFIX = r"[0-9.][dDfF]\s*$"
+# plain decimal numbers as CSV readers take them; longer whole numbers than 64 bits stay text
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$"
+WHOLE = r"^[+-]?\d+$"
+
 EPOCH_DIVISORS = {"ns": 1000, "us": 1, "ms": None, "s": None}
 
 
@@ -67,6 +73,8 @@ def convert(col: Column, dtype: DataType, target: str, fmt: str | None = None, u
         return col.try_cast("bigint")
     if target == "float":
         d = col.try_cast("double")
+        if isinstance(dtype, StringType):  # 1D, 2F: suffixes of the JVM's number parser, not numbers
+            d = F.when(col.rlike(JVM_SUFFIX), F.lit(None).cast("double")).otherwise(d)
         return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
     if target == "str":
         return col.cast("string")
@@ -82,8 +90,8 @@ def _present(name: str, dtype: DataType) -> Column:
 
 
 def choose_datetime_formats(df: DataFrame, cols: Sequence[str], formats: Sequence[str | None] = DATETIME_FORMATS) -> dict[str, str | None]:
-    """For text columns: first format parsing every non-missing value (one job).
-    Columns no format fits are left out of the result."""
+    """For text columns: the first format that parses the first non-missing value, if it parses
+    all others too (one job). Other columns are left out of the result."""
     if not cols:
         return {}
     aggs = []
@@ -91,13 +99,13 @@ def choose_datetime_formats(df: DataFrame, cols: Sequence[str], formats: Sequenc
         for j, f in enumerate(formats):
             parsed = _to_timestamp(c(n), StringType(), f, "ns")
             aggs.append(F.count_if(c(n).isNotNull() & parsed.isNull()).alias(f"f_{i}_{j}"))
+            aggs.append(F.first(F.when(c(n).isNotNull(), parsed.isNotNull()), ignorenulls=True).alias(f"h_{i}_{j}"))
     row = df.agg(*aggs).first()
     chosen = {}
     for i, n in enumerate(cols):
-        for j, f in enumerate(formats):
-            if row[f"f_{i}_{j}"] == 0:
-                chosen[n] = f
-                break
+        fits = [j for j in range(len(formats)) if row[f"h_{i}_{j}"] is not False]
+        if fits and row[f"f_{i}_{fits[0]}"] == 0:
+            chosen[n] = formats[fits[0]]
     return chosen
 
 
@@ -192,7 +200,7 @@ def infer_types(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         aggs += [
             F.count(v).alias(f"n{i}"),
             F.count_if(v.isNotNull() & F.btrim(v).try_cast("bigint").isNull()).alias(f"l{i}"),
-            F.count_if(v.isNotNull() & F.btrim(v).try_cast("double").isNull()).alias(f"d{i}"),
+            F.count_if(v.isNotNull() & (~F.btrim(v).rlike(NUMBER) | (F.btrim(v).rlike(WHOLE) & F.btrim(v).try_cast("bigint").isNull()))).alias(f"d{i}"),
             F.count_if(v.isNotNull() & ~v.isin(bools)).alias(f"b{i}"),
         ]
     row = df.agg(*aggs).first()
@@ -205,6 +213,5 @@ def infer_types(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         elif row[f"d{i}"] == 0:
             fixes[n] = F.btrim(c(n)).try_cast("double")
         elif row[f"b{i}"] == 0:
-            fixes[n] = c(n).isin(list(TRUE_TOKENS))
             fixes[n] = F.when(c(n).isNull(), F.lit(None).cast("boolean")).otherwise(c(n).isin(list(TRUE_TOKENS)))
     return df.withColumns(fixes) if fixes else df

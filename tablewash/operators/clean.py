@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BooleanType, MapType, NumericType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, FloatType, MapType, NumericType, StringType
 
 from tablewash.functions.missing import is_missing, normalize_nan
 from tablewash.functions.names import c
@@ -54,9 +54,9 @@ def replace_zeros(df: DataFrame, columns: str | Sequence[str] | None = "all", ke
         cols = numeric_columns(df, key_columns)
     else:
         cols = _check_columns(df, [columns] if isinstance(columns, str) else list(columns))
-    if not cols:
-        return df
-    return df.withColumns({n: F.nullif(c(n), F.lit(0)) for n in cols})
+    numeric = set(numeric_columns(df))
+    cols = [n for n in cols if n in numeric]  # text never equals the number 0
+    return df.withColumns({n: F.nullif(c(n), F.lit(0)) for n in cols}) if cols else df
 
 
 # ---------------------------------------------------------------- missing
@@ -109,17 +109,24 @@ def _nan_to_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns(fixes) if fixes else df
 
 
-def fill_mean(df: DataFrame, key_columns: Iterable[str] = ()) -> DataFrame:
-    """Numeric columns: missing -> column mean (as double). Text untouched."""
+def _numeric_with_missing(df: DataFrame, key_columns: Iterable[str]) -> list[str]:
     cols = numeric_columns(df, key_columns)
+    return columns_with_missing(df.select(*[c(n) for n in cols])) if cols else []
+
+
+def fill_mean(df: DataFrame, key_columns: Iterable[str] = ()) -> DataFrame:
+    """Numeric columns with a missing value: missing -> column mean, the column becomes double.
+    Columns with nothing missing keep type and values (one aggregate job finds them)."""
+    cols = _numeric_with_missing(df, key_columns)
     return _fill_from_row(_nan_to_null(df, cols), stats.means(df, cols), cols, cast="double")
 
 
 def fill_median(df: DataFrame, key_columns: Iterable[str] = (), approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Numeric columns: missing -> exact median (mean of the middle two), as
     double. ``approx=True`` uses ``percentile_approx`` instead: one pass and a
-    bounded sketch per column, a value of the column within 1/accuracy rank."""
-    cols = numeric_columns(df, key_columns)
+    bounded sketch per column, a value of the column within 1/accuracy rank.
+    Columns with nothing missing keep type and values."""
+    cols = _numeric_with_missing(df, key_columns)
     if approx:
         if not cols:
             return df
@@ -151,14 +158,18 @@ def fill_literal(df: DataFrame, value, key_columns: Iterable[str] = (), on_misma
         return df
     lit = F.lit(value)
     probes = spark.range(1).select(*[lit.try_cast(f.dataType).alias(f"p{i}") for i, f in enumerate(fields)]).first()
-    typed = [f for i, f in enumerate(fields) if probes[f"p{i}"] is not None]
-    misfit = [f for i, f in enumerate(fields) if probes[f"p{i}"] is None]
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    # a number that the column's type would change (12.7 in a bigint): the column becomes double
+    lossy = {f.name for i, f in enumerate(fields) if number and isinstance(f.dataType, NumericType) and probes[f"p{i}"] is not None and float(probes[f"p{i}"]) != float(value) and not isinstance(f.dataType, (DoubleType, FloatType))}
+    typed = [f for i, f in enumerate(fields) if probes[f"p{i}"] is not None and f.name not in lossy]
+    misfit = [f for i, f in enumerate(fields) if probes[f"p{i}"] is None or f.name in lossy]
     fills = {f.name: F.when(is_missing(f.name, f.dataType), lit.try_cast(f.dataType)).otherwise(c(f.name)) for f in typed}
     if misfit and on_mismatch == "widen":
         counts = df.agg(*[F.count_if(is_missing(f.name, f.dataType)).alias(f"m{i}") for i, f in enumerate(misfit)]).first()
         for i, f in enumerate(misfit):
             if counts[f"m{i}"] > 0:
-                fills[f.name] = F.when(is_missing(f.name, f.dataType), lit.cast("string")).otherwise(c(f.name).cast("string"))
+                wide = "double" if f.name in lossy else "string"
+                fills[f.name] = F.when(is_missing(f.name, f.dataType), lit.cast(wide)).otherwise(c(f.name).cast(wide))
     return df.withColumns(fills) if fills else df
 
 
@@ -189,7 +200,8 @@ def remove_duplicates(df: DataFrame, key_columns: Iterable[str] = (), order_col:
     Without key columns this is ``dropDuplicates()``: one hash aggregate with a
     map-side combine, so a row repeated a billion times is collapsed before the
     shuffle. With key columns the kept row is the one with the lowest
-    ``order_col`` (default: the first key column); ``min_by`` is also partial."""
+    ``order_col`` (default: the key columns in turn; a missing key comes last, and the row
+    stays whole); ``min_by`` is also partial."""
     keys = [k for k in key_columns if k in df.columns]
     # missing is NULL: NaN and NULL are one missing value, as in the profile
     df = normalize_nan(df)
@@ -197,13 +209,14 @@ def remove_duplicates(df: DataFrame, key_columns: Iterable[str] = (), order_col:
     if not keys and not has_map:
         return df.dropDuplicates()
     subset = [x for x in df.columns if x not in keys]
-    return _dedup_keep_first(df, subset, order_col or (keys[0] if keys else None))
+    return _dedup_keep_first(df, subset, [order_col, *keys] if order_col else keys)
 
 
-def _dedup_keep_first(df: DataFrame, subset: Sequence[str], order_col: str | None) -> DataFrame:
+def _dedup_keep_first(df: DataFrame, subset: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     gkeys = [group_expr(n, types[n]).alias(f"_tw_k{i}") for i, n in enumerate(subset)]
-    order = c(order_col) if order_col else F.lit(0)
+    # min_by skips NULL orders: a struct is never NULL
+    order = F.struct(F.lit(0), *[x for n in order_cols for x in (c(n).isNull(), c(n))])
     kept = df.groupBy(*gkeys).agg(F.min_by(F.struct(*[c(x) for x in df.columns]), order).alias("_tw_row"))
     return kept.select(*[F.col("_tw_row")[x].alias(x) for x in df.columns])
 

@@ -39,7 +39,9 @@ def keep_known(
     items = df.select(*[c(k) for k in keys], F.posexplode(c(list_col)).alias("_tw_pos", "_tw_m"))
     kept = items.join(words, "_tw_m", "left_semi")
     gathered = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_tw_pos", "_tw_m"))).alias("_tw_l"))
-    back = df.drop(list_col).join(gathered, keys, "left")
+    found = gathered.select(*[c(k).alias(f"_tw_k{i}") for i, k in enumerate(keys)], "_tw_l")
+    same = [c(k).eqNullSafe(F.col(f"_tw_k{i}")) for i, k in enumerate(keys)]
+    back = df.drop(list_col).join(found, same, "left")
     return back.withColumn(
         list_col, F.coalesce(F.transform("_tw_l", lambda x: x["_tw_m"]), F.array().cast("array<string>"))
     ).drop("_tw_l").select(*df.columns)

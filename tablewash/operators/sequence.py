@@ -33,21 +33,21 @@ MAX_PARTITIONS = 100_000
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    """Range partitions sized from the optimizer's size estimate and the
+    """Range partitions sized from the sizes of the tables that ``df`` reads and the
     advisory partition size (AQE's target), so the count grows with the data;
     the shuffle-partition setting is the fallback when no estimate exists."""
     if num_partitions:
         return int(num_partitions)
     spark = df.sparkSession
     fallback = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    try:
-        jvm = spark.sparkContext._jvm  # noqa: SLF001
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())  # noqa: SLF001
-        target = int(jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-            spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")))
-    except Exception:  # noqa: BLE001 - no estimate available
+    if not hasattr(df, "_jdf"):  # Spark Connect: no estimate
         return fallback
-    if size <= 0 or size >= 2**62 or target <= 0:
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()  # noqa: SLF001
+    # the tables read, not the plan's own estimate: that multiplies the sides of a join
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    target = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(  # noqa: SLF001
+        spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")))
+    if size <= 0 or size >= 2**62:
         return fallback
     return max(1, min(math.ceil(size / target), MAX_PARTITIONS))
 

@@ -17,4 +17,5 @@ def sort_by(df: DataFrame, column: str | None, ascending: bool = True) -> DataFr
     if not column or column not in df.columns:
         return df
     key = c(column).asc_nulls_last() if ascending else c(column).desc_nulls_last()
-    return df.orderBy(key, F.xxhash64(*[c(x) for x in df.columns]))
+    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return df.orderBy(key, F.xxhash64(*[c(x) for x in hashable])) if hashable else df.orderBy(key)

@@ -111,9 +111,10 @@ def prepare_notes(
     )
     ordered = number_rows(base, ["sheet"], [f"_o{i}" for i in range(len(order_cols))], out="row_ordinal")
     if roles.patient:
-        # one row per sheet; min_by is a partial aggregate
-        per_sheet = ordered.where(F.col("_patient").isNotNull()).groupBy("sheet").agg(
-            F.min_by("_patient", "row_ordinal").alias("_first_patient")
+        # one row per sheet, straight from the notes; min_by is a partial aggregate
+        first_order = F.struct(F.lit(0), *[F.col(f"_o{i}") for i in range(len(order_cols))])
+        per_sheet = base.where(F.col("_patient").isNotNull()).groupBy("sheet").agg(
+            F.min_by("_patient", first_order).alias("_first_patient")
         )
         ordered = ordered.join(per_sheet, "sheet", "left")
         patient = F.coalesce(F.col("_first_patient"), F.lit("unknown"))
@@ -131,26 +132,20 @@ def prepare_notes(
 
 # ------------------------------------------------------------------ prompt
 
-def vocabulary_lines(reference: DataFrame | None, muscles: DataFrame | None, max_entries: int = 10000) -> tuple[str, str, list[str]]:
-    """Prompt blocks for the two vocabularies plus the body-part list. Both
-    are small reference lists: each is gathered by one job that stops after
-    ``max_entries + 1`` rows, and a longer list raises (a prompt cannot hold
-    it anyway)."""
+def vocabulary_lines(reference: DataFrame | None, muscles: DataFrame | None) -> tuple[str, str, list[str]]:
+    """Prompt blocks for the two vocabularies plus the body-part list. Every
+    entry goes into every prompt, so the driver holds what one prompt holds."""
     ref_text = NO_REFERENCE
     names: list[str] = []
     if reference is not None:
         rows = reference.select(
             F.format_string("- %s | code: %s | code_base: %s", "name", "code", "code_base").alias("l")
-        ).orderBy("l").limit(max_entries + 1).collect()
-        if len(rows) > max_entries:
-            raise ValueError(f"reference list too large for a prompt: more than {max_entries}")
+        ).orderBy("l").collect()
         if rows:
             ref_text = "\n".join(r["l"] for r in rows)
     if muscles is not None:
         first = muscles.columns[0]
-        rows = muscles.select(c(first).cast("string").alias("m")).distinct().orderBy("m").limit(max_entries + 1).collect()
-        if len(rows) > max_entries:
-            raise ValueError(f"vocabulary too large for a prompt: more than {max_entries}")
+        rows = muscles.select(c(first).cast("string").alias("m")).distinct().orderBy("m").collect()
         names = [r["m"] for r in rows]
     return ref_text, "\n".join(f"- {m}" for m in names), names
 

@@ -184,8 +184,7 @@ ty AS (SELECT column_name, {DUCK_TO_SPARK_TYPE} AS t,
         ("standardize_case", {"case": "lowercase"}),
     ]
     steps_json = _json.dumps(
-        [{"step": n, "params": _json.dumps(p, ensure_ascii=False, sort_keys=True)} for n, p in recipe_steps],
-        ensure_ascii=False, separators=(",", ":"),
+        [{"step": n, "params": dict(sorted(p.items()))} for n, p in recipe_steps], ensure_ascii=False, separators=(",", ":"),
     )
     steps_html = "".join(
         f"<li>{_html.escape(n)} — {_html.escape(_json.dumps(p, ensure_ascii=False, sort_keys=True))}</li>"

@@ -49,13 +49,13 @@ class Recipe:
 
     def get(self, step: str) -> dict | None:
         """Params of the first step of that name, or None."""
-        for s in self.steps:
-            if s.step == step:
-                return s.params
-        return None
+        return self._first().get(step)
 
     def has(self, step: str) -> bool:
-        return any(s.step == step for s in self.steps)
+        return step in self._first()
+
+    def _first(self) -> dict[str, dict]:
+        return {s.step: s.params for s in reversed(self.steps)}
 
     # -- JSON -------------------------------------------------------------
     def to_dict(self) -> dict:
@@ -82,11 +82,18 @@ class Recipe:
             return Recipe.loads(f.read())
 
     # -- apply ------------------------------------------------------------
-    def apply(self, df: DataFrame, key_columns=(), fixed_order: bool = True) -> DataFrame:
+    def apply(self, df: DataFrame, key_columns=(), fixed_order: bool = True, trim: bool = True) -> DataFrame:
         """Run the recipe. ``fixed_order`` runs steps in STEP_ORDER (the
         reference's order; first occurrence of each); otherwise in recorded
-        order. Steps absent from the recipe are skipped."""
-        steps = [Step(n, self.get(n)) for n in STEP_ORDER if self.has(n)] if fixed_order else list(self.steps)
+        order. Steps absent from the recipe are skipped, but for the trim: in the
+        fixed order it always runs, on all text columns (unless ``trim=False``)."""
+        steps = list(self.steps)
+        if fixed_order:
+            own = {n: Step(n, self.get(n)) for n in STEP_ORDER if self.has(n)}
+            own.pop("trim_whitespace", None)
+            if trim:
+                own["trim_whitespace"] = Step("trim_whitespace", {})
+            steps = [own[n] for n in STEP_ORDER if n in own]
         out = df
         for s in steps:
             out = apply_step(out, s.step, s.params, key_columns)
@@ -146,7 +153,7 @@ def clean_table(
         r = r.record("trim_whitespace", {})
     if case and case.lower() != "none":
         r = r.record("standardize_case", {"case": case.lower()})
-    return r.apply(df, key_columns=key_columns), r
+    return r.apply(df, key_columns=key_columns, trim=trim), r
 
 
 def run_recipe(

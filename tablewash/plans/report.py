@@ -100,8 +100,9 @@ def summary_row(report: DataFrame) -> DataFrame:
 
 
 def report_json(report: DataFrame) -> DataFrame:
-    """One row, column ``json``: the whole report as a JSON document."""
-    return report.select(F.to_json(F.struct("*")).alias("json"))
+    """One row, column ``json``: the whole report as a JSON document (step parameters as objects)."""
+    steps = F.transform("pipeline_steps", lambda s: F.struct(s["step"].alias("step"), F.parse_json(s["params"]).alias("params")))
+    return report.withColumn("pipeline_steps", steps).select(F.to_json(F.struct("*")).alias("json"))
 
 
 def report_text_lines(report: DataFrame) -> DataFrame:

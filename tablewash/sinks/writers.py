@@ -142,9 +142,9 @@ def write_jdbc(
 # ------------------------------------------------------------------ documents
 
 def to_documents(df: DataFrame, drop_columns: Iterable[str] = ()) -> DataFrame:
-    """One JSON document per row (column ``document``); missing fields omitted."""
+    """One JSON document per row (column ``document``) with every field (missing ones are null)."""
     out = _prepare(df, None, True, drop_columns)
-    return out.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in out.columns])).alias("document"))
+    return out.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in out.columns]), {"ignoreNullFields": "false"}).alias("document"))
 
 
 def write_documents(

@@ -1,10 +1,9 @@
 """File census: type by extension, type by leading bytes, agreement, encoding.
 
-A ``binaryFile`` scan lists every file under a path (recursively). The type by
-extension needs only the path. The content checks read files up to 64 MB whole
-inside the JVM scan (the length filter is applied before content is read);
-larger files are opened by a Python task that reads only their first 64 KB, so
-no file is ever loaded whole into one row. Files that do not exist are
+A ``binaryFile`` scan lists every file under a path (recursively); the type by
+extension needs only the path. The content checks read every byte of every
+file, in chunks of bounded size, in the tasks (one open per file), so a file of
+any size is judged whole and never held whole. Files that do not exist are
 reported as rows with status ``missing`` rather than raised.
 """
 
@@ -36,9 +35,9 @@ def type_by_extension(path: Column) -> Column:
     return expr
 
 
-def type_by_content(content: Column) -> Column:
+def type_by_content(head: Column) -> Column:
     """Zip magic -> excel; first byte '{' or '[' -> json; anything else -> csv."""
-    head = F.hex(F.substring(content, 1, 4))
+    head = F.hex(F.substring(head, 1, 4))
     first = F.substring(head, 1, 2)
     return (
         F.when(head == "504B0304", F.lit("excel"))
@@ -47,24 +46,17 @@ def type_by_content(content: Column) -> Column:
     )
 
 
-def encoding_of(content: Column, sampled: Column | None = None) -> Column:
-    """Byte-order mark if present, else UTF-8 when the bytes are valid UTF-8,
-    else ISO-8859-1 (every byte sequence is valid Latin-1). A sampled head
-    may end inside a multi-byte character: up to 3 trailing bytes are ignored."""
-    head = F.hex(F.substring(content, 1, 4))
-    valid = F.is_valid_utf8(content.cast("string"))
-    if sampled is not None:
-        n = F.length(content)
-        cut = [F.is_valid_utf8(F.substr(content, F.lit(1), n - k).cast("string")) for k in (1, 2, 3)]
-        valid = valid | (sampled & (cut[0] | cut[1] | cut[2]))
+def encoding_of(head: Column, valid: Column) -> Column:
+    """Byte-order mark if present, else UTF-8 when all bytes are valid UTF-8,
+    else ISO-8859-1 (every byte sequence is valid Latin-1)."""
+    marks = F.hex(F.substring(head, 1, 4))
     expr = F.when(valid, F.lit("UTF-8")).otherwise(F.lit("ISO-8859-1"))
     for bom, name in reversed(BOMS):
-        expr = F.when(head.startswith(bom), F.lit(name)).otherwise(expr)
+        expr = F.when(marks.startswith(bom), F.lit(name)).otherwise(expr)
     return expr
 
 
-HEAD_BYTES = 64 * 1024
-MAX_CONTENT_BYTES = 64 * 1024 * 1024
+CHUNK_BYTES = 1 << 20
 
 
 def arrow_uri(path: str) -> str:
@@ -76,46 +68,46 @@ def arrow_uri(path: str) -> str:
     return path
 
 
-def _read_heads(batches):
-    """First HEAD_BYTES of each file (large files only): one open per file."""
+def _read_files(batches):
+    """First bytes of each file, whether all its bytes are UTF-8, whether all are ASCII."""
+    import codecs
+
     import pandas as pd
     from pyarrow import fs
 
     for b in batches:
-        heads = []
+        rows = []
         for path in b["path"]:
             filesystem, inner = fs.FileSystem.from_uri(arrow_uri(path))
-            with filesystem.open_input_stream(inner) as f:
-                heads.append(f.read(HEAD_BYTES))
-        yield pd.DataFrame({"path": b["path"], "content": heads})
-
-
-def file_heads(spark: SparkSession, paths: Sequence[str], max_content_bytes: int = MAX_CONTENT_BYTES) -> DataFrame:
-    """(path, length, content): whole content for files up to
-    ``max_content_bytes`` (JVM ``binaryFile``; the length filter is applied
-    before any content is read), the first 64 KB for larger ones."""
+            head, valid, ascii_only = b"", True, True
+            decoder = codecs.getincrementaldecoder("utf-8")()
+            with filesystem.open_input_stream(inner, compression=None) as f:
+                while chunk := f.read(CHUNK_BYTES):
+                    head = (head + chunk[:4])[:4]
+                    ascii_only = ascii_only and chunk.isascii()
+                    if valid:
+                        try:
+                            decoder.decode(chunk)
+                        except UnicodeDecodeError:
+                            valid = False
+            if valid:
+                try:
+                    decoder.decode(b"", final=True)
+                except UnicodeDecodeError:
+                    valid = False
+            rows.append((path, head, valid, ascii_only))
+        yield pd.DataFrame(rows, columns=["path", "head", "valid", "ascii_only"])
+
+
+def file_census(spark: SparkSession, path: str | Sequence[str], with_content: bool = True) -> DataFrame:
+    """(path, file_name, extension, ext_type, size, content_type, encoding, ascii_only, status).
+
+    status: ok | unsupported | mismatch | missing. ``ascii_only`` files read
+    alike in UTF-8 and ISO-8859-1."""
     from tablewash.session import ship_package
 
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    small = reader.load(list(paths)).where(F.col("length") <= max_content_bytes).select("path", "length", "content")
-    big = reader.load(list(paths)).where(F.col("length") > max_content_bytes).select("path", "length")
-    ship_package(spark)
-    big_heads = big.select("path").mapInPandas(_read_heads, "path string, content binary").join(big, "path")
-    return small.unionByName(big_heads.select("path", "length", "content"))
-
-
-def file_census(
-    spark: SparkSession, path: str | Sequence[str], with_content: bool = True, max_content_bytes: int = MAX_CONTENT_BYTES
-) -> DataFrame:
-    """(path, file_name, extension, ext_type, size, content_type, encoding, status).
-
-    status: ok | unsupported | mismatch | missing. The encoding of a file
-    larger than ``max_content_bytes`` is judged on its first 64 KB."""
     paths = [path] if isinstance(path, str) else list(path)
-    if with_content:
-        listing = file_heads(spark, paths, max_content_bytes)
-    else:
-        listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length")
     cols = [
         F.col("path"),
         F.regexp_extract("path", r"([^/]*)$", 1).alias("file_name"),
@@ -124,11 +116,18 @@ def file_census(
         F.col("length").alias("size"),
     ]
     if with_content:
-        sampled = F.col("length") > max_content_bytes
-        cols += [type_by_content(F.col("content")).alias("content_type"),
-                 encoding_of(F.col("content"), sampled).alias("encoding")]
+        ship_package(spark)
+        kinds = "path string, length long, head binary, valid boolean, ascii_only boolean"
+
+        def run(batches):
+            for b in batches:
+                found = next(_read_files([b]))
+                yield b.assign(head=found["head"], valid=found["valid"], ascii_only=found["ascii_only"])
+
+        listing = listing.mapInPandas(run, kinds)
+        cols += [type_by_content(F.col("head")).alias("content_type"), encoding_of(F.col("head"), F.col("valid")).alias("encoding"), F.col("ascii_only")]
     else:
-        cols += [F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("string").alias("encoding")]
+        cols += [F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("string").alias("encoding"), F.lit(None).cast("boolean").alias("ascii_only")]
     df = listing.select(*cols)
     status = (
         F.when(F.col("ext_type") == UNSUPPORTED, F.lit("unsupported"))
@@ -138,10 +137,10 @@ def file_census(
     return df.withColumn("status", status)
 
 
-def census_of_files(spark: SparkSession, files: Sequence[str], max_content_bytes: int = MAX_CONTENT_BYTES) -> DataFrame:
+def census_of_files(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     """Census for an explicit list of files; absent files appear with status
     'missing' (one row each) instead of failing the job."""
-    from pyspark.sql.types import StringType, StructField, StructType, LongType
+    from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
     files = list(files)
     jvm_fs = spark.sparkContext._jvm.org.apache.hadoop.fs  # noqa: SLF001
@@ -154,12 +153,12 @@ def census_of_files(spark: SparkSession, files: Sequence[str], max_content_bytes
     schema = StructType(
         [StructField(n, t) for n, t in (("path", StringType()), ("file_name", StringType()), ("extension", StringType()),
                                         ("ext_type", StringType()), ("size", LongType()), ("content_type", StringType()),
-                                        ("encoding", StringType()), ("status", StringType()))]
+                                        ("encoding", StringType()), ("ascii_only", BooleanType()), ("status", StringType()))]
     )
-    miss = spark.createDataFrame([(f, f.rsplit("/", 1)[-1], None, None, None, None, None, "missing") for f in absent], schema)
+    miss = spark.createDataFrame([(f, f.rsplit("/", 1)[-1], None, None, None, None, None, None, "missing") for f in absent], schema)
     if not present:
         return miss
-    found = file_census(spark, present, max_content_bytes=max_content_bytes)
+    found = file_census(spark, present)
     return found.unionByName(miss.withColumns({
         "extension": extension_of(F.col("path")), "ext_type": type_by_extension(F.col("path")),
     }))
@@ -169,9 +168,9 @@ def require_type(census_row) -> str:
     """Strict check of one census row, as the reference's reader does."""
     st = census_row["status"]
     if st == "missing":
-        raise FileNotFoundError(f"File not found or is not a file: {census_row['path']}")
+        raise FileNotFoundError(f"no such file: {census_row['path']}")
     if st == "unsupported":
-        raise ValueError(f"Format not supported: {census_row['path']}")
+        raise ValueError(f"no reader for this file type: {census_row['path']}")
     if st == "mismatch":
-        raise ValueError(f"Extension does not match file content: {census_row['path']}")
+        raise ValueError(f"name and content are of different types: {census_row['path']}")
     return census_row["ext_type"]

@@ -31,15 +31,11 @@ def read_csv(
 ) -> DataFrame:
     """Read CSV as text, NULL for missing tokens, then infer types.
 
-    ``encoding=None`` uses the census guess of the first file (BOM / UTF-8 /
-    Latin-1). ``multiline=True`` keeps quoted line breaks right but reads each
+    ``encoding=None`` uses the census of all files (BOM / UTF-8 / Latin-1). ``multiline=True`` keeps quoted line breaks right but reads each
     file in one task; set it False for very large single files without them."""
     paths = [path] if isinstance(path, str) else list(path)
     if encoding is None:
-        from tablewash.sources.census import file_census
-
-        row = file_census(spark, paths[0]).select("encoding").first()
-        encoding = (row["encoding"] if row else None) or "UTF-8"
+        encoding = common_encoding(spark, paths)
     df = (
         spark.read.option("header", True)
         .option("sep", sep)
@@ -59,6 +55,46 @@ def read_csv(
     return infer_types(df) if infer else df
 
 
+def common_encoding(spark: SparkSession, paths: Sequence[str]) -> str:
+    """The one encoding of all files; plain ASCII files agree with UTF-8 and ISO-8859-1."""
+    from tablewash.sources.census import file_census
+
+    data = ~F.col("file_name").startswith("_") & ~F.col("file_name").startswith(".")
+    found = {r["encoding"] for r in file_census(spark, list(paths)).where(data & ~F.col("ascii_only")).select("encoding").distinct().collect()}
+    if len(found) > 1:
+        raise ValueError(f"files of {list(paths)} differ in encoding {sorted(found)}; pass encoding=")
+    return found.pop() if found else "UTF-8"
+
+
+def json_layout(spark: SparkSession, path: str | Sequence[str]) -> str:
+    """'lines' (several values, one per line), 'document' (one value), else ValueError: every
+    value of every file is accounted for before anything is read."""
+    paths = [path] if isinstance(path, str) else list(path)
+    lines = spark.read.text(paths).where(F.trim("value") != "")
+    parsed = lines.select(F.input_file_name().alias("f"), F.try_parse_json("value").isNotNull().alias("ok"))
+    per_file = parsed.groupBy("f").agg(F.count("*").alias("n"), F.count_if("ok").alias("good"))
+    row = per_file.agg(F.count_if(F.expr("n > 1 and n = good")).alias("many"), F.count_if(F.expr("n > 1 and n != good")).alias("spread")).first()
+    if row["many"] and not row["spread"]:
+        return "lines"
+    def single(batches):  # the JVM's parser passes over what follows a first value
+        import json
+
+        for b in batches:
+            ok = []
+            for text in b["value"]:
+                try:
+                    json.loads(text)
+                    ok.append(True)
+                except ValueError:
+                    ok.append(False)
+            yield b.assign(ok=ok)[["ok"]]
+
+    whole = spark.read.text(paths, wholetext=True).where(F.trim("value") != "")
+    if row["many"] or (row["spread"] and not whole.mapInPandas(single, "ok boolean").where("not ok").isEmpty()):
+        raise ValueError(f"not one JSON value per file, nor one per line: {paths}")
+    return "document"
+
+
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
     """Flatten nested structs at every depth: ``a.b.c`` columns (backquoted on
     use). Arrays are kept as they are. Leaf columns only."""
@@ -108,7 +144,7 @@ def read_json_with_rejects(
     paths = [path] if isinstance(path, str) else list(path)
     inferred = spark.read.option("multiLine", multiline).option("mode", "DROPMALFORMED").json(paths).schema
     schema = StructType(inferred.fields + [StructType().add(corrupt_col, "string").fields[0]])
-    text = spark.read.option("wholetext", multiline).text(paths).where(F.trim(F.col("value")) != "")
+    text = spark.read.text(paths, wholetext=multiline).where(F.trim(F.col("value")) != "")
     parsed = text.select(
         F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt_col}).alias("r"),
         F.col("value"),
@@ -152,7 +188,7 @@ def detect_kind(spark: SparkSession, path: str) -> tuple[str, str | None]:
         return require_type(row), row["encoding"]
     data = ~F.col("file_name").startswith("_") & ~F.col("file_name").startswith(".")
     # distinct outcomes only: a handful of rows whatever the number of files
-    outcomes = file_census(spark, path).where(data).select("ext_type", "status", "encoding").distinct().collect()
+    outcomes = file_census(spark, path).where(data).select("ext_type", "status", "encoding", "ascii_only").distinct().collect()
     if not outcomes:
         raise FileNotFoundError(f"no data files in {path}")
     for o in outcomes:
@@ -160,7 +196,7 @@ def detect_kind(spark: SparkSession, path: str) -> tuple[str, str | None]:
     kinds = {o["ext_type"] for o in outcomes}
     if len(kinds) > 1:
         raise ValueError(f"mixed file types in {path}: {sorted(kinds)}")
-    encodings = {o["encoding"] for o in outcomes}
+    encodings = {o["encoding"] for o in outcomes if not o["ascii_only"]} or {"UTF-8"}
     kind = kinds.pop()
     if kind == "csv" and len(encodings) != 1:
         raise ValueError(f"files of {path} differ in encoding {sorted(encodings)}; pass encoding=")
@@ -173,6 +209,7 @@ def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
     if kind == "csv":
         return read_csv(spark, path, encoding=options.pop("encoding", encoding), **options)
     if kind == "json":
+        options.setdefault("multiline", json_layout(spark, path) == "document")
         return read_json(spark, path, **options)
     from tablewash.sources.workbook import read_workbook
 

@@ -11,12 +11,14 @@ Duplicate removal needs state: it is allowed with an event-time watermark
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tablewash.operators import casts, clean
 from tablewash.plans.recipe import STEP_ORDER, Recipe
-from tablewash.session import scratch_path
+from tablewash.session import ensure_checkpoint_dir
 
 
 class NotStreamable(ValueError):
@@ -71,9 +73,10 @@ def apply_recipe_stream(
 def start_parquet_sink(df: DataFrame, path: str, checkpoint_location: str | None = None,
                        trigger_available_now: bool = True) -> StreamingQuery:
     """Append the cleaned stream to Parquet files. The checkpoint location
-    defaults to a fresh folder under ``spark.checkpoint.dir`` (shared storage),
-    so a restarted query resumes exactly once."""
-    loc = checkpoint_location or scratch_path(df.sparkSession, "stream-checkpoint")
+    defaults to a folder under ``spark.checkpoint.dir`` (shared storage) that is named
+    after ``path``, so a restarted query of the same output resumes exactly once."""
+    named = hashlib.sha256(path.encode()).hexdigest()[:24]
+    loc = checkpoint_location or f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tablewash/stream-{named}"
     w = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", loc).outputMode("append")
     if trigger_available_now:
         w = w.trigger(availableNow=True)

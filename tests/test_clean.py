@@ -12,15 +12,17 @@ def col(df, name):
 
 def test_replace_zeros_all(sample_df):
     out = clean.replace_zeros(sample_df, "all")
-    assert col(out, "age").count(None) == 2
-    assert col(out, "score").count(None) == 2
-    assert dict(out.dtypes)["age"] == "bigint"
+    assert col(out, "pallets") == [None, 14, 14, 3, None, 21]
+    assert col(out, "kilos").count(None) == 2 and col(out, "sealed").count(False) == 3
+    assert dict(out.dtypes)["pallets"] == "bigint"
 
 
 def test_replace_zeros_named_and_none(sample_df):
-    out = clean.replace_zeros(sample_df, ["age"])
-    assert col(out, "age").count(None) == 2
-    assert col(out, "score").count(0.0) == 2
+    out = clean.replace_zeros(sample_df, ["kilos"])
+    assert col(out, "kilos").count(None) == 2
+    assert col(out, "pallets").count(0) == 2
+    # text never equals the number 0
+    assert col(clean.replace_zeros(sample_df.selectExpr("'0' as t", "pallets"), ["t", "pallets"]), "t") == ["0"] * 6
     assert clean.replace_zeros(sample_df, "none") is sample_df
     assert clean.replace_zeros(sample_df, None) is sample_df
 
@@ -46,27 +48,62 @@ def test_drop_rows_counts_nan(spark):
 
 
 def test_drop_cols_any(df_with_missing):
-    assert clean.drop_cols_any(df_with_missing).columns == ["city"]
+    assert clean.drop_cols_any(df_with_missing).columns == ["sea"]
 
 
 def test_fill_literal_text(df_with_missing):
     out = clean.handle_missing(df_with_missing, "fill", "unknown")
-    assert None not in col(out, "name")
-    # age has a missing value and 'unknown' is not a number: widened to text
-    assert dict(out.dtypes)["age"] == "string"
-    assert col(out, "age") == ["30.0", "25.0", "unknown"]
+    assert col(out, "station") == ["K1", "unknown", "K3", "K4"]
+    # depth has a missing value and 'unknown' is not a number: widened to text
+    assert dict(out.dtypes)["depth"] == "string"
+    assert col(out, "depth") == ["4.5", "7.0", "unknown", "9.25"]
 
 
 def test_fill_literal_skip_keeps_numeric(df_with_missing):
     out = clean.fill_literal(df_with_missing, "unknown", on_mismatch="skip")
-    assert dict(out.dtypes)["age"] == "double"
-    assert col(out, "age")[2] is None
+    assert dict(out.dtypes)["salinity"] == "double"
+    assert col(out, "salinity")[0] is None
 
 
 def test_fill_literal_typed(df_with_missing):
     out = clean.fill_literal(df_with_missing, 7)
-    assert col(out, "age") == [30.0, 25.0, 7.0]
-    assert col(out, "name") == ["Alice", "7", "Charlie"]
+    assert col(out, "depth") == [4.5, 7.0, 7.0, 9.25]
+    assert col(out, "station") == ["K1", "7", "K3", "K4"]
+
+
+def test_fill_literal_keeps_fractions(spark):
+    df = spark.createDataFrame([(1, 5), (None, 6)], "a bigint, b bigint")
+    out = clean.fill_literal(df, 12.7)
+    assert col(out, "a") == [1.0, 12.7] and dict(out.dtypes) == {"a": "double", "b": "bigint"}
+
+
+@pytest.mark.parametrize("method", ["mean", "median"])
+def test_fills_leave_whole_columns_alone(spark, method):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, 1), (big + 2, None)], "id bigint, v bigint")
+    out = clean.handle_missing(df, "fill", method)
+    assert dict(out.dtypes) == {"id": "bigint", "v": "double"}
+    assert col(out, "id") == [big, big + 2] and col(out, "v") == [1.0, 1.0]
+
+
+def test_keyed_duplicates_with_a_missing_key(spark):
+    df = spark.createDataFrame([(None, "b"), (2, "a"), (1, "a")], "k bigint, v string")
+    out = sorted((tuple(r) for r in clean.remove_duplicates(df, key_columns=["k"]).collect()), key=repr)
+    assert out == [(1, "a"), (None, "b")]
+
+
+def test_ambiguous_and_broken_dates(spark):
+    df = spark.createDataFrame([("01/02/2020", "01/02/2020"), ("03/04/2020", "13/02/2020")], "a string, b string").coalesce(1)
+    out = casts.fix_types(df, {"a": "datetime", "b": "datetime"})
+    assert str(col(out, "a")[0]) == "2020-01-02 00:00:00"
+    assert dict(out.dtypes)["b"] == "string"  # month first by the first value: the second breaks it
+
+
+def test_long_ids_and_codes_stay_text(spark):
+    df = spark.createDataFrame([("12345678901234567890123", "1D", "1e3"), ("12345678901234567890124", "2F", "2.5")], "a string, b string, c string")
+    out = casts.infer_types(df)
+    assert dict(out.dtypes) == {"a": "string", "b": "string", "c": "double"}
+    assert col(casts.fix_types(df, {"b": "float"}, mode="coerce"), "b") == [None, None]
 
 
 def test_fill_literal_untouched_column_keeps_type(spark):
@@ -106,7 +143,7 @@ def test_unknown_method_raises(sample_df):
 
 
 def test_remove_duplicates(sample_df, spark):
-    assert clean.remove_duplicates(sample_df).count() == 3
+    assert clean.remove_duplicates(sample_df).count() == 4
     df = spark.createDataFrame([(1, None), (2, None), (3, "x")], "k bigint, v string")
     assert clean.remove_duplicates(df).count() == 3  # missing == missing only across whole rows
     kept = clean.remove_duplicates(df, key_columns=["k"]).orderBy("k")
@@ -120,18 +157,18 @@ def test_remove_duplicates_arrays_and_maps(spark):
 
 def test_trim_and_case(sample_df):
     t = clean.trim_text(sample_df)
-    assert col(t, "name") == ["Alice", "Bob", "Charlie", "Bob"]
-    assert col(t, "city") == ["Paris", "Lyon", "Marseille", "Lyon"]
-    assert col(clean.standardize_case(t, "lowercase"), "name") == ["alice", "bob", "charlie", "bob"]
-    assert col(clean.standardize_case(t, "uppercase"), "name") == ["ALICE", "BOB", "CHARLIE", "BOB"]
+    assert col(t, "goods") == ["Tin sheets", "cork", "cork", "Glass wool", "Tin sheets", "oak planks"]
+    assert set(col(t, "bay")) == {"Bay 9", "Bay 2", "Bay 4"}
+    assert col(clean.standardize_case(t, "lowercase"), "goods")[3] == "glass wool"
+    assert col(clean.standardize_case(t, "uppercase"), "bay")[5] == "BAY 2"
     assert clean.standardize_case(t, "none") is t
     with pytest.raises(ValueError):
         clean.standardize_case(t, "sponge")
 
 
 def test_cast_types(sample_df, spark):
-    out = casts.fix_types(sample_df, {"age": "str"})
-    assert dict(out.dtypes)["age"] == "string"
+    out = casts.fix_types(sample_df, {"pallets": "str"})
+    assert col(out, "pallets")[5] == "21"
     df = spark.createDataFrame([(" 12 ", 1.9, "2024-01-05"), ("7", -1.9, "2024-02-01")], "a string, b double, d string")
     out = casts.fix_types(df, {"a": "int", "b": "int", "d": "datetime"})
     assert col(out, "a") == [12, 7] and col(out, "b") == [1, -1]
@@ -150,7 +187,7 @@ def test_cast_datetime_formats_and_epoch(spark):
     df = spark.createDataFrame([("05/01/2024", 1_700_000_000_123_456_789)], "d string, ns bigint")
     out = casts.fix_types(df, {"d": "datetime", "ns": "datetime"})
     r = out.first()
-    assert str(r["d"]) == "2024-01-05 00:00:00"
+    assert str(r["d"]) == "2024-05-01 00:00:00"
     assert r["ns"].isoformat().endswith("22:13:20.123456")
 
 

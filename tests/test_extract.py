@@ -7,9 +7,9 @@ from tablewash.functions.replies import fallback_records, parse_reply
 from tablewash.plans import extract
 from tablewash.sources.vocabulary import CATEGORIES
 
-VOCAB = ["Quadriceps femoris", "Gluteus maximus", "Biceps brachii", "Triceps brachii"]
-REC = {"exercise_name": "Knee locking", "code": "KnL", "code_base": "push", "muscles": ["Quadriceps femoris"],
-       "assistance": "parallel bars", "repetitions": 10, "time": None}
+VOCAB = ["Soleus", "Deltoideus", "Psoas major", "Trapezius"]
+REC = {"exercise_name": "Wall slide", "code": "WaS", "code_base": "push", "muscles": ["Soleus"],
+       "assistance": "a long strap", "repetitions": 10, "time": None}
 
 
 def parse(spark, replies):
@@ -23,7 +23,7 @@ def test_reply_shapes(spark):
     cases = [body, "```json\n" + body + "\n```", "```\n" + body + "\n```", "Here is the result: " + body]
     for ok, recs in parse(spark, cases):
         assert ok and len(recs) == 1
-        assert recs[0]["exercise_name"] == "Knee locking" and recs[0]["code_base"] == "Push"
+        assert recs[0]["exercise_name"] == "Wall slide" and recs[0]["code_base"] == "Push"
         assert recs[0]["repetitions"] == "10" and recs[0]["time"] is None
 
 
@@ -41,12 +41,12 @@ def test_objects_only_and_empty(spark):
 
 
 def test_validation_and_vocabulary(spark):
-    rec = dict(REC, code_base="  CARDIO ", muscles=["Gluteus maximus", "Unknown muscle", "Biceps brachii", "Gluteus maximus"],
+    rec = dict(REC, code_base="  CARDIO ", muscles=["Deltoideus", "Unknown muscle", "Psoas major", "Deltoideus"],
                assistance="", repetitions=0, time=0)
     ((ok, recs),) = parse(spark, [json.dumps([rec, dict(REC, code_base="yoga"), dict(REC, code_base=5)])])
     assert ok
     assert recs[0]["code_base"] == "Cardio"
-    assert recs[0]["muscles"] == ["Gluteus maximus", "Biceps brachii", "Gluteus maximus"]
+    assert recs[0]["muscles"] == ["Deltoideus", "Psoas major", "Deltoideus"]
     assert (recs[0]["assistance"], recs[0]["repetitions"], recs[0]["time"]) == (None, None, None)
     assert recs[1]["code_base"] == "unknown" and recs[2]["code_base"] == "unknown"
     ((_, r2),) = parse(spark, [json.dumps([dict(REC, repetitions="0", time=False, assistance=[])])])
@@ -86,19 +86,19 @@ def test_extract_numbering_and_skip(spark):
         "i int, session string, exercise string",
     )
     recs = {
-        "squat": [dict(REC, exercise_name="Squat", muscles=["Gluteus maximus", "Biceps brachii"])],
+        "squat": [dict(REC, exercise_name="Squat", muscles=["Deltoideus", "Psoas major"])],
         "push-up": [dict(REC, exercise_name="Push-up")],
     }
     muscles = spark.createDataFrame([(m,) for m in VOCAB], "name_latin string")
     out = extract.extract_table(df, _scorer(recs, fail_first=("push-up",)), ["i"], muscles=muscles)
     assert out.columns == list(extract.OUTPUT_COLUMNS)
     rows = sorted((r["session"], r["exercise_num"], r["exercise_name"], r["muscles"], r["patient_id"]) for r in out.collect())
-    assert rows == [("S1", 1, "Squat", "Gluteus maximus, Biceps brachii", "unknown"), ("S1", 2, "Push-up", "Quadriceps femoris", "unknown"),
-                    ("S2", 1, "Squat", "Gluteus maximus, Biceps brachii", "unknown")]
+    assert rows == [("S1", 1, "Squat", "Deltoideus, Psoas major", "unknown"), ("S1", 2, "Push-up", "Soleus", "unknown"),
+                    ("S2", 1, "Squat", "Deltoideus, Psoas major", "unknown")]
 
 
 def test_extract_fallback_after_three_attempts(spark):
-    df = spark.createDataFrame([(0, "Seance 1", "Knee locking in parallel bars", "P7")], "i int, seance string, exercise string, patient_id string")
+    df = spark.createDataFrame([(0, "Block C", "Wall slide in a long strap", "P7")], "i int, seance string, exercise string, patient_id string")
 
     def never(prompts, attempt):
         return ["not valid json"] * len(prompts)
@@ -119,13 +119,13 @@ def test_session_fallback_and_patient_from_sheet(spark):
 
 
 def test_prompt_contents(spark):
-    notes = spark.createDataFrame([("", "p", "s", 1, "Knee locking")], "sheet string, patient_id string, session string, row_ordinal long, text string")
-    ref = spark.createDataFrame([("Knee locking", "KnL", "Push")], "name string, code string, code_base string")
+    notes = spark.createDataFrame([("", "p", "s", 1, "Wall slide")], "sheet string, patient_id string, session string, row_ordinal long, text string")
+    ref = spark.createDataFrame([("Wall slide", "WaS", "Push")], "name string, code string, code_base string")
     muscles = spark.createDataFrame([(m,) for m in VOCAB], "name_latin string")
     rt, vt, names = extract.vocabulary_lines(ref, muscles)
     p = extract.with_prompt(notes, rt, vt).first()["prompt"]
-    assert '"Knee locking"' in p and "- Knee locking | code: KnL | code_base: Push" in p
-    assert "- Biceps brachii" in p and "Push, Pull, Transfer, Balance, Stretch, Cardio, Functional, unknown" in p
+    assert '"Wall slide"' in p and "- Wall slide | code: WaS | code_base: Push" in p
+    assert "- Psoas major" in p and "Push, Pull, Transfer, Balance, Stretch, Cardio, Functional, unknown" in p
     assert extract.vocabulary_lines(None, None)[0] == extract.NO_REFERENCE
 
 

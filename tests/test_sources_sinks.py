@@ -12,17 +12,14 @@ from tablewash.sources import census, readers, workbook
 def files(tmp_path):
     d = tmp_path / "files"
     d.mkdir()
-    (d / "data.csv").write_text("nom,age,ville\nAlice,30,Paris\nBob,25,Lyon\nCharlie,35,Marseille\n", encoding="utf-8")
-    (d / "data.json").write_text(json.dumps([{"nom": "Alice", "age": 30, "ville": "Paris"}, {"nom": "Bob", "age": 25, "ville": "Lyon"},
-                                             {"nom": "Charlie", "age": 35, "ville": "Marseille"}]), encoding="utf-8")
-    (d / "data_nested.json").write_text(json.dumps([
-        {"nom": "Alice", "age": 30, "adresse": {"ville": "Paris", "cp": "75001"}, "contact": {"email": "a@x", "tel": "1"}},
-        {"nom": "Bob", "age": 25, "adresse": {"ville": "Lyon", "cp": "69001"}, "contact": {"email": "b@x", "tel": "2"}},
-        {"nom": "Charlie", "age": 35, "adresse": {"ville": "Marseille", "cp": "13001"}, "contact": {"email": "c@x", "tel": "3"}},
+    (d / "ships.csv").write_text("ship,tonnes,flag\nOrka,1200,NO\nPelikan,880,NL\nSirius,,DK\nVega,2310,NO\n", encoding="utf-8")
+    (d / "calls.json").write_text(json.dumps([{"berth": 4, "hours": [6, 18]}, {"berth": 11, "hours": []}]), encoding="utf-8")
+    (d / "hulls.json").write_text(json.dumps([
+        {"id": i, "hull": {"size": {"length": 80 + i, "beam": 12.5}, "steel": i % 2 == 0}, "crew": {"officers": i}} for i in range(5)
     ]), encoding="utf-8")
-    (d / "fake_csv.csv").write_text('{"nom": "Alice"}', encoding="utf-8")
+    (d / "fake_csv.csv").write_text("[17, 4]", encoding="utf-8")
     (d / "notes.txt").write_text("x", encoding="utf-8")
-    (d / "latin.csv").write_bytes("nom,ville\nJosé,Besançon\n".encode("iso-8859-1"))
+    (d / "latin.csv").write_bytes("pilot,port\nBjørn,Ålesund\n".encode("iso-8859-1"))
     (d / "book.xlsx").write_bytes(workbook.workbook_bytes({
         "s1": [["id", "session", "exercise"], [1, "S1", "squat"], [2, "S1", "push-up"]],
         "s2": [["id", "session", "exercise", "extra"], [3, "S2", "squat", True]],
@@ -32,25 +29,44 @@ def files(tmp_path):
 
 def test_census(spark, files):
     rows = {r["file_name"]: r for r in census.file_census(spark, str(files)).collect()}
-    assert rows["data.csv"]["status"] == "ok" and rows["data.csv"]["ext_type"] == "csv"
-    assert rows["data.json"]["content_type"] == "json"
+    assert rows["ships.csv"]["status"] == "ok" and rows["ships.csv"]["ext_type"] == "csv"
+    assert rows["calls.json"]["content_type"] == "json"
     assert rows["book.xlsx"]["content_type"] == "excel" and rows["book.xlsx"]["status"] == "ok"
     assert rows["fake_csv.csv"]["status"] == "mismatch"
     assert rows["notes.txt"]["status"] == "unsupported" and rows["notes.txt"]["ext_type"] == "format not supported yet"
-    assert rows["latin.csv"]["encoding"] == "ISO-8859-1" and rows["data.csv"]["encoding"] == "UTF-8"
+    assert rows["latin.csv"]["encoding"] == "ISO-8859-1" and rows["ships.csv"]["encoding"] == "UTF-8"
 
 
-def test_census_large_files_read_by_head(spark, files):
-    """Above the size limit only the first 64 KB are read; the result is the same."""
-    full = {r["file_name"]: tuple(r[k] for k in ("content_type", "encoding", "status"))
-            for r in census.file_census(spark, str(files)).collect()}
-    heads = {r["file_name"]: tuple(r[k] for k in ("content_type", "encoding", "status"))
-             for r in census.file_census(spark, str(files), max_content_bytes=10).collect()}
-    assert heads == full
+def test_census_reads_every_byte(spark, tmp_path):
+    """The only accent is the last byte, or cut by a chunk's edge."""
+    (tmp_path / "last.csv").write_bytes(b"a,b\n" + b"x" * (3 << 20) + b"\xe9")
+    (tmp_path / "edge.csv").write_bytes(b"x" * ((1 << 20) - 1) + "é".encode() + b"\n")
+    (tmp_path / "cut.csv").write_bytes(b"x" * 10 + "é".encode()[:1])
+    got = {r["file_name"]: (r["encoding"], r["ascii_only"]) for r in census.file_census(spark, str(tmp_path)).collect()}
+    assert got == {"last.csv": ("ISO-8859-1", False), "edge.csv": ("UTF-8", False), "cut.csv": ("ISO-8859-1", False)}
+
+
+def test_folder_with_an_ascii_part(spark, tmp_path):
+    d = tmp_path / "parts"
+    d.mkdir()
+    (d / "a.csv").write_bytes(b"pilot,port\nOle,Bergen\n" * 50)
+    (d / "b.csv").write_bytes("pilot,port\nBjørn,Ålesund\n".encode("iso-8859-1"))
+    assert "Bjørn" in [r["pilot"] for r in readers.read_any(spark, str(d)).collect()]
+    assert "Bjørn" in [r["pilot"] for r in readers.read_csv(spark, [str(d / "a.csv"), str(d / "b.csv")]).collect()]
+
+
+def test_json_lines_keep_every_row(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"a": 1}\n{"a": 2}\n\n{"a": 3}\n')
+    assert sorted(r["a"] for r in readers.read_any(spark, str(tmp_path / "l.json")).collect()) == [1, 2, 3]
+    (tmp_path / "p.json").write_text('[\n {"a": 1},\n {"a": 2}\n]\n')
+    assert readers.read_any(spark, str(tmp_path / "p.json")).count() == 2
+    (tmp_path / "two.json").write_text('{\n"a": 1}\n{\n"a": 2}\n')
+    with pytest.raises(ValueError):
+        readers.read_any(spark, str(tmp_path / "two.json"))
 
 
 def test_census_missing_and_strict(spark, files):
-    out = {r["file_name"]: r for r in census.census_of_files(spark, [str(files / "data.csv"), str(files / "nope.csv")]).collect()}
+    out = {r["file_name"]: r for r in census.census_of_files(spark, [str(files / "ships.csv"), str(files / "nope.csv")]).collect()}
     assert out["nope.csv"]["status"] == "missing"
     with pytest.raises(FileNotFoundError):
         census.require_type(out["nope.csv"])
@@ -61,15 +77,15 @@ def test_census_missing_and_strict(spark, files):
 
 
 def test_read_csv_and_json(spark, files):
-    df = readers.read_any(spark, str(files / "data.csv"))
-    assert dict(df.dtypes) == {"nom": "string", "age": "bigint", "ville": "string"} and df.count() == 3
-    j = readers.read_any(spark, str(files / "data.json"))
-    assert sorted(j.columns) == ["age", "nom", "ville"] and j.count() == 3
-    n = readers.read_any(spark, str(files / "data_nested.json"))
-    assert sorted(n.columns) == sorted(["nom", "age", "adresse.ville", "adresse.cp", "contact.email", "contact.tel"])
-    assert n.where(F.col("`adresse.ville`") == "Lyon").count() == 1
+    df = readers.read_any(spark, str(files / "ships.csv"))
+    assert dict(df.dtypes) == {"ship": "string", "tonnes": "bigint", "flag": "string"} and df.count() == 4
+    j = readers.read_any(spark, str(files / "calls.json"))
+    assert sorted(j.columns) == ["berth", "hours"] and j.count() == 2
+    n = readers.read_any(spark, str(files / "hulls.json"))
+    assert sorted(n.columns) == ["crew.officers", "hull.size.beam", "hull.size.length", "hull.steel", "id"]
+    assert n.where(F.col("`hull.size.length`") == 83).count() == 1
     lat = readers.read_any(spark, str(files / "latin.csv")).first()
-    assert lat["nom"] == "José" and lat["ville"] == "Besançon"
+    assert lat["pilot"] == "Bjørn" and lat["port"] == "Ålesund"
 
 
 def test_json_rejects(spark, tmp_path):
@@ -133,7 +149,7 @@ def test_parquet_table_documents(spark, tmp_path):
     assert writers.write_documents(df, path=str(tmp_path / "docs")) == 2  # appends
     assert spark.read.json(str(tmp_path / "docs")).count() == 4
     assert writers.write_documents(df, writer=lambda docs: sum(1 for _ in docs)) == 2
-    assert [r["document"] for r in writers.to_documents(df).collect()] == ['{"k":1,"v":"a"}', '{"k":2}']
+    assert [r["document"] for r in writers.to_documents(df).collect()] == ['{"k":1,"v":"a"}', '{"k":2,"v":null}']
     with pytest.raises(ValueError):
         writers.write_to(df, "carrier-pigeon")
 
@@ -166,13 +182,13 @@ def test_census_uppercase_extension(spark, tmp_path):
 
 
 def test_bom_encodings(spark, tmp_path):
-    (tmp_path / "u16.csv").write_bytes("nom,ville\nJosé,Besançon\nZoë,Ærø\n".encode("utf-16"))
-    (tmp_path / "u8bom.csv").write_bytes("nom,ville\nJosé,Besançon\n".encode("utf-8-sig"))
+    (tmp_path / "u16.csv").write_bytes("pilot,port\nBjørn,Ålesund\nZoë,Ærø\n".encode("utf-16"))
+    (tmp_path / "u8bom.csv").write_bytes("pilot,port\nBjørn,Ålesund\n".encode("utf-8-sig"))
     enc = {r["file_name"]: r["encoding"] for r in census.file_census(spark, str(tmp_path)).collect()}
     assert enc == {"u16.csv": "UTF-16LE", "u8bom.csv": "UTF-8"}
     u16 = readers.read_any(spark, str(tmp_path / "u16.csv"))
-    assert u16.columns == ["nom", "ville"] and sorted(tuple(r) for r in u16.collect()) == [("José", "Besançon"), ("Zoë", "Ærø")]
-    assert readers.read_any(spark, str(tmp_path / "u8bom.csv")).columns == ["nom", "ville"]
+    assert u16.columns == ["pilot", "port"] and sorted(tuple(r) for r in u16.collect()) == [("Bjørn", "Ålesund"), ("Zoë", "Ærø")]
+    assert readers.read_any(spark, str(tmp_path / "u8bom.csv")).columns == ["pilot", "port"]
 
 
 def test_read_any_folder(spark, tmp_path):
