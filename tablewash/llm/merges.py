@@ -218,15 +218,17 @@ def merge_long(merger: Merger, word: bytes) -> np.ndarray:
 
 
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-ODD = re.compile(r"[^\S \n]")
 
 
 def chunks(text: str) -> list[str]:
     """The text cut at single spaces between letters: no piece of either vocabulary crosses them."""
     parts = text.split(" ")
-    if "" in parts or "\n " in text or " \n" in text or ODD.search(text):
-        parts = SAFE.split(text)
-    return parts
+    return parts if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts) else SAFE.split(text)
+
+
+def torn(chunk: str) -> bool:
+    """Whether a cut beside this chunk was not between letters."""
+    return not chunk or chunk[0].isspace() or chunk[-1].isspace()
 
 
 class Encoder:
@@ -234,7 +236,7 @@ class Encoder:
     worker comes from a bounded memory; a new one is split, looked up in the lexicon (if any)
     and, where the lexicon lacks a piece, merged."""
 
-    def __init__(self, path: str, splitter, lexicon: Lexicon | None = None, remembered: int = 300_000):
+    def __init__(self, path: str, splitter, lexicon: Lexicon | None = None, remembered: int = 500_000):
         self.merger, self.splitter, self.lexicon, self.remembered = Merger(path), splitter, lexicon, remembered
         self.inner: dict[str, bytes] = {}  # chunks after a space
         self.pieces: dict[str, bytes] = {}
@@ -268,14 +270,16 @@ class Encoder:
             self.pieces[pieces[i]] = merge_long(self.merger, words[i]).astype("<u4").tobytes() if g is None else g
 
     def _learn(self, new: set[str], inner: bool) -> dict[str, bytes]:
-        cut, pieces, out = self.splitter.split_word if inner else self.splitter.split, self.pieces, {}
-        if self.splitter.exact is not None and (odd := [c for c in new if self.splitter.exact.search(c)]):
+        pieces, out = self.pieces, {}
+        cut = self.splitter.split_word if inner else self.splitter.split
+        if self.splitter.exact is not None and (odd := [c for c in new if not c.isascii() and self.splitter.exact.search(c)]):
             for c, e in zip(odd, self.library.encode_batch(odd, add_special_tokens=False)):
                 out[c] = np.array(e.ids, "<u4").tobytes()
             new = new.difference(odd)
-        split = [(c, cut(c)) for c in new]
-        self._encode_pieces(list({p for _, ps in split for p in ps if p not in pieces}))
-        for c, ps in split:
+        split = list(map(cut, new))
+        found = set(itertools.chain.from_iterable(split))
+        self._encode_pieces([p for p in found if p not in pieces])
+        for c, ps in zip(new, split):
             out[c] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
         return out
 
@@ -292,9 +296,13 @@ class Encoder:
                 if k % 2:
                     plan.append(part)
                 elif part:
-                    first, *rest = chunks(part)
+                    first, *rest = part.split(" ")
+                    missing = list(itertools.filterfalse(inner.__contains__, rest))  # a torn chunk is never known
+                    if (rest and torn(first)) or any(map(torn, missing)):
+                        first, *rest = SAFE.split(part)
+                        missing = list(itertools.filterfalse(inner.__contains__, rest))
                     heads.add(first)
-                    new.update(itertools.filterfalse(inner.__contains__, rest))
+                    new.update(missing)
                     plan.append((first, rest))
             plans.append(plan)
         head = self._learn(heads, False)
