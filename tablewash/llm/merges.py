@@ -9,6 +9,7 @@ outranks the pair just merged.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import itertools
 import json
@@ -172,16 +173,15 @@ class LowerWords:
     def split(self, chunk: str) -> list[str]:
         if chunk.isascii():
             return self.pattern.findall(chunk.lower())
-        chunk = unicodedata.normalize("NFC", chunk)
-        return self.pattern.findall("".join([c.lower() for c in chunk]))
+        return self.pattern.findall(unicodedata.normalize("NFC", chunk).lower())  # plain ranges: no letter's case depends on others
 
     def split_word(self, chunk: str) -> list[str]:
-        if chunk.isascii():
-            if chunk.isalpha():
-                return [chunk.lower()]
-            if chunk[-1] in ENDS and chunk[:-1].isalpha():
-                return [chunk[:-1].lower(), chunk[-1]]
-        return self.split(chunk)
+        low = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)).lower()
+        if low.isalpha():
+            return [low]
+        if low[-1] in ENDS and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return self.pattern.findall(low)
 
 
 #: Longer words are merged alone, with a heap.
@@ -278,12 +278,22 @@ class Encoder:
             new = new.difference(odd)
         split = list(map(cut, new))
         found = set(itertools.chain.from_iterable(split))
-        self._encode_pieces([p for p in found if p not in pieces])
+        self._encode_pieces(list(itertools.filterfalse(pieces.__contains__, found)))
         for c, ps in zip(new, split):
             out[c] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The collector pauses meanwhile: nothing here makes cycles, and it would walk every remembered word."""
+        running = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if running:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         plans, new, heads = [], set(), set()
         if len(self.inner) + len(self.pieces) > self.remembered:
             self.inner.clear()
@@ -297,10 +307,10 @@ class Encoder:
                     plan.append(part)
                 elif part:
                     first, *rest = part.split(" ")
-                    missing = list(itertools.filterfalse(inner.__contains__, rest))  # a torn chunk is never known
+                    missing = set(itertools.filterfalse(inner.__contains__, rest)).difference(new)  # each chunk is looked at once
                     if (rest and torn(first)) or any(map(torn, missing)):
                         first, *rest = SAFE.split(part)
-                        missing = list(itertools.filterfalse(inner.__contains__, rest))
+                        missing = set(itertools.filterfalse(inner.__contains__, rest))
                     heads.add(first)
                     new.update(missing)
                     plan.append((first, rest))
