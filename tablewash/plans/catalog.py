@@ -483,8 +483,8 @@ def scan_json(spark, sf_dir):
 
 @register
 def json_rejects(spark, sf_dir):
-    """JSON Lines where every 'error' event lost its closing brace: the good
-    rows come back, the broken ones go to the rejects frame."""
+    """JSON Lines where every 'error' event lost its closing brace: both halves come back as
+    (kind, event_id, event_type, value, record), the rejects with their raw text alone."""
     from tablewash.sources.readers import read_json_with_rejects
 
     path = _scratch(spark, "events-broken")
@@ -494,7 +494,9 @@ def json_rejects(spark, sf_dir):
         F.when(F.col("event_type") == "error", broken).otherwise(js).alias("v")
     ).write.text(path)
     good, bad = read_json_with_rejects(spark, path)
-    return good
+    good = good.select(F.lit("good").alias("kind"), "event_id", "event_type", "value")
+    bad = bad.select(F.lit("reject").alias("kind"), F.regexp_replace("record", r'"value":[^,}]*', '"value":').alias("record"))
+    return good.unionByName(bad, allowMissingColumns=True)
 
 
 def _write_workbooks(spark, df, base, cols, sheet_col=None, sheet_name="sheet1"):

@@ -12,10 +12,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tablewash.functions.missing import normalize_nan
-from tablewash.functions.names import c
+from tablewash.functions.names import c, header_names
 from tablewash.operators.casts import NA_TOKENS, infer_types, na_to_null
 
 
@@ -32,26 +32,41 @@ def read_csv(
     """Read CSV as text, NULL for missing tokens, then infer types.
 
     ``encoding=None`` uses the census of all files (BOM / UTF-8 / Latin-1). ``multiline=True`` keeps quoted line breaks right but reads each
-    file in one task; set it False for very large single files without them."""
+    file in one task; set it False for very large single files without them.
+    A row shorter than the header is filled up with missing values, a longer one stops the job;
+    empty header names become ``Unnamed: i`` and repeated ones are numbered."""
     paths = [path] if isinstance(path, str) else list(path)
     if encoding is None:
         encoding = common_encoding(spark, paths)
-    df = (
-        spark.read.option("header", True)
-        .option("sep", sep)
+    reader = (
+        spark.read.option("sep", sep)
         .option("encoding", encoding)
         .option("multiLine", multiline)
         .option("escape", '"')
-        .option("inferSchema", False)
-        .option("mode", "FAILFAST")
         .option("emptyValue", "")
-        .csv(paths)
     )
+    # the first file's header line, as data; an empty file has none
+    header = reader.option("header", False).option("inferSchema", False).csv(paths).first()
+    if header is None:
+        raise ValueError(f"no header line in {paths}")
+    names = header_names(header)
+    raw = "_malformed"
+    while raw in names:
+        raw += "_"
+    schema = StructType([StructField(n, StringType()) for n in [*names, raw]])
+    df = reader.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", raw).schema(schema).csv(paths)
+    # only rows with another number of fields are kept raw; separators within quotes don't count
+    bare = F.regexp_replace(F.col(raw), '"[^"]*"', "")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+    too_long = F.col(raw).isNotNull() & (fields > len(names))
+    # the first field is read too: Spark refuses a scan of the raw rows alone
+    refused = F.raise_error(F.concat(F.lit(f"more than {len(names)} fields in row "), F.coalesce(c(names[0]), F.lit("")), F.lit(": "), F.col(raw)))
+    df = df.where(F.when(too_long, refused.cast("boolean")).otherwise(True))
     if ordinal_col:
         from tablewash.operators.sequence import with_file_ordinal
 
         df = with_file_ordinal(df, out=ordinal_col)
-    df = na_to_null(df, tokens=na_tokens)
+    df = na_to_null(df.drop(raw), tokens=na_tokens)
     return infer_types(df) if infer else df
 
 

@@ -19,7 +19,7 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewash.functions.names import c
+from tablewash.functions.names import c, header_names
 from tablewash.operators.casts import infer_types, na_to_null
 from tablewash.operators.union import union_by_name
 from tablewash.session import ship_package
@@ -116,19 +116,6 @@ def sheet_names(spark: SparkSession, path: str) -> list[str]:
     return [r["sheet"] for r in rows]
 
 
-def _header_names(cells) -> list[str]:
-    names, seen = [], {}
-    for i, v in enumerate(cells):
-        name = v if v not in (None, "") else f"Unnamed: {i}"
-        if name in seen:
-            seen[name] += 1
-            name = f"{name}.{seen[name]}"
-        else:
-            seen[name] = 0
-        names.append(name)
-    return names
-
-
 def read_workbook(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -153,8 +140,8 @@ def read_workbook(
     headers = rows.join(first, ["path", "sheet", "sheet_pos", "row_num"]).orderBy("path", "sheet_pos").collect()
     groups: dict[tuple, list] = {}
     for h in headers:
-        key = (tuple(_header_names(h["cells"])),) if merge else (h["sheet"],)
-        groups.setdefault(key, []).append((h["path"], h["sheet"], h["row_num"], _header_names(h["cells"])))
+        key = (tuple(header_names(h["cells"])),) if merge else (h["sheet"],)
+        groups.setdefault(key, []).append((h["path"], h["sheet"], h["row_num"], header_names(h["cells"])))
     frames: dict[str, DataFrame] = {}
     for key, members in groups.items():
         names = members[0][3]

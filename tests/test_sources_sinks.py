@@ -55,6 +55,16 @@ def test_folder_with_an_ascii_part(spark, tmp_path):
     assert "Bjørn" in [r["pilot"] for r in readers.read_csv(spark, [str(d / "a.csv"), str(d / "b.csv")]).collect()]
 
 
+def test_csv_rows_shorter_and_longer_than_the_header(spark, tmp_path):
+    (tmp_path / "short.csv").write_text('buoy,,buoy\nA7,"x, y",3\nB2\nC9,"one\ntwo"\n', encoding="utf-8")
+    got = readers.read_any(spark, str(tmp_path / "short.csv"))
+    assert got.columns == ["buoy", "Unnamed: 1", "buoy.1"]
+    assert sorted(tuple(r) for r in got.collect()) == [("A7", "x, y", 3), ("B2", None, None), ("C9", "one\ntwo", None)]
+    (tmp_path / "long.csv").write_text("buoy,depth\nA7,3\nB2,4,5\n", encoding="utf-8")
+    with pytest.raises(Exception, match="more than 2 fields"):
+        readers.read_csv(spark, str(tmp_path / "long.csv"), encoding="UTF-8").collect()
+
+
 def test_json_lines_keep_every_row(spark, tmp_path):
     (tmp_path / "l.json").write_text('{"a": 1}\n{"a": 2}\n\n{"a": 3}\n')
     assert sorted(r["a"] for r in readers.read_any(spark, str(tmp_path / "l.json")).collect()) == [1, 2, 3]
