@@ -49,7 +49,9 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four batches over all documents: counts by words come in; counts by bytes come in; the
-    word counts of a part are revised to letters only; a part is deleted. Each batch arrives twice."""
+    word counts of a part are revised to letters only; a part is deleted. Each batch arrives twice.
+    Each row is a document: rows with a NULL or repeated doc_id count one by one, and a NULL id is
+    in no part (neither revised nor deleted)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = documents(spark, sf_dir).select(
         "doc_id", "source", "lang",
@@ -57,12 +59,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_count(text, F.lit(r"[A-Za-z]+")).cast("long").alias("letters"),
         F.expr("cast((octet_length(coalesce(text, '')) + 3) div 4 as bigint)").alias("quads"),
         F.pmod("doc_id", F.lit(10)).alias("part"),
+        F.monotonically_increasing_id().alias("row"),
     )
     docs = stored(spark, docs, "token-counts")
     revised = F.col("part") == 3
 
     def changes(rows: DataFrame, op: str, version: str, n, old=F.lit(0)) -> DataFrame:
-        key = F.concat_ws("/", F.lit(op), F.lit(version), "doc_id")
+        key = F.concat_ws("/", F.lit(op), F.lit(version), "row")
         return rows.select(key.alias("change_id"), F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("version"), n.alias("n_tokens"), old.alias("old_tokens"))
 
     gone = docs.where("part = 7")

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import math
 import random
+import re
 from base64 import b32encode
 from collections import defaultdict
 from pathlib import Path
@@ -142,6 +143,23 @@ def test_rollups_are_idempotent(spark):
         store.apply("../x", first)
 
 
+def test_token_counts_of_repeated_and_missing_ids(spark, tmp_path):
+    """Every row counts: NULL ids, ids repeated with other text or source, equal rows."""
+    rows = [(None, "a b"), (None, "a b"), (None, "c"), (1, "x y 1"), (1, "x"), (1, "x"), (3, "q 1"), (3, "q r 2"), (7, "z"), (7, "z z")]
+    docs = [(d, t, "s", "en", len(t)) for d, t in rows] + [(1, "v w", "other", "en", 3)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for d, t, source, *_ in docs:
+        words = len(re.findall("[A-Za-z]+", t)) if d == 3 else len(t.split())
+        for version, n in (("words-1", words), ("quads-1", (len(t) + 3) // 4)):
+            if d != 7:
+                have = want.setdefault((source, "en", version), [0, 0])
+                have[0] += 1
+                have[1] += n
+    got = queries.op6_token_counts(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted((*k, *v) for k, v in want.items())
+
+
 def test_lost_race(spark):
     """A marker made by another writer meanwhile wins; the late sums are never read."""
     store = Rollups(spark, scratch_path(spark, "rollups-race"))
