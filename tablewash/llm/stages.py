@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablewash.llm import lines, near, quality as quality_field, toxicity as toxicity_model
-from tablewash.llm.common import documents, remainder, table
+from tablewash.llm.common import documents, prepare, remainder, stored, table
 from tablewash.llm.packing import pack
 
 
@@ -38,10 +38,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group linked by five-word shingles at 0.8."""
-    found = near.near_components(spark, docs, k=5, percent=80)
-    drop = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group linked by five-word shingles at 0.8: that of the smallest id (NULL ids
+    last), then text hash, then place. Rows are judged one by one, also those of one id; rows
+    without words stay, all of them."""
+    prepare(spark)
+    rows = stored(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
+    found = near.near_components(spark, rows.select(F.col("_row").alias("doc_id"), "text"), k=5, percent=80)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"), "_row")
+    placed = found.withColumnRenamed("doc_id", "_row").join(rows.select("_row", place.alias("place")), "_row")
+    keep = placed.groupBy("component_id").agg(F.min("place").alias("least")).select("least._row")
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

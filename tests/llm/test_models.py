@@ -100,3 +100,18 @@ def test_pipeline_stages(spark):
     check_packing(docs, rows)
     whole = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in whole.collect()} == {r.doc_id for r in rows}
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    """NULL and repeated ids: one row of each group stays, and no row outside of it goes."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, a + " end"), (None, b), (None, b), (5, b + " end"), (2, c), (2, c), (1, c + " end"), (2, "another text of this id"), (7, None), (7, None), (None, " "), (None, " ")]
+    rows += [(9, "x y z"), (9, "x y z"), (9, "x y z"), (8, "p q r"), (8, "s t u")]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, n_chars long").repartition(3)
+    out = stages.near_duplicates(spark, docs, SF)
+    assert out.schema.names == docs.schema.names
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    first = next(t for d, t in got if d is None and t.startswith("a"))
+    assert first in (a, a + " end")
+    want = [(None, first), (5, b + " end"), (1, c + " end"), (2, "another text of this id"), (7, None), (7, None), (None, " "), (None, " ")]
+    assert got == sorted([*want, (9, "x y z"), (8, "p q r"), (8, "s t u")], key=repr)
