@@ -2,15 +2,20 @@
 
 1. Every text is tokenized (plus an end id) and cut: whole windows are sequences
    already; what is left of each document, under one window, is its tail.
-2. Tails are range-partitioned by a lexical sketch (the least hash of their ids)
-   and the document id, so alike tails meet and a sketch that a third of all rows
-   share still spreads. Partitions follow the number of tokens.
-3. A partition goes through its tails in shards of ``SHARD`` documents. Each shard
+2. Tails are range-partitioned by a lexical sketch (the ``LEAST`` least hashes of their
+   ids, in order) and the document id, so alike tails meet and a sketch that a third of
+   all rows share still spreads. Partitions follow the number of tokens.
+3. The BM25 statistics (tails, their mean length, tails that hold a term) are counted over
+   all tails once and broadcast; the vocabulary bounds them.
+4. A partition goes through its tails in shards of ``SHARD`` documents. Each shard
    has an inverted index with BM25 weights; the next unused tail is the seed, its
    neighbours come in order of score, those that fit fill the window, and when
    none fits the best one is cut to fill it exactly (its rest stays in the shard).
    What the last shard leaves is cut into powers of two. So no sequence is padded.
 
+Neighbours come from the shard alone: beyond ``SHARD`` tails most of a seed's nearest ones are
+in other shards (README gives the recall).
+
 Results: a NULL or empty text is its end id alone; repeated rows and NULL ids are
 packed row by row; an empty table gives no rows; other columns are ignored; a very
 long text is tokenized whole.
@@ -32,6 +37,8 @@ WINDOW = 2048
 END_ID = 1
 #: Tails of one inverted index.
 SHARD = 512
+#: Least hashes in a tail's sketch.
+LEAST = 4
 #: Tail tokens of one task.
 TASK_TOKENS = 1 << 22
 K1, B = 1.2, 0.75
@@ -62,21 +69,58 @@ def tails(docs: DataFrame, path: str, window: int, with_ids: bool) -> DataFrame:
                         crc.append(zlib.crc32(piece) if whole else None)
                         total.append(n)
                         tail.append(None if whole and not with_ids else ids.astype(wide).tobytes())
-                        sketch.append(None if whole else int(salt[ids].min() >> np.uint64(1)))
+                        sketch.append(None if whole else np.unique(salt[ids])[:LEAST].astype(">u8").tobytes())
                 yield pa.record_batch(
-                    [names.take(pa.array(who, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array(tail, pa.large_binary()), pa.array(sketch, pa.int64())],
+                    [names.take(pa.array(who, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array(tail, pa.large_binary()), pa.array(sketch, pa.binary())],
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sketch"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sketch long"
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sketch binary"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+class Statistics:
+    """Of a set of tails: how many, their mean length, and by term how many hold it."""
+
+    def __init__(self, count: int, tokens: int, holders: np.ndarray):
+        self.count, self.tokens, self.mean, self.holders = count, tokens, tokens / max(count, 1), holders
+
+
+def holding(texts: list[np.ndarray]) -> np.ndarray:
+    """By term: the texts that hold it."""
+    own = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(np.unique(own * (1 << 32) + np.concatenate(texts).astype(np.int64)) & 0xFFFFFFFF)
+
+
+def statistics(cut: DataFrame) -> Statistics:
+    """Of all tails: one row per term of each task, summed in Spark."""
+
+    def run(batches):
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            texts = [np.frombuffer(x, wide_of(len(x), n)) for x, n in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist())]
+            for at in range(0, len(texts), SHARD):
+                own = holding(texts[at : at + SHARD])
+                total = np.pad(total, (0, max(len(own) - len(total), 0)))
+                total[: len(own)] += own
+        terms = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(terms), pa.array(total[terms])], ["term", "n"])
+
+    own = cut.where("sketch is not null").select("ids", "length")
+    count, tokens = own.agg(F.count("*"), F.sum("length")).first()
+    rows = own.select("ids", "length").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    holders = np.zeros(max((r.term for r in rows), default=-1) + 1, np.int64)
+    for r in rows:
+        holders[r.term] = r.n
+    return Statistics(count, tokens or 0, holders)
+
+
 class Shard:
-    """Tails with an inverted index: BM25 weight of each (term, document)."""
+    """Tails with an inverted index: BM25 weight of each (term, document), by the statistics of
+    all tails (without them, of these)."""
 
-    def __init__(self, rows: list[dict]):
+    def __init__(self, rows: list[dict], known: Statistics | None = None):
         self.rows = rows
         n = len(rows)
         self.left = np.array([len(r["ids"]) - r["used"] for r in rows])
@@ -85,9 +129,10 @@ class Shard:
         pair, tf = np.unique(np.repeat(np.arange(n), lengths) * (1 << 32) + term, return_counts=True)
         doc = pair >> 32
         self.terms, slot = np.unique(pair & 0xFFFFFFFF, return_inverse=True)
-        df = np.bincount(slot)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[slot] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))
+        known = known or Statistics(n, int(lengths.sum()), holding([r["ids"] for r in rows]))
+        df = known.holders[self.terms]
+        idf = np.log1p((known.count - df + 0.5) / (df + 0.5))
+        weight = idf[slot] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / known.mean))
         self.index = np.zeros((len(self.terms), n), np.float32)  # shard-bounded: terms x SHARD
         self.index[slot, doc] = weight
         self.slots = np.split(slot, np.searchsorted(doc, np.arange(1, n)))
@@ -150,19 +195,21 @@ def pack(spark: SparkSession, docs: DataFrame, path: str, window: int = WINDOW,
     on demand, ``ids`` (the piece's ids, little-endian unsigned 32-bit)."""
     prepare(spark)
     cut = stored(spark, tails(docs, path, window, with_ids), "pack-tails")
-    tokens = cut.where("sketch is not null").agg(F.sum("length")).first()[0] or 0
-    tasks = max(1, -(-tokens // TASK_TOKENS), -(-cut.count() // (1 << 20)))
+    found = statistics(cut)
+    tasks = max(1, -(-found.tokens // TASK_TOKENS), -(-cut.count() // (1 << 20)))
+    sent = spark.sparkContext.broadcast((found.count, found.tokens, found.holders))
     dealt = cut.repartitionByRange(tasks, "sketch", "doc_id", "start").sortWithinPartitions("sketch", "doc_id", "start", "doc_tokens")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def run(batches):
         number = TaskContext.get().partitionId() << 40
+        known = Statistics(*sent.value)
         waiting: list[dict] = []
         wide = None
 
         def sequences(last):
             """Fill windows from the waiting tails; what is not used up goes on waiting."""
-            shard = Shard(waiting)
+            shard = Shard(waiting, known)
             for s in fill(shard, window, last):
                 yield from powers(s, window)
             waiting[:] = [r for r in waiting if r["used"] < len(r["ids"])]

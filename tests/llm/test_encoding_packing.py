@@ -113,3 +113,18 @@ def test_neighbours_share_words():
     assert shard.neighbours(0).tolist()[:2] == [2, 4]
     shard.left[2] = 0
     assert shard.neighbours(0).tolist()[0] == 4
+
+
+def test_statistics_of_all_tails(spark, sf_docs):
+    """A shard weighs its terms by the whole corpus, not by its own tails."""
+    cut = packing.tails(sf_docs, WORD, 2048, False)
+    tails = [np.frombuffer(r.ids, packing.wide_of(len(r.ids), r.length)) for r in cut.where("sketch is not null").collect()]
+    known = packing.statistics(cut.repartition(5))
+    holders = np.zeros(len(known.holders), np.int64)
+    for t in tails:
+        holders[np.unique(t)] += 1
+    assert known.count == len(tails) and known.tokens == sum(map(len, tails)) and np.array_equal(known.holders, holders)
+    rows = [{"ids": t, "used": 0} for t in tails]
+    whole, part = packing.Shard(rows), packing.Shard(rows[:40], known)
+    for slot, term in enumerate(part.terms):
+        assert np.allclose(part.index[slot], whole.index[np.searchsorted(whole.terms, term), :40])
