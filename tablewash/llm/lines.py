@@ -1,4 +1,4 @@
-"""Line dedup: winnowing over line hashes, matches extended both ways, later runs deleted.
+"""Line dedup: windows of lines matched by content hash after a winnowing filter, later runs deleted.
 
 A text is its sequence of lines; blank ones take no part in matching. A window starts at
 any line and ends where it first holds ``min_words`` words, so every run of lines that two
@@ -6,10 +6,10 @@ places share and that holds as many words contains a window whole. Each window s
 least line hash (the rightmost, if equal) as its fingerprint; a shared window therefore
 selects the same line in both places.
 
-1. Fingerprints are counted; those that occur once in the corpus are done with.
-2. Places of the others are joined with their windows: all windows that selected that
-   line, which reach from it as far as matching can extend to the left and to the right.
-   Windows of equal content are counted; the place with the least (doc_id, line) is first.
+1. Every window is written with its fingerprint and the hash of its content. Fingerprints
+   are counted by window; windows of those that occur once in the corpus are done with.
+2. Windows of the others are counted by their content hash, which alone tells them
+   apart; the place with the least (doc_id, line) is first.
 3. Every later window is deleted, and with it all runs that such windows make up together.
    A window overlapping the first place itself (in the same document) is kept.
 
