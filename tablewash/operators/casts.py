@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DataType, DoubleType, FloatType, NumericType, StringType, TimestampType, DateType, BooleanType
@@ -19,8 +20,7 @@ log = logging.getLogger(__name__)
 TARGETS = ("int", "float", "str", "datetime")
 
 # Formats tried, in order, when a text column is turned into timestamps without
-# an explicit format: the first one that parses the column's first value is taken (month
-# before day), and the column is refused if a later value breaks it.
+# an explicit format (month before day); see ``choose_datetime_formats``.
 DATETIME_FORMATS = (
     None,  # ISO-8601 as the SQL cast reads it
     "yyyy-MM-dd HH:mm:ss",
@@ -89,24 +89,72 @@ def _present(name: str, dtype: DataType) -> Column:
     return c(name).isNotNull()
 
 
-def choose_datetime_formats(df: DataFrame, cols: Sequence[str], formats: Sequence[str | None] = DATETIME_FORMATS) -> dict[str, str | None]:
-    """For text columns: the first format that parses the first non-missing value, if it parses
-    all others too (one job). Other columns are left out of the result."""
+@dataclass(frozen=True)
+class FormatChoice:
+    """Of one text column: the format that reads it (``refused`` False), else a value that broke it."""
+
+    format: str | None
+    refused: bool
+    broken_by: str | None = None
+
+
+def judge_datetime_formats(
+    df: DataFrame,
+    cols: Sequence[str],
+    formats: Sequence[str | None] = DATETIME_FORMATS,
+    order_cols: Sequence[str] = (),
+) -> dict[str, FormatChoice]:
+    """One aggregate pass over all text columns: each value has a bit mask of the formats that parse
+    it, merged by a bitwise AND.
+
+    With ``order_cols`` (the rows' order, e.g. file and row ordinal) the first format that parses
+    the first non-missing value is taken, and the column is refused if a later value breaks it.
+    Without them the rows have no order, and the first format that parses every value is taken.
+    Both agree wherever the ordered rule converts (a format before the one chosen misses the first
+    value, so it can't parse all), and neither depends on how the rows are partitioned. A refused
+    column names the least value that the rule's format doesn't parse."""
     if not cols:
         return {}
-    aggs = []
+    everything = (1 << len(formats)) - 1
+    order = F.struct(*[c(o) for o in order_cols]) if order_cols else None
+    masks, aggs = {}, []
     for i, n in enumerate(cols):
-        for j, f in enumerate(formats):
-            parsed = _to_timestamp(c(n), StringType(), f, "ns")
-            aggs.append(F.count_if(c(n).isNotNull() & parsed.isNull()).alias(f"f_{i}_{j}"))
-            aggs.append(F.first(F.when(c(n).isNotNull(), parsed.isNotNull()), ignorenulls=True).alias(f"h_{i}_{j}"))
-    row = df.agg(*aggs).first()
-    chosen = {}
+        bits = [F.when(_to_timestamp(c(n), StringType(), f, "ns").isNotNull(), F.lit(1 << j)).otherwise(F.lit(0)) for j, f in enumerate(formats)]
+        masks[f"_mask_{i}"] = F.when(c(n).isNotNull(), sum(bits[1:], bits[0]).cast("bigint"))
+    fresh = [*cols, *order_cols, *masks]
+    if len(set(fresh)) != len(set([*cols, *order_cols])) + len(masks):
+        raise ValueError(f"columns named like {list(masks)} can't be judged")
+    judged = df.select(*[c(x) for x in dict.fromkeys([*cols, *order_cols])], *[m.alias(k) for k, m in masks.items()])
+    for i, n in enumerate(cols):
+        mask = F.col(f"_mask_{i}")
+        aggs.append(F.bit_and(mask).alias(f"all_{i}"))
+        if order_cols:
+            aggs.append(F.min_by(mask, F.when(mask.isNotNull(), order)).alias(f"first_{i}"))
+        for j in range(len(formats)):
+            aggs.append(F.min(F.when(mask.bitwiseAND(F.lit(1 << j)) == 0, c(n))).alias(f"bad_{i}_{j}"))
+    row = judged.agg(*aggs).first()
+    found = {}
     for i, n in enumerate(cols):
-        fits = [j for j in range(len(formats)) if row[f"h_{i}_{j}"] is not False]
-        if fits and row[f"f_{i}_{fits[0]}"] == 0:
-            chosen[n] = formats[fits[0]]
-    return chosen
+        common = everything if row[f"all_{i}"] is None else row[f"all_{i}"]
+        tried = common if not order_cols else (everything if row[f"first_{i}"] is None else row[f"first_{i}"])
+        j = (tried & -tried).bit_length() - 1  # the first format of those
+        if j >= 0 and common >> j & 1:
+            found[n] = FormatChoice(formats[j], False)
+        elif j >= 0:
+            found[n] = FormatChoice(formats[j], True, row[f"bad_{i}_{j}"])
+        else:  # no format reads the first value, or none reads all
+            found[n] = FormatChoice(None, True, next((row[f"bad_{i}_{k}"] for k in range(len(formats)) if row[f"bad_{i}_{k}"] is not None), None))
+    return found
+
+
+def choose_datetime_formats(
+    df: DataFrame,
+    cols: Sequence[str],
+    formats: Sequence[str | None] = DATETIME_FORMATS,
+    order_cols: Sequence[str] = (),
+) -> dict[str, str | None]:
+    """The chosen format of each text column; refused columns are left out."""
+    return {n: f.format for n, f in judge_datetime_formats(df, cols, formats, order_cols).items() if not f.refused}
 
 
 def conversion_failures(df: DataFrame, conversions: Mapping[str, str], datetime_format: str | None = None, epoch_unit: str = "ns") -> dict[str, int]:
@@ -129,8 +177,14 @@ def fix_types(
     datetime_format: str | None = None,
     epoch_unit: str = "ns",
     missing_ok: bool = False,
+    order_cols: Sequence[str] = (),
+    refusals: dict[str, str | None] | None = None,
 ) -> DataFrame:
-    """Convert columns: {column: 'int' | 'float' | 'str' | 'datetime'}."""
+    """Convert columns: {column: 'int' | 'float' | 'str' | 'datetime'}.
+
+    ``order_cols``: the rows' order, for the choice of a datetime format (see
+    ``judge_datetime_formats``). A dict passed as ``refusals`` receives each column that the guard
+    refused with the least value that doesn't convert."""
     types = {f.name: f.dataType for f in df.schema.fields}
     unknown = [n for n in conversions if n not in types]
     if unknown and not missing_ok:
@@ -141,25 +195,26 @@ def fix_types(
             raise ValueError(f"unknown target type {t}; one of {TARGETS}")
     formats: dict[str, str | None] = {}
     text_dt = [n for n, t in conv.items() if t == "datetime" and isinstance(types[n], StringType)]
+    judged: dict[str, FormatChoice] = {}
     if text_dt and datetime_format is None:
-        formats = choose_datetime_formats(df, text_dt)
+        judged = judge_datetime_formats(df, text_dt, order_cols=order_cols)
+        formats = {n: f.format for n, f in judged.items() if not f.refused}
     if mode == "guard":
-        per_col = {}
-        for n, t in conv.items():
-            per_col[n] = formats.get(n, datetime_format)
-        failures = {}
-        if conv:
-            aggs = [
-                F.count_if(_present(n, types[n]) & convert(c(n), types[n], t, per_col[n], epoch_unit).isNull()).alias(f"x{i}")
-                for i, (n, t) in enumerate(conv.items())
-            ]
+        broken = {n: f.broken_by for n, f in judged.items() if f.refused}
+        tested = {n: t for n, t in conv.items() if n not in judged}
+        if tested:
+            failing = {
+                n: _present(n, types[n]) & convert(c(n), types[n], t, datetime_format, epoch_unit).isNull() for n, t in tested.items()
+            }
+            aggs = [x for i, (n, bad) in enumerate(failing.items()) for x in (
+                F.count_if(bad).alias(f"x{i}"), F.min(F.when(bad, c(n).cast("string"))).alias(f"v{i}"))]
             row = df.agg(*aggs).first()
-            failures = {n: int(row[f"x{i}"]) for i, n in enumerate(conv)}
-        ok = {n: t for n, t in conv.items() if failures.get(n, 0) == 0 and not (t == "datetime" and n in text_dt and n not in formats and datetime_format is None)}
-        refused = sorted(set(conv) - set(ok))
-        if refused:
-            log.warning("conversion refused (values do not convert): %s", refused)
-        conv = ok
+            broken |= {n: row[f"v{i}"] for i, n in enumerate(tested) if row[f"x{i}"]}
+        if broken:
+            log.warning("conversion refused (values do not convert): %s", dict(sorted(broken.items())))
+        if refusals is not None:
+            refusals.update(broken)
+        conv = {n: t for n, t in conv.items() if n not in broken}
     elif mode != "coerce":
         raise ValueError("mode must be 'guard' or 'coerce'")
     if not conv:

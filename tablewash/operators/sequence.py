@@ -20,9 +20,11 @@ executors) and every later branch reads that copy.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 from tablewash.functions.names import c
 from tablewash.session import ensure_checkpoint_dir
@@ -30,28 +32,41 @@ from tablewash.session import ensure_checkpoint_dir
 
 # caps the per-partition tables below (N rows, broadcast) at 100,000 rows
 MAX_PARTITIONS = 100_000
+# what a value of fixed width counts for, in bytes
+FIXED_WIDTH = 8
+
+
+def _width(name: str, dtype: DataType) -> Column:
+    """Bytes that a value of the column holds, about."""
+    if isinstance(dtype, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c(name)), F.lit(0)).cast("bigint")
+    if isinstance(dtype, (ArrayType, MapType, StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c(name)))), F.lit(0)).cast("bigint")
+    return F.lit(FIXED_WIDTH).cast("bigint")
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    """Range partitions sized from the sizes of the tables that ``df`` reads and the
-    advisory partition size (AQE's target), so the count grows with the data;
-    the shuffle-partition setting is the fallback when no estimate exists."""
+    """Range partitions for the bytes that ``df`` really holds (one aggregate over its rows) at the
+    advisory partition size (AQE's target). A plan's own estimate is no guide: above a join, and
+    in a checkpoint of one, it multiplies the sides."""
     if num_partitions:
         return int(num_partitions)
-    spark = df.sparkSession
-    fallback = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    if not hasattr(df, "_jdf"):  # Spark Connect: no estimate
-        return fallback
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()  # noqa: SLF001
-    # the tables read, not the plan's own estimate: that multiplies the sides of a join
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    target = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(  # noqa: SLF001
-        spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")))
-    if size <= 0 or size >= 2**62:
-        return fallback
+    width = sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(0).cast("bigint"))
+    size = df.agg(F.sum(width)).first()[0] or 0
+    target = max(1, size_bytes(df.sparkSession.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")))
     return max(1, min(math.ceil(size / target), MAX_PARTITIONS))
 
 
+# what a size setting may end in, and the power of two it stands for (fixed values)
+SIZE_UNITS = {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40}
+
+
+def size_bytes(setting: str) -> int:
+    """Bytes of a size setting such as ``64MB``."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([a-zA-Z]*)\s*", setting).groups()
+    return int(number) << SIZE_UNITS[unit.lower()]
+
+
 def running_total(
     df: DataFrame,
     group_cols: Sequence[str],

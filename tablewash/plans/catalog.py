@@ -216,6 +216,17 @@ def cast_datetime_text(spark, sf_dir):
     return out.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"))
 
 
+@register
+def cast_datetime_ordered(spark, sf_dir):
+    """The same texts with their order given: the first one (least o_orderkey) tells the format, month
+    before day, and the column is refused, staying text, if a later one breaks it."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("o_orderdate"))
+    refusals: dict = {}
+    out = casts.fix_types(o, {"o_orderdate": "datetime"}, order_cols=["o_orderkey"], refusals=refusals)
+    kept = F.col("o_orderdate") if refusals else F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    return out.select("o_orderkey", kept.alias("o_orderdate"), F.lit(refusals.get("o_orderdate")).cast("string").alias("broken_by"))
+
+
 @register
 def cast_datetime_epoch(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(

@@ -118,6 +118,16 @@ SELECT l_orderkey, l_linenumber, CAST(trunc(l_extendedprice) AS BIGINT) AS l_ext
     out["cast_str"] = "SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber, l_quantity FROM lineitem"
     out["cast_datetime_text"] = """
 SELECT o_orderkey, strftime(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders"""
+    out["cast_datetime_ordered"] = """
+WITH t AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders),
+f AS (SELECT day(arg_min(d, o_orderkey)) > 12 AS day_first,
+  min(strftime(d, '%d/%m/%Y')) FILTER (WHERE day(d) > 12) AS not_month FROM t)
+SELECT o_orderkey,
+  CASE WHEN day_first THEN strftime(CAST(d AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')
+    WHEN not_month IS NULL THEN strftime(make_timestamp(year(d), day(d), month(d), 0, 0, 0), '%Y-%m-%d %H:%M:%S')
+    ELSE strftime(d, '%d/%m/%Y') END AS o_orderdate,
+  CASE WHEN NOT day_first THEN not_month END AS broken_by
+FROM t, f"""
     out["cast_datetime_epoch"] = """
 SELECT event_id, strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d %H:%M:%S.%f') AS ts FROM events"""
     out["cast_guard_refused"] = """

@@ -93,10 +93,29 @@ def test_keyed_duplicates_with_a_missing_key(spark):
 
 
 def test_ambiguous_and_broken_dates(spark):
-    df = spark.createDataFrame([("01/02/2020", "01/02/2020"), ("03/04/2020", "13/02/2020")], "a string, b string").coalesce(1)
-    out = casts.fix_types(df, {"a": "datetime", "b": "datetime"})
-    assert str(col(out, "a")[0]) == "2020-01-02 00:00:00"
-    assert dict(out.dtypes)["b"] == "string"  # month first by the first value: the second breaks it
+    rows = [(1, "01/02/2020", "01/02/2020"), (2, "03/04/2020", "13/02/2020")]
+    df = spark.createDataFrame(rows, "n int, a string, b string")
+    for parts in (1, 2, 7):  # the same answer however the rows lie
+        refusals = {}
+        out = casts.fix_types(df.repartition(parts), {"a": "datetime", "b": "datetime"}, order_cols=["n"], refusals=refusals)
+        assert sorted(str(x) for x in col(out, "a")) == ["2020-01-02 00:00:00", "2020-03-04 00:00:00"]
+        assert dict(out.dtypes)["b"] == "string"  # month first by the first value: the second breaks it
+        assert refusals == {"b": "13/02/2020"}
+        # without an order, the first format that reads all values: day first
+        out = casts.fix_types(df.repartition(parts), {"b": "datetime"})
+        assert sorted(str(x) for x in col(out, "b")) == ["2020-02-01 00:00:00", "2020-02-13 00:00:00"]
+
+
+def test_datetime_format_choice_edges(spark):
+    df = spark.createDataFrame([(1, None, None, "2020-01-05"), (2, None, "x", "05/01/2020"), (3, None, "y", None)], "n int, a string, b string, c string")
+    found = casts.judge_datetime_formats(df, ["a", "b", "c"], order_cols=["n"])
+    assert not found["a"].refused  # nothing breaks an empty column
+    assert (found["b"].refused, found["b"].broken_by) == (True, "x")
+    assert (found["c"].refused, found["c"].broken_by) == (True, "05/01/2020")
+    assert casts.choose_datetime_formats(df, ["c"]) == {}
+    refusals = {}
+    out = casts.fix_types(df, {"b": "int", "n": "str"}, refusals=refusals)
+    assert refusals == {"b": "x"} and dict(out.dtypes)["n"] == "string"
 
 
 def test_long_ids_and_codes_stay_text(spark):

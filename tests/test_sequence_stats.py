@@ -46,3 +46,20 @@ def test_stats_all_missing(spark):
     df = spark.createDataFrame([(None,), (None,)], "a double")
     assert stats.medians(df, ["a"]).first()["a"] is None
     assert stats.modes(df, ["a"]).first()["a"] is None
+
+
+def test_partitions_follow_the_bytes_held(spark):
+    """Rows of a checkpointed join are counted, not estimated (the estimate multiplies the sides)."""
+    from tablewash.operators.sequence import _partitions, size_bytes
+
+    notes = spark.range(5360).selectExpr("id", "id % 7 as k", "repeat('a', 100) as text")
+    joined = notes.join(notes.groupBy("k").count(), "k").join(notes.groupBy("k").count().withColumnRenamed("count", "n"), "k").checkpoint()
+    assert _partitions(joined, None) == 1
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        few, many = _partitions(joined.limit(1000), None), _partitions(joined, None)
+        assert 1 < few < many <= 5360 * 140 // 65536 + 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert _partitions(joined.limit(0), None) == 1
+    assert [size_bytes(x) for x in ("64MB", "8m", " 512 kb", "17", "2g")] == [64 << 20, 8 << 20, 512 << 10, 17, 2 << 30]
