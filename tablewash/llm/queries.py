@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewash.llm import encoding, fingerprints, lines, near, packing, quality, topk, toxicity, warc
+from tablewash.llm import encoding, fingerprints, lines, near, packing, quality, topk, toxicity, urls, warc
 from tablewash.llm.rollups import Rollups
 from tablewash.llm.common import documents, remainder, stored, table
 from tablewash.session import scratch_path
@@ -99,6 +99,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: Rules of the url filter, as SQL rows (host, path, action).
+URL_RULES = "('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')"
+
+
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM VALUES {URL_RULES} AS t(host, path, action)")
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_warc": op2_warc,
@@ -110,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_near": op9_near,
     "op10_fingerprints": op10_fingerprints,
+    "op11_urls": op11_urls,
 }
 
 SQL: dict[str, str] = {
@@ -161,4 +171,11 @@ l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 reach AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
 SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(t.doc_id, coalesce(min(reach.b), t.doc_id)) AS component_id
 FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN reach ON reach.a = t.doc_id GROUP BY t.doc_id, n.n""",
+    "op11_urls": rf"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS n FROM pages),
+r(h, s, action) AS (VALUES {URL_RULES}),
+f AS (SELECT n, h || s AS rule, action, row_number() OVER (PARTITION BY n ORDER BY length(h || s) DESC, length(h) DESC, action DESC) AS k
+  FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s))
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN f ON p.n = f.n AND k = 1""",
 }
