@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewash.llm import encoding, fingerprints, lines, near, packing, quality, topk, toxicity, urls, warc
+from tablewash.llm import encoding, fingerprints, infill, lines, near, packing, quality, topk, toxicity, urls, warc
 from tablewash.llm.rollups import Rollups
 from tablewash.llm.common import documents, remainder, stored, table
 from tablewash.session import scratch_path
@@ -108,6 +108,12 @@ def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.infill(spark, documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    back = infill.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_warc": op2_warc,
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near": op9_near,
     "op10_fingerprints": op10_fingerprints,
     "op11_urls": op11_urls,
+    "op13_infill": op13_infill,
 }
 
 SQL: dict[str, str] = {
@@ -178,4 +185,16 @@ r(h, s, action) AS (VALUES {URL_RULES}),
 f AS (SELECT n, h || s AS rule, action, row_number() OVER (PARTITION BY n ORDER BY length(h || s) DESC, length(h) DESC, action DESC) AS k
   FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s))
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN f ON p.n = f.n AND k = 1""",
+    "op13_infill": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS c2,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+    WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT doc_id, text, n, form, array_to_string(list_slice(u, 1, least(c1, c2)), '') AS pre,
+  array_to_string(list_slice(u, least(c1, c2) + 1, greatest(c1, c2)), '') AS mid, array_to_string(list_slice(u, greatest(c1, c2) + 1, n), '') AS suf FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p""",
 }
