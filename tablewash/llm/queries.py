@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tablewash.llm import encoding, fingerprints, infill, lines, near, packing, quality, topk, toxicity, urls, warc
+from tablewash.llm import encoding, fingerprints, infill, lines, near, packing, quality, ranking, topk, toxicity, urls, warc
 from tablewash.llm.rollups import Rollups
 from tablewash.llm.common import documents, remainder, stored, table
 from tablewash.session import scratch_path
@@ -108,6 +108,10 @@ def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank(spark, documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = infill.infill(spark, documents(spark, sf_dir).select("doc_id", "text")).drop("text")
     back = infill.restored(F.col("output"), F.col("form"))
@@ -126,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near": op9_near,
     "op10_fingerprints": op10_fingerprints,
     "op11_urls": op11_urls,
+    "op12_ranking": op12_ranking,
     "op13_infill": op13_infill,
 }
 
@@ -185,6 +190,19 @@ r(h, s, action) AS (VALUES {URL_RULES}),
 f AS (SELECT n, h || s AS rule, action, row_number() OVER (PARTITION BY n ORDER BY length(h || s) DESC, length(h) DESC, action DESC) AS k
   FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s))
 SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN f ON p.n = f.n AND k = 1""",
+    "op12_ranking": r"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS u FROM documents),
+x AS (SELECT d, doc_id, len(u) AS n, u FROM t WHERE len(u) > 0),
+z AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM x),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(u) AS term FROM x) WHERE term IN (SELECT term FROM q) GROUP BY d, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), z),
+c AS (SELECT p.d, p.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) AS s FROM p JOIN w ON p.term = w.term JOIN x ON x.d = p.d, z),
+s AS (SELECT item_id, d, CAST(sum(s) AS BIGINT) AS score FROM q JOIN c ON q.term = c.term GROUP BY item_id, d),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s JOIN x ON x.d = s.d WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50""",
     "op13_infill": r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
   sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
