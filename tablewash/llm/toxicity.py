@@ -30,7 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablewash.llm.common import mix, prepare, segments, slices, spans
+from tablewash.functions.names import c
+from tablewash.llm.common import mix, prepare, segments, slices, spans, stored
 
 #: Words of a passage; passages overlap by half.
 PASSAGE = 8
@@ -43,6 +44,8 @@ ROUNDS, PICK, RATE, SMOOTH = 60, 10, 0.03, 3.0
 TOP_TOXIC, TOP_CLEAN = 3, 6
 #: Sampled labelled documents of each class, and the longest that is sampled (bytes).
 SAMPLE, SAMPLE_BYTES = 1000, 1 << 14
+#: Hash buckets that the sampled ids are cut by (2 ** BUCKET_BITS).
+BUCKET_BITS = 14
 #: Decay of vectors, softmax and bias; gradients well below the floor move little.
 DECAY, FLOOR = (2e-3, 0.0, 0.0), 1e-4
 #: Words of fewer sampled documents teach nothing (their n-grams may, in other words).
@@ -225,17 +228,42 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 7) -
 
 def sample_of(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, size: int, longest: int) -> tuple[list[bytes], np.ndarray, float]:
     """At most ``size`` texts of either label (those of least id hash, of at most ``longest`` bytes)
-    and the share of label 1 among all allowed labelled documents."""
+    and the share of label 1 among all allowed labelled documents.
+
+    Ids come first: (id, text hash) of the texts that may be sampled meet their labels, hash
+    buckets are counted, and only ids up to the bucket that fills the sample go to the driver, whatever
+    the input's size. Their texts then come from one more scan, which the chosen ids are broadcast to."""
+    spark = docs.sparkSession
+    prepare(spark)
     known = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label")).where(allowed)
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    rows: list = []
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(f"text is not null and octet_length(text) <= {longest}")
+    text = F.col("text").cast("string")
+    short = docs.where(text.isNotNull() & (F.octet_length(text) <= longest))
+    rows = short.select("doc_id", F.xxhash64(text).alias("h")).join(known, "doc_id")
+    order = F.xxhash64("doc_id")
+    rows = rows.select("doc_id", "h", "label", order.alias("o"), F.shiftrightunsigned(order, 64 - BUCKET_BITS).alias("bucket"))
+    rows = stored(spark, rows, "sample-ids")
+    filled = rows.groupBy("label", "bucket").count().collect()  # 2 x 2**BUCKET_BITS rows at most
+    chosen: list = []
     for y in (0, 1):
-        chosen = known.where(F.col("label") == y).join(texts, "doc_id")
-        rows += chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(size).collect()
-    rows.sort(key=lambda r: (zlib.crc32(r["text"].encode()), r["text"]))  # mixes the labels
+        # unsigned hashes: buckets in order, the signs' halves swapped back by the final sort
+        total, last = 0, -1
+        for r in sorted((r for r in filled if r["label"] == y), key=lambda r: r["bucket"]):
+            total, last = total + r["count"], r["bucket"]
+            if total >= size:
+                break
+        own = rows.where((F.col("label") == y) & (F.col("bucket") <= last)).select("doc_id", "h", "o").distinct()
+        chosen += [(r["doc_id"], r["h"], y) for r in own.orderBy(F.shiftrightunsigned("o", 1), "o", "doc_id", "h").limit(size).collect()]
     total = sum(counts.values())
-    return [r["text"].encode() for r in rows], np.array([r["label"] for r in rows]), counts.get(1, 0) / total if total else 0.0
+    share = counts.get(1, 0) / total if total else 0.0
+    if not chosen:
+        return [], np.zeros(0, np.int64), share
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    wanted = F.broadcast(spark.createDataFrame(chosen, f"doc_id {kind}, h long, label int"))  # 2 x size rows at most
+    found = short.select("doc_id", F.xxhash64(text).alias("h"), text.alias("text")).join(wanted, ["doc_id", "h"])
+    texts = found.groupBy("doc_id", "h", "label").agg(F.min("text").alias("text")).select("text", "label").collect()
+    texts.sort(key=lambda r: (zlib.crc32(r["text"].encode()), r["text"]))  # mixes the labels
+    return [r["text"].encode() for r in texts], np.array([r["label"] for r in texts]), share
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic") -> Model:
