@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -29,10 +29,18 @@ def prepare(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
 
 
+def free_name(taken: Iterable[str], base: str) -> str:
+    """``base``, with underscores added until no column (case-blind, as Spark resolves) has that name."""
+    used = {x.lower() for x in taken}
+    while base.lower() in used:
+        base += "_"
+    return base
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: the lineage is cut, lost executors cost nothing."""
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

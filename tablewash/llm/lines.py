@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablewash.functions.names import c
 from tablewash.llm.common import prepare, stored
 
 #: Words of the shortest run that is deleted.
@@ -73,17 +74,17 @@ def _places(docs: DataFrame, min_words: int) -> DataFrame:
             cols: list[list] = [[] for _ in names]
             for i, h, text in zip(batch.column("id").to_pylist(), batch.column("h").to_pylist(), batch.column("text")):
                 for w in windows((text.as_py() or "").split("\n"), min_words):
-                    for c, v in zip(cols, (i, h, *w)):
-                        c.append(v)
+                    for col, v in zip(cols, (i, h, *w)):
+                        col.append(v)
                 if len(cols[0]) > 1 << 16:
                     yield batch_of(cols)
                     cols = [[] for _ in names]
             yield batch_of(cols)
 
     def batch_of(cols):
-        return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names)
+        return pa.record_batch([pa.array(x, pa.int64()) for x in cols], names)
 
-    return docs.select("id", "h", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return docs.select("id", "h", "text").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def repeated(spark: SparkSession, docs: DataFrame, min_words: int) -> DataFrame:
@@ -97,20 +98,24 @@ def repeated(spark: SparkSession, docs: DataFrame, min_words: int) -> DataFrame:
     return later.groupBy("id", "h").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the later repeated runs taken out of ``text``, and the added
-    columns ``n_lines``, ``n_deleted`` (lines before, lines taken out)."""
+def dedup_lines(
+    spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, text: str = "text", counts: tuple[str, str] = ("n_lines", "n_deleted")
+) -> DataFrame:
+    """All columns of ``docs`` with the later repeated runs taken out of ``text``, and two added
+    columns named by ``counts`` (lines before, lines taken out); columns of those names are replaced."""
     prepare(spark)
-    whole = F.col(text).cast("string")
-    place = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64(whole)}
-    plain = docs.select(place["_id"].alias("id"), place["_h"].alias("h"), whole.alias("text")).where("text is not null")
-    ranges = repeated(spark, plain, min_words).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("ranges").alias("_ranges"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    whole = c(text).cast("string")
+    names = [x for x in docs.columns if x not in counts]
+    # plain names inside: the caller's names can't clash, nor a dot in them mislead
+    inner = [f"x{i}" for i in range(len(names))]
+    place = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "h": F.xxhash64(whole)}
+    plain = docs.select(place["id"].alias("id"), place["h"].alias("h"), whole.alias("text")).where("text is not null")
+    ranges = repeated(spark, plain, min_words).select("id", "h", "ranges")
 
     def run(batches):
         for batch in batches:
             texts, before, gone = [], [], []
-            for x, r in zip(batch.column("_text").to_pylist(), batch.column("_ranges").to_pylist()):
+            for x, r in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist()):
                 lines = [] if x is None else x.split("\n")
                 drop = np.zeros(len(lines), bool)
                 for y in r or ():
@@ -118,10 +123,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS
                 texts.append(x if not drop.any() else "\n".join([t for t, d in zip(lines, drop.tolist()) if not d]))
                 before.append(len(lines))
                 gone.append(int(drop.sum()))
-            cols = [pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names]
-            yield pa.record_batch([*cols, pa.array(before, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_deleted"])
-
-    own = docs.select(*names, whole.alias("_text"), *(c.alias(n) for n, c in place.items()))
-    joined = own.join(ranges, ["_id", "_h"], "left").select(*(c for c in names if c != text), "_text", "_ranges")
-    fields = ", ".join(f"`{c}` {'string' if c == text else docs.schema[c].dataType.simpleString()}" for c in names)
-    return joined.mapInArrow(run, f"{fields}, n_lines long, n_deleted long")
+            cols = [pa.array(texts, pa.string()) if y == text else batch.column(x) for x, y in zip(inner, names)]
+            yield pa.record_batch([*cols, pa.array(before, pa.int64()), pa.array(gone, pa.int64())], [*inner, "before", "gone"])
+
+    kept = {x: y for x, y in zip(inner, names) if y != text}
+    own = docs.select(*(c(y).alias(x) for x, y in kept.items()), whole.alias("text"), *(x.alias(n) for n, x in place.items()))
+    joined = own.join(ranges, ["id", "h"], "left").select(*kept, "text", "ranges")
+    fields = ", ".join(f"{x} {'string' if y == text else docs.schema[y].dataType.simpleString()}" for x, y in zip(inner, names))
+    return joined.mapInArrow(run, f"{fields}, before long, gone long").toDF(*names, *counts)

@@ -278,15 +278,18 @@ def score(spark: SparkSession, docs: DataFrame, model, name: str = "score") -> D
     """All columns of ``docs`` and the score of its ``text`` (a column of that name is replaced)."""
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)  # one bounded table of weights
-    kept = [c for c in docs.columns if c != name]
-    kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != name)
+    kept = [x for x in docs.columns if x != name]
+    # plain names while Python has the rows: a dot or a backquote in a caller's name means nothing there
+    plain = [f"x{i}" for i in range(len(kept))]
+    schema = ", ".join(f"{x} {docs.schema[y].dataType.simpleString()}" for x, y in zip(plain, kept))
 
     def run(batches):
         own = shared.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(plain[kept.index("text")]).to_pylist()
             for a, b in slices(texts):
                 found = own.scores([(t or "").encode("utf-8", "surrogatepass") for t in texts[a:b]])
-                yield pa.record_batch([*(batch.column(c).slice(a, b - a) for c in kept), pa.array(found, pa.float64())], [*kept, name])
+                yield pa.record_batch([*(batch.column(x).slice(a, b - a) for x in plain), pa.array(found, pa.float64())], [*plain, "score"])
 
-    return docs.select(*kept).mapInArrow(run, f"{kept_schema}, `{name}` double")
+    own = docs.select(*(c(y).alias(x) for x, y in zip(plain, kept)))
+    return own.mapInArrow(run, f"{schema}, score double").toDF(*kept, name)

@@ -115,3 +115,37 @@ def test_near_duplicates_are_dropped_by_row(spark):
     assert first in (a, a + " end")
     want = [(None, first), (5, b + " end"), (1, c + " end"), (2, "another text of this id"), (7, None), (7, None), (None, " "), (None, " ")]
     assert got == sorted([*want, (9, "x y z"), (8, "p q r"), (8, "s t u")], key=repr)
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    """Internal names give way to the caller's, each of which comes back as it was."""
+    names = ["_row", "_score", "_id", "_h", "_text", "_ranges", "n_lines", "n_deleted", "score", "row", "place", "label", "bucket", "o", "a.b", "c`d"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    more = docs.select("*", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, SF)
+        assert out.columns == more.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names), name
+        assert {r.doc_id for r in rows} == {r.doc_id for r in stage(spark, docs, SF).collect()}, name
+        empty = stage(spark, more.limit(0), SF)
+        assert empty.columns == more.columns and empty.isEmpty()
+
+
+def test_stages_take_odd_rows(spark):
+    """NULL, empty and blank texts, NULL and repeated ids, one very long text, other columns NULL."""
+    a = " ".join(f"word{i}" for i in range(80))
+    long = "\n".join(f"line {i} has words {i * 7} of its own" for i in range(20_000))
+    rows = [(None, a, None), (None, a, "x"), (1, None, None), (2, "", None), (3, " \n ", "y"), (4, a, None), (4, a, None), (5, long, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    whole = {(d, t) for d, t, _ in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = [(r.doc_id, r.text) for r in stage(spark, docs, SF).collect()]
+        assert stage(spark, docs, SF).columns == docs.columns
+        if name == "near_duplicates":
+            assert sorted(got, key=repr) == sorted([(4, a), (1, None), (2, ""), (3, " \n "), (5, long)], key=repr)
+        elif name == "line_dedup":  # equal rows are one document: the first place is a NULL id's
+            assert sorted(got, key=repr) == sorted([(None, a), (None, a), (1, None), (2, ""), (3, " \n "), (5, long)], key=repr)
+        else:
+            assert set(got) <= whole
+    assert sum(r.length for r in stages.packing(spark, docs, SF).where("doc_id = 2").collect()) == 1
