@@ -917,4 +917,54 @@ def analyze_xlsx(spark, sf_dir):
     cols = ["conv_id", "turn", "Patient_ID", "Seance", "Notes"]
     base = _write_workbooks(spark, notes, _scratch(spark, "notes-xlsx"), cols, sheet_col="sheet")
     reference, muscles = _vocabularies(spark, sf_dir)
+    return analyze_file(spark, base, rule_scorer, reference=reference, muscles=muscles, scope="sheet")
+
+
+# header layouts of the workbooks of analyze_xlsx_sheets: column of the notes -> its name there
+BOOK_LAYOUTS = (
+    {"Patient_ID": "Patient_ID", "Seance": "Seance", "Notes": "Notes"},
+    {"turn": "round", "Notes": " Texte "},
+    {"Notes": "DESCRIPTION", "turn": "Jour", "Patient_ID": "code_patient", "Seance": "id"},
+)
+CONVERSATIONS_PER_BOOK = 40
+
+
+@register
+def analyze_xlsx_sheets(spark, sf_dir):
+    """F-19 (per sheet): workbooks of 40 conversations each, in three layouts (with and without session
+    and patient columns, columns in another order) and with equal sheet names; every sheet of every
+    file has roles, a patient and numbers of its own."""
+    from tablewash.plans.extract import analyze_file, rule_scorer
+    from tablewash.session import ship_package
+    from tablewash.sources.workbook import workbook_bytes
+
+    base = _scratch(spark, "notes-books")
+
+    def write(group):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        from tablewash.sources.census import arrow_uri
+
+        import pandas as pd
+
+        number = int(group["book"].iloc[0])
+        layout = BOOK_LAYOUTS[number % len(BOOK_LAYOUTS)]
+        sheets = {}
+        for sheet, own in group.sort_values(["conv_id", "turn"]).groupby("sheet"):
+            rows = own[list(layout)].astype(object).where(own[list(layout)].notna(), None)
+            sheets[sheet] = [list(layout.values()), *rows.values.tolist()]
+        filesystem, root = fs.FileSystem.from_uri(arrow_uri(base))
+        filesystem.create_dir(root, recursive=True)
+        final = f"{root}/book-{number:08d}.xlsx"
+        tmp = f"{final}.{TaskContext.get().taskAttemptId()}.tmp"
+        with filesystem.open_output_stream(tmp) as f:
+            f.write(workbook_bytes(sheets))
+        filesystem.move(tmp, final)
+        return pd.DataFrame({"book": [number]})
+
+    ship_package(spark)
+    notes = _notes_input(spark, sf_dir).withColumn("book", F.expr(f"conv_id div {CONVERSATIONS_PER_BOOK}"))
+    notes.groupBy("book").applyInPandas(write, "book long").count()
+    reference, muscles = _vocabularies(spark, sf_dir)
     return analyze_file(spark, base, rule_scorer, reference=reference, muscles=muscles)

@@ -294,6 +294,20 @@ def extract_table(
 ) -> DataFrame:
     """The whole extraction: notes -> ten-column table."""
     notes = prepare_notes(df, order_cols, roles, sheet_col)
+    return extract_notes(notes, scorer, reference, muscles, template, max_attempts, num_tasks, batch_size)
+
+
+def extract_notes(
+    notes: DataFrame,
+    scorer: Scorer,
+    reference: DataFrame | None = None,
+    muscles: DataFrame | None = None,
+    template: str = DEFAULT_TEMPLATE,
+    max_attempts: int = 3,
+    num_tasks: int | None = None,
+    batch_size: int | None = None,
+) -> DataFrame:
+    """Prepared notes (sheet, patient_id, session, row_ordinal, text) -> ten-column table."""
     ref_text, vocab_text, vocab = vocabulary_lines(reference, muscles)
     keys = ["sheet", "patient_id", "session", "row_ordinal"]
     scored = score_and_parse(notes, scorer, keys, vocab, max_attempts=max_attempts, num_tasks=num_tasks,
@@ -309,17 +323,29 @@ def analyze_file(
     muscles: DataFrame | None = None,
     sheets: str | Sequence[str] = "all",
     max_attempts: int = 3,
+    scope: str = "file",
 ) -> DataFrame:
     """Whole-file analysis: a CSV file (or folder of CSV part files) or every
-    chosen sheet of a workbook, in file / sheet row order, as one plan (sheets
-    are a column, not a loop). Other formats raise."""
+    chosen sheet of a workbook (or folder of workbooks), in file / sheet row order, as one plan
+    (sheets are data, not a loop). Other formats raise.
+
+    ``scope='file'``: each (file, sheet) has columns, a patient and numbers of its own.
+    ``scope='sheet'``: the workbooks are parts of one; sheets of equal name are one table, with
+    the columns of all sheets together."""
+    from tablewash.plans.sheets import sheet_notes
     from tablewash.sources.readers import detect_kind, read_csv
-    from tablewash.sources.workbook import read_workbook
+    from tablewash.sources.workbook import read_workbook, workbook_rows
+
+    if scope not in ("file", "sheet"):
+        raise ValueError("scope must be 'file' or 'sheet'")
 
     kind, encoding = detect_kind(spark, path)
     if kind == "csv":
         df = read_csv(spark, path, encoding=encoding, ordinal_col="_file_row")
         return extract_table(df, scorer, ["_file_row"], reference, muscles, None, None, max_attempts=max_attempts)
+    if kind == "excel" and scope == "file":
+        notes = sheet_notes(workbook_rows(spark, path, sheets).checkpoint())
+        return extract_notes(notes, scorer, reference, muscles, max_attempts=max_attempts)
     if kind == "excel":
         df = read_workbook(spark, path, sheets=sheets, merge=True, sheet_col="_sheet", row_col="_sheet_row")
         return extract_table(df, scorer, ["_sheet_row_path", "_sheet_row"], reference, muscles, "_sheet", None,

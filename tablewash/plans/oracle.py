@@ -488,5 +488,16 @@ notes AS (SELECT o.*, pat.patient_id, length(text) % 6 AS v FROM o, pat
           WHERE lower(text) NOT IN ('', 'nan', 'none'))"""
     out["analyze_csv"] = out["extract_flagship"].replace(notes, whole_file_notes, 1)
     out["analyze_xlsx"] = out["extract_flagship"]
-    assert out["analyze_csv"] != out["extract_flagship"]
+    per_sheet_notes = """
+n AS (SELECT conv_id // 40 AS book, (conv_id // 40) % 3 AS layout, role, (conv_id // 40) || '/' || role AS sheet, conv_id, turn, text,
+             CASE WHEN turn < 2 THEN NULL ELSE 'P' || CAST(conv_id AS VARCHAR) END AS pid FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY conv_id, turn) AS row_ordinal FROM n),
+-- layout 0: patient_id; 1: none, the sheet's name; 2: code_patient comes before id
+pat AS (SELECT sheet, CASE WHEN layout = 1 THEN role ELSE coalesce(min_by(pid, conv_id * 1000000 + turn) FILTER (WHERE pid IS NOT NULL), 'unknown') END
+               AS patient_id FROM n GROUP BY sheet, layout, role),
+notes AS (SELECT o.*, pat.patient_id, length(text) % 6 AS v,
+                 CASE layout WHEN 0 THEN CAST(conv_id AS VARCHAR) WHEN 1 THEN 'session_' || CAST(row_ordinal AS VARCHAR) ELSE CAST(turn AS VARCHAR) END AS session
+          FROM o JOIN pat USING (sheet) WHERE lower(text) NOT IN ('', 'nan', 'none'))"""
+    out["analyze_xlsx_sheets"] = out["extract_flagship"].replace(notes, per_sheet_notes, 1)
+    assert len({out[x] for x in ("extract_flagship", "analyze_csv", "analyze_xlsx_sheets")}) == 3
     return out
