@@ -36,6 +36,8 @@ PARTS = 2
 BLOCK = 4096
 #: Candidates whose local scores are held at once.
 ROWS = 2048
+#: Pairs that are multiplied at once.
+PAIRS = 1 << 14
 
 
 def exact(vectors: DataFrame, scale: int) -> DataFrame:
@@ -47,10 +49,15 @@ def exact(vectors: DataFrame, scale: int) -> DataFrame:
     return clean.select("id", F.transform("x", lambda c: F.floor(scale * c).cast("long")).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
 
-def matrix(rows: list, width: int) -> np.ndarray:
+def matrix(rows: pa.ListArray | list, width: int) -> np.ndarray:
+    """The lists as zero-filled rows of ``width``."""
+    rows = rows if isinstance(rows, pa.Array) else pa.array(rows, pa.list_(pa.int64()))
+    lengths = np.diff(np.asarray(rows.offsets))
+    flat = np.asarray(rows.flatten(), np.int64)
+    if len(rows) and (lengths == width).all():
+        return flat.reshape(len(rows), width)
     out = np.zeros((len(rows), width), np.int64)
-    for i, v in enumerate(rows):
-        out[i, : len(v)] = v
+    out[np.repeat(np.arange(len(rows)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
     return out
 
 
@@ -101,7 +108,7 @@ def _scan(spark: SparkSession, lists: DataFrame, queries: list, parts: int, widt
                 rows = np.flatnonzero(number == part)
                 for at in range(0, len(rows), ROWS):
                     own = rows[at : at + ROWS]
-                    local = products(whole[:, part * step : (part + 1) * step], matrix([flat[int(i)].as_py() for i in own], step))
+                    local = products(whole[:, part * step : (part + 1) * step], matrix(flat.take(pa.array(own)), step))
                     if least is None:
                         merge(part, ids[own], local)
                     else:
@@ -118,21 +125,32 @@ def _scan(spark: SparkSession, lists: DataFrame, queries: list, parts: int, widt
 
 
 def _resolve(spark: SparkSession, pairs: DataFrame, classes: DataFrame, queries: list, width: int) -> DataFrame:
-    """Whole scores of (q, c) pairs: ``q, c, score``."""
-    shared = spark.sparkContext.broadcast((matrix([v for _, v in queries], max(width, 1)), {q: i for i, (q, _) in enumerate(queries)}))
+    """Whole scores of (q, c) pairs: ``q, c, score``.
+
+    A class meets its queries (a block's at most) in one row with one copy of its vector; some
+    thousand pairs at a time are multiplied at once."""
+    names = np.sort(np.array([q for q, _ in queries], np.int64))
+    whole = matrix([v for _, v in sorted(queries)], max(width, 1))
+    shared = spark.sparkContext.broadcast((whole, names))
 
     def run(batches):
-        whole, place = shared.value
+        whole, names = shared.value
         for batch in batches:
-            q = np.array([place[x] for x in batch.column("q").to_pylist()], np.int64)
-            v = matrix(batch.column("v").to_pylist(), whole.shape[1])
-            if v.size and float(np.abs(v).max()) * float(np.abs(whole).max()) * v.shape[1] >= 2**53:
-                score = np.array([sum(int(x) * int(y) for x, y in zip(a, b)) for a, b in zip(whole[q], v)], object).astype(np.int64)
-            else:
-                score = np.einsum("ij,ij->i", whole[q], v)
-            yield pa.record_batch([batch.column("q"), batch.column("c"), pa.array(score)], ["q", "c", "score"])
-
-    return pairs.join(classes, "c").select("q", "c", "v").mapInArrow(run, "q long, c long, score long")
+            v = matrix(batch.column("v"), whole.shape[1])
+            lists = batch.column("qs")
+            counts = np.diff(np.asarray(lists.offsets))
+            q = np.asarray(lists.flatten(), np.int64)
+            row = np.repeat(np.arange(len(v)), counts)
+            c = np.array(batch.column("c"), np.int64)[row]
+            place = np.searchsorted(names, q)
+            large = v.size and float(np.abs(v).max()) * float(np.abs(whole).max()) * v.shape[1] >= 2**53
+            for at in range(0, len(q), PAIRS):
+                x, y = whole[place[at : at + PAIRS]], v[row[at : at + PAIRS]]
+                score = (x.astype(object) * y).sum(1).astype(np.int64) if large else np.einsum("ij,ij->i", x, y)
+                yield pa.record_batch([pa.array(q[at : at + PAIRS]), pa.array(c[at : at + PAIRS]), pa.array(score, pa.int64())], ["q", "c", "score"])
+
+    asked = pairs.groupBy("c").agg(F.collect_list("q").alias("qs"))
+    return asked.join(classes, "c").select("c", "qs", "v").mapInArrow(run, "q long, c long, score long")
 
 
 def top_k(spark: SparkSession, vectors: DataFrame, every: int, k: int, scale: int = 256, parts: int = PARTS) -> DataFrame:
