@@ -548,6 +548,17 @@ def _write_workbooks(spark, df, base, cols, sheet_col=None, sheet_name="sheet1")
     return base
 
 
+@register
+def scan_csv_split(spark, sf_dir):
+    """All texts (line breaks, quotes and separators in them) as one CSV file, read in many tasks."""
+    from tablewash.sinks.writers import write_csv
+    from tablewash.sources.readers import read_csv
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    src = write_csv(docs, _scratch(spark, "documents-csv") + ".csv", single_file=True)
+    return read_csv(spark, src, encoding="UTF-8")
+
+
 @register
 def scan_xlsx(spark, sf_dir):
     """part written as one workbook per partition (sheet 'part'), then the

@@ -272,6 +272,7 @@ UNION ALL SELECT CAST(CASE column_name WHEN 'l_returnflag' THEN 17 WHEN 'l_lines
     out["scan_csv_roundtrip"] = """
 SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"""
     out["scan_csv_latin1"] = "SELECT doc_id, lang, text FROM documents"
+    out["scan_csv_split"] = "SELECT doc_id, text, lang FROM documents"
     out["infer_types"] = """
 SELECT l_orderkey, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity END AS qty,
        (l_returnflag = 'R') AS returned, CASE WHEN l_linestatus = 'O' THEN NULL ELSE l_returnflag END AS flag

@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tablewash.functions.missing import normalize_nan
 from tablewash.functions.names import c, header_names
 from tablewash.operators.casts import NA_TOKENS, infer_types, na_to_null
+from tablewash.sources.csv_records import ASCII_LIKE, HEAD, csv_records
 
 
 def read_csv(
@@ -28,11 +29,13 @@ def read_csv(
     multiline: bool = True,
     sep: str = ",",
     ordinal_col: str | None = None,
+    split: bool = True,
 ) -> DataFrame:
     """Read CSV as text, NULL for missing tokens, then infer types.
 
-    ``encoding=None`` uses the census of all files (BOM / UTF-8 / Latin-1). ``multiline=True`` keeps quoted line breaks right but reads each
-    file in one task; set it False for very large single files without them.
+    ``encoding=None`` uses the census of all files (BOM / UTF-8 / Latin-1). ``multiline=True`` keeps quoted
+    line breaks right; a large file is still read in many tasks (``csv_records``), unless ``split=False`` or
+    its encoding writes a line break in several bytes (UTF-16, UTF-32). ``multiline=False`` takes every line for a record.
     A row shorter than the header is filled up with missing values, a longer one stops the job;
     empty header names become ``Unnamed: i`` and repeated ones are numbered."""
     paths = [path] if isinstance(path, str) else list(path)
@@ -54,7 +57,11 @@ def read_csv(
     while raw in names:
         raw += "_"
     schema = StructType([StructField(n, StringType()) for n in [*names, raw]])
-    df = reader.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", raw).schema(schema).csv(paths)
+    place: list[str] = []
+    if multiline and split and encoding.upper() in ASCII_LIKE and sep.isascii():
+        df, place = _split_csv(spark, paths, encoding, sep, names, raw)
+    else:
+        df = reader.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", raw).schema(schema).csv(paths)
     # only rows with another number of fields are kept raw; separators within quotes don't count
     bare = F.regexp_replace(F.col(raw), '"[^"]*"', "")
     fields = F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
@@ -63,11 +70,27 @@ def read_csv(
     refused = F.raise_error(F.concat(F.lit(f"more than {len(names)} fields in row "), F.coalesce(c(names[0]), F.lit("")), F.lit(": "), F.col(raw)))
     df = df.where(F.when(too_long, refused.cast("boolean")).otherwise(True))
     if ordinal_col:
-        from tablewash.operators.sequence import with_file_ordinal
-
-        df = with_file_ordinal(df, out=ordinal_col)
-    df = na_to_null(df.drop(raw), tokens=na_tokens)
-    return infer_types(df) if infer else df
+        from tablewash.operators.sequence import with_file_ordinal, with_row_ordinal
+
+        df = with_row_ordinal(df, place, ordinal_col) if place else with_file_ordinal(df, out=ordinal_col)
+    df = na_to_null(df.drop(raw, *place), names, tokens=na_tokens)
+    return infer_types(df, names) if infer else df
+
+
+def _split_csv(spark: SparkSession, paths: Sequence[str], encoding: str, sep: str, names: Sequence[str], raw: str) -> tuple[DataFrame, list[str]]:
+    """Fields (as text), ``raw`` and three place columns of all records but the files' headers."""
+    records = csv_records(spark, paths, sep).where(F.col("n") != HEAD)
+    text = F.col("record").cast("string") if encoding.upper() == "UTF-8" else F.decode("record", encoding)
+    # plain names within the parse: a header may hold anything
+    fields = ", ".join(f"f{i} string" for i in range(len(names) + 1))
+    options = {"sep": sep, "escape": '"', "emptyValue": "", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": f"f{len(names)}"}
+    place = []
+    for name in ("_file", "_block", "_n"):
+        while name in [*names, raw, *place]:
+            name += "_"
+        place.append(name)
+    df = records.select(F.from_csv(text, fields, options).alias("f"), "file", "block", "n").select("f.*", "file", "block", "n")
+    return df.toDF(*names, raw, *place), place
 
 
 def common_encoding(spark: SparkSession, paths: Sequence[str]) -> str:
