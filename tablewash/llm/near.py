@@ -113,61 +113,70 @@ def class_keys(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return mix((total[ends] - total[ends - counts]) + counts.astype(np.uint64)).view(np.int64)
 
 
-def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, class key ``c``, ``bits`` and piece keys (NULL for empty sets;
-    piece keys also for texts that the task has just dealt)."""
+def sketches(docs: DataFrame, k: int) -> DataFrame:
+    """Per row: doc_id, n_shingles, class key ``c`` (NULL for empty sets) and ``bits``."""
 
     def run(batches):
-        seen: set = set()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in slices(texts):
                 h, counts = shingles(texts[a:b], k)
-                c = class_keys(h, counts)
                 owner = np.repeat(np.arange(len(counts)), counts)
                 bit = (mix(h + np.uint64(991)) >> np.uint64(30)).astype(np.int64) % BITS
                 flips = np.bincount(owner * BITS + bit, minlength=len(counts) * BITS).astype(np.uint8) & 1
                 bits = np.packbits(flips.reshape(-1, BITS), axis=1).view(np.int64)
-                new = np.zeros(len(counts), bool)
-                for i in np.flatnonzero(counts).tolist():
-                    if c[i] not in seen:
-                        seen.add(c[i])
-                        new[i] = True
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                key, dealt = pieces(h[np.repeat(new, counts)], np.where(new, counts, 0), percent)
-                none = pa.array(counts == 0)
                 yield pa.record_batch(
                     [
                         batch.column("doc_id").slice(a, b - a),
                         pa.array(counts.astype(np.int64)),
-                        pa.array(c, mask=counts == 0),
+                        pa.array(class_keys(h, counts), mask=counts == 0),
                         pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), BITS // 64).cast(pa.list_(pa.int64())),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(dealt)]).astype(np.int32)), pa.array(key)),
                     ],
-                    ["doc_id", "n_shingles", "c", "bits", "pieces"],
+                    ["doc_id", "n_shingles", "c", "bits"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles long, c long, bits array<long>, pieces array<long>"
+    schema = f"doc_id {kind}, n_shingles long, c long, bits array<long>"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def exact_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``c``, ``tokens`` (sorted 64-bit hashes) of the wanted classes (c, doc_id of one member)."""
+def dealt_pieces(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(piece, c) of all texts with shingles; a text that the task has just dealt is left out. They go
+    straight to the exchange: making them costs less than keeping them."""
 
     def run(batches):
+        seen: set = set()
         for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), np.array(batch.column("c"))
+            texts = batch.column("text").to_pylist()
             for a, b in slices(texts):
                 h, counts = shingles(texts[a:b], k)
-                ends = np.cumsum(counts)
-                same = np.flatnonzero(class_keys(h, counts) == keys[a:b])
-                raw = [h[ends[i] - counts[i] : ends[i]].tobytes() for i in same]
-                yield pa.record_batch([pa.array(keys[a:b][same]), pa.array(raw, pa.binary())], ["c", "tokens"])
+                c = class_keys(h, counts)
+                new = np.zeros(len(counts), bool)
+                for i in np.flatnonzero(counts).tolist():
+                    if c[i] not in seen:
+                        seen.add(c[i])
+                        new[i] = True
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                key, dealt = pieces(h[np.repeat(new, counts)], np.where(new, counts, 0), percent)
+                yield pa.record_batch([pa.array(key), pa.array(np.repeat(c, dealt))], ["piece", "c"])
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "piece long, c long")
+
+
+def class_texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``c``, ``text`` of the wanted classes (c, doc_id of one member). Texts travel, as they are smaller
+    than their sets of 64-bit hashes."""
+
+    def run(batches):
+        for batch in batches:
+            texts, keys = batch.column("text").to_pylist(), np.array(batch.column("c"))
+            for a, b in slices(texts):
+                same = np.flatnonzero(class_keys(*shingles(texts[a:b], k)) == keys[a:b])
+                yield pa.record_batch([pa.array(keys[a:b][same]), batch.column("text").slice(a, b - a).take(pa.array(same))], ["c", "text"])
 
     texts = docs.select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("text"))
-    found = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("d"))).select("c", "text").mapInArrow(run, "c long, tokens binary")
+    found = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("d"))).select("c", "text").mapInArrow(run, "c long, text string")
     return found.dropDuplicates(["c"])
 
 
@@ -179,21 +188,27 @@ def near_enough(x: str, y: str, percent: int):
     return within & (sum(parts) * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose exact sets link."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    x = sets.select(F.col("c").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("c").alias("b"), F.col("tokens").alias("y"))
+            left, right = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            for at, end in slices([(u or "") + (v or "") for u, v in zip(x, y)]):
+                # rows come in order of a: each class is shingled once per slice
+                own = {**dict(zip(left[at:end], x[at:end])), **dict(zip(right[at:end], y[at:end]))}
+                h, counts = shingles(list(own.values()), k)
+                sets = dict(zip(own, np.split(h, np.cumsum(counts)[:-1])))
+                keep = []
+                for a, b in zip(left[at:end], right[at:end]):
+                    both = np.sort(np.concatenate([sets[a], sets[b]]), kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    keep.append(100 * common >= percent * (len(both) - common))
+                yield batch.slice(at, end - at).select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x = texts.select(F.col("c").alias("a"), F.col("text").alias("x"))
+    y = texts.select(F.col("c").alias("b"), F.col("text").alias("y"))
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -201,13 +216,12 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int, percent: int)
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id
     reachable over links)."""
     prepare(spark)
-    base = stored(spark, sketches(docs, k, percent), "near-sketches")
+    base = stored(spark, sketches(docs, k), "near-sketches")
     classes = base.where("c is not null")
 
     # classes that share a piece; (first, previous) pairs
     by_piece = Window.partitionBy("piece").orderBy("c")
-    dealt = classes.where("size(pieces) > 0").select(F.explode("pieces").alias("piece"), "c")
-    met = dealt.select(
+    met = dealt_pieces(docs, k, percent).select(
         "piece", "c", F.first("c").over(by_piece).alias("first"), F.lag("c").over(by_piece).alias("before"), F.lead("c").over(by_piece).alias("after")
     ).where("(before is not null and before != c) or (after is not null and after != c) or first != c")
     met = stored(spark, met.select("piece", "c", "first", "before"), "near-met")
@@ -223,8 +237,8 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int, percent: int)
     y = known.select(F.col("c").alias("b"), F.col("n").alias("y_n"), F.col("bits").alias("y_bits"))
     tried = stored(spark, pairs.join(y, "b").join(x, "a").where(near_enough("x", "y", percent)).select("a", "b"), "near-pairs")
     wanted = tried.select(F.col("a").alias("c")).union(tried.select(F.col("b").alias("c"))).distinct()
-    sets = stored(spark, exact_sets(docs, known.join(wanted, "c", "left_semi").select("c", "doc_id"), k), "near-sets")
-    links = stored(spark, verified(tried, sets, percent), "near-links")
+    texts = stored(spark, class_texts(docs, known.join(wanted, "c", "left_semi").select("c", "doc_id"), k), "near-texts")
+    links = stored(spark, verified(tried, texts, k, percent), "near-links")
     parts = connected_components(spark, links)
 
     # pieces whose classes are still in several components: all pairs across them
@@ -239,9 +253,9 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int, percent: int)
     across = stored(spark, across.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-across")
     if not across.isEmpty():
         wanted = across.select(F.col("a").alias("c")).union(across.select(F.col("b").alias("c"))).distinct()
-        more = known.join(wanted, "c", "left_semi").join(sets.select("c"), "c", "left_anti").select("c", "doc_id")
-        sets = sets.union(stored(spark, exact_sets(docs, more, k), "near-sets"))
-        late = stored(spark, verified(across, sets, percent), "near-links")
+        more = known.join(wanted, "c", "left_semi").join(texts.select("c"), "c", "left_anti").select("c", "doc_id")
+        texts = texts.union(stored(spark, class_texts(docs, more, k), "near-texts"))
+        late = stored(spark, verified(across, texts, k, percent), "near-links")
         if not late.isEmpty():
             parts = connected_components(spark, parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late))
 
