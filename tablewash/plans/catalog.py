@@ -510,6 +510,42 @@ def json_rejects(spark, sf_dir):
     return good.unionByName(bad, allowMissingColumns=True)
 
 
+# events of one whole-document JSON file
+EVENTS_PER_DOCUMENT = 20_000
+
+
+def _write_documents(spark, objects, path):
+    """Files that hold one JSON array each, on one line; ``objects``: event_id, v (the text of an object)."""
+    texts = objects.groupBy(F.expr(f"event_id div {EVENTS_PER_DOCUMENT}").alias("doc")).agg(F.sort_array(F.collect_list(F.struct("event_id", "v"))).alias("rows"))
+    array = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["v"]), ", "), F.lit("]"))
+    texts.select("doc", array.alias("value")).write.partitionBy("doc").text(path)
+    return path
+
+
+@register
+def scan_json_document(spark, sf_dir):
+    """Nested events written as whole documents (arrays on one line), cut into records in many tasks and flattened."""
+    from tablewash.sources.readers import read_json
+
+    nested = _nested_events(spark, sf_dir)
+    rows = nested.select("event_id", F.to_json(F.struct(*nested.columns)).alias("v"))
+    return read_json(spark, _write_documents(spark, rows, _scratch(spark, "events-documents")))
+
+
+@register
+def json_document_rejects(spark, sf_dir):
+    """Documents in which every 'error' event lost its value: the other objects of the array are read, the broken
+    ones come back with their raw text."""
+    from tablewash.sources.readers import read_json_with_rejects
+
+    js = F.to_json(F.struct("event_id", "event_type", "value"))
+    broken = F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"event_type":"error","value":}'))
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "error", broken).otherwise(js).alias("v"))
+    good, bad = read_json_with_rejects(spark, _write_documents(spark, rows, _scratch(spark, "broken-documents")), multiline=True)
+    good = good.select(F.lit("good").alias("kind"), "event_id", "event_type", "value")
+    return good.unionByName(bad.select(F.lit("reject").alias("kind"), "record"), allowMissingColumns=True)
+
+
 def _write_workbooks(spark, df, base, cols, sheet_col=None, sheet_name="sheet1"):
     """One workbook per partition of ``df`` (one sheet per value of
     ``sheet_col``, rows in partition order), written through pyarrow.fs and

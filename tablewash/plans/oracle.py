@@ -299,6 +299,14 @@ FROM z"""
 SELECT event_id, user_id AS "user.id", event_type AS "user.detail.kind", value AS "user.detail.value",
        CAST(json_extract(props, '$.k') AS BIGINT) AS "props.k" FROM events"""
     out["scan_json"] = out["json_flatten"]
+    out["scan_json_document"] = out["json_flatten"]
+    out["json_document_rejects"] = """
+SELECT CASE WHEN event_type <> 'error' THEN 'good' ELSE 'reject' END AS kind,
+       CASE WHEN event_type <> 'error' THEN event_id END AS event_id,
+       CASE WHEN event_type <> 'error' THEN event_type END AS event_type,
+       CASE WHEN event_type <> 'error' THEN value END AS value,
+       CASE WHEN event_type = 'error' THEN '{"event_id":' || event_id || ',"event_type":"error","value":}' END AS record
+FROM events"""
     out["json_rejects"] = """
 SELECT CASE WHEN event_type <> 'error' THEN 'good' ELSE 'reject' END AS kind,
        CASE WHEN event_type <> 'error' THEN event_id END AS event_id,

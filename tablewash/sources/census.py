@@ -99,6 +99,24 @@ def _read_files(batches):
         yield pd.DataFrame(rows, columns=["path", "head", "valid", "ascii_only"])
 
 
+def first_characters(batches):
+    """The first non-blank byte of each file, as text (NULL in a blank file)."""
+    import pandas as pd
+    from pyarrow import fs
+
+    for b in batches:
+        rows = []
+        for path in b["path"]:
+            filesystem, inner = fs.FileSystem.from_uri(arrow_uri(path))
+            first, marked = None, True
+            with filesystem.open_input_stream(inner, compression=None) as f:
+                while first is None and (chunk := f.read(CHUNK_BYTES)):
+                    chunk = (chunk.removeprefix(b"\xef\xbb\xbf") if marked else chunk).strip()
+                    first, marked = (chr(chunk[0]) if chunk else None), False
+            rows.append((path, first))
+        yield pd.DataFrame(rows, columns=["path", "first"])
+
+
 def file_census(spark: SparkSession, path: str | Sequence[str], with_content: bool = True) -> DataFrame:
     """(path, file_name, extension, ext_type, size, content_type, encoding, ascii_only, status).
 

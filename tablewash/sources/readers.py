@@ -18,6 +18,7 @@ from tablewash.functions.missing import normalize_nan
 from tablewash.functions.names import c, header_names
 from tablewash.operators.casts import NA_TOKENS, infer_types, na_to_null
 from tablewash.sources.csv_records import ASCII_LIKE, HEAD, csv_records
+from tablewash.sources.json_records import json_records, parse_records
 
 
 def read_csv(
@@ -104,35 +105,41 @@ def common_encoding(spark: SparkSession, paths: Sequence[str]) -> str:
     return found.pop() if found else "UTF-8"
 
 
+def _opens_array(spark: SparkSession, paths: Sequence[str]) -> bool:
+    """Whether any file's first non-blank character opens an array (its first bytes tell)."""
+    from tablewash.session import ship_package
+    from tablewash.sources.census import first_characters
+
+    ship_package(spark)
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path")
+    return not listing.mapInPandas(first_characters, "path string, first string").where("first = '['").isEmpty()
+
+
 def json_layout(spark: SparkSession, path: str | Sequence[str]) -> str:
     """'lines' (several values, one per line), 'document' (one value), else ValueError: every
-    value of every file is accounted for before anything is read."""
+    value of every file is accounted for before anything is read. (The contents of an array are
+    accounted for as its records are cut.)"""
     paths = [path] if isinstance(path, str) else list(path)
+    if _opens_array(spark, paths):
+        return "document"
     lines = spark.read.text(paths).where(F.trim("value") != "")
     parsed = lines.select(F.input_file_name().alias("f"), F.try_parse_json("value").isNotNull().alias("ok"))
     per_file = parsed.groupBy("f").agg(F.count("*").alias("n"), F.count_if("ok").alias("good"))
     row = per_file.agg(F.count_if(F.expr("n > 1 and n = good")).alias("many"), F.count_if(F.expr("n > 1 and n != good")).alias("spread")).first()
     if row["many"] and not row["spread"]:
         return "lines"
-    def single(batches):  # the JVM's parser passes over what follows a first value
-        import json
-
-        for b in batches:
-            ok = []
-            for text in b["value"]:
-                try:
-                    json.loads(text)
-                    ok.append(True)
-                except ValueError:
-                    ok.append(False)
-            yield b.assign(ok=ok)[["ok"]]
-
-    whole = spark.read.text(paths, wholetext=True).where(F.trim("value") != "")
-    if row["many"] or (row["spread"] and not whole.mapInPandas(single, "ok boolean").where("not ok").isEmpty()):
+    if row["many"] or (row["spread"] and not _one_value_each(spark, paths)):
         raise ValueError(f"not one JSON value per file, nor one per line: {paths}")
     return "document"
 
 
+def _one_value_each(spark: SparkSession, paths: Sequence[str]) -> bool:
+    records = json_records(spark, paths)
+    if records is None:
+        raise ValueError(f"too many files or splits to account for, pass multiline=: {paths}")
+    return records.where("bad or try_parse_json(record) is null").isEmpty()
+
+
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
     """Flatten nested structs at every depth: ``a.b.c`` columns (backquoted on
     use). Arrays are kept as they are. Leaf columns only."""
@@ -160,8 +167,18 @@ def read_json(
     schema: StructType | str | None = None,
 ) -> DataFrame:
     """Whole-file JSON (``multiline=True``) or JSON Lines. Broken input raises
-    (FAILFAST), like the reference's default; see ``read_json_with_rejects``."""
+    (FAILFAST), like the reference's default; see ``read_json_with_rejects``.
+
+    A whole-file document is cut into its records in many tasks (``json_records``), however large it is and
+    wherever its lines end."""
     paths = [path] if isinstance(path, str) else list(path)
+    records = json_records(spark, paths) if multiline and mode == "FAILFAST" and hasattr(spark, "_jsparkSession") else None
+    if records is not None:
+        bad = records.where("bad").orderBy("file", "block", "n").first()
+        if bad is not None:
+            raise ValueError(f"broken JSON in {bad['file']}: {bad['record'][:200]}")
+        df = normalize_nan(parse_records(spark, records.select("record"), mode, schema))
+        return flatten(df) if flatten_nested else df
     reader = spark.read.option("multiLine", multiline).option("mode", mode)
     if schema is not None:
         reader = reader.schema(schema)
@@ -175,19 +192,24 @@ def read_json_with_rejects(
 ) -> tuple[DataFrame, DataFrame]:
     """(good rows flattened, rejected raw records ``record``).
 
-    The schema is inferred once from the parseable records; then the raw text
-    (one record per line, or one per file with ``multiline=True``) is parsed
-    with ``from_json`` in PERMISSIVE mode, so a broken record never stops the
+    One record per line, or per object of the documents with ``multiline=True`` (what stands between the objects
+    and doesn't belong there is a reject too). The schema is inferred once from the parseable records; then the
+    raw text is parsed with ``from_json`` in PERMISSIVE mode, so a broken record never stops the
     job and both outputs come from one lazy scan."""
     paths = [path] if isinstance(path, str) else list(path)
-    inferred = spark.read.option("multiLine", multiline).option("mode", "DROPMALFORMED").json(paths).schema
+    records = json_records(spark, paths) if multiline else None
+    if records is None:
+        text = spark.read.text(paths, wholetext=multiline).where(F.trim(F.col("value")) != "").select("value", F.lit(False).alias("bad"))
+        inferred = spark.read.option("multiLine", multiline).option("mode", "DROPMALFORMED").json(paths).schema
+    else:
+        text = records.select(F.col("record").alias("value"), "bad")
+        inferred = parse_records(spark, text.where("not bad").select("value"), "DROPMALFORMED").schema
     schema = StructType(inferred.fields + [StructType().add(corrupt_col, "string").fields[0]])
-    text = spark.read.text(paths, wholetext=multiline).where(F.trim(F.col("value")) != "")
     parsed = text.select(
         F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt_col}).alias("r"),
-        F.col("value"),
+        F.col("value"), F.col("bad"),
     )
-    bad_flag = F.col(f"r.{corrupt_col}").isNotNull() | F.col("r").isNull()
+    bad_flag = F.col("bad") | F.col(f"r.{corrupt_col}").isNotNull() | F.col("r").isNull()
     good = flatten(normalize_nan(parsed.where(~bad_flag).select("r.*").drop(corrupt_col)))
     bad = parsed.where(bad_flag).select(F.col("value").alias("record"))
     return good, bad
