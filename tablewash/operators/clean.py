@@ -3,7 +3,7 @@
 Most steps only add expressions to the plan. Three run a job when called:
 ``drop_cols_any`` (the schema depends on the data), ``fill_literal`` when a
 column might have to widen to text (one aggregate), and the exact
-``fill_median`` (its distributed running sum materializes a range cut).
+``fill_median`` (a few histogram scans).
 
 ``key_columns`` are left out of every step (the reference's promoted index)."""
 
@@ -18,7 +18,8 @@ from tablewash.functions.missing import is_missing, normalize_nan
 from tablewash.functions.names import c
 from tablewash.functions.text import title_case, unicode_trim
 from tablewash.operators import stats
-from tablewash.operators.profile import group_expr, groupable, missing_profile
+from tablewash.operators.duplicates import count_duplicates, distinct_rows
+from tablewash.operators.profile import group_expr, missing_profile
 
 
 
@@ -194,12 +195,13 @@ def handle_missing(df: DataFrame, method: str, fill_value=None, key_columns: Ite
 
 # ---------------------------------------------------------------- duplicates
 
-def remove_duplicates(df: DataFrame, key_columns: Iterable[str] = (), order_col: str | None = None) -> DataFrame:
+def remove_duplicates(df: DataFrame, key_columns: Iterable[str] = (), order_col: str | None = None, hash_first: bool = False) -> DataFrame:
     """Full-row distinct over the non-key columns (missing equals missing).
 
-    Without key columns this is ``dropDuplicates()``: one hash aggregate with a
-    map-side combine, so a row repeated a billion times is collapsed before the
-    shuffle. With key columns the kept row is the one with the lowest
+    Without key columns this is ``dropDuplicates()``: one hash aggregate with a map-side combine, so a row
+    repeated a billion times is collapsed before the shuffle. ``hash_first=True`` is for wide, mostly unique rows:
+    a job counts row digests, and rows whose digest is seen once don't move (``duplicates.distinct_rows``;
+    the same result, the table is read twice). With key columns the kept row is the one with the lowest
     ``order_col`` (default: the key columns in turn; a missing key comes last, and the row
     stays whole); ``min_by`` is also partial."""
     keys = [k for k in key_columns if k in df.columns]
@@ -207,7 +209,7 @@ def remove_duplicates(df: DataFrame, key_columns: Iterable[str] = (), order_col:
     df = normalize_nan(df)
     has_map = any(isinstance(f.dataType, MapType) for f in df.schema.fields)
     if not keys and not has_map:
-        return df.dropDuplicates()
+        return distinct_rows(df) if hash_first else df.dropDuplicates()
     subset = [x for x in df.columns if x not in keys]
     return _dedup_keep_first(df, subset, [order_col, *keys] if order_col else keys)
 
@@ -222,10 +224,9 @@ def _dedup_keep_first(df: DataFrame, subset: Sequence[str], order_cols: Sequence
 
 
 def duplicate_rows(df: DataFrame, key_columns: Iterable[str] = ()) -> int:
+    """Rows that repeat an earlier one in the non-key columns (exact, digests first)."""
     keys = set(key_columns)
-    sub = [x for x in df.columns if x not in keys]
-    d = groupable(df.select(*[c(x) for x in sub]))
-    return d.groupBy(*[c(x) for x in sub]).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()[0]
+    return count_duplicates(df, [x for x in df.columns if x not in keys])
 
 
 # ---------------------------------------------------------------- text

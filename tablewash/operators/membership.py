@@ -1,10 +1,11 @@
-"""Keep list items found in a vocabulary (order and repeats kept).
-
-Small vocabulary (size checked): one ``filter(list, m -> array_contains(vocab, m))``
-expression, no join. Large vocabulary: the lists are exploded with their
-positions, semi-joined with the vocabulary table, and gathered back per row in
-position order; the regroup is bounded by each row's own list length, and the
-vocabulary side is broadcast only when it is within the limit.
+"""Keep list items found in a vocabulary of any size (order and repeats kept).
+
+One path for every size: rows get a number and are stored with it once (a number made on the fly could differ
+between two reads), their lists are exploded with positions, joined with the distinct words, and gathered back per
+row number in position order. Rows are told apart by that number alone, so equal rows stay apart. Catalyst
+broadcasts the words only while their estimated size is below its threshold; beyond it the join shuffles, with
+its runtime Bloom filter dropping unknown items before the exchange and its skew handling splitting a word that
+many lists hold. A gathered group is never larger than its row's own list.
 """
 
 from __future__ import annotations
@@ -14,34 +15,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tablewash.functions.names import c
-from tablewash.functions.replies import vocabulary_filter
-
-LITERAL_LIMIT = 10_000
-
-
-def keep_known(
-    df: DataFrame,
-    list_col: str,
-    vocabulary: DataFrame,
-    key_cols: Sequence[str],
-    vocab_col: str | None = None,
-    literal_limit: int = LITERAL_LIMIT,
-) -> DataFrame:
-    """``list_col`` reduced to the items present in ``vocabulary``. ``key_cols``
-    identify a row (needed by the large path to gather the items back)."""
-    vcol = vocab_col or vocabulary.columns[0]
-    words = vocabulary.select(c(vcol).cast("string").alias("_tw_m")).where(F.col("_tw_m").isNotNull()).distinct()
-    small = words.limit(literal_limit + 1).collect()  # at most limit+1 rows reach the driver
-    if len(small) <= literal_limit:
-        vocab = F.array(*[F.lit(r[0]) for r in small]) if small else F.array().cast("array<string>")
-        return df.withColumn(list_col, vocabulary_filter(F.coalesce(c(list_col), F.array().cast("array<string>")), vocab))
-    keys = list(key_cols)
-    items = df.select(*[c(k) for k in keys], F.posexplode(c(list_col)).alias("_tw_pos", "_tw_m"))
-    kept = items.join(words, "_tw_m", "left_semi")
-    gathered = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_tw_pos", "_tw_m"))).alias("_tw_l"))
-    found = gathered.select(*[c(k).alias(f"_tw_k{i}") for i, k in enumerate(keys)], "_tw_l")
-    same = [c(k).eqNullSafe(F.col(f"_tw_k{i}")) for i, k in enumerate(keys)]
-    back = df.drop(list_col).join(found, same, "left")
-    return back.withColumn(
-        list_col, F.coalesce(F.transform("_tw_l", lambda x: x["_tw_m"]), F.array().cast("array<string>"))
-    ).drop("_tw_l").select(*df.columns)
+from tablewash.session import scratch_path
+
+
+def keep_known(df: DataFrame, list_col: str, vocabulary: DataFrame, key_cols: Sequence[str] = (), vocab_col: str | None = None) -> DataFrame:
+    """``list_col`` reduced to the items present in ``vocabulary``; a NULL list becomes an empty one, NULL
+    items go. ``key_cols`` isn't needed any more (rows are numbered)."""
+    words = vocabulary.select(c(vocab_col or vocabulary.columns[0]).cast("string").alias("word")).where("word is not null").distinct()
+    number = "_row"
+    while number in df.columns:
+        number += "_"
+    path = scratch_path(df.sparkSession, "listed")
+    df.withColumn(number, F.monotonically_increasing_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    items = rows.select(c(number).alias("row"), F.posexplode(c(list_col)).alias("pos", "word"))
+    kept = items.join(words, "word", "left_semi")
+    lists = kept.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("found"))
+    back = rows.join(lists, c(number) == F.col("row"), "left")
+    empty = F.array().cast("array<string>")
+    found = F.coalesce(F.transform("found", lambda x: x["word"]), empty)
+    return back.select(*[found.alias(x) if x == list_col else c(x) for x in df.columns])

@@ -185,6 +185,22 @@ def dedup_rows(spark, sf_dir):
     return clean.remove_duplicates(table(spark, sf_dir, "documents").select("text", "lang"))
 
 
+@register
+def dedup_rows_wide(spark, sf_dir):
+    """C-10 for wide rows: whole documents but their ids, most of them unique; digests are compared first."""
+    docs = table(spark, sf_dir, "documents").select("text", "lang", "source", "n_chars")
+    return clean.remove_duplicates(docs, hash_first=True)
+
+
+@register
+def duplicate_count_wide(spark, sf_dir):
+    """B-4 by digests: documents, pages and conversations that repeat an earlier row in all columns but the ids."""
+    rows = []
+    for name, ids in (("documents", ["doc_id"]), ("pages", ["page_id"]), ("conversations", ["conv_id", "turn"])):
+        rows.append((name, clean.duplicate_rows(table(spark, sf_dir, name), key_columns=ids)))
+    return spark.createDataFrame(rows, "table_name string, duplicates bigint")
+
+
 # ------------------------------------------------------------ casts
 
 @register
@@ -867,6 +883,20 @@ def extract_vocab_filter(spark, sf_dir):
     )
 
 
+@register
+def extract_vocab_large(spark, sf_dir):
+    """F-14 with a large vocabulary: each customer's orders as a list, reduced to those with a lineitem of over ten pieces
+    (over 10,000 words from sf0.01 on), order and repeats kept."""
+    from tablewash.operators.membership import keep_known
+
+    orders = table(spark, sf_dir, "orders")
+    word = F.col("o_orderkey").cast("string")
+    lists = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(word)).alias("words"))
+    known = table(spark, sf_dir, "lineitem").where("l_quantity > 10").select(F.col("l_orderkey").cast("string").alias("word"))
+    kept = keep_known(lists, "words", known)
+    return kept.select("o_custkey", F.size("words").cast("bigint").alias("n"), F.array_join("words", ",").alias("words"))
+
+
 @register
 def extract_fallback(spark, sf_dir):
     """F-15: the fixed record for replies that never parse."""

@@ -272,6 +272,14 @@ UNION ALL SELECT CAST(CASE column_name WHEN 'l_returnflag' THEN 17 WHEN 'l_lines
     out["scan_csv_roundtrip"] = """
 SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"""
     out["scan_csv_latin1"] = "SELECT doc_id, lang, text FROM documents"
+    out["dedup_rows_wide"] = "SELECT DISTINCT text, lang, source, n_chars FROM documents"
+    out["duplicate_count_wide"] = """
+SELECT 'documents' AS table_name, count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang, source, n_chars FROM documents)) AS duplicates FROM documents
+UNION ALL SELECT 'pages', count(*) - (SELECT count(*) FROM (SELECT DISTINCT url, html FROM pages)) FROM pages
+UNION ALL SELECT 'conversations', count(*) - (SELECT count(*) FROM (SELECT DISTINCT role, text FROM conversations)) FROM conversations"""
+    out["extract_vocab_large"] = """
+WITH l AS (SELECT o_custkey, CAST(o_orderkey AS VARCHAR) AS word, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 10) AS known FROM orders)
+SELECT o_custkey, count(*) FILTER (WHERE known) AS n, coalesce(string_agg(word, ',' ORDER BY word) FILTER (WHERE known), '') AS words FROM l GROUP BY o_custkey"""
     out["scan_csv_split"] = "SELECT doc_id, text, lang FROM documents"
     out["infer_types"] = """
 SELECT l_orderkey, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity END AS qty,

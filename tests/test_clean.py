@@ -246,3 +246,31 @@ def test_text_to_float_follows_python_float(spark, text):
     df = spark.createDataFrame([(text,)], "a string")
     got = casts.fix_types(df, {"a": "float"}, mode="coerce").first()["a"]
     assert got == want
+
+
+@pytest.mark.parametrize("collide", [False, True])
+@pytest.mark.parametrize("limit", [1 << 20, 1])
+def test_hash_first_duplicates(spark, monkeypatch, collide, limit):
+    """Exact also where all digests are equal, or too many repeat for a broadcast."""
+    from tablewash.operators import duplicates
+
+    if collide:
+        monkeypatch.setattr(duplicates, "row_digest", lambda df, cols: (F.lit(1), F.lit(2)))
+    rows = [("a", 1.0, [1]), ("a", 1.0, [1]), (None, None, None), (None, None, None), (None, float("nan"), None), ("a", None, [1]), (None, 1.0, [1]), ("b", -0.0, []), ("b", 0.0, []), ("c", 2.0, [1, None])]
+    df = spark.createDataFrame(rows, "s string, `_digest_a` double, `x.y` array<int>").repartition(4)
+    plain = clean.remove_duplicates(df)
+    assert clean.duplicate_rows(df) == 4 == df.count() - plain.count()
+    assert clean.duplicate_rows(df, ["s"]) == 5
+    got = duplicates.distinct_rows(clean.normalize_nan(df), limit)
+    assert got.columns == df.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    assert duplicates.count_duplicates(df, df.columns, limit) == 4
+    assert duplicates.distinct_rows(df.limit(0), limit).count() == 0
+
+
+def test_hash_first_moves_few_rows(spark):
+    df = spark.range(2000).select(F.when(F.col("id") < 20, F.lit(0)).otherwise(F.col("id")).alias("k"), F.repeat(F.col("id").cast("string"), 0).alias("t"))
+    plan = clean.remove_duplicates(df, hash_first=True)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and plan.count("Exchange hashpartitioning") == 1  # the repeated rows alone
+    unique = spark.range(100).withColumn("t", F.lit("x"))
+    assert "Exchange" not in clean.remove_duplicates(unique, hash_first=True)._jdf.queryExecution().executedPlan().toString()

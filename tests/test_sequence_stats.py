@@ -1,4 +1,5 @@
 import pandas as pd
+import pytest
 from pyspark.sql import Window, functions as F
 
 from tablewash.operators import stats
@@ -63,3 +64,41 @@ def test_partitions_follow_the_bytes_held(spark):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert _partitions(joined.limit(0), None) == 1
     assert [size_bytes(x) for x in ("64MB", "8m", " 512 kb", "17", "2g")] == [64 << 20, 8 << 20, 512 << 10, 17, 2 << 30]
+
+
+@pytest.mark.parametrize("listed", [1 << 15, 2])
+def test_median_by_refinement(spark, monkeypatch, listed):
+    """Heavy tails, hot values, signs, zeros, infinities, tiny and huge numbers, with and without the list."""
+    import random
+    import statistics
+
+    from tablewash.operators import stats
+
+    monkeypatch.setattr(stats, "LISTED", listed)
+    rng = random.Random(3)
+    cols = {
+        "tails": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(999)],
+        "even": [rng.gauss(0, 1) for _ in range(1000)],
+        "hot": [7.25] * 600 + [rng.random() for _ in range(400)],
+        "two": [1.0] * 500 + [2.0] * 500,
+        "apart": [-5.0] * 500 + [3.5] * 500,
+        "close": [1 + i * 2**-52 for i in range(1000)],
+        "zeros": [0.0, -0.0] * 500,
+        "tiny": [5e-324 * i for i in range(1000)],
+        "wide": [-1.7e308, 1.7e308] * 499 + [1.5, 2.5],
+        "ends": [float("-inf")] * 10 + [float("inf")] * 10 + [float(i) for i in range(980)],
+        "signs": [float(i - 500) for i in range(1000)],
+        "few": [3.0, None, float("nan"), 4.0],
+        "one": [None, -2.5],
+        "none": [None, float("nan")],
+    }
+    n = max(map(len, cols.values()))
+    rows = list(zip(*[v + [None] * (n - len(v)) for v in cols.values()]))
+    rng.shuffle(rows)
+    got = stats.medians(spark.createDataFrame(rows, ", ".join(f"{k} double" for k in cols)), list(cols)).first()
+    for k, values in cols.items():
+        there = [x for x in values if x is not None and x == x]
+        assert got[k] == (statistics.median(there) if there else None), k
+    whole = spark.range(101).select((F.col("id") * 1000).alias("a.b"))
+    assert stats.medians(whole, ["a.b"]).first()[0] == 50_000.0
+    assert stats.medians(whole.limit(0), ["a.b"]).first()[0] is None
