@@ -725,6 +725,24 @@ def extract_flagship(spark, sf_dir):
     )
 
 
+@register
+def extract_reply_store(spark, sf_dir):
+    """F-7 with a reply store: the extraction runs twice over one store; the second time nothing is sent (its
+    scorer refuses every call), and the result is the same."""
+    from tablewash.plans.extract import extract_table, rule_scorer
+
+    reference, muscles = _vocabularies(spark, sf_dir)
+    store = _scratch(spark, "replies")
+
+    def refuse(prompts, attempt):
+        raise ValueError(f"{len(prompts)} prompts were sent again")
+
+    notes = _notes_input(spark, sf_dir)
+    for scorer in (rule_scorer, refuse):
+        out = extract_table(notes, scorer, order_cols=["conv_id", "turn"], reference=reference, muscles=muscles, sheet_col="sheet", reply_store=store)
+    return out
+
+
 @register
 def extract_prompt(spark, sf_dir):
     from tablewash.plans.extract import prepare_notes, vocabulary_lines, with_prompt

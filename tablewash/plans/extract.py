@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablewash.functions.names import c
 from tablewash.functions.replies import fallback_records, parse_reply
 from tablewash.operators.sequence import number_rows, running_total
+from tablewash.plans.replies import replies_of
 from tablewash.session import ship_package
 from tablewash.sources.vocabulary import CATEGORIES
 
@@ -198,6 +199,7 @@ def score_and_parse(
     num_tasks: int | None = None,
     batch_size: int | None = None,
     prompt: Column | None = None,
+    reply_store: str | None = None,
 ) -> DataFrame:
     """(key_cols..., attempt, records). Replies that do not parse are sent
     again, up to ``max_attempts`` rounds; the rest get the fallback record.
@@ -211,7 +213,10 @@ def score_and_parse(
     ``prompts`` either holds a ``prompt`` column, or a ``text`` column and
     ``prompt`` is an expression over it: then the prompt (note plus the shared
     vocabulary block) is built after the repartition, so only the notes are
-    shuffled, not one copy of the vocabulary per note."""
+    shuffled, not one copy of the vocabulary per note.
+
+    ``reply_store`` names a shared folder for replies (``plans.replies``): equal prompts are sent once, and
+    no prompt whose reply was committed is sent again, by a retried task or by a later job."""
     spark = prompts.sparkSession
     vocab = F.array(*[F.lit(v) for v in vocabulary]) if vocabulary else F.array().cast("array<string>")
     key_cols = list(key_cols)
@@ -224,10 +229,14 @@ def score_and_parse(
     done: list[DataFrame] = []
     failed = pending
     for attempt in range(1, max_attempts + 1):
-        batch_in = pending.repartition(tasks)
-        if prompt is not None:
-            batch_in = batch_in.withColumn("prompt", prompt)
-        replies = batch_in.mapInPandas(_score_batches(scorer, attempt, key_cols, batch_size, carry), schema)
+        if reply_store:
+            asked = F.col("prompt") if prompt is None else prompt
+            replies = replies_of(pending, asked, scorer, reply_store, attempt, tasks, batch_size).withColumn("attempt", F.lit(attempt))
+        else:
+            batch_in = pending.repartition(tasks)
+            if prompt is not None:
+                batch_in = batch_in.withColumn("prompt", prompt)
+            replies = batch_in.mapInPandas(_score_batches(scorer, attempt, key_cols, batch_size, carry), schema)
         ok, recs = parse_reply(F.col("reply"), categories, vocab)
         parsed = replies.select(
             *key_cols, "attempt", ok.alias("_ok"), recs.alias("records"),
@@ -291,10 +300,11 @@ def extract_table(
     max_attempts: int = 3,
     num_tasks: int | None = None,
     batch_size: int | None = None,
+    reply_store: str | None = None,
 ) -> DataFrame:
     """The whole extraction: notes -> ten-column table."""
     notes = prepare_notes(df, order_cols, roles, sheet_col)
-    return extract_notes(notes, scorer, reference, muscles, template, max_attempts, num_tasks, batch_size)
+    return extract_notes(notes, scorer, reference, muscles, template, max_attempts, num_tasks, batch_size, reply_store)
 
 
 def extract_notes(
@@ -306,12 +316,13 @@ def extract_notes(
     max_attempts: int = 3,
     num_tasks: int | None = None,
     batch_size: int | None = None,
+    reply_store: str | None = None,
 ) -> DataFrame:
     """Prepared notes (sheet, patient_id, session, row_ordinal, text) -> ten-column table."""
     ref_text, vocab_text, vocab = vocabulary_lines(reference, muscles)
     keys = ["sheet", "patient_id", "session", "row_ordinal"]
     scored = score_and_parse(notes, scorer, keys, vocab, max_attempts=max_attempts, num_tasks=num_tasks,
-                             batch_size=batch_size, prompt=prompt_column(ref_text, vocab_text, template))
+                             batch_size=batch_size, prompt=prompt_column(ref_text, vocab_text, template), reply_store=reply_store)
     return output_table(explode_and_number(scored))
 
 
@@ -324,6 +335,7 @@ def analyze_file(
     sheets: str | Sequence[str] = "all",
     max_attempts: int = 3,
     scope: str = "file",
+    reply_store: str | None = None,
 ) -> DataFrame:
     """Whole-file analysis: a CSV file (or folder of CSV part files) or every
     chosen sheet of a workbook (or folder of workbooks), in file / sheet row order, as one plan
@@ -342,14 +354,14 @@ def analyze_file(
     kind, encoding = detect_kind(spark, path)
     if kind == "csv":
         df = read_csv(spark, path, encoding=encoding, ordinal_col="_file_row")
-        return extract_table(df, scorer, ["_file_row"], reference, muscles, None, None, max_attempts=max_attempts)
+        return extract_table(df, scorer, ["_file_row"], reference, muscles, None, None, max_attempts=max_attempts, reply_store=reply_store)
     if kind == "excel" and scope == "file":
         notes = sheet_notes(workbook_rows(spark, path, sheets).checkpoint())
-        return extract_notes(notes, scorer, reference, muscles, max_attempts=max_attempts)
+        return extract_notes(notes, scorer, reference, muscles, max_attempts=max_attempts, reply_store=reply_store)
     if kind == "excel":
         df = read_workbook(spark, path, sheets=sheets, merge=True, sheet_col="_sheet", row_col="_sheet_row")
         return extract_table(df, scorer, ["_sheet_row_path", "_sheet_row"], reference, muscles, "_sheet", None,
-                             max_attempts=max_attempts)
+                             max_attempts=max_attempts, reply_store=reply_store)
     raise ValueError(f"Format not supported by analyzer: {path}")
 
 

@@ -504,7 +504,7 @@ pat AS (SELECT coalesce(min_by(pid, conv_id * 1000000 + turn) FILTER (WHERE pid
 notes AS (SELECT o.*, pat.patient_id, length(text) % 6 AS v FROM o, pat
           WHERE lower(text) NOT IN ('', 'nan', 'none'))"""
     out["analyze_csv"] = out["extract_flagship"].replace(notes, whole_file_notes, 1)
-    out["analyze_xlsx"] = out["extract_flagship"]
+    out["analyze_xlsx"] = out["extract_reply_store"] = out["extract_flagship"]
     per_sheet_notes = """
 n AS (SELECT conv_id // 40 AS book, (conv_id // 40) % 3 AS layout, role, (conv_id // 40) || '/' || role AS sheet, conv_id, turn, text,
              CASE WHEN turn < 2 THEN NULL ELSE 'P' || CAST(conv_id AS VARCHAR) END AS pid FROM conversations),
