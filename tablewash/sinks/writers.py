@@ -7,10 +7,13 @@ human-sized export and should not be used on big tables.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
+from tablewash.functions.names import q
 from tablewash.operators.sort import sort_by
 
 
@@ -89,12 +92,66 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", drop_column
 
 
 def write_table(df: DataFrame, name: str, mode: str = "overwrite", drop_columns: Iterable[str] = (), fmt: str = "parquet") -> str:
-    """Full replace of a catalog table (the reference drops and re-creates)."""
+    """Full replace of a catalog table (the reference drops and re-creates); other modes write to it directly.
+
+    The rows are written under a fresh name first, so a write that dies leaves the old table as it was (and ``df``
+    may read the table that it replaces). Then the names are swapped: the old table moves aside, the new one
+    takes its name, and only then the old one goes. A swap cut off in between leaves the old rows under
+    the aside name; the next replace of the table, or ``recover_table``, puts them back first."""
     out = _prepare(df, None, True, drop_columns)
-    out.write.mode(mode).format(fmt).saveAsTable(name)
+    spark = df.sparkSession
+    if mode != "overwrite":
+        out.write.mode(mode).format(fmt).saveAsTable(name)
+        return name
+    recover_table(spark, name)
+    *database, table = _name_parts(name)
+    fresh = ".".join([*map(q, database), q(f"{table}{STAGED}{uuid.uuid4().hex[:12]}")])
+    aside = ".".join([*map(q, database), q(table + ASIDE)])
+    quoted = ".".join(map(q, [*database, table]))
+    try:
+        out.write.mode("errorifexists").format(fmt).saveAsTable(fresh)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        raise
+    there = spark.catalog.tableExists(quoted)
+    if there:
+        spark.sql(f"ALTER TABLE {quoted} RENAME TO {aside}")
+    try:
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {quoted}")
+    except BaseException:
+        if there:
+            spark.sql(f"ALTER TABLE {aside} RENAME TO {quoted}")
+        spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        raise
+    if there:
+        spark.sql(f"DROP TABLE {aside}")
     return name
 
 
+# endings of the names that a replace uses on its way
+STAGED, ASIDE = "__staged_", "__aside"
+
+
+def _name_parts(name: str) -> list[str]:
+    """``a.b`` or ``a.`b.c``` as parts."""
+    return [x[1:-1].replace("``", "`") if x.startswith("`") else x for x in re.findall(r"`(?:[^`]|``)+`|[^.`]+", name)]
+
+
+def recover_table(spark, name: str) -> bool:
+    """Ends a replace that was cut off between its renames: the old rows get their name back if nothing has
+    it, else they go. True if the old rows were put back."""
+    *database, table = _name_parts(name)
+    quoted = ".".join(map(q, [*database, table]))
+    aside = ".".join([*map(q, database), q(table + ASIDE)])
+    if not spark.catalog.tableExists(aside):
+        return False
+    if spark.catalog.tableExists(quoted):
+        spark.sql(f"DROP TABLE {aside}")
+        return False
+    spark.sql(f"ALTER TABLE {aside} RENAME TO {quoted}")
+    return True
+
+
 # ------------------------------------------------------------------ JDBC
 
 DEFAULT_PORTS = {"postgresql": 5432, "mysql": 3306}

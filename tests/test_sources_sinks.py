@@ -219,3 +219,34 @@ def test_workbook_sheet_selection(spark, files):
     assert both.count() == 3
     with pytest.raises(ValueError):
         workbook.read_workbook(spark, str(files / "book.xlsx"), sheets="nope")
+
+
+def test_table_replace_keeps_the_old_rows_until_the_new_are_whole(spark):
+    name = "replace_me"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def held():
+        return sorted(r.v for r in spark.table(name).collect())
+
+    writers.write_table(spark.range(3).selectExpr("id as v"), name)
+    writers.write_table(spark.range(5).selectExpr("id as v"), name)
+    assert held() == [0, 1, 2, 3, 4]
+    broken = spark.range(9).selectExpr("id as v", "if(id = 8, raise_error('lost'), 1) as w")
+    with pytest.raises(Exception, match="lost"):
+        writers.write_table(broken, name)
+    assert held() == [0, 1, 2, 3, 4]
+    # a table may be replaced by what is read from it
+    writers.write_table(spark.table(name).where("v > 2"), name)
+    assert held() == [3, 4]
+    writers.write_table(spark.range(1).selectExpr("id as v"), name, mode="append")
+    assert held() == [0, 3, 4]
+    # cut off between the renames
+    spark.sql(f"ALTER TABLE {name} RENAME TO {name}{writers.ASIDE}")
+    assert writers.recover_table(spark, name) and held() == [0, 3, 4]
+    spark.sql(f"CREATE TABLE {name}{writers.ASIDE} AS SELECT 1 AS v")
+    assert not writers.recover_table(spark, name) and held() == [0, 3, 4]
+    left = [t.name for t in spark.catalog.listTables() if t.name.startswith(name)]
+    assert left == [name]
+    writers.write_table(spark.range(2).selectExpr("id as v"), "default.`replace_me`")
+    assert held() == [0, 1]
+    spark.sql(f"DROP TABLE {name}")
