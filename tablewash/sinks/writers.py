@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablewash.functions.names import q
 from tablewash.operators.sort import sort_by
+from tablewash.sinks.document_log import write_once
 
 
 KINDS = ("csv", "parquet", "table", "jdbc", "documents")
@@ -209,36 +210,26 @@ def write_documents(
     path: str | None = None,
     writer: Callable[[Iterable], int] | None = None,
     drop_columns: Iterable[str] = (),
+    run_id: str | None = None,
+    id_field: str = "_id",
 ) -> int:
     """Always appends; returns the number of documents written.
 
     With ``path``: JSON Lines files; the count is observed during the write
     job itself (``Observation``), so no second pass. With ``writer``: a
-    function called once per partition with an iterator of JSON strings (e.g.
-    a document-store bulk insert) returning how many it wrote."""
+    function called once per batch with an iterator of JSON strings (e.g. a document-store bulk
+    insert) returning how many it wrote. Its documents carry a stable id in ``id_field``, and a batch
+    that was committed is never handed out again, by a retried task or by another job under the
+    same ``run_id`` (see ``document_log``)."""
     from pyspark.sql import Observation
 
-    docs = to_documents(df, drop_columns)
     if path is not None:
         obs = Observation("documents")
-        docs.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").text(path)
+        to_documents(df, drop_columns).observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").text(path)
         return int(obs.get["n"])
     if writer is None:
         raise ValueError("give a path or a writer")
-    from tablewash.session import ship_package
-
-    ship_package(df.sparkSession)
-
-    def run(batches):
-        import pandas as pd
-
-        n = 0
-        for b in batches:
-            n += int(writer(iter(b["document"].tolist())) or 0)
-        yield pd.DataFrame({"written": [n]})
-
-    total = docs.mapInPandas(run, "written long").agg(F.sum("written").alias("written")).first()["written"]
-    return int(total or 0)
+    return write_once(_prepare(df, None, True, drop_columns), writer, run_id, id_field)
 
 
 def write_to(df: DataFrame, kind: str, **opts):
