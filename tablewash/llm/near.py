@@ -12,8 +12,10 @@ the whole sequence). Two sets link when ``100 * intersection >= percent * union`
    ones leaves them out (the pair then still agrees in another piece).
    A set that may link into the next band is dealt for that band as well.
 2. Equal texts are one class. Rows (piece, class) meet by piece; each class is paired
-   with the first and the previous class of its piece: that is linear in the rows.
-3. Pairs pass the Hamming bound, then the exact sets are compared.
+   with the first class of its piece, then with the previous one if that is in another component
+   yet: that is linear in the rows.
+3. Pairs pass the Hamming bound, then the exact sets are compared (the pair's texts travel, being
+   smaller than their sets of hashes, and become sets where they meet).
 4. Components of those links. Only where a piece still holds classes of different
    components are all its cross-component pairs tried (Hamming bound inside the join),
    verified and merged, so no link between different texts that matters is lost.
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -38,6 +41,8 @@ BITS = 512
 RATIO = 1.3
 #: Classes that a task remembers in order to deal a repeated text once (a saving, not a limit).
 REMEMBERED = 1 << 18
+#: Bytes of texts that are verified at once.
+PAIR_BYTES = 1 << 22
 
 
 def shingles(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,19 +198,23 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
     def run(batches):
         for batch in batches:
-            left, right = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            for at, end in slices([(u or "") + (v or "") for u, v in zip(x, y)]):
-                # rows come in order of a: each class is shingled once per slice
-                own = {**dict(zip(left[at:end], x[at:end])), **dict(zip(right[at:end], y[at:end]))}
+            size = np.cumsum(np.asarray(pc.add(pc.binary_length(batch.column("x")), pc.binary_length(batch.column("y"))), np.int64) + 1)
+            at = 0
+            while at < len(size):  # some megabytes of texts become Python strings at a time
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PAIR_BYTES, side="right")))
+                part = batch.slice(at, end - at)
+                left, right = part.column("a").to_pylist(), part.column("b").to_pylist()
+                # rows come in order of a: each class is shingled once per part
+                own = {**dict(zip(left, part.column("x").to_pylist())), **dict(zip(right, part.column("y").to_pylist()))}
                 h, counts = shingles(list(own.values()), k)
                 sets = dict(zip(own, np.split(h, np.cumsum(counts)[:-1])))
                 keep = []
-                for a, b in zip(left[at:end], right[at:end]):
+                for a, b in zip(left, right):
                     both = np.sort(np.concatenate([sets[a], sets[b]]), kind="stable")
                     common = int((both[1:] == both[:-1]).sum())
                     keep.append(100 * common >= percent * (len(both) - common))
-                yield batch.slice(at, end - at).select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                at = end
 
     x = texts.select(F.col("c").alias("a"), F.col("text").alias("x"))
     y = texts.select(F.col("c").alias("b"), F.col("text").alias("y"))
@@ -225,21 +234,40 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int, percent: int)
         "piece", "c", F.first("c").over(by_piece).alias("first"), F.lag("c").over(by_piece).alias("before"), F.lead("c").over(by_piece).alias("after")
     ).where("(before is not null and before != c) or (after is not null and after != c) or first != c")
     met = stored(spark, met.select("piece", "c", "first", "before"), "near-met")
-    pairs = (
-        met.where("first != c").select(F.col("first").alias("a"), F.col("c").alias("b"))
-        .union(met.where("before != c").select(F.col("before").alias("a"), F.col("c").alias("b")))
-        .distinct()
-    )
-    found = met.select("c").distinct()
-    known = classes.join(found, "c", "left_semi").groupBy("c").agg(F.min("n_shingles").alias("n"), F.min("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
+    known = classes.join(met.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("n_shingles").alias("n"), F.min("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
     known = stored(spark, known, "near-classes")
     x = known.select(F.col("c").alias("a"), F.col("n").alias("x_n"), F.col("bits").alias("x_bits"))
     y = known.select(F.col("c").alias("b"), F.col("n").alias("y_n"), F.col("bits").alias("y_bits"))
-    tried = stored(spark, pairs.join(y, "b").join(x, "a").where(near_enough("x", "y", percent)).select("a", "b"), "near-pairs")
-    wanted = tried.select(F.col("a").alias("c")).union(tried.select(F.col("b").alias("c"))).distinct()
-    texts = stored(spark, class_texts(docs, known.join(wanted, "c", "left_semi").select("c", "doc_id"), k), "near-texts")
-    links = stored(spark, verified(tried, texts, k, percent), "near-links")
-    parts = connected_components(spark, links)
+    texts = tried = parts = None
+
+    def part_of(pairs: DataFrame, end: str) -> DataFrame:
+        own = parts.select(F.col("id").alias(end), F.col("component").alias(f"p{end}"))
+        return pairs.join(own, end, "left").withColumn(f"p{end}", F.coalesce(f"p{end}", end))
+
+    def link(pairs: DataFrame) -> None:
+        """Verifies the pairs that passed the Hamming bound and merges the components of those that link."""
+        nonlocal texts, tried, parts
+        pairs = stored(spark, pairs, "near-pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        if parts is not None and pairs.isEmpty():
+            return
+        wanted = known.join(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct(), "c", "left_semi")
+        wanted = wanted if texts is None else wanted.join(texts.select("c"), "c", "left_anti")
+        more = stored(spark, class_texts(docs, wanted.select("c", "doc_id"), k), "near-texts")
+        texts = more if texts is None else texts.union(more)
+        links = stored(spark, verified(pairs, texts, k, percent), "near-links")
+        if parts is None:
+            parts = connected_components(spark, links)
+        elif not links.isEmpty():
+            parts = connected_components(spark, parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links))
+
+    # with the first class of each piece: these links hold most groups together
+    pairs = met.where("first != c").select(F.col("first").alias("a"), F.col("c").alias("b")).distinct()
+    link(pairs.join(y, "b").join(x, "a").where(near_enough("x", "y", percent)).select("a", "b"))
+    # with the previous class, where that is in another component yet
+    pairs = met.where("before != c and before != first").select(F.col("before").alias("a"), F.col("c").alias("b")).distinct()
+    pairs = part_of(part_of(pairs, "a"), "b").where("pa != pb").select("a", "b")
+    link(pairs.join(y, "b").join(x, "a").where(near_enough("x", "y", percent)).select("a", "b"))
 
     # pieces whose classes are still in several components: all pairs across them
     placed = met.select("piece", "c").distinct().join(parts.withColumnRenamed("id", "c"), "c", "left").select("piece", "c", F.coalesce("component", "c").alias("part"))
@@ -250,17 +278,10 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int, percent: int)
     right = rest.select(F.col("piece").alias("q"), F.col("c").alias("b"), F.col("part").alias("pb"), F.col("n").alias("y_n"), F.col("bits").alias("y_bits"))
     across = left.join(right, (F.col("piece") == F.col("q")) & (F.col("pa") < F.col("pb")) & near_enough("x", "y", percent))
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = stored(spark, across.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "near-across")
-    if not across.isEmpty():
-        wanted = across.select(F.col("a").alias("c")).union(across.select(F.col("b").alias("c"))).distinct()
-        more = known.join(wanted, "c", "left_semi").join(texts.select("c"), "c", "left_anti").select("c", "doc_id")
-        texts = texts.union(stored(spark, class_texts(docs, more, k), "near-texts"))
-        late = stored(spark, verified(across, texts, k, percent), "near-links")
-        if not late.isEmpty():
-            parts = connected_components(spark, parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(late))
-
-    part_of = parts.withColumnRenamed("id", "c")
-    placed = base.select("doc_id", "n_shingles", "c").join(part_of, "c", "left").withColumn("part", F.coalesce("component", "c"))
+    link(across.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+
+    components = parts.withColumnRenamed("id", "c")
+    placed = base.select("doc_id", "n_shingles", "c").join(components, "c", "left").withColumn("part", F.coalesce("component", "c"))
     names = placed.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("least"))
     return placed.select("doc_id", "n_shingles", "part").join(names, "part", "left").select(
         "doc_id", "n_shingles", F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
