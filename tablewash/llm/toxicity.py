@@ -33,8 +33,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tablewash.functions.names import c
 from tablewash.llm.common import mix, prepare, segments, slices, spans, stored
 
-#: Words of a passage; passages overlap by half.
-PASSAGE = 8
+#: Words of a passage (chosen with MIN_DOCS by cross-validation on training rows of the smaller tables).
+PASSAGE = 3
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 17
 DIM = 8
@@ -49,7 +49,7 @@ BUCKET_BITS = 14
 #: Decay of vectors, softmax and bias; gradients well below the floor move little.
 DECAY, FLOOR = (2e-3, 0.0, 0.0), 1e-4
 #: Words of fewer sampled documents teach nothing (their n-grams may, in other words).
-MIN_DOCS = 4
+MIN_DOCS = 3
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
