@@ -17,7 +17,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tablewash.functions.missing import normalize_nan
 from tablewash.functions.names import c, header_names
 from tablewash.operators.casts import NA_TOKENS, infer_types, na_to_null
-from tablewash.sources.csv_records import ASCII_LIKE, HEAD, csv_records
+from tablewash.session import scratch_path
+from tablewash.sources.csv_records import ASCII_LIKE, HEAD, csv_records, plain_lines
 from tablewash.sources.json_records import json_records, parse_records
 
 
@@ -36,7 +37,9 @@ def read_csv(
 
     ``encoding=None`` uses the census of all files (BOM / UTF-8 / Latin-1). ``multiline=True`` keeps quoted
     line breaks right; a large file is still read in many tasks (``csv_records``), unless ``split=False`` or
-    its encoding writes a line break in several bytes (UTF-16, UTF-32). ``multiline=False`` takes every line for a record.
+    its encoding writes a line break in several bytes (UTF-16, UTF-32); UTF-8 files without quotes go through Spark's own line reader.
+    ``multiline=False`` takes every line for a record. With ``infer`` the text is cut and parsed once: the fields are stored as
+    Parquet in the checkpoint folder, and both the inference and the result read that copy.
     A row shorter than the header is filled up with missing values, a longer one stops the job;
     empty header names become ``Unnamed: i`` and repeated ones are numbered."""
     paths = [path] if isinstance(path, str) else list(path)
@@ -59,7 +62,10 @@ def read_csv(
         raw += "_"
     schema = StructType([StructField(n, StringType()) for n in [*names, raw]])
     place: list[str] = []
-    if multiline and split and encoding.upper() in ASCII_LIKE and sep.isascii():
+    by_split = multiline and split and encoding.upper() in ASCII_LIKE and sep.isascii()
+    if by_split and encoding.upper() == "UTF-8" and plain_lines(spark, paths):
+        by_split, reader = False, reader.option("multiLine", False).option("lineSep", "\n")
+    if by_split:
         df, place = _split_csv(spark, paths, encoding, sep, names, raw)
     else:
         df = reader.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", raw).schema(schema).csv(paths)
@@ -75,7 +81,19 @@ def read_csv(
 
         df = with_row_ordinal(df, place, ordinal_col) if place else with_file_ordinal(df, out=ordinal_col)
     df = na_to_null(df.drop(raw, *place), names, tokens=na_tokens)
-    return infer_types(df, names) if infer else df
+    if not infer:
+        return df
+    if not ordinal_col:  # numbered rows are a stored copy already
+        df = _stored(spark, df)
+    return infer_types(df, names)
+
+
+def _stored(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back; its column names may be any."""
+    path = scratch_path(spark, "csv-fields")
+    plain = [f"f{i}" for i in range(len(df.columns))]
+    df.toDF(*plain).write.parquet(path)
+    return spark.read.schema(StructType([StructField(n, f.dataType) for n, f in zip(plain, df.schema.fields)])).parquet(path).toDF(*df.columns)
 
 
 def _split_csv(spark: SparkSession, paths: Sequence[str], encoding: str, sep: str, names: Sequence[str], raw: str) -> tuple[DataFrame, list[str]]:

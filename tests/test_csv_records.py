@@ -117,3 +117,36 @@ def test_other_encodings_take_one_task(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes('a,b\n1,"é\nx"\n'.encode("utf-16"))
     df = readers.read_csv(spark, str(tmp_path / "a.csv"), encoding="UTF-16")
     assert rows_of(df.select("a", F.length("b"))) == [(1, 3)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("body, plain", [
+    ("a,b\n 1,x \n2,\n", True), ("a,b\n1,\"x\"\n", False), ("a,b\r\n1,x\r\n", False), ("a,b\n \n1,x\n", False), ("\n\na,b\n1,x\n", False), ("\ufeffa,b\n1,x\n", True),
+])
+def test_parsed_once(spark, tmp_path, small_splits, body, plain):
+    """Fields are parsed once and stored, files without quotes by Spark's line reader; the same rows in any case."""
+    (tmp_path / "a.csv").write_bytes(body.encode())
+    want = rows_of(readers.read_csv(spark, str(tmp_path), split=False))
+    lines = csv_records.plain_lines(spark, [str(tmp_path)])
+    small_splits(4)
+    got = readers.read_csv(spark, str(tmp_path))
+    assert rows_of(got) == want
+    assert "Scan parquet" in _plan(got) and "MapInArrow" not in _plan(got)
+    text = _plan(readers.read_csv(spark, str(tmp_path), infer=False))
+    assert ("MapInArrow" not in text) is lines
+    assert lines is plain and "Union" not in text
+
+
+@pytest.mark.parametrize("values, kind", [
+    (["12", "+5", "-3"], "bigint"), (["\t12", " 7 ", "12\n"], "bigint"), (["9" * 19, "1"], "string"), (["9" * 18, "1" + "0" * 18], "bigint"), (["1.", "2", "1e5", ".5"], "double"),
+    (["1\n", "1.5"], "double"), (["1\t", "1.5"], "string"), (["12\u2028"], "string"), (["True", "false"], "boolean"), (["True", "1"], "string"), (["", "1"], "string"), ([None], "string"),
+])
+def test_inferred_spellings(spark, values, kind):
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = readers.infer_types(df)
+    assert dict(got.dtypes) == {"v": kind}
+    if kind == "bigint":
+        assert [r.v for r in got.collect()] == [int(v) for v in values]
