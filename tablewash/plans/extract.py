@@ -3,8 +3,8 @@
   notes table ──roles──> (sheet, patient_id, session, row_ordinal, text)
       └─ skip empty text
       └─ prompt  (note + vocabulary lists, built with column functions)
-      └─ scorer  (caller's batch function via mapInPandas: one Python call per
-                  Arrow batch)
+      └─ scorer  (caller's batch function via mapInArrow: Python calls of
+                  bounded size)
       └─ strict parse / validate / vocabulary filter (JVM column functions);
          each round is checkpointed, so no later stage re-runs a finished
          round; a task lost mid-round re-sends only its own batch
@@ -23,12 +23,13 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewash.functions.names import c
 from tablewash.functions.replies import fallback_records, parse_reply
 from tablewash.operators.sequence import number_rows, running_total
-from tablewash.plans.replies import replies_of
+from tablewash.plans.replies import calls, replies_of
 from tablewash.session import ship_package
 from tablewash.sources.vocabulary import CATEGORIES
 
@@ -171,19 +172,15 @@ def with_prompt(notes: DataFrame, reference_text: str, vocabulary_text: str, tem
 def _score_batches(scorer: Scorer, attempt: int, key_cols: Sequence[str], batch_size: int | None = None,
                    carry: str = "prompt"):
     def run(batches):
-        for b in batches:
-            prompts = b["prompt"].tolist()
-            step = batch_size or max(len(prompts), 1)
-            replies = []
-            for i in range(0, len(prompts), step):  # requests of at most batch_size prompts
-                replies.extend(scorer(prompts[i:i + step], attempt))
-            if len(replies) != len(prompts):
-                raise ValueError("scorer must return one reply per prompt")
-            out = b[list(key_cols)].copy()
-            out[carry] = b[carry]
-            out["reply"] = ["" if r is None else str(r) for r in replies]
-            out["attempt"] = attempt
-            yield out
+        for batch in batches:
+            prompts = batch.column("prompt")
+            for a, b in calls(prompts, batch_size):
+                replies = scorer(prompts.slice(a, b - a).to_pylist(), attempt)
+                if len(replies) != b - a:
+                    raise ValueError("scorer must return one reply per prompt")
+                kept = [batch.column(x).slice(a, b - a) for x in (*key_cols, carry)]
+                text = pa.array(["" if r is None else str(r) for r in replies], prompts.type)
+                yield pa.record_batch([*kept, text, pa.array([attempt] * (b - a), pa.int32())], [*key_cols, carry, "reply", "attempt"])
 
     return run
 
@@ -207,8 +204,8 @@ def score_and_parse(
     Each round spreads its prompts round-robin over ``num_tasks`` tasks
     (default: the cluster's default parallelism): the number of concurrent
     scorer calls, independent of how the notes happened to be partitioned.
-    ``batch_size`` caps the prompts per scorer call (default: one Arrow batch,
-    ``spark.sql.execution.arrow.maxRecordsPerBatch``).
+    A scorer call gets at most ``CALL_PROMPTS`` prompts of ``CALL_BYTES`` together (``plans.replies``), and never
+    more than ``batch_size``: a task holds one call's prompts and replies, whatever an Arrow batch holds.
 
     ``prompts`` either holds a ``prompt`` column, or a ``text`` column and
     ``prompt`` is an expression over it: then the prompt (note plus the shared
@@ -236,7 +233,7 @@ def score_and_parse(
             batch_in = pending.repartition(tasks)
             if prompt is not None:
                 batch_in = batch_in.withColumn("prompt", prompt)
-            replies = batch_in.mapInPandas(_score_batches(scorer, attempt, key_cols, batch_size, carry), schema)
+            replies = batch_in.mapInArrow(_score_batches(scorer, attempt, key_cols, batch_size, carry), schema)
         ok, recs = parse_reply(F.col("reply"), categories, vocab)
         parsed = replies.select(
             *key_cols, "attempt", ok.alias("_ok"), recs.alias("records"),

@@ -22,11 +22,27 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewash.session import ship_package
 
 SCHEMA = "digest string, reply string"
+# prompts of one scorer call, and their bytes together (one prompt at least)
+CALL_PROMPTS, CALL_BYTES = 2048, 1 << 23
+
+
+def calls(prompts: pa.Array, batch_size: int | None = None) -> Iterator[tuple[int, int]]:
+    """Begin and end of the scorer calls of a batch, so a task never holds more than a call's prompts and replies."""
+    most = min(batch_size or CALL_PROMPTS, CALL_PROMPTS)
+    begin = held = 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(prompts), 0).to_pylist()):
+        if i > begin and (i - begin == most or held + size > CALL_BYTES):
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    if len(prompts):
+        yield begin, len(prompts)
 
 
 def _folder(path: str, attempt: int):
@@ -66,9 +82,10 @@ def commit(path: str, attempt: int, name: str, replies: dict[str, str]) -> None:
     filesystem.move(f"{folder}/_{file}", f"{folder}/{file}")
 
 
-def ask(batches: Iterator[pd.DataFrame], scorer: Callable, path: str, attempt: int, name: str, batch_size: int | None = None) -> Iterator[pd.DataFrame]:
-    """Scores batches of (digest, prompt) that this partition hasn't committed yet; yields how many were sent."""
-    known = committed(path, attempt, name)
+def ask(batches: Iterator[pd.DataFrame], scorer: Callable, path: str, attempt: int, name: str, batch_size: int | None = None, distinct: bool = False) -> Iterator[pd.DataFrame]:
+    """Scores batches of (digest, prompt) that this partition hasn't committed yet; yields how many were sent.
+    ``distinct``: no digest comes twice, so those sent need not be remembered."""
+    known = set(committed(path, attempt, name))
     sent = 0
     for batch in batches:
         wanted = {d: p for d, p in zip(batch["digest"], batch["prompt"]) if d not in known}
@@ -79,9 +96,9 @@ def ask(batches: Iterator[pd.DataFrame], scorer: Callable, path: str, attempt: i
             replies = scorer([wanted[d] for d in own], attempt)
             if len(replies) != len(own):
                 raise ValueError("scorer must return one reply per prompt")
-            done = {d: "" if r is None else str(r) for d, r in zip(own, replies)}
-            commit(path, attempt, name, done)
-            known.update(done)
+            commit(path, attempt, name, {d: "" if r is None else str(r) for d, r in zip(own, replies)})
+            if not distinct:
+                known.update(own)
             sent += len(own)
     yield pd.DataFrame({"sent": [sent]})
 
@@ -108,8 +125,10 @@ def replies_of(pending: DataFrame, prompt: Column, scorer: Callable, path: str,
         from pyspark import TaskContext
 
         # partitions of one job are told apart from those of another: their prompts may differ
-        yield from ask(batches, scorer, path, attempt, f"{job}-{TaskContext.get().partitionId():06d}", batch_size)
+        frames = (b.slice(i, j - i).to_pandas() for b in batches for i, j in calls(b.column("prompt"), batch_size))
+        for sent in ask(frames, scorer, path, attempt, f"{job}-{TaskContext.get().partitionId():06d}", batch_size, distinct=True):
+            yield pa.RecordBatch.from_pandas(sent, preserve_index=False)
 
     job = uuid.uuid4().hex[:12]
-    wanted.mapInPandas(run, "sent long").agg(F.sum("sent")).collect()
+    wanted.mapInArrow(run, "sent long").agg(F.sum("sent")).collect()
     return rows.join(stored_replies(spark, path, attempt), "digest").drop("digest")

@@ -61,3 +61,30 @@ def test_equal_notes_are_sent_once(spark, tmp_path):
     assert sorted(sent) == [("bad knee", 1), ("bad knee", 2), ("bad knee", 3), ("row", 1), ("walk", 1)]
     plain = extract.extract_table(notes, scorer, ["i"], num_tasks=4)
     assert plain.exceptAll(out).isEmpty() and out.exceptAll(plain).isEmpty()
+
+
+def test_calls_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(replies, "CALL_PROMPTS", 3)
+    monkeypatch.setattr(replies, "CALL_BYTES", 10)
+    cut = lambda *sizes, **k: list(replies.calls(pa.array([None if n is None else "x" * n for n in sizes], pa.string()), **k))
+    assert cut(1, 1, 1, 1, 1, 1, 1) == [(0, 3), (3, 6), (6, 7)]
+    assert cut(99, 4, 6, 1, None, 99, 99) == [(0, 1), (1, 3), (3, 5), (5, 6), (6, 7)]
+    assert cut(1, 1, 1, batch_size=2) == [(0, 2), (2, 3)] and cut() == []
+
+
+def test_scorer_is_never_handed_a_whole_arrow_batch(spark, tmp_path):
+    """Calls are of bounded size without a batch size, with and without a store; replies stay with their notes."""
+    from tablewash.plans import extract
+
+    def score(prompts, attempt):
+        if len(prompts) > replies.CALL_PROMPTS or sum(map(len, prompts)) > replies.CALL_BYTES:
+            raise ValueError("too much at once")
+        return ['[{"exercise_name": "%s"}]' % p[:9] for p in prompts]
+
+    n = 5000
+    rows = spark.range(n).selectExpr("id AS i", "concat('n', lpad(cast(id as string), 8, '0'), repeat('x', 5000)) AS prompt").coalesce(1)
+    for store in (None, str(tmp_path / "store")):
+        got = extract.score_and_parse(rows, score, ["i"], [], num_tasks=1, reply_store=store)
+        assert got.selectExpr("count(distinct i)", "count_if(records[0].exercise_name = concat('n', lpad(cast(i as string), 8, '0')))").first()[:] == (n, n)
