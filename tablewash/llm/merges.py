@@ -14,9 +14,9 @@ import heapq
 import itertools
 import json
 import re
-import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
@@ -136,12 +136,11 @@ class Merger:
         return sym[order].astype(np.uint32), np.bincount(word, minlength=len(words))
 
 
-#: The splitting patterns stated in the two vocabulary files.
+#: Fixed value: the splitting pattern stated in the byte-level vocabulary file.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-#: Marks that both patterns split off the end of a word as a piece of their own.
+#: Marks that the pattern splits off the end of a word as a piece of their own.
 ENDS = frozenset(".,;:!?")
 
 
@@ -149,7 +148,6 @@ class ByteWords:
     """Splitting of the byte-level vocabulary: pieces keep their leading space."""
 
     pattern = regex.compile(BYTE_PATTERN)
-    exact = None
 
     def split(self, chunk: str) -> list[str]:
         return self.pattern.findall(chunk)
@@ -164,28 +162,81 @@ class ByteWords:
 
 
 class LowerWords:
-    """Splitting of the word vocabulary: NFC, lower case, white space dropped."""
-
-    pattern = regex.compile(WORD_PATTERN)
-    #: Letters whose case, composition and class differ between Unicode versions: the library decides.
-    exact = re.compile("[^\x00-\u024f]")
-
-    def split(self, chunk: str) -> list[str]:
-        if chunk.isascii():
-            return self.pattern.findall(chunk.lower())
-        return self.pattern.findall(unicodedata.normalize("NFC", chunk).lower())  # plain ranges: no letter's case depends on others
-
-    def split_word(self, chunk: str) -> list[str]:
-        low = (chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)).lower()
-        if low.isalpha():
-            return [low]
-        if low[-1] in ENDS and low[:-1].isalpha():
-            return [low[:-1], low[-1]]
-        return self.pattern.findall(low)
+    r"""Splitting of the word vocabulary (lower case of the NFC form, white space dropped, pattern
+    ``'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+``): all texts of a call are cut at once, as bytes."""
+
+    #: Letters whose case, composition and class differ between Unicode versions, or whose lower case has
+    #: more bytes: the library decides, about the whole chunk between ASCII white space. All others are NFC.
+    exact = re.compile("[^\x00-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]")
+    chunk = re.compile(rf"((?<![^ \t-\r])[^ \t-\r]*?{exact.pattern}[^ \t-\r]*)")
+    #: Byte around such a chunk (no text in UTF-8 has it).
+    WRAP = b"\xfe"
+    SPACE, LETTER, DIGIT, OTHER, WRAPPED = range(5)
+
+    def __init__(self):
+        kinds = (regex.compile(r"\s"), regex.compile(r"\p{L}"), regex.compile(r"\p{N}"))
+        self.kind = np.array([next((k for k, p in enumerate(kinds) if p.match(chr(c))), self.OTHER) for c in range(0x800)], np.uint8)
+
+    def plain(self, text: str) -> bytes:
+        """The text in lower case, chunks that the library has to encode wrapped."""
+        if text.isascii() or not self.exact.search(text):
+            return text.lower().encode()
+        parts = self.chunk.split(text)  # every second part is such a chunk
+        return b"".join(self.wrapped(x) if k % 2 else x.lower().encode() for k, x in enumerate(parts))
+
+    def wrapped(self, chunk: str) -> bytes:
+        return self.WRAP + chunk.encode() + self.WRAP
+
+    def cut(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct pieces of all texts, each place's piece, in order, and the places per text."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        buf = np.frombuffer(b" ".join(texts) + b"   ", np.uint8)  # room for a mark's two letters
+        kind = np.take(self.kind[:256], buf)
+        wide = np.flatnonzero(buf >= 0x80)
+        wrap = np.zeros(0, np.int64)
+        if len(wide):
+            high = buf[wide]
+            wrap = wide[high == self.WRAP[0]]
+            lead = wide[(high >= 0xC0) & (high < 0xE0)]
+            own = self.kind[(buf[lead] & np.uint8(0x1F)).astype(np.int64) << 6 | buf[lead + 1] & np.uint8(0x3F)]
+            kind[lead] = kind[lead + 1] = own
+            for a, b in zip(wrap[::2].tolist(), wrap[1::2].tolist()):
+                kind[a : b + 1] = self.WRAPPED
+        edge = np.empty(len(buf), bool)
+        edge[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=edge[1:])
+        edge |= kind == self.DIGIT
+        edge[wrap[::2]] = True
+        if len(wide):
+            edge[lead + 1] = False
+        # 's 't 're 've 'm 'll 'd: the mark alone before these letters
+        mark = np.flatnonzero(buf == ord("'"))
+        mark = mark[edge[mark] & (kind[mark] == self.OTHER) & (kind[mark + 1] == self.LETTER)]
+        one, two = buf[mark + 1], buf[mark + 2]
+        pair = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        single = (one == ord("s")) | (one == ord("t")) | (one == ord("m")) | (one == ord("d"))
+        edge[mark[single | pair] + 1] = False
+        edge[mark[single] + 2] = True
+        edge[mark[pair] + 3] = True
+        at = np.flatnonzero(edge)
+        lengths = np.diff(at, append=len(buf))
+        word = kind[at] != self.SPACE
+        at, lengths = at[word], lengths[word]
+        first = np.searchsorted(at, np.cumsum(sizes) - sizes)
+        ends = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(lengths, out=ends[1:])
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(buf[kind != self.SPACE])])
+        coded = pieces.dictionary_encode()
+        _, bounds, raw = coded.dictionary.buffers()
+        flat = raw.to_pybytes() if raw else b""
+        words = [flat[a:b] for a, b in itertools.pairwise(np.frombuffer(bounds, np.int64, len(coded.dictionary) + 1).tolist())]
+        return words, coded.indices.to_numpy(), np.diff(first, append=len(at))
 
 
 #: Longer words are merged alone, with a heap.
 LONG_WORD = 256
+#: Longer pieces of texts cut as bytes are not remembered from call to call.
+REMEMBERED_BYTES = 64
 
 
 def merge_long(merger: Merger, word: bytes) -> np.ndarray:
@@ -232,15 +283,16 @@ def torn(chunk: str) -> bool:
 
 
 class Encoder:
-    """Texts -> ids as little-endian unsigned 32-bit integers. A chunk seen before in this
-    worker comes from a bounded memory; a new one is split, looked up in the lexicon (if any)
-    and, where the lexicon lacks a piece, merged."""
+    """Texts -> ids as little-endian unsigned 32-bit integers. A chunk (of texts cut as bytes: a piece)
+    seen before in this worker comes from a bounded memory; a new one is split, looked up in the lexicon
+    (if any) and, where the lexicon lacks a piece, merged."""
 
     def __init__(self, path: str, splitter, lexicon: Lexicon | None = None, remembered: int = 500_000):
         self.merger, self.splitter, self.lexicon, self.remembered = Merger(path), splitter, lexicon, remembered
         self.inner: dict[str, bytes] = {}  # chunks after a space
         self.pieces: dict[str, bytes] = {}
         self.path, self._library = path, None
+        self.words: dict[bytes, bytes] = {}  # pieces of texts cut as bytes
         self.marks = re.compile("(" + "|".join(map(re.escape, self.merger.special)) + ")")
 
     @property
@@ -252,8 +304,7 @@ class Encoder:
             self._library.no_padding()
         return self._library
 
-    def _encode_pieces(self, pieces: list[str]) -> None:
-        words = [p.encode("utf-8", "surrogatepass") for p in pieces]
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
         got: list[bytes | None] = [None] * len(words)
         if self.lexicon is not None:
             for i, n in enumerate(self.lexicon.find(words).tolist()):
@@ -266,19 +317,14 @@ class Encoder:
         for i, end in zip(rest, ends):
             got[i] = flat[begin:end]
             begin = end
-        for i, g in enumerate(got):
-            self.pieces[pieces[i]] = merge_long(self.merger, words[i]).astype("<u4").tobytes() if g is None else g
+        return [merge_long(self.merger, w).astype("<u4").tobytes() if g is None else g for w, g in zip(words, got)]
 
     def _learn(self, new: set[str], inner: bool) -> dict[str, bytes]:
         pieces, out = self.pieces, {}
         cut = self.splitter.split_word if inner else self.splitter.split
-        if self.splitter.exact is not None and (odd := [c for c in new if not c.isascii() and self.splitter.exact.search(c)]):
-            for c, e in zip(odd, self.library.encode_batch(odd, add_special_tokens=False)):
-                out[c] = np.array(e.ids, "<u4").tobytes()
-            new = new.difference(odd)
         split = list(map(cut, new))
-        found = set(itertools.chain.from_iterable(split))
-        self._encode_pieces(list(itertools.filterfalse(pieces.__contains__, found)))
+        found = list(itertools.filterfalse(pieces.__contains__, set(itertools.chain.from_iterable(split))))
+        pieces.update(zip(found, self._ids_of([p.encode("utf-8", "surrogatepass") for p in found])))
         for c, ps in zip(new, split):
             out[c] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
         return out
@@ -288,11 +334,42 @@ class Encoder:
         running = gc.isenabled()
         gc.disable()
         try:
-            return self._encode(texts)
+            return self._encode_cut(texts) if isinstance(self.splitter, LowerWords) else self._encode(texts)
         finally:
             if running:
                 gc.enable()
 
+    def _encode_cut(self, texts: list[str | None]) -> list[bytes]:
+        """All texts cut as bytes; each distinct piece is looked up or merged once, its ids dealt to its places."""
+        if not texts:
+            return []
+        plain, wrapped = self.splitter.plain, self.splitter.wrapped
+        raw = [
+            b"".join([wrapped(x) if k % 2 else plain(x) for k, x in enumerate(self.marks.split(t))]) if t and "<|" in t else plain(t or "")
+            for t in texts
+        ]
+        words, places, per_text = self.splitter.cut(raw)
+        if len(self.words) > self.remembered:
+            self.words = {w: self.words[w] for w in words if w in self.words}  # the texts at hand hold the frequent ones
+        known = self.words
+        new = list(itertools.filterfalse(known.__contains__, words))
+        odd = [w for w in new if w.startswith(self.splitter.WRAP)]
+        if odd:
+            found = self.library.encode_batch([w[1:-1].decode() for w in odd], add_special_tokens=False)
+            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(odd, found))
+            new = list(itertools.filterfalse(known.__contains__, new))
+        known.update(zip(new, self._ids_of(new)))
+        ids = list(map(known.__getitem__, words))
+        for w in (w for w in (*odd, *new) if len(w) > REMEMBERED_BYTES):
+            del known[w]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        own = size[places]
+        ends = np.cumsum(own)
+        all_ids = flat[np.repeat(begin[places] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        bounds = (4 * np.append(0, ends)[np.append(0, np.cumsum(per_text))]).tolist()
+        return [all_ids[a:b] for a, b in itertools.pairwise(bounds)]
+
     def _encode(self, texts: list[str | None]) -> list[bytes]:
         plans, new, heads = [], set(), set()
         if len(self.inner) + len(self.pieces) > self.remembered:

@@ -1,5 +1,6 @@
 """Encoding and packing against the tokenizers library itself."""
 
+import cProfile
 import random
 import zlib
 from collections import defaultdict
@@ -34,6 +35,32 @@ def test_ids_equal_the_library(path, splitter):
     assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(path, splitter).encode(texts)] == want
 
 
+#: Marks, digits, white space of all kinds, letters whose lower case has more bytes, letters beyond U+024F, special strings.
+PARTS = [*"abstdmrvlSTE'' \n\t", "'ll", "'VE", "'re", "it's", "1", "²", "¼", "ß", "É", "é", "İ", "Ⱥ", "Ⱦ", "Σ", "ς", "日", "😀", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "—", "\u0301", "\u0345", "<|endoftext|>", "<|startoftext|>", "<|", "|>"]
+
+
+@pytest.mark.parametrize("remembered", [0, 30, 500_000])
+def test_texts_cut_as_bytes(remembered):
+    """All kinds of pieces side by side, with any memory from call to call."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choices(PARTS, k=rng.randint(1, 40))) for _ in range(4000)] + [None, "", " ", "'", "'s", "x" * 300 + "é" * 200, "日" * 300]
+    own, lib = Encoder(WORD, LowerWords(), remembered=remembered), library(WORD)
+    want = [e.ids for e in lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    got = [x for at in range(0, len(texts), 500) for x in own.encode(texts[at : at + 500])]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert own.encode([]) == [] and own.encode([None, ""]) == [b"", b""]
+
+
+def test_new_words_cost_few_calls():
+    """The cutting of a text takes no Python call per word, also where words come with capitals and marks."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdeé", k=8)).capitalize() + rng.choice(["", ",", ".", "'s"]) for _ in range(20_000)]
+    own = Encoder(WORD, LowerWords())
+    profile = cProfile.Profile()
+    profile.runcall(own.encode, [" ".join(words)])
+    assert sum(e.callcount for e in profile.getstats()) < 6 * len(words)
+
+
 def test_long_word_merges_equal_batch_merges():
     own = Encoder(BYTE, ByteWords()).merger
     rng = random.Random(2)
