@@ -14,8 +14,10 @@ the whole sequence). Two sets link when ``100 * intersection >= percent * union`
 2. Equal texts are one class. Rows (piece, class) meet by piece; each class is paired
    with the first class of its piece, then with the previous one if that is in another component
    yet: that is linear in the rows.
-3. Pairs pass the Hamming bound, then the exact sets are compared (the pair's texts travel, being
-   smaller than their sets of hashes, and become sets where they meet).
+3. Pairs pass the Hamming bound, those of large sets also that of a sketch of as many bits as the set
+   has shingles (``BITS`` bits are full at about a thousand: then any two sets pass, and pairs of texts that
+   merely share a passage grow with its square). Then the exact sets are compared (the pair's texts travel,
+   being smaller than their sets of hashes, and become sets where they meet).
 4. Components of those links. Only where a piece still holds classes of different
    components are all its cross-component pairs tried (Hamming bound inside the join),
    verified and merged, so no link between different texts that matters is lost.
@@ -38,6 +40,8 @@ from tablewash.llm.common import mix, prepare, slices, stored, word_hashes
 from tablewash.llm.components import connected_components
 
 BITS = 512
+#: Most bits of the sketch that grows with the set (a longer set only lets more pairs pass).
+FINE_BITS = 1 << 16
 RATIO = 1.3
 #: Classes that a task remembers in order to deal a repeated text once (a saving, not a limit).
 REMEMBERED = 1 << 18
@@ -118,8 +122,20 @@ def class_keys(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return mix((total[ends] - total[ends - counts]) + counts.astype(np.uint64)).view(np.int64)
 
 
+def fine_sketches(h: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
+    """Sketch of each set in the power of two of bits that holds its size; None if ``BITS`` do."""
+    width = np.where(counts > BITS, np.minimum(1 << np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64), FINE_BITS), 0)
+    end = np.cumsum(width)
+    large = np.repeat(counts > BITS, counts)
+    owner = np.repeat(np.arange(len(counts)), counts)[large]
+    bit = (mix(h[large] + np.uint64(991)) >> np.uint64(30)).astype(np.int64) & (width[owner] - 1)
+    flips = np.bincount((end - width)[owner] + bit, minlength=int(width.sum())).astype(np.uint8) & 1
+    raw = np.packbits(flips).tobytes()
+    return [raw[(e - w) // 8 : e // 8] if w else None for e, w in zip(end.tolist(), width.tolist())]
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, class key ``c`` (NULL for empty sets) and ``bits``."""
+    """Per row: doc_id, n_shingles, class key ``c`` (NULL for empty sets), ``bits`` and ``fine``."""
 
     def run(batches):
         for batch in batches:
@@ -136,12 +152,13 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                         pa.array(counts.astype(np.int64)),
                         pa.array(class_keys(h, counts), mask=counts == 0),
                         pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), BITS // 64).cast(pa.list_(pa.int64())),
+                        pa.array(fine_sketches(h, counts), pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "c", "bits"],
+                    ["doc_id", "n_shingles", "c", "bits", "fine"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles long, c long, bits array<long>"
+    schema = f"doc_id {kind}, n_shingles long, c long, bits array<long>, fine binary"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -193,6 +210,42 @@ def near_enough(x: str, y: str, percent: int):
     return within & (sum(parts) * (100 + percent) <= (n + m) * (100 - percent))
 
 
+def distances(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+    """Hamming distance of each two sketches, the longer one folded to the shorter one's bits."""
+    out = np.zeros(len(xs), np.int64)
+    by_size: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(zip(xs, ys)):
+        by_size.setdefault((len(x), len(y)), []).append(i)
+    for sizes, rows in by_size.items():
+        x, y = (
+            np.bitwise_xor.reduce(np.frombuffer(b"".join([side[i] for i in rows]), np.uint8).reshape(len(rows), -1, min(sizes)), axis=1)
+            for side in (xs, ys)
+        )
+        out[rows] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def finely_near(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) within the Hamming bound of their fine sketches; those without one stay."""
+
+    def run(batches):
+        for batch in batches:
+            both = pc.and_(pc.is_valid(batch.column("x")), pc.is_valid(batch.column("y")))
+            keep = np.ones(len(batch), bool)
+            at = np.flatnonzero(both.to_numpy(zero_copy_only=False))
+            size = np.asarray(pc.add(batch.column("x_n"), batch.column("y_n")), np.int64)
+            step = max(1, PAIR_BYTES * 8 // FINE_BITS)
+            for a in range(0, len(at), step):
+                part = pa.array(at[a : a + step])
+                far = distances(batch.column("x").take(part).to_pylist(), batch.column("y").take(part).to_pylist())
+                keep[at[a : a + step]] = far * (100 + percent) <= size[at[a : a + step]] * (100 - percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    x = known.select(F.col("c").alias("a"), F.col("n").alias("x_n"), F.col("fine").alias("x"))
+    y = known.select(F.col("c").alias("b"), F.col("n").alias("y_n"), F.col("fine").alias("y"))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x_n", "y_n", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose exact sets link."""
 
@@ -234,7 +287,7 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int, percent: int)
         "piece", "c", F.first("c").over(by_piece).alias("first"), F.lag("c").over(by_piece).alias("before"), F.lead("c").over(by_piece).alias("after")
     ).where("(before is not null and before != c) or (after is not null and after != c) or first != c")
     met = stored(spark, met.select("piece", "c", "first", "before"), "near-met")
-    known = classes.join(met.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("n_shingles").alias("n"), F.min("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
+    known = classes.join(met.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.min("n_shingles").alias("n"), F.min("bits").alias("bits"), F.min("fine").alias("fine"), F.min("doc_id").alias("doc_id"))
     known = stored(spark, known, "near-classes")
     x = known.select(F.col("c").alias("a"), F.col("n").alias("x_n"), F.col("bits").alias("x_bits"))
     y = known.select(F.col("c").alias("b"), F.col("n").alias("y_n"), F.col("bits").alias("y_bits"))
@@ -247,13 +300,14 @@ def near_components(spark: SparkSession, docs: DataFrame, k: int, percent: int)
     def link(pairs: DataFrame) -> None:
         """Verifies the pairs that passed the Hamming bound and merges the components of those that link."""
         nonlocal texts, tried, parts
-        pairs = stored(spark, pairs, "near-pairs")
+        pairs = stored(spark, finely_near(pairs, known, percent), "near-pairs")
         tried = pairs if tried is None else tried.union(pairs)
         if parts is not None and pairs.isEmpty():
             return
         wanted = known.join(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct(), "c", "left_semi")
         wanted = wanted if texts is None else wanted.join(texts.select("c"), "c", "left_anti")
-        more = stored(spark, class_texts(docs, wanted.select("c", "doc_id"), k), "near-texts")
+        wanted = stored(spark, wanted.select("c", "doc_id"), "near-wanted")  # its size is known then: few are broadcast, no text is shuffled
+        more = stored(spark, class_texts(docs, wanted, k), "near-texts")
         texts = more if texts is None else texts.union(more)
         links = stored(spark, verified(pairs, texts, k, percent), "near-links")
         if parts is None:

@@ -84,6 +84,42 @@ def test_repeated_rows(spark):
     assert result(spark, docs, 4, 85) == brute_force(rows, 4, 85)
 
 
+def test_large_texts_with_a_common_passage(spark, monkeypatch):
+    """Only pairs that may link are verified: those of a passage alone would grow with the square of its texts."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randint(1200, 1500)))) for i in range(40)]
+    rows += [(len(rows) + i, t + " " + " ".join(f"q{rng.randrange(5000)}" for _ in range(m))) for i, ((_, t), m) in enumerate(zip(rows, (20, 100, 200, 280, 320, 420)))]
+    tried, verified = [], near.verified
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near, "verified", counted)
+    got = result(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
+    assert got == brute_force(rows, 5, 80)
+    assert len({x[2] for x in got}) < len(rows) - 3 and sum(tried) < 20
+
+
+def test_fine_sketches_bound_the_difference():
+    """Also of sets whose sketches differ in length, and of those beyond the longest sketch."""
+    rng = np.random.default_rng(2)
+    for n in (500, 1000, 1020, 2040, 3000, near.FINE_BITS - 500):
+        for extra in (0, 1, 30, n // 5):
+            for common in (n - extra, n):
+                x = rng.integers(0, 2**63, common).astype(np.uint64)
+                y = np.concatenate([x, rng.integers(0, 2**63, extra).astype(np.uint64)])
+                fine = near.fine_sketches(np.concatenate([x, y]), np.array([len(x), len(y)]))
+                assert [f and len(f) * 8 for f in fine] == [None if m <= near.BITS else min(1 << (m - 1).bit_length(), near.FINE_BITS) for m in (len(x), len(y))]
+                if None not in fine:
+                    there, back = near.distances([fine[0], fine[1]], [fine[1], fine[0]]).tolist()
+                    assert there == back <= extra and there % 2 == extra % 2
+    unlike = near.fine_sketches(rng.integers(0, 2**63, 4000).astype(np.uint64), np.array([2000, 2000]))
+    assert near.distances(unlike[:1], unlike[1:])[0] > 800
+    assert near.fine_sketches(np.zeros(0, np.uint64), np.zeros(3, np.int64)) == [None] * 3
+
+
 def test_sketch_distance_bounds_the_difference():
     """Linked sets agree in a dealt piece, and the bands hold every size once."""
     rng = np.random.default_rng(1)
